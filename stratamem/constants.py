@@ -54,11 +54,7 @@ SHARED_SLUG = "users"
 DEFAULT_SLUG = "default"
 
 # Characters Python's str.strip()/split() treat as whitespace.
-WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
-)
+WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 # The same set as a regex class that Java and RE2 both accept.
 WS_CLASS = (
     r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"

@@ -62,5 +62,5 @@ def idf(total: Column, df: Column) -> Column:
 
 def bm25_term(idf_value: Column, tf: Column, doc_len: Column, avg_len: Column) -> Column:
     """Contribution of one query term to one document."""
-    length_norm = 1.0 - K.BM25_B + K.BM25_B * doc_len / avg_len
+    length_norm = 1.0 - K.BM25_B + K.BM25_B * doc_len / F.nullif(avg_len, F.lit(0.0))
     return idf_value * (tf * (K.BM25_K1 + 1.0)) / (tf + K.BM25_K1 * length_norm)

@@ -10,6 +10,7 @@ from functools import cache, reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratamem import constants as K
 
@@ -49,14 +50,16 @@ def _compatibility_class() -> str:
     return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
 def nfkc(text: Column) -> Column:
     """NFKC form where it matters for tokens; other rows stay in the JVM."""
-    needed = F.when(text.rlike(_compatibility_class()), text)
+    # Most text is ASCII and Latin-1 letters; the long class is tried on the rest only.
+    suspect = text.rlike(r"[^\x00-\x7f\xc0-\xff]") & text.rlike(_compatibility_class())
+    needed = F.when(suspect, text)
     return F.coalesce(_nfkc(needed), text)
 
 
