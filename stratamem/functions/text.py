@@ -72,8 +72,7 @@ def tokenize(text: Column, unicode_forms: bool = True) -> Column:
     if unicode_forms:
         lowered = nfkc(lowered)
     words = F.split(lowered, "[^a-z0-9]+")
-    stops = F.array(*[F.lit(w) for w in K.STOP_WORDS])
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stops, w))
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*K.STOP_WORDS))
 
 
 def word_set(text: Column) -> Column:

@@ -40,6 +40,10 @@ def term_counts(tokens: Column) -> Column:
             F.create_map(t, F.coalesce(F.try_element_at(acc, t), F.lit(0)) + 1)))
 
 
+def _occurrences(tokens: str, term: str) -> Column:
+    return F.size(F.filter(tokens, lambda t: t == term))
+
+
 def bm25_against_corpus(docs: DataFrame, key: str, query_tokens: list[str],
                         tokens: str = "tokens") -> DataFrame:
     """BM25 of one query for every text of a corpus.
@@ -55,7 +59,7 @@ def bm25_against_corpus(docs: DataFrame, key: str, query_tokens: list[str],
     stat = stats.select(F.struct("*").alias("s")).scalar()
     counted = docs.select(
         key, F.size(tokens).alias("doc_len"), stat.alias("s"),
-        *[F.size(F.filter(tokens, lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(terms)])
+        *[_occurrences(tokens, t).alias(f"tf{i}") for i, t in enumerate(terms)])
     score = F.lit(0.0)
     for i, term in enumerate(terms):
         weight = scoring.bm25_term(scoring.idf(F.col("s.total"), F.col(f"s.df{i}")), F.col(f"tf{i}"),

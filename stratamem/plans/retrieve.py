@@ -175,7 +175,8 @@ def retrieve(items: DataFrame, queries: DataFrame, messages: DataFrame | None, a
     order = [F.col("score").desc(), F.col("scope").desc(), F.col("pos")]
     final = top_n_per_group(picked, ["query_id"], order, opts.top_k, rank_col="result_rank")
     return final.select("query_id", F.col("result_rank").cast("int"), "id", "memory_layer",
-                        "score", *SIGNALS, "bm25_norm", "token_estimate", "content")
+                        "score", *SIGNALS,
+                        scoring.round4(F.col("bm25_norm")).alias("bm25_norm"), "token_estimate", "content")
 
 
 def result_tokens(results: DataFrame) -> DataFrame:
