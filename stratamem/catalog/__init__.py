@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stratamem.catalog import lexical, ranking, search
+from stratamem.catalog import lexical, lifecycle, ranking, records, search
 
-MODULES = (search, lexical, ranking)
+MODULES = (search, lexical, ranking, lifecycle, records)
 
 
 def queries() -> dict:
