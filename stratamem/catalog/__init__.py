@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stratamem.catalog import lexical, lifecycle, ranking, records, search
+from stratamem.catalog import documents, lexical, lifecycle, ranking, records, search, streams
 
-MODULES = (search, lexical, ranking, lifecycle, records)
+MODULES = (search, lexical, ranking, lifecycle, records, documents, streams)
 
 
 def queries() -> dict:

@@ -77,7 +77,7 @@ def l1_last20(spark, base):
 
 
 def l1_after_clear(spark, base):
-    """Working memory after a clear at every session's third system message."""
+    """Working memory after a clear at every session's first system message."""
     m = tables.l1_messages(spark, base)
     clears = m.filter(F.col("role") == "system").groupBy("user_id", "session_id").agg(F.min("seq").alias("seq"))
     return rec.window_after_clear(m, clears).select("user_id", "session_id", "seq", "pos")
