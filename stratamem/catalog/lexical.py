@@ -15,7 +15,7 @@ QUERY_TOKENS = ["thing", "tion", "ment", "ing", "tion"]
 
 
 def _docs(spark: SparkSession, base: str) -> DataFrame:
-    return tables.read(spark, base, "documents").select(
+    return tables.read_texts(spark, base, "documents", "doc_id").select(
         "doc_id", text.tokenize(F.col("text")).alias("tokens"))
 
 

@@ -39,7 +39,7 @@ def importance_boost(spark, base):
 
 def user_signal(spark, base):
     """Share of the query's words found in each whole document."""
-    docs = tables.read(spark, base, "documents")
+    docs = tables.read_texts(spark, base, "documents", "doc_id")
     return docs.select("doc_id", scoring.round4(
         scoring.user_signal_of_text(F.lit(QUERY), F.col("text"))).alias("signal"))
 

@@ -129,8 +129,10 @@ def chunk_long_texts(docs: DataFrame, content: str, keep: Sequence[str],
         body.alias("text"), F.lit(0).alias("start_pos"), length.alias("end_pos"),
         F.lit(0).alias("index")))
     parts = F.when(length > threshold, chunk(F.when(length > threshold, body))).otherwise(whole)
+    # Outer explode: the inner one would have its size check pushed below the chunker.
     return (docs.select(*keep, parts.alias("_parts"))
-            .select(*keep, F.size("_parts").alias("chunk_total"), F.explode("_parts").alias("c"))
+            .select(*keep, F.size("_parts").alias("chunk_total"), F.explode_outer("_parts").alias("c"))
+            .filter(F.col("c").isNotNull())
             .select(*keep, F.col("c.index").alias("chunk_index"), "chunk_total",
                     F.col("c.start_pos").alias("start_pos"), F.col("c.end_pos").alias("end_pos"),
                     F.col("c.text").alias("chunk_text")))
@@ -141,7 +143,9 @@ def paragraph_groups(docs: DataFrame, content: str, keep: Sequence[str], separat
     """Non-blank paragraphs joined ``group`` at a time, without leaving the row."""
     squeezed = text_fn.strip(text_fn.squeeze_blank_lines(F.col(content)))
     pieces = F.filter(F.transform(F.split(squeezed, separator), text_fn.strip), lambda p: p != "")
-    starts = F.sequence(F.lit(0), (F.ceil(F.size("_p") / group) - 1).cast("int"))
-    return (docs.select(*keep, pieces.alias("_p")).filter(F.size("_p") > 0)
-            .select(*keep, F.posexplode(F.transform(starts, lambda g: F.array_join(
-                F.slice("_p", g * group + 1, F.lit(group)), "\n\n"))).alias("group_index", "content")))
+    last = (F.ceil(F.size("_p") / group) - 1).cast("int")
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last))
+    return (docs.select(*keep, pieces.alias("_p"))
+            .select(*keep, F.posexplode_outer(F.transform(starts, lambda g: F.array_join(
+                F.slice("_p", g * group + 1, F.lit(group)), "\n\n"))).alias("group_index", "content"))
+            .filter(F.col("content").isNotNull()))

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratamem.functions import scoring
+from stratamem.session import materialize
+
+
+def exploded_terms(docs: DataFrame, tokens: Column | str, keep: Sequence[Column | str] = ()) -> DataFrame:
+    """One row per token.
+
+    An inner explode would make Catalyst push a size check below the tokenizer and
+    so run it twice; the outer form with a filter behind it tokenizes once.
+    """
+    return docs.select(*keep, F.explode_outer(tokens).alias("term")).filter(F.col("term").isNotNull())
 
 
 def term_frequency(docs: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
@@ -14,13 +26,13 @@ def term_frequency(docs: DataFrame, key: str, tokens: str = "tokens") -> DataFra
     A text's tokens sit in one row, so the map-side combine already yields the
     final counts and the shuffle carries each pair once.
     """
-    return (docs.select(key, F.explode(tokens).alias("term"))
+    return (exploded_terms(docs, tokens, [key])
             .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def document_frequency(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Texts per term; one shuffle on the term after a map-side combine."""
-    return (docs.select(F.explode(F.array_distinct(tokens)).alias("term"))
+    return (exploded_terms(docs, F.array_distinct(tokens))
             .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
 
 
@@ -48,24 +60,25 @@ def bm25_against_corpus(docs: DataFrame, key: str, query_tokens: list[str],
                         tokens: str = "tokens") -> DataFrame:
     """BM25 of one query for every text of a corpus.
 
-    The query's terms are literals, so the texts are read twice and never
-    shuffled: once for the statistics (one row) and once for the scores.
+    The query's terms are literals, so the texts are read once and never shuffled;
+    their counts, a few numbers per text, are written and yield both the statistics
+    (one row) and the scores.
     """
     if not query_tokens:
         return docs.select(key, F.lit(0.0).alias("bm25"))
     terms = list(dict.fromkeys(query_tokens))
-    seen = [F.sum(F.array_contains(tokens, t).cast("long")).alias(f"df{i}") for i, t in enumerate(terms)]
-    stats = docs.agg(F.count(F.lit(1)).alias("total"), F.avg(F.size(tokens)).alias("avg_len"), *seen)
-    stat = stats.select(F.struct("*").alias("s")).scalar()
-    counted = docs.select(
-        key, F.size(tokens).alias("doc_len"), stat.alias("s"),
-        *[_occurrences(tokens, t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    counted = materialize(docs.select(
+        key, F.size(tokens).alias("doc_len"),
+        *[_occurrences(tokens, t).alias(f"tf{i}") for i, t in enumerate(terms)]), "term-counts")
+    seen = [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]
+    stats = counted.agg(F.count(F.lit(1)).alias("total"), F.avg("doc_len").alias("avg_len"), *seen)
+    rows = counted.withColumn("s", stats.select(F.struct("*").alias("s")).scalar())
     score = F.lit(0.0)
     for i, term in enumerate(terms):
         weight = scoring.bm25_term(scoring.idf(F.col("s.total"), F.col(f"s.df{i}")), F.col(f"tf{i}"),
                                    F.col("doc_len"), F.col("s.avg_len"))
         score = score + F.when(F.col(f"tf{i}") > 0, query_tokens.count(term) * weight).otherwise(0.0)
-    return counted.select(key, score.alias("bm25"))
+    return rows.select(key, score.alias("bm25"))
 
 
 def bm25_within_groups(rows: DataFrame, keys: list[str], id_col: str = "id",
@@ -103,15 +116,21 @@ def max_normalized(score: Column, keys: list[str]) -> Column:
 def sparse_vectors(docs: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
     """BM25 weight of every term of every text: key, term, weight.
 
-    Kept in long form so that a long text never becomes one oversized row;
-    texts without tokens have no rows, which stands for the empty vector.
+    Kept in long form so that a long text never becomes one oversized row; texts
+    without tokens have no rows, which stands for the empty vector. The texts are
+    tokenized once; their term counts are written and everything else derives from
+    them. A term in a large share of the texts makes one join key hot on the long
+    side only, which adaptive execution splits.
     """
-    tf = (docs.select(key, F.size(tokens).alias("doc_len"), F.explode(tokens).alias("term"))
-          .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len")))
-    stats = corpus_stats(docs, tokens)
-    weight = scoring.bm25_term(scoring.idf(stats.select("total_docs").scalar(), F.col("df")), F.col("tf"),
-                               F.col("doc_len"), stats.select("avg_doc_len").scalar())
-    return (tf.join(document_frequency(docs, tokens), "term")
+    tf = materialize(
+        exploded_terms(docs, tokens, [key, F.size(tokens).alias("doc_len")])
+        .groupBy(key, "term", "doc_len").agg(F.count(F.lit(1)).alias("tf")), "term-frequency")
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    total = docs.agg(F.count(F.lit(1)).alias("total")).scalar()
+    avg_len = (tf.agg(F.sum("tf")).scalar() / total)
+    weight = scoring.bm25_term(scoring.idf(F.col("total"), F.col("df")), F.col("tf"),
+                               F.col("doc_len"), F.col("avg_len"))
+    return (tf.join(df, "term").withColumn("total", total).withColumn("avg_len", avg_len)
             .select(key, "term", weight.alias("weight")))
 
 

@@ -161,8 +161,8 @@ def _batched(helper: Callable[..., list[dict]]):
 
 
 def _explode(docs: DataFrame, sections: Column, keep: Sequence[str]) -> DataFrame:
-    return (docs.select(*keep, F.posexplode(sections).alias("section_index", "s"))
-            .select(*keep, "section_index", "s.content", "s.title", "s.metadata")
+    return (docs.select(*keep, F.posexplode_outer(sections).alias("section_index", "s"))
+            .filter(F.col("s").isNotNull()).select(*keep, "section_index", "s.content", "s.title", "s.metadata")
             .filter(~text.is_blank(F.col("content"))))
 
 

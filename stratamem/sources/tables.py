@@ -17,6 +17,8 @@ AS_OF = "2024-02-01 00:00:00"
 TENANTS = ("en", "fr", "de", "es")
 SESSIONS = 20
 IDS_PER_DOC = 1_000_000
+SPLIT_BYTES = 128 << 20
+SMALL_SLICE = 64 << 10
 
 
 def as_of() -> Column:
@@ -31,6 +33,20 @@ def read(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def read_texts(spark: SparkSession, base: str, name: str, key: str) -> DataFrame:
+    """A table whose rows are costly to process, spread over the cores when small.
+
+    A small file is one input split, which would leave a single task with all the
+    work. A table above one split per core is read as it is laid out.
+    """
+    df = read(spark, base, name)
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > cores * SPLIT_BYTES:
+        return df
+    return df.repartition(max(1, min(2 * cores, size // SMALL_SLICE)), key)
+
+
 def tenant(number: Column) -> Column:
     names = F.array(*[F.lit(t) for t in TENANTS])
     return F.get(names, F.pmod(number, F.lit(len(TENANTS))).cast("int"))
@@ -45,7 +61,7 @@ def document_rows(spark: SparkSession, base: str) -> DataFrame:
     labels = read(spark, base, "labels").select("doc_id", "quality", "toxic")
     d, quality, toxic = F.col("doc_id"), F.coalesce("quality", F.lit(0)), F.coalesce("toxic", F.lit(0))
     deprecated = toxic == 1
-    return (read(spark, base, "documents").select("doc_id", "text", "lang", "source")
+    return (read_texts(spark, base, "documents", "doc_id").select("doc_id", "text", "lang", "source")
             .join(labels, "doc_id", "left")
             .select(
                 "doc_id", "text", F.col("lang").alias("user_id"), F.col("source").alias("session_id"),
