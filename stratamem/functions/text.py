@@ -77,7 +77,7 @@ def tokenize(text: Column, unicode_forms: bool = True) -> Column:
 
 def word_set(text: Column) -> Column:
     """Distinct whitespace-separated lower-case words."""
-    words = F.split(F.lower(text), K.WS_CLASS + "+")
+    words = F.split(F.lower(text), r"(?U)[\s\x1c-\x1f]+")
     return F.array_distinct(F.filter(words, lambda w: w != ""))
 
 

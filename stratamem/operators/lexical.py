@@ -43,15 +43,6 @@ def corpus_stats(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
                     F.coalesce(F.avg(size), F.lit(0.0)).alias("avg_doc_len"))
 
 
-def term_counts(tokens: Column) -> Column:
-    """Map of term to occurrences for one short token array, such as a query's."""
-    return F.aggregate(
-        tokens, F.expr("cast(map() as map<string,int>)"),
-        lambda acc, t: F.map_concat(
-            F.map_filter(acc, lambda k, _: k != t),
-            F.create_map(t, F.coalesce(F.try_element_at(acc, t), F.lit(0)) + 1)))
-
-
 def _occurrences(tokens: str, term: str) -> Column:
     return F.size(F.filter(tokens, lambda t: t == term))
 
@@ -81,30 +72,31 @@ def bm25_against_corpus(docs: DataFrame, key: str, query_tokens: list[str],
     return rows.select(key, score.alias("bm25"))
 
 
-def bm25_within_groups(rows: DataFrame, keys: list[str], id_col: str = "id",
-                       tokens: str = "tokens", query_counts: str = "query_counts") -> DataFrame:
+def query_terms(queries: DataFrame, key: str, tokens: str) -> DataFrame:
+    """Each query's terms with their repetitions: key, term, repeats."""
+    return exploded_terms(queries, tokens, [key]).groupBy(key, "term").agg(
+        F.count(F.lit(1)).alias("repeats"))
+
+
+def bm25_within_groups(rows: DataFrame, terms: DataFrame, keys: list[str], query: str = "query_id",
+                       id_col: str = "id", tokens: str = "tokens") -> DataFrame:
     """BM25 of each row for its group's query, with the group as the corpus.
 
-    ``query_counts`` maps each query term to its occurrences in the query; repeated
-    terms count repeatedly. Returns keys, id, bm25 and bm25_norm (divided by the
-    group's maximum). A group is the bounded candidate set of one query; only the
-    query's own terms leave the row that holds the text.
+    ``terms`` comes from ``query_terms``; repeated query terms count repeatedly.
+    Returns keys, id and bm25 for the rows that share a term with their query. A
+    group is the bounded candidate set of one query.
     """
     group = Window.partitionBy(*keys)
-    stats = (rows.select(*keys, id_col, F.size(tokens).alias("doc_len"), query_counts,
-                         F.filter(tokens, lambda t: F.map_contains_key(query_counts, t)).alias("hits"))
+    sized = (rows.select(*keys, id_col, tokens, F.size(tokens).alias("doc_len"))
              .withColumn("total", F.count(F.lit(1)).over(group))
              .withColumn("avg_len", F.avg("doc_len").over(group)))
-    terms = (stats.select(*keys, id_col, "doc_len", "total", "avg_len", query_counts,
-                          F.explode_outer("hits").alias("term"))
-             .withColumn("repeats", F.try_element_at(F.col(query_counts), F.col("term")))
-             .groupBy(*keys, id_col, "term", "doc_len", "total", "avg_len", "repeats")
-             .agg(F.count("term").alias("tf"))
-             .withColumn("df", F.count("term").over(Window.partitionBy(*keys, "term"))))
-    part = F.when(F.col("term").isNotNull(), F.col("repeats") * scoring.bm25_term(
-        scoring.idf(F.col("total"), F.col("df")), F.col("tf"), F.col("doc_len"), F.col("avg_len")))
-    scored = terms.groupBy(*keys, id_col).agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("bm25"))
-    return scored.withColumn("bm25_norm", max_normalized(F.col("bm25"), keys))
+    facts = [*keys, id_col, "doc_len", "total", "avg_len"]
+    tf = (exploded_terms(sized, tokens, facts).join(terms, [query, "term"])
+          .groupBy(*facts, "term", "repeats").agg(F.count(F.lit(1)).alias("tf")))
+    weight = F.col("repeats") * scoring.bm25_term(
+        scoring.idf(F.col("total"), F.col("df")), F.col("tf"), F.col("doc_len"), F.col("avg_len"))
+    return (tf.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy(*keys, "term")))
+            .groupBy(*keys, id_col).agg(F.sum(weight).alias("bm25")))
 
 
 def max_normalized(score: Column, keys: list[str]) -> Column:

@@ -20,7 +20,7 @@ from stratamem.operators import diversify as div
 from stratamem.operators.bounded import broadcast_if_small
 from stratamem.operators.budget import budget_prefix, layer_limit
 from stratamem.operators.knn import knn
-from stratamem.operators.lexical import bm25_within_groups, term_counts
+from stratamem.operators.lexical import bm25_within_groups, max_normalized, query_terms
 from stratamem.operators.topn import dedup_keep_first, top_n_per_group
 from stratamem.session import materialize
 
@@ -76,7 +76,7 @@ def working_memory(messages: DataFrame, queries: DataFrame, n_queries: int,
 
 def candidates(items: DataFrame, queries: DataFrame, messages: DataFrame | None,
                opts: RetrieveOptions) -> DataFrame:
-    """Content rows of all candidates, partitioned by query.
+    """Content rows of all candidates.
 
     Vectors are only matched in the first pass; content is fetched for the
     winners alone by joining their ids back to the items.
@@ -92,11 +92,8 @@ def candidates(items: DataFrame, queries: DataFrame, messages: DataFrame | None,
             *[c for c in ITEM_FIELDS if c != "memory_layer"], F.lit("L1").alias("memory_layer"),
             "query_id", F.lit(0.0).alias("semantic"), (-F.col("rank")).alias("rank"))
         rows = rows.unionByName(recent, allowMissingColumns=True)
-    words = queries.select("query_id", term_counts(text.tokenize(F.col("query_text"))).alias("query_counts"),
-                           text.word_set(F.col("query_text")).alias("query_words"))
     rows = (rows.withColumn("scope", _scope(F.col("memory_layer")))
-            .withColumn("layer_ord", _layer_ord(F.col("memory_layer")))
-            .repartition("query_id").join(words, "query_id"))
+            .withColumn("layer_ord", _layer_ord(F.col("memory_layer"))))
     return dedup_keep_first(rows, [*GROUP, "id"], [F.col("layer_ord"), F.col("rank")])
 
 
@@ -118,12 +115,16 @@ def score(rows: DataFrame, as_of: Column) -> DataFrame:
             .drop("_rec", "_imp", "_sig", "_sem"))
 
 
-def rank_candidates(rows: DataFrame, as_of: Column, opts: RetrieveOptions) -> DataFrame:
+def rank_candidates(rows: DataFrame, queries: DataFrame, as_of: Column, opts: RetrieveOptions) -> DataFrame:
     """Candidates above the drop threshold with their final score."""
     order = [F.col("layer_ord"), F.col("rank")]
     tokens = rows.withColumn("tokens", text.tokenize(F.col("content")))
-    lexical = bm25_within_groups(tokens, GROUP)
-    scored = score(rows, as_of).join(lexical, [*GROUP, "id"])
+    asked = queries.select("query_id", text.tokenize(F.col("query_text")).alias("tokens"))
+    lexical = bm25_within_groups(tokens, query_terms(asked, "query_id", "tokens"), GROUP)
+    words = queries.select("query_id", text.word_set(F.col("query_text")).alias("query_words"))
+    scored = (score(rows.join(words, "query_id"), as_of).join(lexical, [*GROUP, "id"], "left")
+              .withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+              .withColumn("bm25_norm", max_normalized(F.col("bm25"), GROUP)))
     if opts.positional_lexical:
         group = Window.partitionBy(*GROUP)
         whole = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -170,7 +171,7 @@ def retrieve(items: DataFrame, queries: DataFrame, messages: DataFrame | None, a
     and re-deriving them would mean another pass over the items.
     """
     rows = materialize(candidates(items, queries, messages, opts), "candidates")
-    ranked = rank_candidates(rows, as_of, opts)
+    ranked = rank_candidates(rows, queries, as_of, opts)
     picked = diversified(within_budget(ranked, opts), opts)
     order = [F.col("score").desc(), F.col("scope").desc(), F.col("pos")]
     final = top_n_per_group(picked, ["query_id"], order, opts.top_k, rank_col="result_rank")

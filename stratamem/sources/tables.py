@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratamem.functions import text
 from stratamem.operators.chunking import char_windows
@@ -29,8 +30,15 @@ def days_before(days: Column) -> Column:
     return as_of() - F.make_dt_interval(days.cast("int"))
 
 
+_schemas: dict[str, T.StructType] = {}
+
+
 def read(spark: SparkSession, base: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{base}/{name}.parquet")
+    """A table; its footer is looked up once per process."""
+    path = f"{base}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def read_texts(spark: SparkSession, base: str, name: str, key: str) -> DataFrame:
