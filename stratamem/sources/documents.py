@@ -207,7 +207,7 @@ def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
              .select(F.col("path").alias("source"), "content"))
     routed = files.withColumn("parser", routing.parser_of(F.col("source"))).withColumn(
         "parser", F.coalesce("parser", F.raise_error(F.concat(F.lit("no parser for "), F.col("source")))))
-    body = routed.withColumn("body", F.decode(F.col("content"), F.lit("UTF-8")))
+    body = routed.withColumn("body", F.make_valid_utf8(F.col("content").cast("string")))
     keep = ["source"]
     kinds = {
         "markdown": lambda d: markdown_sections(d, "body", keep),
