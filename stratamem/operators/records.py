@@ -38,8 +38,11 @@ def fold_events(log: DataFrame) -> DataFrame:
         return F.when(c("op") == op, value)
 
     marks = F.struct("seq", "ts", "reason")
+    place = [n for n in ("collection",) if n in log.columns]
+    # Only the sequence decides; a struct with maps could not be compared.
+    newest = F.max_by(F.struct("seq", "item", *place), F.when(c("op") == "upsert", c("seq")))
     folded = log.groupBy("id").agg(
-        F.max(at("upsert", F.struct("seq", "item"))).alias("up"),
+        newest.alias("up"),
         F.max(at("delete", c("seq"))).alias("deleted_seq"),
         F.max(at("touch", F.struct("seq", "ts"))).alias("touched"),
         F.max(at("deprecate", marks)).alias("dead"))
@@ -47,10 +50,10 @@ def fold_events(log: DataFrame) -> DataFrame:
         c("deleted_seq").isNull() | (c("up.seq") > c("deleted_seq"))))
     later_touch = c("touched.seq") > c("up.seq")
     later_dead = F.coalesce(c("dead.seq") > c("up.seq"), F.lit(False))
-    return (live.select("id", c("up.item").alias("item"),
+    return (live.select("id", c("up.item").alias("item"), *[c(f"up.{n}").alias(n) for n in place],
                         F.when(later_touch, c("touched.ts")).alias("t"),
                         F.when(later_dead, c("dead")).alias("d"), later_dead.alias("is_dead"))
-            .select("id", "item.*",
+            .select("id", *place, *[f"item.{n}" for n in log.schema["item"].dataType.names if n != "id"],
                     F.col("t").alias("_touched"), F.col("d").alias("_dead"), "is_dead")
             .withColumn("last_accessed_at", F.coalesce("_touched", "last_accessed_at"))
             .withColumn("is_deprecated", c("is_dead") | F.coalesce("is_deprecated", F.lit(False)))

@@ -171,6 +171,11 @@ def retrieve(items: DataFrame, queries: DataFrame, messages: DataFrame | None, a
     and re-deriving them would mean another pass over the items.
     """
     rows = materialize(candidates(items, queries, messages, opts), "candidates")
+    return rank_and_select(rows, queries, as_of, opts)
+
+
+def rank_and_select(rows: DataFrame, queries: DataFrame, as_of: Column, opts: RetrieveOptions) -> DataFrame:
+    """The same from candidates at hand."""
     ranked = rank_candidates(rows, queries, as_of, opts)
     picked = diversified(within_budget(ranked, opts), opts)
     order = [F.col("score").desc(), F.col("scope").desc(), F.col("pos")]
