@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamem import constants as K
@@ -27,6 +27,16 @@ class RetentionPolicy:
 DEFAULT_POLICY = RetentionPolicy()
 
 
+def policy_from_conf(spark: SparkSession, prefix: str = "spark.stratamem.gc.") -> RetentionPolicy:
+    """The policy with values taken from the session's settings where present."""
+    def setting(name: str, default: float) -> float:
+        return float(spark.conf.get(prefix + name, str(default)))
+
+    ttl = {layer: int(setting(f"{layer.lower()}BaseTtlDays", days)) for layer, days in K.BASE_TTL_DAYS.items()}
+    return RetentionPolicy(ttl, int(setting("gracePeriodDays", K.GRACE_DAYS)),
+                           setting("importanceMultiplier", K.TTL_IMPORTANCE_FACTOR))
+
+
 def _metadata_type(items: DataFrame) -> Column:
     return F.col("metadata")["type"] if "metadata" in items.columns else F.lit(None).cast("string")
 

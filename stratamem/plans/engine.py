@@ -193,7 +193,12 @@ class MemoryEngine:
     def list_items(self, user_id: str, memory_layer: str | None = None, checkpoints_only: bool = False,
                    include_deprecated: bool = False, project: str | None = None, limit: int = 50,
                    filter_after_limit: bool = False) -> DataFrame:
-        rows = records.only(self.items(), user_id=user_id, memory_layer=memory_layer, project=project)
+        """Items of the user's active project, or the shared ones for that layer.
+
+        Checkpoints are picked before the limit unless ``filter_after_limit``.
+        """
+        visible = self._visible_items(self.spark.range(1).select(F.lit(user_id).alias("user_id")))
+        rows = records.only(visible, user_id=user_id, memory_layer=memory_layer, project=project)
         if not memory_layer:
             rows = rows.filter(F.col("memory_layer") != K.IMMUNE_LAYER)
         if not include_deprecated:
@@ -349,8 +354,15 @@ class MemoryEngine:
         latest = records.latest_by_key(self.table("profiles"), ["user_id"]).drop("seq")
         return latest.join(users.select("user_id").distinct(), "user_id", "left_semi")
 
-    def gc_stats(self, now: datetime, policy: lifecycle.RetentionPolicy = lifecycle.DEFAULT_POLICY) -> DataFrame:
-        return lifecycle.gc_stats(self.items(), _ts(now), policy=policy)
+    def gc_stats(self, now: datetime, user_id: str | None = None,
+                 policy: lifecycle.RetentionPolicy = lifecycle.DEFAULT_POLICY) -> DataFrame:
+        """Retention counts over everything, or over the user's active collection."""
+        items = self.items()
+        if user_id:
+            active = self.get_project(self.spark.range(1).select(F.lit(user_id).alias("user_id"))).select(
+                F.coalesce("collection", F.lit(K.COLLECTION_PREFIX + K.DEFAULT_SLUG)).alias("collection"))
+            items = items.join(F.broadcast(active), "collection")  # one row
+        return lifecycle.gc_stats(items, _ts(now), policy=policy)
 
     def gc_run(self, run_id: str, now: datetime,
                policy: lifecycle.RetentionPolicy = lifecycle.DEFAULT_POLICY) -> DataFrame:

@@ -140,6 +140,8 @@ def test_profiles(spark, engine, tick):
 def test_retention(spark, engine, tick, tmp_path):
     before = engine.gc_stats(tick()).first()
     assert before.total_items == engine.items().count() and before.already_deprecated == 2
+    own = engine.gc_stats(tick(), "bob").first()
+    assert own.total_items == engine.items().filter("collection = 'ctx_other'").count() > 0
     later = tick(days=400)
     totals = {r.collection: r for r in engine.gc_run("r1", later).collect()}
     assert totals[None].deleted == 2 and totals[None].deprecated >= 3

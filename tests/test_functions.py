@@ -124,3 +124,11 @@ def test_effective_ttl(spark):
     row = one(spark, *[retention.effective_ttl_days(F.lit(layer), F.lit(i).cast("double")).alias(f"t{n}")
                        for n, (layer, i) in enumerate((("L2", 0.0), ("L3", 1.0), ("L2", None), ("L4", .5), ("L1", .5)))])
     assert list(row) == [30.0, 360.0, 75.0, None, None]
+
+
+def test_policy_from_conf(spark):
+    from stratamem.operators.lifecycle import policy_from_conf
+    spark.conf.set("spark.stratamem.gc.l2BaseTtlDays", "7")
+    policy = policy_from_conf(spark)
+    spark.conf.unset("spark.stratamem.gc.l2BaseTtlDays")
+    assert (policy.base_ttl_days, policy.grace_days) == ({"L2": 7, "L3": 90}, 30)
