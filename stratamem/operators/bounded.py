@@ -12,3 +12,19 @@ MAX_BROADCAST_ROWS = 500_000
 def broadcast_if_small(df: DataFrame, row_bound: int, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only for a side of proven size; otherwise let it shuffle."""
     return F.broadcast(df) if row_bound <= limit else df
+
+
+def join_by_frequency(rows: DataFrame, counts: DataFrame, key: str, count: str, total: int,
+                      limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Join ``rows`` with ``counts``, which holds each key once and how often it occurs in ``rows``.
+
+    ``total`` is the number of rows. At most ``limit`` keys can occur more than
+    total / limit times; those are broadcast, so no hot key is ever shuffled. The
+    keys left for the shuffle join are all rarer than that.
+    """
+    rare_most = max(total // limit, 1000)
+    hot = counts.filter(F.col(count) > rare_most)
+    marked = rows.join(F.broadcast(hot), key, "left")
+    rare = marked.filter(F.col(count).isNull()).drop(count).join(
+        counts.filter(F.col(count) <= rare_most), key)
+    return marked.filter(F.col(count).isNotNull()).unionByName(rare)

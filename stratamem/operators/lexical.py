@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratamem.functions import scoring
+from stratamem.operators.bounded import join_by_frequency
 from stratamem.session import materialize
 
 
@@ -111,8 +112,7 @@ def sparse_vectors(docs: DataFrame, key: str, tokens: str = "tokens") -> DataFra
     Kept in long form so that a long text never becomes one oversized row; texts
     without tokens have no rows, which stands for the empty vector. The texts are
     tokenized once; their term counts are written and everything else derives from
-    them. A term in a large share of the texts makes one join key hot on the long
-    side only, which adaptive execution splits.
+    them. Terms found in a large share of the texts take part in no shuffle.
     """
     tf = materialize(
         exploded_terms(docs, tokens, [key, F.size(tokens).alias("doc_len")])
@@ -122,7 +122,8 @@ def sparse_vectors(docs: DataFrame, key: str, tokens: str = "tokens") -> DataFra
     avg_len = (tf.agg(F.sum("tf")).scalar() / total)
     weight = scoring.bm25_term(scoring.idf(F.col("total"), F.col("df")), F.col("tf"),
                                F.col("doc_len"), F.col("avg_len"))
-    return (tf.join(df, "term").withColumn("total", total).withColumn("avg_len", avg_len)
+    return (join_by_frequency(tf, df, "term", "df", tf.count())
+            .withColumn("total", total).withColumn("avg_len", avg_len)
             .select(key, "term", weight.alias("weight")))
 
 

@@ -102,7 +102,7 @@ def gc_apply(plan: DataFrame, as_of: Column) -> DataFrame:
 
 
 def hard_delete(items: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
-    return items.join(ids.select(key).distinct(), key, "left_anti")
+    return items.join(ids.select(key), key, "left_anti")
 
 
 def delete_user(items: DataFrame, user_id: str) -> DataFrame:

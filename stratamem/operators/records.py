@@ -91,11 +91,15 @@ def session_counters(messages: DataFrame, keys: Sequence[str] = ("user_id", "ses
 
 def window_after_clear(messages: DataFrame, clears: DataFrame, keys: Sequence[str] = ("user_id", "session_id"),
                        n: int = 20) -> DataFrame:
-    """The newest ``n`` messages of each key sent after its last clear event."""
+    """The newest ``n`` messages of each key sent after its last clear event.
+
+    The newest rows are taken first: a clear can only cut their older end, and a
+    long session never meets the join whole.
+    """
+    newest = top_n_per_group(messages, keys, [F.col("seq").desc()], n, rank_col="pos")
     last = clears.groupBy(*keys).agg(F.max("seq").alias("_cleared"))
-    alive = (messages.join(last, list(keys), "left")
-             .filter(F.col("_cleared").isNull() | (F.col("seq") > F.col("_cleared"))).drop("_cleared"))
-    return top_n_per_group(alive, keys, [F.col("seq").desc()], n, rank_col="pos")
+    alive = F.col("_cleared").isNull() | (F.col("seq") > F.col("_cleared"))
+    return newest.join(last, list(keys), "left").filter(alive).drop("_cleared")
 
 
 def only(df: DataFrame, **equals: object) -> DataFrame:
@@ -133,5 +137,5 @@ def apply_updates(tasks: DataFrame, updates: DataFrame, key: str = "id") -> Data
 def insert_unique(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``new`` whose every unique key is free, for appending."""
     for key in keys:
-        new = new.join(existing.select(key).distinct(), key, "left_anti")
+        new = new.join(existing.select(key), key, "left_anti")
     return new

@@ -35,6 +35,7 @@ S, L, D, B, TS = schema.S, schema.L, schema.D, schema.B, schema.TS
 TABLES = {
     "items": _fields(("seq", L), ("op", S), ("id", S), ("ts", TS), ("reason", S),
                      ("item", schema.MEMORY_ITEMS), ("collection", S)),
+    "bases": _fields(("seq", L)),
     "messages": _fields(("id", S), ("user_id", S), ("session_id", S), ("seq", L), ("content", S),
                         ("importance", D), ("is_pinned", B), ("metadata", schema.STR_MAP), ("created_at", TS)),
     "clears": _fields(("user_id", S), ("session_id", S), ("seq", L)),
@@ -80,20 +81,37 @@ class MemoryEngine:
                                               F.create_map(*pairs).alias("payload"), _ts(now).alias("ts")))
 
     def items(self) -> DataFrame:
-        """Current items of all collections."""
-        return records.fold_events(self.table("items"))
+        """Current items of all collections.
+
+        With a compacted base, only items named by later events are folded; the
+        others are read as they lie. The later events stay few between compactions,
+        and their filter on ``seq`` reaches the files.
+        """
+        log = self.table("items")
+        base = self.table("bases").agg(F.max("seq").alias("seq")).first().seq
+        if base is None:
+            return records.fold_events(log)
+        stored = self.spark.read.schema(TABLES["items"]).parquet(f"{self.root}/bases-{base}")
+        recent = log.filter(F.col("seq") > base)
+        named = recent.select("id").distinct()
+        unchanged = stored.join(named, "id", "left_anti")
+        fields = [f"item.{f.name}" for f in schema.MEMORY_ITEMS if f.name != "id"]
+        changed = records.fold_events(stored.join(named, "id", "left_semi").unionByName(recent))
+        return changed.unionByName(unchanged.select("id", "collection", *fields))
+
+    def compact(self, now: datetime) -> None:
+        """Write the current items as a base that later reads start from."""
+        fields = F.struct(*[f.name for f in schema.MEMORY_ITEMS])
+        folded = self.items().select(
+            F.lit(0).cast("long").alias("seq"), F.lit("upsert").alias("op"), "id", F.col("created_at").alias("ts"),
+            F.lit(None).cast("string").alias("reason"), fields.alias("item"), "collection")
+        stamp = int(self.spark.range(1).select(_seq(now)).first()[0])
+        folded.write.partitionBy("collection").parquet(f"{self.root}/bases-{stamp}")
+        self._append("bases", self.spark.range(1).select(F.lit(stamp).alias("seq")))
 
     def working_memory(self, n: int = K.WINDOW_SIZE) -> DataFrame:
         return records.window_after_clear(self.table("messages"), self.table("clears"), n=n)
 
-    def compact(self, target: str) -> None:
-        """Write the current items as the only events of a new item log."""
-        now = self.items()
-        fields = F.struct(*[f.name for f in schema.MEMORY_ITEMS])
-        folded = now.select(F.lit(0).alias("seq"), F.lit("upsert").alias("op"), "id", F.col("created_at").alias("ts"),
-                            F.lit(None).cast("string").alias("reason"), fields.alias("item"), "collection")
-        folded.write.partitionBy("collection").parquet(target)
-
     # Projects ----------------------------------------------------------------
 
     def set_project(self, requests: DataFrame, now: datetime) -> DataFrame:

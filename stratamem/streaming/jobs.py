@@ -1,8 +1,8 @@
 """Structured Streaming jobs over message and event streams.
 
 State lives in the state store and results go to files, both under the shared
-folder, so a job resumes after losing executors or its driver. A job keyed by
-session keeps at most the window per key, however long the session.
+folder, so a job resumes after losing executors or its driver. The window state
+holds at most the window per session slice, however long the session.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ from stratamem import session
 from stratamem.functions import text
 from stratamem.operators import lifecycle
 from stratamem.operators.records import latest_by_key
+from stratamem.operators.topn import top_n_per_group
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MESSAGE = "user_id string, session_id string, seq long, op string, content string"
-WINDOW = "user_id string, session_id string, seq long, pos int, content string"
+WINDOW = "user_id string, session_id string, slice int, seq long, pos int, content string"
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -79,28 +80,39 @@ class LastMessages(StatefulProcessor):
         else:
             self.window.clear()
         yield pd.DataFrame({
-            "user_id": key[0], "session_id": key[1],
+            "user_id": key[0], "session_id": key[1], "slice": key[2],
             "seq": [int(s) for s in kept["seq"]][::-1] or [None],
             "pos": list(range(1, len(kept) + 1)) or [0],
             "content": list(kept["content"])[::-1] or [None],
-        }).astype({"seq": "Int64", "pos": "int32"})
+        }).astype({"slice": "int32", "seq": "Int64", "pos": "int32"})
 
     def close(self) -> None:
         pass
 
 
-def window_stream(messages: DataFrame, size: int = K.WINDOW_SIZE) -> DataFrame:
-    """Every changed session's window after each batch; position 0 marks an empty one."""
+def window_stream(messages: DataFrame, size: int = K.WINDOW_SIZE, slices: int = 8) -> DataFrame:
+    """Every changed session slice's window after each batch; position 0 marks an empty one.
+
+    A session is kept in ``slices`` states by message, each with its own newest
+    ``size`` messages, so that one busy session is shared among tasks. A clear
+    goes to every slice.
+    """
     messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return (messages.groupBy("user_id", "session_id")
+    every = F.sequence(F.lit(0), F.lit(slices - 1))
+    own = F.array(F.pmod(F.xxhash64("seq"), F.lit(slices)).cast("int"))
+    sliced = messages.withColumn("slice", F.explode(F.when(F.col("op") == "clear", every).otherwise(own)))
+    return (sliced.groupBy("user_id", "session_id", "slice")
             .transformWithStateInPandas(LastMessages(size), outputStructType=WINDOW,
                                         outputMode="Update", timeMode="None"))
 
 
-def current_windows(batches: DataFrame) -> DataFrame:
-    """The windows after the last batch that changed each session."""
-    last = batches.groupBy("user_id", "session_id").agg(F.max("epoch").alias("epoch"))
-    return batches.join(last, ["user_id", "session_id", "epoch"]).filter(F.col("pos") > 0).drop("epoch")
+def current_windows(batches: DataFrame, size: int = K.WINDOW_SIZE) -> DataFrame:
+    """The windows after the last batch that changed each slice, slices merged."""
+    slice_key = ["user_id", "session_id", "slice"]
+    last = batches.groupBy(*slice_key).agg(F.max("epoch").alias("epoch"))
+    parts = batches.join(last, [*slice_key, "epoch"]).filter(F.col("pos") > 0)
+    return top_n_per_group(parts.drop("epoch", "slice", "pos"), ["user_id", "session_id"],
+                           [F.col("seq").desc()], size, rank_col="pos")
 
 
 # Counters, audit, access and retention ---------------------------------------

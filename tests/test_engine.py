@@ -137,7 +137,7 @@ def test_profiles(spark, engine, tick):
     assert engine.profile_get(frame(spark, "user_id string", ("ann",))).first().profile == {"lang": "en"}
 
 
-def test_retention(spark, engine, tick, tmp_path):
+def test_retention_and_compaction(spark, engine, tick):
     before = engine.gc_stats(tick()).first()
     assert before.total_items == engine.items().count() and before.already_deprecated == 2
     own = engine.gc_stats(tick(), "bob").first()
@@ -150,5 +150,17 @@ def test_retention(spark, engine, tick, tmp_path):
     assert engine.gc_run("r2", tick(days=1)).filter("collection is null").first().deleted == 0
     assert engine.gc_run("r3", tick(days=40), RetentionPolicy(grace_days=10)).filter(
         "collection is null").first().deleted == totals[None].deprecated
-    engine.compact(str(tmp_path / "compact"))
-    assert spark.read.parquet(str(tmp_path / "compact")).count() == engine.items().count()
+    everything = engine.items().count()
+    engine.compact(tick())
+    assert engine.items().count() == everything
+    rows = frame(spark, "user_id string, memory_layer string, content string", ("ann", "L2", "after the base"))
+    engine.store(rows, tick())
+    kept = engine.items().filter("memory_layer = 'L4'").first()
+    engine.deprecate(frame(spark, "id string, user_id string, reason string", (kept.id, kept.user_id, "r")), tick())
+    now = engine.items()
+    assert now.count() == everything + 1
+    changed = now.filter(F.col("id") == kept.id).first()
+    assert (changed.content, changed.is_deprecated) == (kept.content, True)
+    engine.compact(tick())
+    assert engine.items().count() == everything + 1
+    assert engine.items().filter(F.col("id") == kept.id).first().deprecated_reason == "r"

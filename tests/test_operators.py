@@ -324,3 +324,23 @@ def test_bounded_groups_do_not_hide_a_global_window(spark):
     df = spark.range(10).withColumn("g", F.col("id") % 2)
     total = df.withColumn("n", F.count("*").over(Window.partitionBy("g")))
     assert "SinglePartition" not in total._jdf.queryExecution().executedPlan().toString()
+
+
+def test_join_by_frequency_with_hot_keys(spark):
+    from stratamem.operators.bounded import join_by_frequency
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(
+        F.concat(F.lit("k"), F.col("id") % 700)).alias("term"))
+    counts = rows.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    got = join_by_frequency(rows, counts, "term", "n", 5000, limit=2)
+    assert got.count() == 5000
+    assert got.exceptAll(rows.join(counts, "term").select(*got.columns)).count() == 0
+
+
+def test_window_after_clear(spark):
+    cols = "user_id string, session_id string, seq int"
+    sent = spark.createDataFrame([("u", s, i) for s in "abc" for i in range(40)], cols)
+    clears = spark.createDataFrame([("u", "a", 35), ("u", "b", 3), ("u", "a", 30), ("u", "z", 1)], cols)
+    got = {}
+    for r in records.window_after_clear(sent, clears).orderBy("pos").collect():
+        got.setdefault(r.session_id, []).append(r.seq)
+    assert got == {"a": [39, 38, 37, 36], "b": list(range(39, 19, -1)), "c": list(range(39, 19, -1))}
