@@ -35,11 +35,11 @@ def _round_robin_places(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
     """
     group = Window.partitionBy(*keys)
     by_source = Window.partitionBy(*keys, "_source")
-    ranked = (df.withColumn("_source", source)
-              .withColumn("_ord", F.row_number().over(group.orderBy(*order)))
-              .withColumn("_size", F.count(F.lit(1)).over(group))
-              .withColumn("_first", F.min("_ord").over(by_source))
-              .withColumn("_round", F.row_number().over(by_source.orderBy("_ord")) - 1)
+    ranked = (df.withColumns({"_source": source,
+                              "_ord": F.row_number().over(group.orderBy(*order)),
+                              "_size": F.count(F.lit(1)).over(group)})
+              .withColumns({"_first": F.min("_ord").over(by_source),
+                            "_round": F.row_number().over(by_source.orderBy("_ord")) - 1})
               .withColumn("_place", F.dense_rank().over(group.orderBy("_first")) - 1)
               .withColumn("_sources", F.max("_place").over(group) + 1))
     kept_order = F.col("_size") <= k

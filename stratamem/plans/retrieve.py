@@ -92,8 +92,7 @@ def candidates(items: DataFrame, queries: DataFrame, messages: DataFrame | None,
             *[c for c in ITEM_FIELDS if c != "memory_layer"], F.lit("L1").alias("memory_layer"),
             "query_id", F.lit(0.0).alias("semantic"), (-F.col("rank")).alias("rank"))
         rows = rows.unionByName(recent, allowMissingColumns=True)
-    rows = (rows.withColumn("scope", _scope(F.col("memory_layer")))
-            .withColumn("layer_ord", _layer_ord(F.col("memory_layer"))))
+    rows = rows.withColumns({"scope": _scope(F.col("memory_layer")), "layer_ord": _layer_ord(F.col("memory_layer"))})
     return dedup_keep_first(rows, [*GROUP, "id"], [F.col("layer_ord"), F.col("rank")])
 
 
@@ -104,15 +103,14 @@ def score(rows: DataFrame, as_of: Column) -> DataFrame:
     imp = scoring.importance(c("importance"), c("is_pinned"))
     sig = scoring.user_signal(c("query_words"), text.word_set(c("content")))
     sem = scoring.clamp01(c("semantic"))
-    return (rows.withColumn("_rec", rec).withColumn("_imp", imp).withColumn("_sig", sig)
-            .withColumn("_sem", sem)
-            .withColumn("combined", scoring.round4(
-                scoring.combined(c("_rec"), c("_sem"), c("_imp"), c("_sig"))))
-            .withColumn("recency_score", scoring.round4(c("_rec")))
-            .withColumn("semantic_score", scoring.round4(c("_sem")))
-            .withColumn("importance_score", scoring.round4(c("_imp")))
-            .withColumn("user_signal_score", scoring.round4(c("_sig")))
-            .drop("_rec", "_imp", "_sig", "_sem"))
+    signals = rows.withColumns({"_rec": rec, "_imp": imp, "_sig": sig, "_sem": sem})
+    return signals.withColumns({
+        "combined": scoring.round4(scoring.combined(c("_rec"), c("_sem"), c("_imp"), c("_sig"))),
+        "recency_score": scoring.round4(c("_rec")),
+        "semantic_score": scoring.round4(c("_sem")),
+        "importance_score": scoring.round4(c("_imp")),
+        "user_signal_score": scoring.round4(c("_sig")),
+    }).drop("_rec", "_imp", "_sig", "_sem")
 
 
 def rank_candidates(rows: DataFrame, queries: DataFrame, as_of: Column, opts: RetrieveOptions) -> DataFrame:
@@ -120,11 +118,12 @@ def rank_candidates(rows: DataFrame, queries: DataFrame, as_of: Column, opts: Re
     order = [F.col("layer_ord"), F.col("rank")]
     tokens = rows.withColumn("tokens", text.tokenize(F.col("content")))
     asked = queries.select("query_id", text.tokenize(F.col("query_text")).alias("tokens"))
-    lexical = bm25_within_groups(tokens, query_terms(asked, "query_id", "tokens"), GROUP)
+    terms = query_terms(asked, "query_id", "tokens")
+    lexical = bm25_within_groups(tokens, broadcast_if_small(terms, terms.count()), GROUP)
     words = queries.select("query_id", text.word_set(F.col("query_text")).alias("query_words"))
-    scored = (score(rows.join(words, "query_id"), as_of).join(lexical, [*GROUP, "id"], "left")
-              .withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-              .withColumn("bm25_norm", max_normalized(F.col("bm25"), GROUP)))
+    words = broadcast_if_small(words, queries.count())
+    scored = score(rows.join(words, "query_id"), as_of).join(lexical, [*GROUP, "id"], "left").withColumn(
+        "bm25_norm", max_normalized(F.coalesce("bm25", F.lit(0.0)), GROUP))
     if opts.positional_lexical:
         group = Window.partitionBy(*GROUP)
         whole = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -134,10 +133,10 @@ def rank_candidates(rows: DataFrame, queries: DataFrame, as_of: Column, opts: Re
         place = F.row_number().over(Window.partitionBy(*GROUP).orderBy(F.col("combined").desc(), *order))
         kept = kept.withColumn("bm25_norm", F.get("_by_ord", place - 1)).drop("_by_ord")
     fused = scoring.fused(F.col("semantic_score"), F.col("bm25_norm"))
-    return (kept.withColumn("score", scoring.final_score(fused, F.col("combined")))
-            .withColumn("kept_ord", F.row_number().over(
-                Window.partitionBy(*GROUP).orderBy(F.col("combined").desc(), *order)))
-            .withColumn("token_estimate", text.token_estimate(F.col("content"))))
+    return kept.withColumns({
+        "score": scoring.final_score(fused, F.col("combined")),
+        "kept_ord": F.row_number().over(Window.partitionBy(*GROUP).orderBy(F.col("combined").desc(), *order)),
+        "token_estimate": text.token_estimate(F.col("content"))})
 
 
 def within_budget(ranked: DataFrame, opts: RetrieveOptions) -> DataFrame:
