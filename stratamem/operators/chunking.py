@@ -18,25 +18,26 @@ from stratamem.functions import text as text_fn
 CHUNKS = T.ArrayType(schema.CHUNK)
 
 
-def window_starts(content: Column, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> Column:
-    """Start offsets of fixed character windows; the last one reaches the end."""
-    step = max(1, size - overlap)
-    extra = F.greatest(F.ceil((F.char_length(content) - size) / step), F.lit(0)).cast("int")
-    return F.transform(F.sequence(F.lit(0), extra), lambda i: i * step)
-
-
 def char_windows(docs: DataFrame, content: str, keep: Sequence[str],
                  size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:
-    """One row per character window, cut inside the JVM."""
-    starts = window_starts(F.col(content), size, overlap)
-    filled = docs.filter(F.char_length(content) > 0)
-    return filled.select(
-        *keep, F.size(starts).alias("chunk_total"),
-        F.posexplode(F.transform(starts, lambda s: F.struct(
-            s.alias("start_pos"), F.substring(F.col(content), s + 1, F.lit(size)).alias("text"))))
-        .alias("chunk_index", "w"),
-    ).select(*keep, "chunk_index", "chunk_total", F.col("w.start_pos").alias("start_pos"),
-             F.col("w.text").alias("chunk_text"))
+    """One row per fixed character window, cut inside the JVM; the last one reaches the end.
+
+    The text is cut once into pieces of one step, and a window is the first ``size``
+    characters of a few neighbouring pieces. Taking substrings of the text instead
+    would walk it from the start for every window.
+    """
+    step = max(1, size - overlap)
+    span = -(-size // step)
+    pieces = F.regexp_extract_all(F.col(content), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    extra = F.greatest(F.ceil((F.char_length(content) - size) / step), F.lit(0)).cast("int")
+    windows = F.transform(F.sequence(F.lit(0), F.col("_extra")), lambda i: F.substring(
+        F.array_join(F.slice("_pieces", i + 1, F.lit(span)), ""), 1, size))
+    return (docs.select(*keep, pieces.alias("_pieces"), extra.alias("_extra"))
+            .select(*keep, (F.col("_extra") + 1).alias("chunk_total"),
+                    F.posexplode(windows).alias("chunk_index", "chunk_text"))
+            .filter(F.col("chunk_text") != "")
+            .select(*keep, "chunk_index", "chunk_total", (F.col("chunk_index") * step).alias("start_pos"),
+                    "chunk_text"))
 
 
 def split_recursively(text: str, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP,

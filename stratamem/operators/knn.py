@@ -60,7 +60,8 @@ def _blocks(queries: DataFrame, filters: Sequence[str], limit: int) -> Iterator[
     No more than ``limit + 1`` rows are ever fetched; a hash bucket found to hold
     more than ``limit`` is cut again.
     """
-    cols = queries.select("query_id", "user_id", "embedding", *filters)
+    asked = queries.filter(F.size("embedding") > 0)
+    cols = asked.select("query_id", "user_id", "embedding", *filters)
     pending = [(1, 0)]
     while pending:
         parts, bucket = pending.pop()

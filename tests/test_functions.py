@@ -53,9 +53,9 @@ def test_sanitize(spark):
 
 
 def test_slugs(spark):
-    names = ["taty-v2", "My  Project!", " __ ", "", "Ünïque 9"]
-    assert values(spark, names, text.project_slug) == ["taty_v2", "my_project", "default", "default", "n_que_9"]
-    assert values(spark, names, text.skill_slug) == ["taty-v2", "my-project", "", "", "n-que-9"]
+    names = ["side-job2", "My  Project!", " __ ", "", "Ünïque 9"]
+    assert values(spark, names, text.project_slug) == ["side_job2", "my_project", "default", "default", "n_que_9"]
+    assert values(spark, names, text.skill_slug) == ["side-job2", "my-project", "", "", "n-que-9"]
 
 
 def test_word_set(spark):

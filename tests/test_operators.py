@@ -79,6 +79,8 @@ def test_knn_merges_more_hits_than_fit_one_merge(spark, monkeypatch):
 def test_knn_without_queries_or_with_string_ids(spark):
     _, _, items, queries = knn_fixture(spark)
     assert knn(items, queries.limit(0), 3).count() == 0
+    unembedded = queries.withColumn("embedding", F.lit(None).cast("array<float>"))
+    assert knn(items, unembedded, 3).count() == 0
     named = items.withColumn("id", F.format_string("i%05d", "id"))
     assert knn(named, queries, 3).filter(F.col("rank") == 1).count() > 0
 
@@ -276,6 +278,30 @@ def test_chunk_long_texts(spark):
     assert all(b.chunk_text.startswith(a.chunk_text[-80:]) for a, b in zip(long, long[1:]))
 
 
+@pytest.mark.parametrize("size,overlap", [(600, 80), (10, 9), (7, 0), (5, 3)])
+def test_char_windows_of_any_shape(spark, size, overlap):
+    texts = ["", "x", "ab\ncdé😀fghijklmnop" * 3, "z" * size, "y" * (size + 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {}
+    for r in chunking.char_windows(docs, "t", ["id"], size, overlap).orderBy("id", "chunk_index").collect():
+        got.setdefault(r.id, []).append((r.chunk_text, r.start_pos))
+    step = size - overlap
+    for i, t in enumerate(texts):
+        starts = [a for a in range(0, len(t), step) if a == 0 or a - step + size < len(t)]
+        assert got.get(i, []) == [(t[a:a + size], a) for a in starts]
+
+
+def test_sparse_vector_map(spark):
+    docs = [["a", "b", "a"], ["b"], []]
+    df = spark.createDataFrame(list(enumerate(docs)), "id int, tokens array<string>")
+    long = {(r.id, r.term): r.weight for r in lexical.sparse_vectors(df, "id").collect()}
+    idf = {t: np.log((3 - n + .5) / (n + .5) + 1) for t, n in (("a", 1), ("b", 2))}
+    maps = df.select("id", lexical.sparse_vector_map(
+        F.col("tokens"), F.create_map(*[F.lit(x) for kv in idf.items() for x in kv]), F.lit(4 / 3)).alias("m"))
+    for r in maps.collect():
+        assert r.m == pytest.approx({t: w for (i, t), w in long.items() if i == r.id})
+
+
 def test_char_windows_cover_the_text(spark):
     texts = ["x" * n for n in (1, 599, 600, 601, 1120, 1121, 5000)]
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
