@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratamem.llm import exact_dedup, mixing, packing
+from stratamem.llm import exact_dedup, mixing, ngram_join, packing
 from stratamem.sources.tables import read
 
 
+def op2_ngram_jaccard(spark: SparkSession, base: str) -> DataFrame:
+    return ngram_join.similar_documents(read(spark, base, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, base: str) -> DataFrame:
     return packing.pack_documents(read(spark, base, "documents"))
 
@@ -55,6 +59,7 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM keyed WINDOW same AS (PARTITION BY text_sha256)"""
 
 QUERIES = {
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_source_mixing": op8_source_mixing,
     "op10_exact_dedup": op10_exact_dedup,
