@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratamem.llm import exact_dedup, mixing, ngram_join, packing
+from stratamem.llm import exact_dedup, mixing, ngram_join, packing, toxicity
 from stratamem.sources.tables import read
 
 
+def op1_toxicity(spark: SparkSession, base: str) -> DataFrame:
+    return toxicity.toxic_documents(read(spark, base, "documents"), read(spark, base, "labels")).select(
+        "doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, base: str) -> DataFrame:
     return ngram_join.similar_documents(read(spark, base, "documents"))
 
@@ -59,6 +65,7 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM keyed WINDOW same AS (PARTITION BY text_sha256)"""
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_source_mixing": op8_source_mixing,

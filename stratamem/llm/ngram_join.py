@@ -16,7 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratamem.llm.batches import SPACE, Texts, as_list, mix, slices, span_hashes
@@ -393,3 +393,28 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     out = left_join_unique(rows, many, "name", "class_size", rows.count(), broadcast_rows)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
                       F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
+
+
+def drop_similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stay: of every component the one with the smallest id.
+
+    Texts without words are linked with nothing and stay. Of repeated rows of that id
+    with one shingle set, one stays.
+    """
+    found = similar_documents(docs, width, percent)
+    gone = materialize(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias("_id")).distinct(), "near-copies")
+    gone = broadcast_if_small(gone, gone.count())
+    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    twice = found.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select(
+        F.col("doc_id").alias("_twice"))
+    twice = materialize(twice, "repeated-ids")
+    if twice.isEmpty():
+        return left
+    marked = left.join(broadcast_if_small(twice, twice.count()), F.col("doc_id").eqNullSafe(F.col("_twice")), "left")
+    words = F.coalesce(F.rlike("text", F.lit("[^ \\t-\\r]")), F.lit(False))
+    many = F.col("_twice").isNotNull() & words
+    again = marked.filter(many)
+    nth = F.row_number().over(Window.partitionBy("_twice").orderBy(F.xxhash64(*docs.columns)))
+    once = again.withColumn("_nth", nth).filter("_nth = 1")
+    return marked.filter(~many).select(docs.columns).unionByName(once.select(docs.columns))
