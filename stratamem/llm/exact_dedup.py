@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratamem.llm.batches import LOWER
 from stratamem.operators.bounded import MAX_BROADCAST_ROWS
@@ -203,7 +204,7 @@ def drop_copies(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     kept = exact_duplicates(docs, table_bytes).filter("kept").select(
         F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_sha256"))
-    marked = docs.mapInArrow(_with_digest(docs.columns), docs.schema.add("_sha256", "string"))
+    marked = docs.mapInArrow(_with_digest(docs.columns), T.StructType([*docs.schema, T.StructField("_sha256", T.StringType())]))
     rows = marked.join(kept, (F.col("doc_id").eqNullSafe(F.col("_kept_id")))
                        & (marked["_sha256"] == kept["_sha256"])).drop(kept["_sha256"])
     nth = F.row_number().over(Window.partitionBy("_sha256").orderBy(F.xxhash64(*docs.columns)))

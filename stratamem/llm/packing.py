@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratamem.llm.batches import slices
 from stratamem.session import materialize
@@ -153,7 +154,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     spread = F.xxhash64(*[c for c in ("doc_id", "piece") if c in pieces.columns] or ["length"])
     grouped = short.repartition(n_groups, spread).sortWithinPartitions(F.desc("length"), *[
         c for c in pieces.columns if c != "length"])
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([*pieces.schema, *[T.StructField(c, T.LongType()) for c in ("sequence_id", "offset")]])
     # Full pieces are sequences of their own, numbered below zero.
     alone = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn(
         "offset", F.lit(0).cast("long"))
