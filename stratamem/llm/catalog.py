@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamem.llm import exact_dedup, mixing, ngram_join, packing, toxicity
+from stratamem.llm import (
+    exact_dedup,
+    language,
+    license_scan,
+    mixing,
+    ngram_join,
+    packing,
+    secret_scan,
+    toxicity,
+)
 from stratamem.sources.tables import read
 
 
@@ -18,6 +27,16 @@ def op2_ngram_jaccard(spark: SparkSession, base: str) -> DataFrame:
     return ngram_join.similar_documents(read(spark, base, "documents"))
 
 
+def op4_language(spark: SparkSession, base: str) -> DataFrame:
+    return language.detect_languages(read(spark, base, "documents")).select(
+        "doc_id", "held_out", "lang_pred", "score")
+
+
+def op5_license_scan(spark: SparkSession, base: str) -> DataFrame:
+    return license_scan.scan_licenses(read(spark, base, "documents")).withColumn(
+        "n_blocks", F.size("blocks").cast("long")).drop("blocks")
+
+
 def op6_best_fit_packing(spark: SparkSession, base: str) -> DataFrame:
     return packing.pack_documents(read(spark, base, "documents"))
 
@@ -27,6 +46,10 @@ def op8_source_mixing(spark: SparkSession, base: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_secret_scan(spark: SparkSession, base: str) -> DataFrame:
+    return secret_scan.find_secrets(read(spark, base, "documents")).drop("secrets")
+
+
 def op10_exact_dedup(spark: SparkSession, base: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, base, "documents"))
 
@@ -67,8 +90,11 @@ FROM keyed WINDOW same AS (PARTITION BY text_sha256)"""
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op4_language": op4_language,
+    "op5_license_scan": op5_license_scan,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_source_mixing": op8_source_mixing,
+    "op9_secret_scan": op9_secret_scan,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE = {"op8_source_mixing": OP8, "op10_exact_dedup": OP10}
