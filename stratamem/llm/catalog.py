@@ -9,10 +9,12 @@ from stratamem.llm import (
     exact_dedup,
     language,
     license_scan,
+    merkle,
     mixing,
     ngram_join,
     packing,
     secret_scan,
+    substring_dedup,
     toxicity,
 )
 from stratamem.sources.tables import read
@@ -27,6 +29,10 @@ def op2_ngram_jaccard(spark: SparkSession, base: str) -> DataFrame:
     return ngram_join.similar_documents(read(spark, base, "documents"))
 
 
+def op3_document_fingerprints(spark: SparkSession, base: str) -> DataFrame:
+    return merkle.fingerprints(read(spark, base, "documents"))
+
+
 def op4_language(spark: SparkSession, base: str) -> DataFrame:
     return language.detect_languages(read(spark, base, "documents")).select(
         "doc_id", "held_out", "lang_pred", "score")
@@ -41,6 +47,10 @@ def op6_best_fit_packing(spark: SparkSession, base: str) -> DataFrame:
     return packing.pack_documents(read(spark, base, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, base: str) -> DataFrame:
+    return substring_dedup.repeated_passages(read(spark, base, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, base: str) -> DataFrame:
     return mixing.mix(read(spark, base, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -90,9 +100,11 @@ FROM keyed WINDOW same AS (PARTITION BY text_sha256)"""
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_document_fingerprints": op3_document_fingerprints,
     "op4_language": op4_language,
     "op5_license_scan": op5_license_scan,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_source_mixing": op8_source_mixing,
     "op9_secret_scan": op9_secret_scan,
     "op10_exact_dedup": op10_exact_dedup,

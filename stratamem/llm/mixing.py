@@ -88,19 +88,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     cut = cuts.filter(F.col("_upto") > F.col("_rest")).groupBy("_key").agg(
         F.min(F.struct("_bucket", (F.col("_upto") - F.col("words")).alias("before"))).alias("_cut"))
     plan = sources.withColumn("_key", key).drop("source").join(cut, "_key", "left").select(
-        "_key", "source_size", "target", "documents", "_whole", "_rest", F.col("_cut._bucket").alias("_end"),
+        "_key", "source_size", "target", F.col("documents").alias("_documents"), "_whole", "_rest", F.col("_cut._bucket").alias("_end"),
         F.col("_cut.before").alias("_before"))
     plan = materialize(plan, "mix-plan")
-    total = plan.agg(F.sum("documents")).first()[0] or 0
+    total = plan.agg(F.sum("_documents")).first()[0] or 0
     often = max(total // broadcast_rows, 1000)
     # At most broadcast_rows sources hold more documents than this; the others are rare keys.
     if plan.count() <= broadcast_rows:
         planned = sized.join(F.broadcast(plan), "_key")
     else:
-        marked = sized.join(F.broadcast(plan.filter(F.col("documents") > often)), "_key", "left")
-        planned = marked.filter(F.col("documents").isNotNull()).unionByName(
-            marked.filter(F.col("documents").isNull()).select(sized.columns).join(
-                plan.filter(F.col("documents") <= often), "_key"))
+        marked = sized.join(F.broadcast(plan.filter(F.col("_documents") > often)), "_key", "left")
+        planned = marked.filter(F.col("_documents").isNotNull()).unionByName(
+            marked.filter(F.col("_documents").isNull()).select(sized.columns).join(
+                plan.filter(F.col("_documents") <= often), "_key"))
     in_cut = F.col("_bucket").eqNullSafe(F.col("_end"))
     part = F.when(F.col("_end").isNull() | (F.col("_bucket") < F.col("_end")), F.col("size")).otherwise(F.lit(0))
     part = F.when(F.col("_rest") > 0, part).otherwise(F.lit(0))

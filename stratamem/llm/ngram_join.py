@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratamem.llm.batches import SPACE, Texts, as_list, mix, slices, span_hashes
 from stratamem.llm.joins import components, left_join_unique
@@ -314,20 +315,8 @@ def _remaining(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.least("a_name", "b_name").alias("a"), F.greatest("a_name", "b_name").alias("b")).distinct()
 
 
-def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
-                      broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Components of documents linked by the Jaccard similarity of their shingles.
-
-    ``docs`` has doc_id and text; other columns are ignored. A set holds the distinct
-    shingles of ``width`` words, A-Z lower-cased; shorter texts are one shingle, and texts
-    without words (null too) are linked with nothing. Sets link at ``percent`` or more.
-    Shingles and sets are told apart by 64 and 128 bits of hash. Equal sets form a class;
-    candidates are pairs of classes with a common signature. In a group of more than
-    SMALL_GROUP classes all are compared with one; if the links found so far do not join
-    the whole group, those pairs of different components follow that can still link. Every row gives
-    one row, repeated ones too, and an empty table an empty result. Returns doc_id,
-    n_shingles, component_id (smallest id reachable by links) and class_size.
-    """
+def _linked(docs: DataFrame, width: int, percent: int, broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """What similar_documents returns, with the names of each row's set and component."""
     docs = docs.select("doc_id", "text")
     rows = materialize(docs.mapInArrow(
         _describe(width), "doc_id long, n_shingles long, key long, check long").select(
@@ -383,38 +372,76 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
         n_edges = joined.count()
         small = broadcast_if_small(smallest.filter("classes > 1"), n_edges, broadcast_rows)
         named_classes = linked.join(small, "component", "left").select(
-            "name", F.coalesce("component_id", "first_id").alias("component_id"), "class_size",
+            "name", "component", F.coalesce("component_id", "first_id").alias("component_id"), "class_size",
             F.coalesce("classes", F.lit(1)).alias("classes"))
     else:
-        named_classes = named_classes.select("name", F.col("first_id").alias("component_id"), "class_size",
+        named_classes = named_classes.select("name", F.col("name").alias("component"),
+                                             F.col("first_id").alias("component_id"), "class_size",
                                              F.lit(1).cast("long").alias("classes"))
     # Documents alone in class and component need no join.
     many = materialize(named_classes.filter("class_size > 1 OR classes > 1").drop("classes"), "components-of-classes")
     out = left_join_unique(rows, many, "name", "class_size", rows.count(), broadcast_rows)
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-                      F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
+    return out.select(
+        "doc_id", "n_shingles", F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(
+            F.col("component_id")).alias("component_id"),
+        F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), "name",
+        F.when(F.col("n_shingles") > 0, F.coalesce("component", "name")).alias("component"))
+
+
+def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
+                      broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Components of documents linked by the Jaccard similarity of their shingles.
+
+    ``docs`` has doc_id and text; other columns are ignored. A set holds the distinct
+    shingles of ``width`` words, A-Z lower-cased; shorter texts are one shingle, and texts
+    without words (null too) are linked with nothing. Sets link at ``percent`` or more.
+    Shingles and sets are told apart by 64 and 128 bits of hash. Equal sets form a class;
+    candidates are pairs of classes with a common signature. In a group of more than
+    SMALL_GROUP classes all are compared with one; if the links found so far do not join
+    the whole group, those pairs of different components follow that can still link. Every row gives
+    one row, repeated ones too, and an empty table an empty result. Returns doc_id,
+    n_shingles, component_id (smallest id reachable by links) and class_size.
+    """
+    return _linked(docs, width, percent, broadcast_rows).drop("name", "component")
+
+
+def _named(width: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                keys = [set_keys(g) for g in shingle_sets(batch, width)]
+                names = ["".join(f"{k & (1 << 64) - 1:016X}" for k in pair) for pair in keys]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names)], [*batch.schema.names, "_name"])
+    return run
 
 
 def drop_similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay: of every component the one with the smallest id.
+    """The rows of ``docs`` that stay, with all their columns: of every component one with the smallest id.
 
-    Texts without words are linked with nothing and stay. Of repeated rows of that id
-    with one shingle set, one stays.
+    Texts without words are linked with nothing and stay. Ids decide where they are not
+    repeated; rows of repeated ids are told apart by their shingle sets.
     """
-    found = similar_documents(docs, width, percent)
+    found = materialize(_linked(docs, width, percent), "linked")
+    twice = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+        F.col("doc_id").alias("_id")), "repeated-ids")
     gone = materialize(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_id")).distinct(), "near-copies")
-    gone = broadcast_if_small(gone, gone.count())
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    twice = found.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select(
-        F.col("doc_id").alias("_twice"))
-    twice = materialize(twice, "repeated-ids")
+        F.col("doc_id").alias("_id")), "near-copies")
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    ids = broadcast_if_small(twice, twice.count())
+    # A repeated id goes its own way below, whatever its rows.
+    away = gone.unionByName(twice).distinct()
+    left = docs.join(broadcast_if_small(away, gone.count() + twice.count()), same, "left_anti")
     if twice.isEmpty():
         return left
-    marked = left.join(broadcast_if_small(twice, twice.count()), F.col("doc_id").eqNullSafe(F.col("_twice")), "left")
-    words = F.coalesce(F.rlike("text", F.lit("[^ \\t-\\r]")), F.lit(False))
-    many = F.col("_twice").isNotNull() & words
-    again = marked.filter(many)
-    nth = F.row_number().over(Window.partitionBy("_twice").orderBy(F.xxhash64(*docs.columns)))
-    once = again.withColumn("_nth", nth).filter("_nth = 1")
-    return marked.filter(~many).select(docs.columns).unionByName(once.select(docs.columns))
+    again = docs.join(ids, same, "left_semi")
+    named = again.mapInArrow(_named(width), T.StructType([*docs.schema, T.StructField("_name", T.StringType())]))
+    # The first row of each component that repeated ids alone could keep.
+    stays = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "name")).alias("first"))
+    stays = stays.filter("component IS NOT NULL").select(F.col("first.doc_id").alias("_id"),
+                                                         F.col("first.name").alias("_first"))
+    stays = stays.join(ids, "_id", "left_semi").unionByName(stays.filter("_id IS NULL"))
+    kept = named.join(stays, same & (F.col("_name") == F.col("_first")))
+    nth = F.row_number().over(Window.partitionBy("_name").orderBy(F.xxhash64(*docs.columns)))
+    once = kept.withColumn("_nth", nth).filter("_nth = 1").select(docs.columns)
+    empty = ~F.coalesce(F.rlike("text", F.lit("[^ \\t-\\r]")), F.lit(False))
+    return left.unionByName(once).unionByName(again.filter(empty))
