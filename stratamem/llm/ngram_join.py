@@ -4,6 +4,9 @@ Sets of similar size have a bounded Hamming distance when they are similar. The
 domain is cut into partitions, each of those into finer ones, and every subset of a
 fixed number of finer partitions gives one signature: two sets within the distance
 share at least one. Sets that share a signature are compared exactly.
+
+Before that, sets that no other can be similar to are set aside: those with too many
+shingles that the corpus has nowhere else, counted over a part of the hash domain.
 """
 
 from __future__ import annotations
@@ -161,62 +164,81 @@ def _describe(width: int) -> Callable:
     return run
 
 
-def _sign(width: int, percent: int) -> Callable:
-    """Rows (sig, a, b): a set with a signature, or a candidate pair if b is not null.
-
-    A task emits a set once. Of groups above SMALL_GROUP among the signatures it holds,
-    only the smallest set goes on under the signature; the others are paired with it and
-    listed as members (sig, a, a).
-    """
-    def combine(sigs: list[np.ndarray], keys: list[int], sizes: list[int]) -> Iterator[pa.RecordBatch]:
-        sig = np.concatenate(sigs).astype(np.int64)
-        key = np.repeat(np.array(keys, np.int64), sizes)
-        order = np.lexsort((key, sig))
-        yield from _emit(sig[order], key[order], forward=True)
+def _sampled(width: int, share: float) -> Callable:
+    """The shingles (gram, key) of the lowest ``share`` of the hash domain; a task emits a set once."""
+    top = U64(int(share * (1 << 64)) if share < 1 else (1 << 64) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        sigs, keys, sizes, held = [], [], [], 0
         for whole in batches:
             for batch in slices(whole):
-                for grams in shingle_sets(batch, width):
-                    if not len(grams) or (key := set_keys(grams)[0]) in seen:
-                        continue
-                    seen.add(key)
-                    sigs.append(signatures(grams, percent))
-                    keys.append(key)
-                    sizes.append(len(sigs[-1]))
-                    held += sizes[-1]
-                    if held > HELD_SIGNATURES:
-                        yield from combine(sigs, keys, sizes)
-                        sigs, keys, sizes, held = [], [], [], 0
+                grams, keys = [np.zeros(0, U64)], []
+                for found in shingle_sets(batch, width):
+                    key = set_keys(found)[0]
+                    if key not in seen:
+                        seen.add(key)
+                        grams.append(found[:np.searchsorted(found, top)])
+                        keys.append(key)
+                key = np.repeat(np.array(keys, np.int64), [len(g) for g in grams[1:]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).astype(np.int64)), pa.array(key)],
+                                                 ["gram", "key"])
+    return run
+
+
+def _sign(percent: int) -> Callable:
+    """Rows (sig, rank, a, b) of sets (key, rank, grams); b is null.
+
+    Of groups above SMALL_GROUP among the signatures a task holds, only the first set by
+    rank and key goes on under the signature; the others are paired with it, as rows with
+    both sets, and listed as members, as rows with one set twice.
+    """
+    def combine(sigs: list[np.ndarray], ranks: list[int], keys: list[int]) -> Iterator[pa.RecordBatch]:
+        sizes = [len(s) for s in sigs]
+        sig = np.concatenate(sigs).astype(np.int64)
+        rank, key = (np.repeat(np.array(c, np.int64), sizes) for c in (ranks, keys))
+        order = np.lexsort((key, rank, sig))
+        yield from _emit(sig[order], rank[order], key[order], forward=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs, ranks, keys, held = [], [], [], 0
+        for batch in batches:
+            for at in range(batch.num_rows):
+                grams = batch.column("grams")[at].values.to_numpy().view(U64)
+                sigs.append(signatures(np.sort(grams), percent))
+                ranks.append(batch.column("rank")[at].as_py())
+                keys.append(batch.column("key")[at].as_py())
+                held += len(sigs[-1])
+                if held > HELD_SIGNATURES:
+                    yield from combine(sigs, ranks, keys)
+                    sigs, ranks, keys, held = [], [], [], 0
         if sigs:
-            yield from combine(sigs, keys, sizes)
+            yield from combine(sigs, ranks, keys)
     return run
 
 
-_SIGNED = pa.schema([("sig", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+_SIGNED = pa.schema([("sig", pa.int64()), ("rank", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+_SIGNED_DDL = "sig long, rank long, a long, b long"
 
 
-def _rows(sig: np.ndarray, a: np.ndarray, b: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _rows(sig: np.ndarray, rank: np.ndarray, a: np.ndarray, b: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(a), 1 << 17):
         part = slice(at, at + (1 << 17))
         other = pa.nulls(len(a[part]), pa.int64()) if b is None else pa.array(b[part])
-        yield pa.RecordBatch.from_arrays([pa.array(sig[part]), pa.array(a[part]), other], schema=_SIGNED)
+        yield pa.RecordBatch.from_arrays([pa.array(c[part]) for c in (sig, rank, a)] + [other], schema=_SIGNED)
 
 
-def _emit(sig: np.ndarray, key: np.ndarray, forward: bool) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of sorted (sig, key) rows; ``forward`` leaves small groups to a later step."""
+def _emit(sig: np.ndarray, rank: np.ndarray, key: np.ndarray, forward: bool) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of rows sorted by sig, rank and key; ``forward`` leaves small groups to a later step."""
     fresh = np.ones(len(sig), bool)
     fresh[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-    sig, key = sig[fresh], key[fresh]
+    sig, rank, key = sig[fresh], rank[fresh], key[fresh]
     head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
     size = np.diff(np.append(head, len(sig)))
     large = size > SMALL_GROUP
     if forward:
         keep = np.repeat(~large, size)
         keep[head] = True
-        yield from _rows(sig[keep], key[keep], None)
+        yield from _rows(sig[keep], rank[keep], key[keep], None)
     pairs = []
     for m in range(2, SMALL_GROUP + 1) if not forward else ():
         at = head[size == m]
@@ -224,29 +246,30 @@ def _emit(sig: np.ndarray, key: np.ndarray, forward: bool) -> Iterator[pa.Record
     member = np.repeat(large, size)
     centre = np.repeat(key[head], size)
     # Members of large groups, to come back to if the centre does not hold them together.
-    yield from _rows(sig[member], key[member], key[member])
+    yield from _rows(sig[member], rank[member], key[member], key[member])
     pairs.append((centre[member], key[member]))
     a, b = (np.concatenate(c) for c in zip(*pairs))
     found = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
-    yield from _rows(mix(found[:, 0].astype(U64), 41).astype(np.int64), found[:, 0], found[:, 1])
+    yield from _rows(mix(found[:, 0].astype(U64), 41).astype(np.int64), np.zeros(len(found), np.int64),
+                     found[:, 0], found[:, 1])
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs and members of large groups, from rows sorted by signature and set."""
-    sig, key = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Candidate pairs and members of large groups, from rows sorted by signature, rank and set."""
+    held = [np.zeros(0, np.int64)] * 3
     for batch in batches:
         made = np.asarray(batch.column("b").is_valid())
         if made.any():
             yield batch.filter(pa.array(made))
         new = batch.filter(pa.array(~made))
-        sig = np.concatenate([sig, new.column("sig").to_numpy()])
-        key = np.concatenate([key, new.column("a").to_numpy()])
+        held = [np.concatenate([h, new.column(c).to_numpy()]) for h, c in zip(held, ("sig", "rank", "a"))]
+        sig = held[0]
         if len(sig) > 1 << 16 and sig[0] != sig[-1]:
             last = int(np.searchsorted(sig, sig[-1]))
-            yield from _emit(sig[:last], key[:last], forward=False)
-            sig, key = sig[last:], key[last:]
-    if len(sig):
-        yield from _emit(sig, key, forward=False)
+            yield from _emit(*(h[:last] for h in held), forward=False)
+            held = [h[last:] for h in held]
+    if len(held[0]):
+        yield from _emit(*held, forward=False)
 
 
 def _sets(width: int) -> Callable:
@@ -270,15 +293,27 @@ def _name() -> F.Column:
     return F.concat(F.lpad(F.hex("key"), 16, "0"), F.lpad(F.hex("check"), 16, "0"))
 
 
-def _fetch(docs: DataFrame, classes: DataFrame, names: DataFrame, width: int, label: str) -> DataFrame:
-    """The sets of named classes (name, grams), made anew from one text of each class."""
-    needed = materialize(names.join(classes, "name").select("name", "first_id"), f"{label}-needed")
-    n = needed.count()
-    ids = broadcast_if_small(needed.select(F.col("first_id").alias("_id")).distinct(), n)
+def _fetch(docs: DataFrame, classes: DataFrame, width: int, label: str) -> DataFrame:
+    """The sets of classes (name, key, rank, first_id), made from one text of each class."""
+    n = classes.count()
+    ids = broadcast_if_small(classes.select(F.col("first_id").alias("_id")).distinct(), n)
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select("text")
     sets = texts.mapInArrow(_sets(width), "key long, check long, grams array<long>").select(
-        _name().alias("name"), "grams").join(broadcast_if_small(needed.select("name"), n), "name", "left_semi")
-    return materialize(sets.dropDuplicates(["name"]), f"{label}-sets")
+        _name().alias("name"), "grams").join(broadcast_if_small(classes.select("name", "key", "rank"), n), "name")
+    return materialize(sets.dropDuplicates(["name"]), label)
+
+
+def _lone(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Per set (key) how many shingles of a part of the hash domain no other set of the corpus has.
+
+    The part is large enough for a set with three fifths of its shingles alone to exceed
+    what a link allows. Smallest and largest holder are kept per shingle, so one that a
+    third of the corpus holds is combined before it moves.
+    """
+    share = min(1.0, (100 - percent) / 60)
+    holders = docs.mapInArrow(_sampled(width, share), "gram long, key long").groupBy("gram").agg(
+        F.min("key").alias("key"), F.max("key").alias("last"))
+    return holders.filter("key = last").groupBy("key").agg(F.count(F.lit(1)).alias("lone"))
 
 
 def _verify(sets: DataFrame, pairs: DataFrame, percent: int, label: str) -> DataFrame:
@@ -291,10 +326,6 @@ def _verify(sets: DataFrame, pairs: DataFrame, percent: int, label: str) -> Data
         "a", "b"), label)
 
 
-def _names(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-
-
 def _remaining(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components in groups (sig, name, n, component) that may still link.
 
@@ -325,31 +356,37 @@ def _linked(docs: DataFrame, width: int, percent: int, broadcast_rows: int = MAX
     classes = materialize(rows.filter("n_shingles > 0").groupBy("name", "key").agg(
         F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("class_size"),
         F.first("n_shingles").alias("n_shingles")), "classes")
-    n_classes = classes.count()
-    signed = docs.mapInArrow(_sign(width, percent), "sig long, a long, b long")
+    # Classes with too many shingles of their own link with none.
+    able = classes.join(_lone(docs, width, percent), "key", "left").withColumn(
+        "lone", F.coalesce("lone", F.lit(0))).filter(
+        F.col("lone") * 100 <= (100 - percent) * F.col("n_shingles"))
+    rank = (F.col("lone") * 1000 / F.col("n_shingles")).cast("long")
+    able = materialize(able.select("name", "key", rank.alias("rank"), F.col("n_shingles").alias("n"), "lone", "first_id"),
+                       "able")
+    n_able = able.count()
+    sets = _fetch(docs, able, width, "sets")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    matched = materialize(signed.repartition(partitions, "sig").sortWithinPartitions("sig", "a").mapInArrow(
-        _match, "sig long, a long, b long"), "candidates")
-    keyed = classes.select("key", "name", "n_shingles")
-
-    def named(pairs: DataFrame) -> DataFrame:
-        """Pairs of keys as pairs of classes whose sizes allow a link."""
-        ends = [broadcast_if_small(keyed.select(F.col("key").alias(c), F.col("name").alias(f"{c}_name"),
-                                                F.col("n_shingles").alias(f"{c}_n")), n_classes, broadcast_rows)
-                for c in "ab"]
-        fits = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
+    signed = sets.select("key", "rank", "grams").mapInArrow(_sign(percent), _SIGNED_DDL)
+    matched = materialize(signed.repartition(partitions, "sig").sortWithinPartitions("sig", "rank", "a").mapInArrow(
+        _match, _SIGNED_DDL), "candidates")
+
+    def fitting(pairs: DataFrame) -> DataFrame:
+        """Pairs of keys as pairs of classes whose sizes and own shingles allow a link."""
+        ends = [broadcast_if_small(able.select(
+            F.col("key").alias(c), F.col("name").alias(f"{c}_name"), F.col("n").alias(f"{c}_n"),
+            (F.col("n") - F.col("lone")).alias(f"{c}_c")), n_able, broadcast_rows) for c in "ab"]
+        common = F.least("a_c", "b_c")
+        fits = common * 100 >= (F.col("a_n") + F.col("b_n") - common) * percent
         return pairs.join(ends[0], "a").join(ends[1], "b").filter(fits).select(
             F.least("a_name", "b_name").alias("a"), F.greatest("a_name", "b_name").alias("b"))
 
-    pairs = materialize(named(matched.filter("a <> b").select("a", "b").distinct()), "pairs")
-    sets = _fetch(docs, classes, _names(pairs), width, "first")
+    pairs = materialize(fitting(matched.filter("a <> b").select("a", "b").distinct()), "pairs")
     links = _verify(sets, pairs, percent, "links")
     joined = components(links)
     members = matched.filter("a = b").select("sig", F.col("a").alias("key")).distinct().join(
-        broadcast_if_small(keyed.select("key", "name", F.col("n_shingles").alias("n")), n_classes, broadcast_rows),
-        "key")
+        broadcast_if_small(able.select("key", "name", "n"), n_able, broadcast_rows), "key")
     if joined is not None:
-        at = broadcast_if_small(joined.withColumnRenamed("node", "name"), n_classes, broadcast_rows)
+        at = broadcast_if_small(joined.withColumnRenamed("node", "name"), n_able, broadcast_rows)
         members = members.join(at, "name", "left").withColumn("component", F.coalesce("component", "name"))
     else:
         members = members.withColumn("component", F.col("name"))
@@ -359,7 +396,7 @@ def _linked(docs: DataFrame, width: int, percent: int, broadcast_rows: int = MAX
     if not apart.isEmpty():
         rest = materialize(members.join(broadcast_if_small(apart, apart.count(), broadcast_rows), "sig", "left_semi"),
                            "rest")
-        sets = _fetch(docs, classes, rest.select("name").distinct(), width, "rest")
+        sets = sets.join(rest.select("name").distinct(), "name", "left_semi")
         more = materialize(_remaining(rest, sets, percent).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
         links = links.unionByName(_verify(sets, more, percent, "more-links"))
         joined = components(links, "all-components")
