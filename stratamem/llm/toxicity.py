@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from stratamem.llm.batches import Texts, mix, slices, span_hashes
 
 # The model learns from at most this many labelled documents, none longer than this.
-SAMPLE_DOCS = 6000
-SAMPLE_CHARS = 20_000
+SAMPLE_DOCS = 4000
+SAMPLE_CHARS = 10_000
 # Documents that the weights are fitted on; all of the sample serves the other steps.
 FIT_DOCS = 2000
 THRESHOLD = 0.7
@@ -72,6 +72,21 @@ def tokenize(texts: Texts) -> Tokens:
     return Tokens(start, end, first, chain, slots)
 
 
+def tokenize_all(texts: list[str], upto: int = 1 << 19) -> Tokens:
+    """Tokens of a list of texts, made part by part so that little is held beside them."""
+    parts, at, base = [], 0, 0
+    while at < len(texts) or not parts:
+        to, size = at, 0
+        while to < len(texts) and (to == at or size < upto):
+            size += len(texts[to])
+            to += 1
+        t = tokenize(Texts(pa.array(texts[at:to], pa.large_string()), lower=True))
+        parts.append(t._replace(first=t.first[bool(parts):] + base, chain=t.chain[bool(parts):] + base))
+        base += len(t.start)
+        at = to
+    return Tokens(*(np.concatenate(c) for c in zip(*parts)))
+
+
 # -- Forward-backward ---------------------------------------------------------------
 
 
@@ -123,7 +138,8 @@ class Model(NamedTuple):
     score: np.ndarray    # of the document score
 
     def marginals(self, tokens: Tokens) -> np.ndarray:
-        z = np.clip(self.weights[tokens.features].sum(axis=1, dtype=np.float64) + self.bias, -30, 30)
+        # Clipped, so that odds and their products stay finite.
+        z = np.clip(self.weights[tokens.features].sum(axis=1) + self.bias, -30, 30).astype(float)
         forward, backward = ratios(np.exp(z), tokens.chain, self.trans, self.start)
         both = forward * backward
         return both / (1 + both)
@@ -185,7 +201,7 @@ def fit_chain(tokens: Tokens, y: np.ndarray, steps: int = STEPS) -> tuple[np.nda
     pair = np.bincount((2 * y[at - 1] + y[at]).astype(int), minlength=4).astype(float)
     for step in range(1, steps + 1):
         weights, bias, trans, start = params[:n], params[n], np.exp(params[n + 1:n + 5]), np.exp(params[n + 5])
-        odds = np.exp(np.clip(weights[tokens.features].sum(axis=1) + bias, -30, 30))
+        odds = np.exp(np.clip(weights.astype(np.float32)[tokens.features].sum(axis=1) + bias, -30, 30).astype(float))
         forward, backward = ratios(odds, tokens.chain, trans, start)
         both = forward * backward
         p = both / (1 + both)
@@ -233,7 +249,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     none = Model(np.zeros(1 << BITS, np.float32), -30.0, np.ones(4), 1.0, np.zeros(4))
     if not len(y) or y.min() == y.max():
         return none._replace(score=np.array([8.0 * (2 * y.mean() - 1) if len(y) else -8.0, 0, 0, 0]))
-    tokens = tokenize(Texts(pa.array(texts, pa.large_string()), lower=True))
+    tokens = tokenize_all(texts)
     label = token_labels(tokens, y)
     held = np.add.reduceat(np.append(label, False), np.minimum(tokens.first[:-1], len(label))) * (np.diff(tokens.first) > 0)
     # Toxic documents without a marked token teach the chain nothing, only the score.
