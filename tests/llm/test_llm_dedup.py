@@ -203,7 +203,7 @@ def test_repeated_passages(spark, edge_docs, no_docs):
     got = substring_dedup.repeated_passages(docs).collect()
     assert {r["doc_id"] for r in got} == planted
     for r in got:
-        assert texts[r["doc_id"]][r["start"]:r["start"] + r["length"]] in passage
+        assert texts[r["doc_id"]][r["start"]:r["start"] + r["length"]] in f" {passage} "
         assert r["n_docs"] == len(planted) and r["first_doc_id"] == 0 and r["copy"] == (r["doc_id"] > 0)
     assert substring_dedup.repeated_passages(no_docs).collect() == []
     assert {r["doc_id"] for r in substring_dedup.repeated_passages(edge_docs).collect()} >= {5, 7}
