@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from stratamem import constants as K
-from stratamem.sources.tables import AS_OF
+from stratamem.sources.tables import AS_OF, IDS_PER_DOC, TURNS_PER_CONVERSATION
 
 WS = K.WHITESPACE
 WS_CLASS = K.WS_CLASS
@@ -85,7 +85,7 @@ DOCS = f"""docs AS (
 ITEMS = DOCS + f""", cut AS (
   SELECT *, 1 + greatest(CAST(ceil((length(text) - 600) / 520e0) AS BIGINT), 0) AS chunk_total
   FROM docs WHERE length(text) > 0), items AS (
-  SELECT c.doc_id * 1000000 + t.i AS id, c.* EXCLUDE (text), t.i AS chunk_index,
+  SELECT c.doc_id * {IDS_PER_DOC} + t.i AS id, c.* EXCLUDE (text), t.i AS chunk_index,
     {strip('substr(c.text, CAST(t.i * 520 + 1 AS BIGINT), 600)')} AS content
   FROM cut c, unnest(range(c.chunk_total)) AS t(i)
   WHERE {strip('substr(c.text, CAST(t.i * 520 + 1 AS BIGINT), 600)')} <> '')"""
@@ -99,11 +99,11 @@ ASKED = f"""asked AS (
     CASE WHEN b.item_id % 8 >= 4 THEN {session_name('b.item_id')} END AS session_id,
     CASE WHEN b.item_id % 8 >= 6 THEN {session_name('b.item_id')} END AS project,
     b.text AS query_text, e.embedding
-  FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id)"""
+  FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id % (SELECT count(*) FROM embeddings))"""
 
 MESSAGES = f"""messages AS (
-  SELECT -(conv_id * 1000 + turn) - 1 AS id, {tenant('conv_id')} AS user_id,
-    {session_name('conv_id')} AS session_id, conv_id * 1000 + turn AS seq, role,
+  SELECT -(conv_id * {TURNS_PER_CONVERSATION} + turn) - 1 AS id, {tenant('conv_id')} AS user_id,
+    {session_name('conv_id')} AS session_id, conv_id * {TURNS_PER_CONVERSATION} + turn AS seq, role,
     {strip('text')} AS content, CASE WHEN role = 'system' THEN 0.9e0 ELSE 0.5e0 END AS importance,
     role = 'system' AS is_pinned,
     {days_before('conv_id % 30')} - to_minutes(CAST(turn * 7 % 60 AS INTEGER)) AS created_at

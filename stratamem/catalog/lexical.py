@@ -55,9 +55,8 @@ def bm25_normalized(spark, base):
 def sparse_vector_norm(spark, base):
     """Terms and length of every document's BM25 term vector."""
     vectors = lx.sparse_vectors(_docs(spark, base), "doc_id")
-    return vectors.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("terms"),
-        scoring.round4(F.sqrt(F.sum(F.col("weight") * F.col("weight")))).alias("length"))
+    return lx.sparse_norms(vectors, "doc_id", tables.read(spark, base, "documents")).select(
+        "doc_id", "terms", scoring.round4(F.col("length")).alias("length"))
 
 
 def sparse_cosine(spark, base):
@@ -65,7 +64,7 @@ def sparse_cosine(spark, base):
     vectors = lx.sparse_vectors(_docs(spark, base), "doc_id")
     query = spark.createDataFrame(
         [(t, float(QUERY_TOKENS.count(t))) for t in dict.fromkeys(QUERY_TOKENS)], "term string, weight double")
-    return lx.sparse_similarity(vectors, "doc_id", query).select(
+    return lx.sparse_similarity(vectors, "doc_id", query, tables.read(spark, base, "documents")).select(
         "doc_id", scoring.round4(F.col("similarity")).alias("similarity"))
 
 
@@ -100,9 +99,10 @@ ORACLE = {
     "bm25_scores": f"""{_SCORED} SELECT doc_id, {b.round4('s')} AS bm25 FROM scored""",
     "bm25_normalized": f"""{_SCORED} SELECT doc_id, {b.round4(
       's / (SELECT CASE WHEN max(s) = 0 THEN 1e0 ELSE max(s) END FROM scored)')} AS bm25_norm FROM scored""",
-    "sparse_vector_norm": f"""{_WEIGHTS} SELECT doc_id, count(*) AS terms,
-      {b.round4('sqrt(sum(weight * weight))')} AS length FROM w GROUP BY doc_id""",
-    "sparse_cosine": f"""{_WEIGHTS}, {_QT} SELECT w.doc_id, {b.round4(
-      'sum(weight * coalesce(qt.n, 0)) / (sqrt(sum(weight * weight)) * sqrt((SELECT sum(n * n) FROM qt)))')}
-      AS similarity FROM w LEFT JOIN qt USING (term) GROUP BY w.doc_id""",
+    "sparse_vector_norm": f"""{_WEIGHTS} SELECT tok.doc_id, count(w.term) AS terms,
+      {b.round4('coalesce(sqrt(sum(weight * weight)), 0e0)')} AS length FROM tok LEFT JOIN w USING (doc_id)
+      GROUP BY tok.doc_id""",
+    "sparse_cosine": f"""{_WEIGHTS}, {_QT} SELECT tok.doc_id, {b.round4(
+      'coalesce(sum(weight * coalesce(qt.n, 0)) / (sqrt(sum(weight * weight)) * sqrt((SELECT sum(n * n) FROM qt))), 0e0)')}
+      AS similarity FROM tok LEFT JOIN w USING (doc_id) LEFT JOIN qt USING (term) GROUP BY tok.doc_id""",
 }

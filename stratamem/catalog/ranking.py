@@ -106,7 +106,7 @@ def retrieve_positional(spark, base):
 
 def result_tokens(spark, base):
     """Rows and tokens per query of the round-robin retrieval."""
-    return plan.result_tokens(_retrieve(spark, base, diversify="round_robin"))
+    return plan.result_tokens(_retrieve(spark, base, diversify="round_robin"), tables.retrieval_queries(spark, base))
 
 
 def context_candidates(spark, base):
@@ -276,8 +276,9 @@ ORACLE = {
     "retrieve_mmr": _e2e(_PICK_MMR) + _COLS,
     "retrieve_plain": _e2e(_NONE) + _COLS,
     "retrieve_positional": _e2e(_PICK_RR, True) + _COLS,
-    "result_tokens": _e2e(_PICK_RR) + """SELECT query_id, count(*) AS items,
-      CAST(sum(token_estimate) AS BIGINT) AS total_tokens FROM final WHERE result_rank <= 10 GROUP BY query_id""",
+    "result_tokens": _e2e(_PICK_RR) + """SELECT b.item_id AS query_id, count(f.query_id) AS items,
+      CAST(coalesce(sum(token_estimate), 0) AS BIGINT) AS total_tokens FROM benchmark b
+      LEFT JOIN (SELECT * FROM final WHERE result_rank <= 10) f ON f.query_id = b.item_id GROUP BY b.item_id""",
     "context_candidates": CANDIDATES + """SELECT query_id, memory_layer, count(*) AS candidates
       FROM cand GROUP BY query_id, memory_layer""",
 }

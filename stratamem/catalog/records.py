@@ -137,11 +137,15 @@ def latest_state_upsert(spark, base):
                       F.date_format("last_accessed_at", TIME).alias("last_accessed_at"))
 
 
+def _documents(spark, base):
+    return tables.read(spark, base, "documents").agg(F.count(F.lit(1)).alias("n")).scalar()
+
+
 def touch_merge(spark, base):
     """Documents with the newest view event that refers to them."""
     docs = tables.document_rows(spark, base).select("doc_id", "last_accessed_at")
     views = tables.access_events(spark, base).filter(F.col("event_type") == "view").select(
-        F.pmod("seq", F.lit(5000)).alias("doc_id"), "ts")
+        F.pmod("seq", _documents(spark, base)).alias("doc_id"), "ts")
     return rec.touch(docs, views, "doc_id").select(
         "doc_id", F.date_format("last_accessed_at", TIME).alias("last_accessed_at"))
 
@@ -150,7 +154,7 @@ def deprecate_merge(spark, base):
     """Items after the users' own deprecations; marks by other users have no effect."""
     items = _items(spark, base).withColumn("deprecated_reason", F.lit(None).cast("string"))
     marks = tables.access_events(spark, base).filter(F.col("event_type") == "error").select(
-        (F.pmod("seq", F.lit(1000)) * tables.IDS_PER_DOC).alias("id"),
+        (F.pmod("seq", _documents(spark, base)) * tables.IDS_PER_DOC).alias("id"),
         tables.tenant(F.col("actor")).alias("user_id"), "ts",
         F.concat(F.lit("event "), F.col("seq").cast("string")).alias("reason"))
     return rec.deprecate(items, marks).select("id", "is_deprecated", "deprecated_reason")
@@ -344,11 +348,11 @@ ORACLE = {
         strftime(CASE WHEN touch_seq > up_seq THEN {b.days_before('10 - touch_seq')} ELSE last_accessed_at END,
           {_SQL_TIME}) AS last_accessed_at
       FROM up WHERE del_seq IS NULL OR up_seq > del_seq""",
-    "touch_merge": f"""WITH {b.DOCS}, seen AS (SELECT event_id % 5000 AS doc_id, max(ts) AS ts FROM events
+    "touch_merge": f"""WITH {b.DOCS}, seen AS (SELECT event_id % (SELECT count(*) FROM documents) AS doc_id, max(ts) AS ts FROM events
         WHERE event_type = 'view' GROUP BY 1)
       SELECT doc_id, strftime(greatest(last_accessed_at, ts), {_SQL_TIME}) AS last_accessed_at
       FROM docs LEFT JOIN seen USING (doc_id)""",
-    "deprecate_merge": f"""WITH {b.ITEMS}, marks AS (SELECT (event_id % 1000) * 1000000 AS id,
+    "deprecate_merge": f"""WITH {b.ITEMS}, marks AS (SELECT (event_id % (SELECT count(*) FROM documents)) * {tables.IDS_PER_DOC} AS id,
         {b.tenant('user_id')} AS user_id, ts, 'event ' || event_id AS reason FROM events WHERE event_type = 'error'),
       newest AS (SELECT id, user_id, arg_max(reason, ts) AS reason FROM marks GROUP BY id, user_id)
       SELECT i.id, i.is_deprecated OR n.id IS NOT NULL AS is_deprecated, n.reason AS deprecated_reason

@@ -15,11 +15,14 @@ def _stream(spark, base, name):
     return jobs.file_stream(spark, path, spark.read.parquet(path).schema)
 
 
-def _messages(spark, base):
+def _messages(spark, base, clears=False):
+    """Messages; with ``clears`` the third turn of every fifth conversation empties its session's window."""
     c, t = F.col("conv_id"), F.col("turn")
+    clear = (c % 5 == 0) & (t == 2)
     return _stream(spark, base, "conversations").select(
         tables.tenant(c).alias("user_id"), tables.session_name(c).alias("session_id"),
-        (c * 1000 + t).alias("seq"), F.lit("push").alias("op"), text.strip(F.col("text")).alias("content")
+        (c * tables.TURNS_PER_CONVERSATION + t).alias("seq"),
+        F.when(clear & F.lit(clears), "clear").otherwise("push").alias("op"), text.strip(F.col("text")).alias("content")
     ).filter(F.col("content") != "")
 
 
@@ -29,8 +32,9 @@ def _drain(spark, stream, label, mode="append"):
 
 
 def stream_l1_window(spark, base):
-    """Working memory kept by a stateful stream."""
-    return jobs.current_windows(_drain(spark, jobs.window_stream(_messages(spark, base)), "window", "update"))
+    """Working memory kept by a stateful stream, with clears among the messages in any order."""
+    messages = _messages(spark, base, clears=True)
+    return jobs.current_windows(_drain(spark, jobs.window_stream(messages), "window", "update"))
 
 
 def stream_session_counters(spark, base):
@@ -47,8 +51,9 @@ def stream_audit(spark, base):
 
 def stream_access(spark, base):
     """Newest access per item from the stream of view events."""
+    documents = tables.read(spark, base, "documents").count()
     views = _stream(spark, base, "events").filter(F.col("event_type") == "view").select(
-        F.pmod("event_id", F.lit(1000)).alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+        F.pmod("event_id", F.lit(documents)).alias("id"), F.col("ts").cast("timestamp").alias("ts"))
     batches = _drain(spark, jobs.access_stream(views), "access", "update")
     return batches.groupBy("id").agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last_accessed_at"))
 
@@ -66,15 +71,18 @@ QUERIES = {f.__name__: f for f in (
 
 _AGE = "((epoch_us((SELECT max(ts) FROM events)) - epoch_us({})) / 8.64e10)"
 ORACLE = {
-    "stream_l1_window": f"""WITH {b.MESSAGES}, recent AS (SELECT *, row_number() OVER (
-        PARTITION BY user_id, session_id ORDER BY seq DESC) AS pos FROM messages)
+    "stream_l1_window": f"""WITH {b.MESSAGES}, cleared AS (SELECT user_id, session_id, max(seq) AS last FROM messages
+        WHERE (-id - 1) // {tables.TURNS_PER_CONVERSATION} % 5 = 0 AND (-id - 1) % {tables.TURNS_PER_CONVERSATION} = 2
+        GROUP BY ALL), recent AS (SELECT m.*, row_number() OVER (
+        PARTITION BY user_id, session_id ORDER BY seq DESC) AS pos
+        FROM messages m LEFT JOIN cleared c USING (user_id, session_id) WHERE seq > coalesce(last, -1))
       SELECT user_id, session_id, seq, pos, content FROM recent WHERE pos <= 20""",
     "stream_session_counters": f"""WITH {b.MESSAGES} SELECT user_id, session_id,
       CAST(sum(length(content) // 4) AS BIGINT) AS token_count, count(*) AS message_count
       FROM messages GROUP BY ALL""",
     "stream_audit": """SELECT CAST(user_id AS VARCHAR) AS user_id, 'context_' || event_type AS action,
       count(*) AS entries FROM events GROUP BY ALL""",
-    "stream_access": """SELECT event_id % 1000 AS id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_accessed_at
+    "stream_access": """SELECT event_id % (SELECT count(*) FROM documents) AS id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_accessed_at
       FROM events WHERE event_type = 'view' GROUP BY 1""",
     "stream_retention": f"""WITH {b.ITEMS}, acted AS (SELECT
         CASE WHEN memory_layer = 'L4' THEN 'ctx_users'

@@ -34,6 +34,7 @@ OVERFETCH = 3
 SKILL_TOP_K = 3
 
 # Chunking.
+EXPIRED_REASON = "ttl expired"
 CHUNK_SIZE, CHUNK_OVERLAP, CHUNK_THRESHOLD = 600, 80, 600
 SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ", "")
 
@@ -90,7 +91,6 @@ HTML_DROPPED = ("script", "style", "nav", "footer", "header", "aside", "form")
 HTML_HEADINGS = ("h1", "h2", "h3", "h4")
 HTML_BLOCKS = ("p", "li", "pre", "code")
 HTML_MAIN_ID = r"content|main|body"
-HTML_FALLBACK_CHARS = 8000
 DOCSTRING_CHARS = 200
 PARAGRAPHS_PER_CHUNK = 3
 LIST_PREVIEW_CHARS = 200

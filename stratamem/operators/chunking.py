@@ -92,8 +92,10 @@ def _pieces(text: str, separators: tuple[str, ...], origin: int, size: int,
             first += taken
             continue
         else:
-            chunks += _pieces(text[opening:ends[first]], finer, at, size, overlap)
-            at = chunks[-1][2]
+            inner = _pieces(text[opening:ends[first]], finer, at, size, overlap)
+            chunks += inner
+            # A piece made of finer separators only has no chunk.
+            at = inner[-1][2] if inner else at
         at += gap if first < final else 0
         first += taken
     return chunks

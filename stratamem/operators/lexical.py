@@ -136,8 +136,16 @@ def sparse_vector_map(tokens: Column, idf_of: Column, avg_len: Column) -> Column
     return F.map_from_arrays(terms, weights)
 
 
-def sparse_similarity(vectors: DataFrame, key: str, query: DataFrame) -> DataFrame:
-    """Cosine of every text's sparse vector with one query vector (term, weight).
+def sparse_norms(vectors: DataFrame, key: str, docs: DataFrame) -> DataFrame:
+    """Terms and length of every text's sparse vector; the empty vector has neither."""
+    sums = vectors.groupBy(key).agg(F.count(F.lit(1)).alias("terms"),
+                                    F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
+    return docs.select(key).join(sums, key, "left").select(
+        key, F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("length", F.lit(0.0)).alias("length"))
+
+
+def sparse_similarity(vectors: DataFrame, key: str, query: DataFrame, docs: DataFrame) -> DataFrame:
+    """Cosine of the sparse vector of every text of ``docs`` with one query vector (term, weight).
 
     A text's norm and its product with the query come from one aggregation over
     the long form.
@@ -148,5 +156,5 @@ def sparse_similarity(vectors: DataFrame, key: str, query: DataFrame) -> DataFra
             .groupBy(key).agg(F.sum(F.col("weight") * F.coalesce("q_weight", F.lit(0.0))).alias("product"),
                               F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length")))
     scale = F.col("length") * q_norm.scalar()
-    return (sums.select(key, F.coalesce(F.when(scale > 0, F.col("product") / scale), F.lit(0.0))
-                    .alias("similarity")))
+    return docs.select(key).join(sums, key, "left").select(
+        key, F.coalesce(F.when(scale > 0, F.col("product") / scale), F.lit(0.0)).alias("similarity"))

@@ -98,6 +98,8 @@ def gc_apply(plan: DataFrame, as_of: Column) -> DataFrame:
     return (plan.filter(F.col("action") != "deleted")
             .withColumn("is_deprecated", F.col("is_deprecated") | expired)
             .withColumn("deprecated_at", F.when(expired, as_of).otherwise(F.col("deprecated_at")))
+            .withColumn("deprecated_reason", F.when(expired, F.lit(K.EXPIRED_REASON)).otherwise(
+                F.col("deprecated_reason") if "deprecated_reason" in plan.columns else F.lit(None).cast("string")))
             .drop("immune", "ttl_days", "age_days", "expired", "grace_over", "action", "reason"))
 
 

@@ -135,7 +135,12 @@ def apply_updates(tasks: DataFrame, updates: DataFrame, key: str = "id") -> Data
 
 
 def insert_unique(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` whose every unique key is free, for appending."""
+    """Rows of ``new`` whose every unique key is free, for appending.
+
+    Of new rows that share a key the first by all keys' values stays, one key after the
+    other, so what is returned is unique in itself.
+    """
     for key in keys:
         new = new.join(existing.select(key), key, "left_anti")
+        new = top_n_per_group(new, [key], [F.col(k).asc_nulls_last() for k in keys], 1)
     return new

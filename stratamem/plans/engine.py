@@ -7,6 +7,7 @@ in and must grow from call to call: it orders the events of an item.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 from datetime import datetime
 
@@ -134,7 +135,11 @@ class MemoryEngine:
         """user_id, memory_layer, content and optionally importance, session_id,
         metadata, confidence, is_pinned -> stored items.
         """
-        rows = store_plan.store(_defaults(requests, {
+        # Every row of every call is a request of its own; written, so that its name holds.
+        call = uuid.uuid4().hex
+        named = session.materialize(requests.withColumn("_place", F.monotonically_increasing_id()), "requests")
+        named = named.withColumn("request", F.concat_ws(":", F.lit(call), "_place")).drop("_place")
+        rows = store_plan.store(_defaults(named, {
             "importance": F.lit(0.5), "session_id": F.lit(None).cast("string"), "is_pinned": F.lit(False),
             "metadata": F.lit(None).cast(schema.STR_MAP), "confidence": F.lit(1.0)}), _ts(now), self.embed)
         stored = session.materialize(rows, "stored")
@@ -387,7 +392,7 @@ class MemoryEngine:
         """One retention pass: deletes, soft deletes, log, and counts per collection."""
         plan = session.materialize(lifecycle.gc_plan(self.items(), _ts(now), policy).select(
             "id", "collection", "memory_layer", "action", "reason"), "gc-plan")
-        expired = plan.filter(F.col("action") == "deprecated").withColumn("reason", F.lit("ttl expired"))
+        expired = plan.filter(F.col("action") == "deprecated").withColumn("reason", F.lit(K.EXPIRED_REASON))
         self._append("items", _mark(expired, "deprecate", now))
         self._append("items", _mark(plan.filter(F.col("action") == "deleted"), "delete", now))
         self._append("gc_log", lifecycle.gc_log(plan, run_id, _ts(now)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratamem.functions import text
 from stratamem.plans import store as store_plan
 from stratamem.plans.store import merge_maps
+from stratamem.sources.documents import failed
 
 
 def ingest_rows(sections: DataFrame, source: str, memory_layer: str = "L3", importance: float = 0.8,
@@ -33,13 +34,13 @@ def ingest(sections: DataFrame, source: str, as_of: Column, embedder=None, **opt
 def ingest_result(sections: DataFrame, source: str) -> DataFrame:
     """Sections stored, failed and in total per source.
 
-    A section that sanitizing leaves blank cannot be stored and counts as failed;
-    blank sections count in the total only.
+    A section that sanitizing leaves blank cannot be stored and counts as failed, and so
+    does a source that could not be parsed; blank sections count in the total only.
     """
     content = F.col("content")
     blank = text.is_blank(content)
     empty = text.is_blank(text.sanitize(content))
     return sections.groupBy(source).agg(
         F.count_if(~empty).alias("chunks_stored"),
-        F.count_if(~blank & empty).alias("chunks_failed"),
+        F.count_if((~blank & empty) | failed(F.col("metadata"))).alias("chunks_failed"),
         F.count(F.lit(1)).alias("total_chunks"))

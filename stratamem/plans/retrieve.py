@@ -184,7 +184,9 @@ def rank_and_select(rows: DataFrame, queries: DataFrame, as_of: Column, opts: Re
                         scoring.round4(F.col("bm25_norm")).alias("bm25_norm"), "token_estimate", "content")
 
 
-def result_tokens(results: DataFrame) -> DataFrame:
-    """Rows and tokens returned per query."""
-    return results.groupBy("query_id").agg(
+def result_tokens(results: DataFrame, queries: DataFrame) -> DataFrame:
+    """Rows and tokens returned per query, 0 for queries without a result."""
+    sums = results.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("items"), F.sum("token_estimate").alias("total_tokens"))
+    return queries.select("query_id").join(sums, "query_id", "left").select(
+        "query_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("items", "total_tokens")])

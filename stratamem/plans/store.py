@@ -50,9 +50,13 @@ def store(contents: DataFrame, as_of: Column, embedder: Callable[[Column], Colum
 
     Long content of the vector layers is chunked, each chunk being an item of its
     own with its place in the metadata; working memory stays whole and without a
-    vector. Blank chunks are not valid items and are left out.
+    vector. Blank chunks are not valid items and are left out. Rows that carry a
+    ``request`` (any text that no other row has) give items of their own even where the
+    content is stored already; without it, equal rows are one item.
     """
-    keep = ["user_id", "session_id", "memory_layer", "importance", "is_pinned", "metadata"]
+    keep = ["user_id", "session_id", "memory_layer", "importance", "is_pinned", "request", "metadata"]
+    if "request" not in contents.columns:
+        contents = contents.withColumn("request", F.lit(None).cast("string"))
     base = merge_maps(F.coalesce("metadata", F.create_map().cast(schema.STR_MAP)), F.create_map(
         F.lit("confidence"), F.coalesce("confidence", F.lit(1.0)).cast("string")))
     clean = contents.select(
@@ -75,7 +79,8 @@ def store(contents: DataFrame, as_of: Column, embedder: Callable[[Column], Colum
     project = F.nullif(F.col("metadata")["project"], F.lit(""))
     return rows.select(
         text.stable_id(F.col("user_id"), F.col("session_id"), F.col("memory_layer"), F.col("content"),
-                       F.to_json(F.map_from_entries(F.sort_array(F.map_entries("metadata"))))).alias("id"),
+                       F.to_json(F.map_from_entries(F.sort_array(F.map_entries("metadata")))),
+                       F.col("request")).alias("id"),
         "user_id", "session_id", project.alias("project"), F.lit(None).cast("string").alias("item_type"),
         "content", "memory_layer", "importance", "is_pinned", F.lit(False).alias("is_deprecated"),
         F.lit(None).cast("timestamp").alias("deprecated_at"), F.lit(None).cast("string").alias("deprecated_reason"),

@@ -26,6 +26,8 @@ from stratamem.operators.chunking import paragraph_groups
 from stratamem.sources.html import page_sections
 
 SECTIONS = T.ArrayType(schema.SECTION)
+# The metadata key of a source that could not be parsed.
+ERROR = "error"
 INLINE_WS = r"[\t\x{1f} \x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
 HEADING_LINE = rf"#{{1,6}}{INLINE_WS}+[^\n]+"
 
@@ -87,7 +89,7 @@ def code_sections(source: str, content: str) -> list[dict]:
 def _python_definitions(source: str, content: str) -> list[dict]:
     try:
         nodes = list(ast.walk(ast.parse(content)))
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     lines = content.splitlines()
     kinds = (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)
@@ -151,11 +153,23 @@ def docx_sections(data: bytes) -> list[dict]:
 
 
 def _batched(helper: Callable[..., list[dict]]):
-    """An Arrow-batched function that applies a per-document helper."""
+    """An Arrow-batched function that applies a per-document helper.
+
+    A source that fails gives one section without content that names the error in its
+    metadata; the others of its batch go on.
+    """
+
+    def one(source, content) -> list[dict]:
+        if content is None:
+            return []
+        try:
+            return helper(source, content)
+        except Exception as e:
+            return [{"content": None, "title": None, "metadata": {ERROR: f"{type(e).__name__}: {e}"}}]
 
     @F.pandas_udf(SECTIONS)
     def run(first: pd.Series, second: pd.Series) -> pd.Series:
-        return pd.Series([[] if b is None else helper(a, b) for a, b in zip(first, second)])
+        return pd.Series([one(a, b) for a, b in zip(first, second)])
 
     return run
 
@@ -163,7 +177,12 @@ def _batched(helper: Callable[..., list[dict]]):
 def _explode(docs: DataFrame, sections: Column, keep: Sequence[str]) -> DataFrame:
     return (docs.select(*keep, F.posexplode_outer(sections).alias("section_index", "s"))
             .filter(F.col("s").isNotNull()).select(*keep, "section_index", "s.content", "s.title", "s.metadata")
-            .filter(~text.is_blank(F.col("content"))))
+            .filter(~text.is_blank(F.col("content")) | failed(F.col("metadata"))))
+
+
+def failed(metadata: Column) -> Column:
+    """Whether a section stands for a source that could not be parsed."""
+    return F.coalesce(F.map_contains_key(metadata, F.lit(ERROR)), F.lit(False))
 
 
 def read_code(docs: DataFrame, source: str, content: str, keep: Sequence[str]) -> DataFrame:
@@ -198,14 +217,19 @@ def read_pdf(files: DataFrame, source: str, data: str, keep: Sequence[str]) -> D
                               "_text", keep)
 
 
-def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_files(spark: SparkSession, paths: str | list[str],
+               parsers: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
     """Files of any supported kind as sections, each routed to its parser.
 
-    Files without a parser raise when read, as an unknown source is an error.
+    ``parsers`` adds or replaces kinds: by a file suffix with its dot, a function from
+    rows of source, content (bytes) and body (text) to sections. Files without a parser
+    raise when read, as an unknown source is an error.
     """
     files = (spark.read.format("binaryFile").load(paths)
              .select(F.col("path").alias("source"), "content"))
-    routed = files.withColumn("parser", routing.parser_of(F.col("source"))).withColumn(
+    own = text.suffix(F.col("source"))
+    routed = files.withColumn("parser", F.when(own.isin(*(parsers or {})), own).otherwise(
+        routing.parser_of(F.col("source")))).withColumn(
         "parser", F.coalesce("parser", F.raise_error(F.concat(F.lit("no parser for "), F.col("source")))))
     body = routed.withColumn("body", F.make_valid_utf8(F.col("content").cast("string")))
     keep = ["source"]
@@ -220,6 +244,7 @@ def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     except ImportError:
         kinds["pdf"] = lambda d: markdown_sections(
             d.withColumn("body", F.raise_error(F.lit("reading PDF files needs pdfplumber"))), "body", keep)
+    kinds |= parsers or {}
     out = None
     for kind, reader in kinds.items():
         part = reader(body.filter(F.col("parser") == kind))

@@ -27,18 +27,23 @@ class Node:
     def __init__(self, tag: str, attrs: dict | None = None):
         self.tag, self.attrs, self.children = tag, attrs or {}, []
 
-    def walk(self):
-        for child in self.children:
+    def parts(self):
+        """Elements and strings below, in document order; depth costs no recursion."""
+        ahead = [iter(self.children)]
+        while ahead:
+            child = next(ahead[-1], None)
+            if child is None:
+                ahead.pop()
+                continue
+            yield child
             if isinstance(child, Node):
-                yield child
-                yield from child.walk()
+                ahead.append(iter(child.children))
+
+    def walk(self):
+        return (part for part in self.parts() if isinstance(part, Node))
 
     def strings(self):
-        for child in self.children:
-            if isinstance(child, Node):
-                yield from child.strings()
-            else:
-                yield child
+        return (part for part in self.parts() if not isinstance(part, Node))
 
     def text(self, separator: str) -> str:
         return separator.join(s for s in map(str.strip, self.strings()) if s)
@@ -86,16 +91,21 @@ def parse(html: str) -> Node:
     return builder.root
 
 
-def drop_noise(node: Node) -> None:
-    node.children = [c for c in node.children
-                     if not (isinstance(c, Node) and c.tag in K.HTML_DROPPED)]
-    for child in node.children:
-        if isinstance(child, Node):
-            drop_noise(child)
+def drop_noise(root: Node) -> None:
+    ahead = [root]
+    while ahead:
+        node = ahead.pop()
+        node.children = [c for c in node.children
+                         if not (isinstance(c, Node) and c.tag in K.HTML_DROPPED)]
+        ahead += [c for c in node.children if isinstance(c, Node)]
+
 
+def page_sections(url: str, html: str, fallback_chars: int | None = None) -> list[dict]:
+    """Sections of the page's main area under its h1 to h4 headings.
 
-def page_sections(url: str, html: str) -> list[dict]:
-    """Sections of the page's main area under its h1 to h4 headings."""
+    A page without headings or blocks is one section with its whole text, or the first
+    ``fallback_chars`` of it.
+    """
     root = parse(html)
     drop_noise(root)
     named = re.compile(K.HTML_MAIN_ID, re.I)
@@ -121,5 +131,5 @@ def page_sections(url: str, html: str) -> list[dict]:
          "metadata": {"url": url, "section": name}}
         for name, parts in groups if parts
     ]
-    whole = (area or root).text("\n")[:K.HTML_FALLBACK_CHARS]
+    whole = (area or root).text("\n")[:fallback_chars]
     return found or [{"content": whole, "title": page_title, "metadata": {"url": url}}]

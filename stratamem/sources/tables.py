@@ -17,7 +17,9 @@ from stratamem.operators.chunking import char_windows
 AS_OF = "2024-02-01 00:00:00"
 TENANTS = ("en", "fr", "de", "es")
 SESSIONS = 20
-IDS_PER_DOC = 1_000_000
+# No text is long enough for as many windows, no conversation for as many turns.
+IDS_PER_DOC = 1 << 24
+TURNS_PER_CONVERSATION = 1 << 24
 SPLIT_BYTES = 128 << 20
 SMALL_SLICE = 64 << 10
 
@@ -112,14 +114,15 @@ def memory_items(spark: SparkSession, base: str, embedded: bool = False) -> Data
 
 
 def retrieval_queries(spark: SparkSession, base: str) -> DataFrame:
-    """One query per benchmark passage with the vector of the same number.
+    """One query per benchmark passage with the vector of its number modulo their count.
 
     Two in four name a session and one of those a project too.
     """
     i = F.col("item_id")
-    return (read(spark, base, "benchmark")
-            .join(read(spark, base, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding"),
-                  "item_id")
+    vectors = read(spark, base, "embeddings").select("vec_id", "embedding")
+    count = vectors.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return (read(spark, base, "benchmark").withColumn("vec_id", F.pmod("item_id", count))
+            .join(vectors, "vec_id")
             .select(i.alias("query_id"), tenant(i).alias("user_id"),
                     F.when(i % 8 >= 4, session_name(i)).alias("session_id"),
                     F.when(i % 8 >= 6, session_name(i)).alias("project"),
@@ -129,7 +132,7 @@ def retrieval_queries(spark: SparkSession, base: str) -> DataFrame:
 def l1_messages(spark: SparkSession, base: str) -> DataFrame:
     """Working-memory messages in arrival order, a minute apart within a session."""
     c, t = F.col("conv_id"), F.col("turn")
-    seq = c * 1000 + t
+    seq = c * TURNS_PER_CONVERSATION + t
     return read(spark, base, "conversations").select(
         (-seq - 1).alias("id"), tenant(c).alias("user_id"), session_name(c).alias("session_id"),
         seq.alias("seq"), "role", text.strip(F.col("text")).alias("content"),

@@ -35,6 +35,11 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
             .format("parquet").load(glob))
 
 
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """The state store of every stream of the session; the default one lives on the executors' heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
 def run_to_files(stream: DataFrame, path: str, mode: str = "append",
                  trigger: dict | None = None) -> str:
     """Drain the stream into files: one folder per batch, rewritten on a retry."""
@@ -42,6 +47,7 @@ def run_to_files(stream: DataFrame, path: str, mode: str = "append",
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/data/epoch={epoch}")
 
+    keep_state_on_disk(stream.sparkSession)
     query = (stream.writeStream.outputMode(mode).foreachBatch(write)
              .option("checkpointLocation", f"{path}/state")
              .trigger(**(trigger or {"availableNow": True})).start())
@@ -64,15 +70,21 @@ class LastMessages(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.window = handle.getListState("window", "seq long, content string")
+        self.cleared = handle.getValueState("cleared", "seq long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kept = pd.DataFrame(list(self.window.get()) if self.window.exists() else [],
                             columns=["seq", "content"])
-        kept["op"] = "push"
+        # The last clear is kept, since older messages may come after it, in this batch or later.
+        cleared = self.cleared.get()[0] if self.cleared.exists() else None
         for part in rows:
-            kept = pd.concat([kept, part[["seq", "content", "op"]]], ignore_index=True).sort_values("seq")
-            cleared = kept.loc[kept["op"] == "clear", "seq"].max()
-            if pd.notna(cleared):
+            newest = part.loc[part["op"] == "clear", "seq"].max()
+            if pd.notna(newest) and (cleared is None or newest > cleared):
+                cleared = int(newest)
+                self.cleared.update((cleared,))
+            pushed = part.loc[part["op"] != "clear", ["seq", "content"]]
+            kept = pd.concat([kept, pushed], ignore_index=True).sort_values("seq", kind="stable")
+            if cleared is not None:
                 kept = kept[kept["seq"] > cleared]
             kept = kept.tail(self.size)
         if len(kept):
@@ -97,7 +109,6 @@ def window_stream(messages: DataFrame, size: int = K.WINDOW_SIZE, slices: int =
     ``size`` messages, so that one busy session is shared among tasks. A clear
     goes to every slice.
     """
-    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     every = F.sequence(F.lit(0), F.lit(slices - 1))
     own = F.array(F.pmod(F.xxhash64("seq"), F.lit(slices)).cast("int"))
     sliced = messages.withColumn("slice", F.explode(F.when(F.col("op") == "clear", every).otherwise(own)))
@@ -141,11 +152,15 @@ def access_stream(hits: DataFrame) -> DataFrame:
 
 
 def retention_daemon(ticks: DataFrame, items: Callable[[], DataFrame], path: str,
+                     act: Callable[[DataFrame, object], None] | None = None,
                      policy: lifecycle.RetentionPolicy = lifecycle.DEFAULT_POLICY, trigger: dict | None = None) -> str:
     """Run retention for every batch of a tick stream, as of the batch's newest tick.
 
     ``ticks`` has one timestamp column ``ts``; use ``processingTime="24 hours"`` as
-    trigger for a daily run. Each run writes its log under its batch number.
+    trigger for a daily run. Each run writes its log under its batch number, then hands
+    the written log to ``act`` (with the time of the run), which deprecates and deletes;
+    the next run plans on what ``items`` gives then. A run that is repeated after a
+    failure logs and acts on the same items again, so ``act`` must bear that.
     """
 
     def sweep(batch: DataFrame, epoch: int) -> None:
@@ -154,6 +169,8 @@ def retention_daemon(ticks: DataFrame, items: Callable[[], DataFrame], path: str
         plan = lifecycle.gc_plan(lifecycle.with_collection(items()), now, policy)
         log = lifecycle.gc_log(plan, f"run-{epoch}", now)
         log.write.mode("overwrite").parquet(f"{path}/data/epoch={epoch}")
+        if act:
+            act(batch.sparkSession.read.schema(log.schema).parquet(f"{path}/data/epoch={epoch}"), now)
 
     query = (ticks.writeStream.foreachBatch(sweep).option("checkpointLocation", f"{path}/state")
              .trigger(**(trigger or {"availableNow": True})).start())
