@@ -19,7 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +34,6 @@ PERCENT = 85
 MIN_FEATURES = 4.0
 # Share of sets that may have to emit signatures of empty partitions.
 EMPTY_SHARE = 1e-5
-# Groups up to this size are compared pair by pair at once.
-SMALL_GROUP = 3
 # Signatures a task holds before it combines those of one group.
 HELD_SIGNATURES = 1 << 20
 U64 = np.uint64
@@ -188,9 +186,9 @@ def _sampled(width: int, share: float) -> Callable:
 def _sign(percent: int) -> Callable:
     """Rows (sig, rank, a, b) of sets (key, rank, grams); b is null.
 
-    Of groups above SMALL_GROUP among the signatures a task holds, only the first set by
-    rank and key goes on under the signature; the others are paired with it, as rows with
-    both sets, and listed as members, as rows with one set twice.
+    Of the sets that share a signature in what a task holds, only the first by rank and
+    key goes on under it; the others are paired with it, as rows with both sets and the
+    first one's rank, and listed as members, as rows with one set twice.
     """
     def combine(sigs: list[np.ndarray], ranks: list[int], keys: list[int]) -> Iterator[pa.RecordBatch]:
         sizes = [len(s) for s in sigs]
@@ -228,34 +226,33 @@ def _rows(sig: np.ndarray, rank: np.ndarray, a: np.ndarray, b: np.ndarray | None
 
 
 def _emit(sig: np.ndarray, rank: np.ndarray, key: np.ndarray, forward: bool) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of rows sorted by sig, rank and key; ``forward`` leaves small groups to a later step."""
+    """Each set with the first of its group, from rows sorted by sig, rank and key.
+
+    All sets of a group are listed as members too, to come back to if the first does not
+    hold them together; ``forward`` also passes it on to a later step.
+    """
     fresh = np.ones(len(sig), bool)
     fresh[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
     sig, rank, key = sig[fresh], rank[fresh], key[fresh]
     head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
     size = np.diff(np.append(head, len(sig)))
-    large = size > SMALL_GROUP
     if forward:
-        keep = np.repeat(~large, size)
-        keep[head] = True
-        yield from _rows(sig[keep], rank[keep], key[keep], None)
-    pairs = []
-    for m in range(2, SMALL_GROUP + 1) if not forward else ():
-        at = head[size == m]
-        pairs += [(key[at + i], key[at + j]) for i in range(m) for j in range(i + 1, m)]
-    member = np.repeat(large, size)
-    centre = np.repeat(key[head], size)
-    # Members of large groups, to come back to if the centre does not hold them together.
+        yield from _rows(sig[head], rank[head], key[head], None)
+    member = np.repeat(size > 1, size)
     yield from _rows(sig[member], rank[member], key[member], key[member])
-    pairs.append((centre[member], key[member]))
-    a, b = (np.concatenate(c) for c in zip(*pairs))
-    found = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
-    yield from _rows(mix(found[:, 0].astype(U64), 41).astype(np.int64), np.zeros(len(found), np.int64),
-                     found[:, 0], found[:, 1])
+    first = np.repeat(head, size)
+    pair = np.flatnonzero(member & (first != np.arange(len(sig))))
+    # A set needs its best partner only; the other pairs come back through the members.
+    a, b, best = key[first[pair]], key[pair], rank[first[pair]]
+    order = np.lexsort((a, best, b))
+    once = np.ones(len(order), bool)
+    once[1:] = b[order][1:] != b[order][:-1]
+    kept = order[once]
+    yield from _rows(mix(b[kept].astype(U64), 41).astype(np.int64), best[kept], a[kept], b[kept])
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs and members of large groups, from rows sorted by signature, rank and set."""
+    """Candidate pairs and members of groups, from rows sorted by signature, rank and set."""
     held = [np.zeros(0, np.int64)] * 3
     for batch in batches:
         made = np.asarray(batch.column("b").is_valid())
@@ -288,7 +285,7 @@ def _sets(width: int) -> Callable:
 # -- The join -----------------------------------------------------------------------
 
 
-def _name() -> F.Column:
+def _name() -> Column:
     """A class's name: both keys of its set, in an order that is random to its shape."""
     return F.concat(F.lpad(F.hex("key"), 16, "0"), F.lpad(F.hex("check"), 16, "0"))
 
@@ -326,24 +323,80 @@ def _verify(sets: DataFrame, pairs: DataFrame, percent: int, label: str) -> Data
         "a", "b"), label)
 
 
-def _remaining(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in groups (sig, name, n, component) that may still link.
+def _apart(grouped: DataFrame, joined: DataFrame | None, n_able: int, broadcast_rows: int, label: str) -> DataFrame:
+    """The groups (sig, name, n, lone, rank, component) whose sets the links do not join yet."""
+    if joined is None:
+        members = grouped.withColumn("component", F.col("name"))
+    else:
+        at = broadcast_if_small(joined.withColumnRenamed("node", "name"), n_able, broadcast_rows)
+        members = grouped.join(at, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    apart = members.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter(
+        "least <> most").select("sig")
+    return materialize(members.join(apart, "sig", "left_semi"), label)
+
+
+def _fits(common: Column, total: Column, percent: int) -> Column:
+    """Whether sets of so many shingles together can link if they share at most so many."""
+    return common * 100 >= (total - common) * percent
+
+
+def _with_first(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the sets of each group with its first set, where their components differ."""
+    rows = rest.withColumn("c", F.col("n") - F.col("lone"))
+    first = rows.groupBy("sig").agg(F.min(F.struct("rank", "name", "n", "c", "component")).alias("first"))
+    other = F.col("first.component") != F.col("component")
+    fits = _fits(F.least("first.c", "c"), F.col("first.n") + F.col("n"), percent)
+    met = rows.join(first.withColumnRenamed("sig", "_sig"), (F.col("sig") == F.col("_sig")) & other & fits)
+    return met.select(F.least("first.name", "name").alias("a"), F.greatest("first.name", "name").alias("b")).distinct()
+
+
+def _remaining(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components in the groups that may still link.
 
     A shingle that one of the sets alone has is in no overlap. A set with too many such
     shingles links with none, and with c others each, two sets overlap in at most the
-    smaller c.
+    smaller c. Groups that share sets form a family; a family is paired as a whole where
+    that compares fewer pairs than its groups one by one, in which a pair is made under
+    the smallest signature both have.
     """
-    lone = sets.select("name", F.explode("grams").alias("gram")).groupBy("gram").agg(
-        F.count(F.lit(1)).alias("sets"), F.min("name").alias("name")).filter("sets = 1")
-    lone = lone.groupBy("name").agg(F.count(F.lit(1)).alias("lone"))
-    able = members.join(lone, "name", "left").withColumn("c", F.col("n") - F.coalesce("lone", F.lit(0))).filter(
-        F.col("c") * 100 >= F.col("n") * percent).drop("lone")
-    left, right = (able.select("sig", *[F.col(c).alias(f"{s}_{c}") for c in ("name", "n", "c", "component")])
-                   for s in "ab")
-    common = F.least("a_c", "b_c")
-    return left.join(right, (left["sig"] == right["sig"]) & (F.col("a_component") < F.col("b_component"))
-                     & (common * 100 >= (F.col("a_n") + F.col("b_n") - common) * percent)).select(
-        F.least("a_name", "b_name").alias("a"), F.greatest("a_name", "b_name").alias("b")).distinct()
+    able = rest
+    for step in range(2):
+        # Without the sets just found unable, others have more shingles of their own.
+        wanted = sets.join(able.select("name").distinct(), "name", "left_semi")
+        lone = wanted.select("name", F.explode("grams").alias("gram")).groupBy("gram").agg(
+            F.count(F.lit(1)).alias("sets"), F.min("name").alias("name")).filter("sets = 1")
+        lone = lone.groupBy("name").agg(F.count(F.lit(1)).alias("lone"))
+        able = able.drop("lone").join(lone, "name", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+        able = materialize(able.filter((F.col("n") - F.col("lone")) * 100 >= F.col("n") * percent), f"able-{step}")
+    first = able.groupBy("sig").agg(F.min("name").alias("first"))
+    ties = materialize(able.join(first, "sig").filter("name <> first").select(
+        F.col("first").alias("a"), F.col("name").alias("b")).distinct(), "ties")
+    families = components(ties, "families")
+    if families is None:
+        return able.select(F.col("name").alias("a"), F.col("name").alias("b")).limit(0)
+    listed = able.groupBy("name").agg(F.sort_array(F.collect_set("sig")).alias("sigs"))
+    able = able.join(families.select(F.col("node").alias("name"), F.col("component").alias("family")), "name").join(
+        listed, "name").withColumn("c", F.col("n") - F.col("lone"))
+    able = materialize(able, "able-members")
+    pairs_in = lambda n: F.col(n) * (F.col(n) - 1) / 2
+    by_group = able.groupBy("family", "sig").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(
+        F.sum(pairs_in("n")).alias("apart"))
+    by_family = able.groupBy("family").agg(F.countDistinct("name").alias("n")).withColumn("together", pairs_in("n"))
+    whole = by_family.join(by_group, "family").filter("together <= apart").select("family")
+    whole = materialize(whole, "whole-families")
+
+    def pairs(rows: DataFrame, key: str, more: Column | None = None) -> DataFrame:
+        left, right = (rows.select(*[F.col(c).alias(f"{s}_{c}") for c in (key, "name", "n", "c", "component", "sigs")])
+                       for s in "ab")
+        fits = _fits(F.least("a_c", "b_c"), F.col("a_n") + F.col("b_n"), percent)
+        on = (F.col(f"a_{key}") == F.col(f"b_{key}")) & (F.col("a_component") < F.col("b_component")) & fits
+        return left.join(right, on if more is None else on & more).select(
+            F.least("a_name", "b_name").alias("a"), F.greatest("a_name", "b_name").alias("b"))
+
+    once = F.element_at(F.array_sort(F.array_intersect("a_sigs", "b_sigs")), 1) == F.col("a_sig")
+    together = able.join(whole, "family", "left_semi").dropDuplicates(["name"])
+    single = able.join(whole, "family", "left_anti")
+    return pairs(together, "family").unionByName(pairs(single, "sig", once))
 
 
 def _linked(docs: DataFrame, width: int, percent: int, broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -375,31 +428,28 @@ def _linked(docs: DataFrame, width: int, percent: int, broadcast_rows: int = MAX
         ends = [broadcast_if_small(able.select(
             F.col("key").alias(c), F.col("name").alias(f"{c}_name"), F.col("n").alias(f"{c}_n"),
             (F.col("n") - F.col("lone")).alias(f"{c}_c")), n_able, broadcast_rows) for c in "ab"]
-        common = F.least("a_c", "b_c")
-        fits = common * 100 >= (F.col("a_n") + F.col("b_n") - common) * percent
+        fits = _fits(F.least("a_c", "b_c"), F.col("a_n") + F.col("b_n"), percent)
         return pairs.join(ends[0], "a").join(ends[1], "b").filter(fits).select(
             F.least("a_name", "b_name").alias("a"), F.greatest("a_name", "b_name").alias("b"))
 
-    pairs = materialize(fitting(matched.filter("a <> b").select("a", "b").distinct()), "pairs")
+    # First every set meets its best partner, then in groups still apart the others meet
+    # the first set, then what is left meets pair by pair where a link is still possible.
+    best = matched.filter("a <> b").groupBy("b").agg(F.min(F.struct("rank", "a"))["a"].alias("a"))
+    pairs = materialize(fitting(best), "pairs")
     links = _verify(sets, pairs, percent, "links")
-    joined = components(links)
-    members = matched.filter("a = b").select("sig", F.col("a").alias("key")).distinct().join(
-        broadcast_if_small(able.select("key", "name", "n"), n_able, broadcast_rows), "key")
-    if joined is not None:
-        at = broadcast_if_small(joined.withColumnRenamed("node", "name"), n_able, broadcast_rows)
-        members = members.join(at, "name", "left").withColumn("component", F.coalesce("component", "name"))
-    else:
-        members = members.withColumn("component", F.col("name"))
-    members = materialize(members.select("sig", "name", "n", "component"), "members")
-    apart = materialize(members.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-                        .filter("least <> most").select("sig"), "apart")
-    if not apart.isEmpty():
-        rest = materialize(members.join(broadcast_if_small(apart, apart.count(), broadcast_rows), "sig", "left_semi"),
-                           "rest")
-        sets = sets.join(rest.select("name").distinct(), "name", "left_semi")
-        more = materialize(_remaining(rest, sets, percent).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-        links = links.unionByName(_verify(sets, more, percent, "more-links"))
-        joined = components(links, "all-components")
+    grouped = materialize(matched.filter("a = b").select("sig", F.col("a").alias("key")).distinct().join(
+        broadcast_if_small(able.select("key", "name", "n", "lone", "rank"), n_able, broadcast_rows), "key").drop("key"),
+        "members")
+    joined = components(links, "components-1")
+    for step, remaining in enumerate((_with_first, _remaining), 2):
+        rest = _apart(grouped, joined, n_able, broadcast_rows, f"apart-{step}")
+        if rest.isEmpty():
+            break
+        more = remaining(rest, sets, percent).join(pairs, ["a", "b"], "left_anti")
+        more = materialize(more, f"pairs-{step}")
+        pairs = pairs.unionByName(more)
+        links = links.unionByName(_verify(sets, more, percent, f"links-{step}"))
+        joined = components(links, f"components-{step}")
     named_classes = classes.select("name", "first_id", "class_size")
     if joined is not None:
         linked = named_classes.join(joined.withColumnRenamed("node", "name"), "name", "left").withColumn(
@@ -433,9 +483,8 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     shingles of ``width`` words, A-Z lower-cased; shorter texts are one shingle, and texts
     without words (null too) are linked with nothing. Sets link at ``percent`` or more.
     Shingles and sets are told apart by 64 and 128 bits of hash. Equal sets form a class;
-    candidates are pairs of classes with a common signature. In a group of more than
-    SMALL_GROUP classes all are compared with one; if the links found so far do not join
-    the whole group, those pairs of different components follow that can still link. Every row gives
+    candidates are pairs of classes with a common signature, compared until each group of
+    classes that share one is joined by links or no pair of it can still link. Every row gives
     one row, repeated ones too, and an empty table an empty result. Returns doc_id,
     n_shingles, component_id (smallest id reachable by links) and class_size.
     """
