@@ -11,6 +11,7 @@ from stratamem.operators import records as rec
 from stratamem.operators import summaries
 from stratamem.operators.knn import knn
 from stratamem.operators.topn import last_n_window, top_n_per_group
+from stratamem.operators.validation import checked
 from stratamem.sources import tables
 
 TIME = "yyyy-MM-dd HH:mm:ss"
@@ -55,10 +56,9 @@ def validate_items(spark, base):
         F.col("event_type") == "purchase", "L3").when(F.col("event_type") == "signup", "L4").otherwise("L9")
     importance = F.col("value") / 50
     content = F.regexp_replace(F.get_json_object("props", "$.k"), "^.$", " ")
-    problem = (F.when(~layer.isin(*K.LAYERS), "memory_layer")
-               .when(~importance.between(0.0, 1.0), "importance")
-               .when(text.is_blank(content), "content").otherwise("none"))
-    return e.groupBy("event_type", problem.alias("problem")).agg(F.count(F.lit(1)).alias("records"))
+    rows = e.select("event_type", layer.alias("memory_layer"), importance.alias("importance"), content.alias("content"))
+    found = F.coalesce("problem", F.lit("none"))
+    return checked(rows).groupBy("event_type", found.alias("problem")).agg(F.count(F.lit(1)).alias("records"))
 
 
 def metadata_merge(spark, base):

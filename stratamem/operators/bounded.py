@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 # Rows of a few dozen bytes: about 30 MB at most.
 MAX_BROADCAST_ROWS = 500_000
+# For rows that hold texts.
+MAX_BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_if_small(df: DataFrame, row_bound: int, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only for a side of proven size; otherwise let it shuffle."""
-    return F.broadcast(df) if row_bound <= limit else df
+def broadcast_if_small(df: DataFrame, row_bound: int, limit: int = MAX_BROADCAST_ROWS,
+                       text_bytes: int = 0) -> DataFrame:
+    """Hint a broadcast only for a side of proven size; otherwise let it shuffle.
+
+    ``text_bytes`` bounds the texts in the rows, where they have any of unlimited length.
+    """
+    return F.broadcast(df) if row_bound <= limit and text_bytes <= MAX_BROADCAST_BYTES else df
 
 
 def join_by_frequency(rows: DataFrame, counts: DataFrame, key: str, count: str, total: int,

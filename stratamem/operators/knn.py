@@ -1,15 +1,17 @@
 """Exact filtered nearest-neighbour search for a batch of queries.
 
-The item table is scanned once per block of queries. Each task multiplies its
-Arrow batches with the query matrix and keeps only its own best rows per query
-and group, so item-query pairs are never materialized as rows and nothing is
-shuffled but those few winners. Items need no partitioning by tenant: a tenant
-holding a third of the rows is spread over all tasks like any other.
+The items are read once, however many queries there are. A set of queries of checked
+size is shipped to every task: each multiplies its Arrow batches with the query matrix
+and keeps only its own best rows per query and group, so item-query pairs are never
+rows and nothing is shuffled but those few winners. Larger query sets stay a table:
+the items and the queries of a tenant are both cut into slices of bounded size, and
+every pair of slices meets in one task, so a tenant holding a third of the rows is
+spread over many of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -21,12 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratamem.functions.vector import rank_key
+from stratamem.operators.bounded import broadcast_if_small
 from stratamem.operators.topn import top_n_per_group
-from stratamem.session import MAX_BLOCK_ROWS
+from stratamem.session import MAX_BLOCK_ROWS, materialize
 
 FILTERS = ("session_id", "project", "item_type")
 SALTS = 16
 QUERY_SLICE = 256
+# Items of a tenant that meet a block of its queries in one task.
+SLICE_ITEMS = 50_000
 MERGE_ROWS = 200_000
 KEYS = ["query_id", "grp"]
 
@@ -54,25 +59,10 @@ def _encode(rows: pd.DataFrame, filters: Sequence[str]) -> QueryBlock:
                       _unit(vectors), wanted, codes)
 
 
-def _blocks(queries: DataFrame, filters: Sequence[str], limit: int) -> Iterator[QueryBlock]:
-    """Cut the query table into blocks of bounded size.
-
-    No more than ``limit + 1`` rows are ever fetched; a hash bucket found to hold
-    more than ``limit`` is cut again.
-    """
-    asked = queries.filter(F.size("embedding") > 0)
-    cols = asked.select("query_id", "user_id", "embedding", *filters)
-    pending = [(1, 0)]
-    while pending:
-        parts, bucket = pending.pop()
-        if parts > 1 << 40:
-            raise ValueError("query_id must be unique")
-        part = cols.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == bucket)
-        rows = (part if parts > 1 else cols).limit(limit + 1).toPandas()
-        if len(rows) > limit:
-            pending += [(parts * 4, bucket + parts * step) for step in range(4)]
-        elif len(rows):
-            yield _encode(rows, filters)
+def _by_length(rows: pd.DataFrame, filters: Sequence[str]) -> list[QueryBlock]:
+    """Blocks of queries with vectors of one length each; only items of that length match."""
+    lengths = rows["embedding"].map(len)
+    return [_encode(part, filters) for _, part in rows.groupby(lengths)]
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -156,16 +146,36 @@ def _searcher(block: QueryBlock, k: int, threshold: float, schema: pa.Schema,
     return search
 
 
+def _sliced(source: DataFrame, asked: DataFrame, search: Callable, out: T.StructType, block: int,
+            slice_items: int) -> DataFrame:
+    """Hits of query sets of any size: slices of a tenant's items meet slices of its queries."""
+    users = source.groupBy("user_id").agg(F.count(F.lit(1)).alias("_items")).join(
+        asked.groupBy("user_id").agg(F.count(F.lit(1)).alias("_queries")), "user_id").select(
+        "user_id", F.ceil(F.col("_items") / slice_items).alias("_parts"), F.ceil(F.col("_queries") / block).alias("_blocks"))
+    users = materialize(users, "tenants")
+    known = broadcast_if_small(users, users.count())
+    part = F.pmod(F.xxhash64("id"), F.col("_parts")).alias("_part")
+    own = F.pmod(F.xxhash64("query_id"), F.col("_blocks")).alias("_block")
+    left = source.join(known, "user_id").select(
+        *source.columns, part, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
+    right = asked.join(known, "user_id").select(
+        *asked.columns, own, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    keys = ["user_id", "_part", "_block"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, out)
+
+
 def knn(items: DataFrame, queries: DataFrame, k: int, group: str | None = "memory_layer",
         threshold: float = 0.0, filters: Sequence[str] = ("session_id", "project"),
         unfiltered: Mapping[str, Sequence[str]] | None = None,
-        max_block: int = MAX_BLOCK_ROWS, salts: int = SALTS) -> DataFrame:
+        max_block: int = MAX_BLOCK_ROWS, salts: int = SALTS, slice_items: int = SLICE_ITEMS) -> DataFrame:
     """The ``k`` most similar live items of the query's user, per ``group`` value.
 
     ``items``: id, user_id, embedding, is_deprecated, the filter columns and the
     group column. ``queries``: query_id (unique), user_id, embedding and the filter
     columns, where null or empty means no filter. ``unfiltered`` names filters that
-    do not apply to a group. Returns query_id, group, id, semantic and rank from 1.
+    do not apply to a group. Items whose vector has another length than a query's are
+    not found by it. Up to ``max_block`` queries are fetched, after they were counted;
+    more stay a table. Returns query_id, group, id, semantic and rank from 1.
     """
     if set(filters) - set(FILTERS):
         raise ValueError(f"filters must come from {FILTERS}: {filters}")
@@ -181,9 +191,22 @@ def knn(items: DataFrame, queries: DataFrame, k: int, group: str | None = "memor
     arrow = pa.schema([
         (f.name, {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(),
                   "double": pa.float64()}[f.dataType.simpleString()]) for f in out])
-    parts = [source.mapInArrow(_searcher(b, k, threshold, arrow, dict(unfiltered or {})), out)
-             for b in _blocks(queries, filters, max_block)]
-    hits = reduce(DataFrame.unionAll, parts) if parts else items.sparkSession.createDataFrame([], out)
+    asked = queries.filter(F.size("embedding") > 0).select("query_id", "user_id", "embedding", *filters)
+    free = dict(unfiltered or {})
+    if asked.count() <= max_block:
+        blocks = _by_length(asked.toPandas(), filters)
+        parts = [source.mapInArrow(_searcher(b, k, threshold, arrow, free), out) for b in blocks]
+        hits = reduce(DataFrame.unionAll, parts) if parts else items.sparkSession.createDataFrame([], out)
+    else:
+        def match(mine: pa.Table, wanted: pa.Table) -> pa.Table:
+            found = []
+            if mine.num_rows and wanted.num_rows:
+                batches = mine.drop_columns(["_part", "_block"]).to_batches(max_chunksize=10_000)
+                for b in _by_length(wanted.to_pandas(), filters):
+                    found += _searcher(b, k, threshold, arrow, free)(iter(batches))
+            return pa.Table.from_batches(found, arrow)
+
+        hits = _sliced(source, asked, match, out, max_block, slice_items)
     best = top_n_per_group(hits, KEYS, [rank_key(F.col("semantic")).desc(), F.col("id")], k,
                            rank_col="rank", salts=salts, salt_on=["id"])
     return best.withColumnRenamed("grp", group) if group else best.drop("grp")

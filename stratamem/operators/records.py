@@ -96,7 +96,8 @@ def window_after_clear(messages: DataFrame, clears: DataFrame, keys: Sequence[st
     The newest rows are taken first: a clear can only cut their older end, and a
     long session never meets the join whole.
     """
-    newest = top_n_per_group(messages, keys, [F.col("seq").desc()], n, rank_col="pos")
+    order = [F.col("seq").desc(), *[F.col(c).desc() for c in ("id",) if c in messages.columns]]
+    newest = top_n_per_group(messages, keys, order, n, rank_col="pos")
     last = clears.groupBy(*keys).agg(F.max("seq").alias("_cleared"))
     alive = F.col("_cleared").isNull() | (F.col("seq") > F.col("_cleared"))
     return newest.join(last, list(keys), "left").filter(alive).drop("_cleared")
@@ -140,7 +141,8 @@ def insert_unique(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> D
     Of new rows that share a key the first by all keys' values stays, one key after the
     other, so what is returned is unique in itself.
     """
+    names = new.columns
     for key in keys:
         new = new.join(existing.select(key), key, "left_anti")
         new = top_n_per_group(new, [key], [F.col(k).asc_nulls_last() for k in keys], 1)
-    return new
+    return new.select(names)

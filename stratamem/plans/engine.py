@@ -22,6 +22,7 @@ from stratamem.operators import lifecycle, records, summaries
 from stratamem.operators.bounded import broadcast_if_small
 from stratamem.operators.knn import knn
 from stratamem.operators.topn import top_n_per_group
+from stratamem.operators.validation import checked
 from stratamem.plans import ingest as ingest_plan
 from stratamem.plans import retrieve as retrieve_plan
 from stratamem.plans import store as store_plan
@@ -39,6 +40,8 @@ TABLES = {
     "bases": _fields(("seq", L)),
     "messages": _fields(("id", S), ("user_id", S), ("session_id", S), ("seq", L), ("content", S),
                         ("importance", D), ("is_pinned", B), ("metadata", schema.STR_MAP), ("created_at", TS)),
+    "quarantine": _fields(("user_id", S), ("session_id", S), ("memory_layer", S), ("importance", D), ("content", S),
+                          ("problem", S), ("ts", TS)),
     "clears": _fields(("user_id", S), ("session_id", S), ("seq", L)),
     "projects": _fields(("user_id", S), ("project", S), ("seq", L)),
     "tasks": _fields(*[(f.name, f.dataType) for f in schema.TASKS], ("seq", L)),
@@ -134,14 +137,21 @@ class MemoryEngine:
     def store(self, requests: DataFrame, now: datetime) -> DataFrame:
         """user_id, memory_layer, content and optionally importance, session_id,
         metadata, confidence, is_pinned -> stored items.
+
+        Rows that are no valid items go to the quarantine table with the reason.
         """
         # Every row of every call is a request of its own; written, so that its name holds.
         call = uuid.uuid4().hex
         named = session.materialize(requests.withColumn("_place", F.monotonically_increasing_id()), "requests")
         named = named.withColumn("request", F.concat_ws(":", F.lit(call), "_place")).drop("_place")
-        rows = store_plan.store(_defaults(named, {
+        named = checked(_defaults(named, {
             "importance": F.lit(0.5), "session_id": F.lit(None).cast("string"), "is_pinned": F.lit(False),
-            "metadata": F.lit(None).cast(schema.STR_MAP), "confidence": F.lit(1.0)}), _ts(now), self.embed)
+            "metadata": F.lit(None).cast(schema.STR_MAP), "confidence": F.lit(1.0)}))
+        bad = named.filter(F.col("problem").isNotNull())
+        if not bad.isEmpty():
+            self._append("quarantine", bad.withColumn("ts", _ts(now)))
+        good = named.filter(F.col("problem").isNull()).drop("problem")
+        rows = store_plan.store(good, _ts(now), self.embed)
         stored = session.materialize(rows, "stored")
         working = F.col("memory_layer") == "L1"
         home = self.get_project(stored).select("user_id", F.col("project").alias("_home"))

@@ -119,9 +119,11 @@ def rank_candidates(rows: DataFrame, queries: DataFrame, as_of: Column, opts: Re
     tokens = rows.withColumn("tokens", text.tokenize(F.col("content")))
     asked = queries.select("query_id", text.tokenize(F.col("query_text")).alias("tokens"))
     terms = query_terms(asked, "query_id", "tokens")
-    lexical = bm25_within_groups(tokens, broadcast_if_small(terms, terms.count()), GROUP)
+    # A term takes two bytes of its text at least, so the bytes bound both tables.
+    n_queries, size = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("query_text")), F.lit(0))).first()
+    lexical = bm25_within_groups(tokens, broadcast_if_small(terms, size // 2, text_bytes=size), GROUP)
     words = queries.select("query_id", text.word_set(F.col("query_text")).alias("query_words"))
-    words = broadcast_if_small(words, queries.count())
+    words = broadcast_if_small(words, n_queries, text_bytes=size)
     scored = score(rows.join(words, "query_id"), as_of).join(lexical, [*GROUP, "id"], "left").withColumn(
         "bm25_norm", max_normalized(F.coalesce("bm25", F.lit(0.0)), GROUP))
     if opts.positional_lexical:

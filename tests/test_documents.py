@@ -111,3 +111,34 @@ def test_page_text(spark):
     df = spark.createDataFrame([("f", 1, 2, "a\n\nb\n\nc\n\nd"), ("f", 2, 2, " ")], "source string, page int, total_pages int, t string")
     got = src.page_text_sections(df, "t", ["source"]).collect()
     assert sorted((r.title, r.content) for r in got) == [("Page 1", "a\n\nb\n\nc"), ("Page 1", "d")]
+
+
+def test_a_bad_source_fails_alone(spark):
+    from stratamem.plans import ingest
+    from stratamem.sources import documents, html
+    deep = "<div>" * 5000 + "deep text"
+    assert html.page_sections("u", deep)[0]["content"] == "deep text"
+    assert len(html.page_sections("u", "word " * 5000)[0]["content"]) > 20_000
+    assert len(html.page_sections("u", "word " * 5000, 8000)[0]["content"]) == 8000
+    code = "x = " + "(" * 5000 + "1" + ")" * 5000
+    assert documents.code_sections("deep.py", code)[0]["content"] == code
+    files = spark.createDataFrame([("bad.docx", bytearray(b"no zip"))], "source string, data binary")
+    broken = documents.read_docx(files, "source", "data", ["source"])
+    row, = broken.collect()
+    assert row["content"] is None and row["metadata"]["error"].startswith("BadZipFile")
+    good = spark.createDataFrame([("a.md", "# T\ntext")], "source string, body string")
+    both = broken.unionByName(documents.markdown_sections(good, "body", ["source"]))
+    counts = {r["source"]: (r["chunks_stored"], r["chunks_failed"], r["total_chunks"])
+              for r in ingest.ingest_result(both, "source").collect()}
+    assert counts == {"bad.docx": (0, 1, 1), "a.md": (1, 0, 1)}
+
+
+def test_parsers_can_be_added(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from stratamem.sources import documents
+    (tmp_path / "a.log").write_text("line")
+    (tmp_path / "b.md").write_text("# T\nbody")
+    own = {".log": lambda d: d.select("source", F.lit(0).alias("section_index"), F.col("body").alias("content"),
+                                      F.lit("log").alias("title"), F.create_map(F.lit("k"), F.lit("v")).alias("metadata"))}
+    got = {r["title"]: r["content"] for r in documents.read_files(spark, str(tmp_path), own).collect()}
+    assert got == {"log": "line", "T": "body"}

@@ -164,3 +164,19 @@ def test_retention_and_compaction(spark, engine, tick):
     engine.compact(tick())
     assert engine.items().count() == everything + 1
     assert engine.items().filter(F.col("id") == kept.id).first().deprecated_reason == "r"
+
+
+def test_equal_content_and_invalid_items(spark, tmp_path):
+    from datetime import datetime
+    engine = MemoryEngine(spark, str(tmp_path / "again"))
+    rows = spark.createDataFrame(
+        [("ann", "L3", "same text", 0.5), ("ann", "L3", "same text", 0.5), ("ann", "L1", "ok", 0.5), ("ann", "L1", "ok", 0.5),
+         ("ann", "L9", "x", 0.5), ("ann", "L3", "x", 7.5), ("ann", "L3", " ", 0.5)],
+        "user_id string, memory_layer string, content string, importance double")
+    for day in (1, 2):
+        engine.store(rows, datetime(2024, 2, day))
+    assert engine.items().filter("content = 'same text'").count() == 4
+    assert engine.table("messages").select("id").distinct().count() == 4
+    bad = {(r["problem"], r["content"]) for r in engine.table("quarantine").collect()}
+    assert bad == {("memory_layer", "x"), ("importance", "x"), ("content", " ")}
+    assert engine.table("quarantine").count() == 6

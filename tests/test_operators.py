@@ -370,3 +370,42 @@ def test_window_after_clear(spark):
     for r in records.window_after_clear(sent, clears).orderBy("pos").collect():
         got.setdefault(r.session_id, []).append(r.seq)
     assert got == {"a": [39, 38, 37, 36], "b": list(range(39, 19, -1)), "c": list(range(39, 19, -1))}
+
+
+def test_parts_of_separators_only_are_passed_over():
+    for text in (". " * 400 + "\n\nfoo", " " * 700 + "\n\nfoo bar", "x" * 700 + "\n\n" + ". " * 400 + "\n\nend"):
+        chunks = chunking.split_recursively(text)
+        assert chunks and all(t in text or len(t) > 600 for t, _, _ in chunks)
+        starts = [a for _, a, _ in chunks]
+        assert starts == sorted(starts)
+
+
+def test_many_queries_read_the_items_once(spark, tmp_path):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    users = ["a", "b", "c"]
+    items = spark.createDataFrame(
+        [(i, users[i % 5 % 3], f"L{i % 2}", None if i % 7 else "s", None, False,
+          rng.normal(size=4 if i % 50 else 3).tolist()) for i in range(900)],
+        "id long, user_id string, memory_layer string, session_id string, project string, is_deprecated boolean, "
+        "embedding array<double>")
+    items.write.parquet(f"{tmp_path}/items")
+    items = spark.read.parquet(f"{tmp_path}/items")
+    queries = spark.createDataFrame(
+        [(q, users[q % 3], "s" if q % 4 == 0 else None, None, rng.normal(size=3 if q % 100 == 0 else 4).tolist())
+         for q in range(10_500)], "query_id long, user_id string, session_id string, project string, embedding array<double>")
+    few = queries.filter("query_id < 1000")
+    fetched = knn(items, few, 3).collect()
+    sliced = knn(items, few, 3, max_block=64, slice_items=100).collect()
+    key = lambda r: (r["query_id"], r["memory_layer"], r["rank"])
+    assert [(*key(r), r["id"]) for r in sorted(sliced, key=key)] == [(*key(r), r["id"]) for r in sorted(fetched, key=key)]
+    many = knn(items, queries, 2, slice_items=100)
+    assert many.select("query_id").distinct().count() > 10_000
+    assert many._jdf.queryExecution().executedPlan().toString().count(f"{tmp_path}/items") <= 1
+
+
+def test_new_rows_are_unique_among_themselves(spark):
+    have = spark.createDataFrame([("a", "x")], "name string, slug string")
+    new = spark.createDataFrame([("b", "y"), ("b", "z"), ("c", "y"), ("d", "x"), ("e", "w")], "name string, slug string")
+    got = records.insert_unique(have, new, ["name", "slug"]).collect()
+    assert sorted(map(tuple, got)) == [("b", "y"), ("e", "w")]

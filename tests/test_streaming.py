@@ -55,3 +55,32 @@ def test_retention_daemon_logs_each_tick(spark, sf, tmp_path):
     want = gc_plan(with_collection(tables.memory_items(spark, sf)), tables.as_of()).filter(
         F.col("action").isin("deleted", "deprecated")).count()
     assert spark.read.parquet(path).count() == want > 0
+
+
+def test_a_clear_holds_for_messages_that_come_later(spark, tmp_path):
+    from pyspark.sql.types import _parse_datatype_string
+    batches = [[("u", "a", 50, "clear", None), ("u", "a", 45, "push", "old")],
+               [("u", "a", 40, "push", "late"), ("u", "a", 60, "push", "new")], [("u", "a", 49, "push", "later")]]
+    glob = write_batches(spark, str(tmp_path / "in"), batches)
+    stream = jobs.file_stream(spark, glob, _parse_datatype_string(MESSAGE), files_per_batch=1)
+    got = jobs.current_windows(drain(spark, jobs.window_stream(stream), "update")).collect()
+    assert [r.seq for r in got] == [60]
+
+
+def test_retention_daemon_acts(spark, sf, tmp_path):
+    from pyspark.sql.types import _parse_datatype_string
+    glob = write_batches(spark, str(tmp_path / "in"), [[(datetime(2024, 2, 1),)], [(datetime(2024, 2, 1, 1),)]],
+                         "ts timestamp")
+    ticks = jobs.file_stream(spark, glob, _parse_datatype_string("ts timestamp"), files_per_batch=1)
+    done = str(tmp_path / "done")
+    spark.createDataFrame([], "item_id string").write.parquet(done)
+
+    def items():
+        gone = spark.read.parquet(done).withColumnRenamed("item_id", "id")
+        return tables.memory_items(spark, sf).join(gone, "id", "left_anti")
+
+    path = jobs.retention_daemon(ticks, items, jobs.new_path(spark, "gc"),
+                                 act=lambda log, now: log.select("item_id").write.mode("append").parquet(done))
+    log = spark.read.parquet(path)
+    assert log.count() == log.select("item_id").distinct().count() > 0
+    assert log.select("run_id").distinct().count() == 1
