@@ -94,6 +94,33 @@ def ingest_counters(spark, base):
     return ing.ingest_result(src.markdown_sections(marked, "body", ["doc_id"]), "doc_id")
 
 
+def ingest_failures(spark, base):
+    """Ingest counters where every fifth document comes as a word processor file that is none."""
+    docs = _docs(spark, base)
+    broken = docs.filter(F.col("doc_id") % 5 == 0).select(
+        "doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"),
+        F.col("text").cast("binary").alias("data"))
+    marked = docs.filter(F.col("doc_id") % 5 != 0).select(
+        "doc_id", F.regexp_replace("text", "\n([AEIO])", "\n## $1").alias("body"))
+    sections = src.read_docx(broken, "path", "data", ["doc_id"]).unionByName(
+        src.markdown_sections(marked, "body", ["doc_id"]))
+    return ing.ingest_result(sections, "doc_id")
+
+
+def store_twice(spark, base):
+    """Every conversation turn stored by two requests: two items of their own."""
+    turns = tables.read_texts(spark, base, "conversations", "conv_id")
+    at = F.concat_ws("-", F.col("conv_id"), F.col("turn"))
+    rows = turns.select(
+        tables.tenant(F.col("conv_id")).alias("user_id"), tables.session_name(F.col("conv_id")).alias("session_id"),
+        F.lit("L1").alias("memory_layer"), F.lit(0.5).alias("importance"), F.lit(False).alias("is_pinned"),
+        F.create_map(F.lit("at"), at).alias("metadata"), F.lit(1.0).alias("confidence"),
+        F.concat(F.col("role"), F.lit(": "), F.col("text")).alias("content"),
+        F.explode(F.array(F.concat(F.lit("a"), at), F.concat(F.lit("b"), at))).alias("request"))
+    return st.store(rows, tables.as_of()).groupBy(F.col("metadata")["at"].alias("at")).agg(
+        F.count(F.lit(1)).alias("items"), F.countDistinct("id").alias("ids"))
+
+
 def store_documents(spark, base):
     """Every document stored as chunked items: chunks and metadata per document."""
     rows = tables.document_rows(spark, base).select(
@@ -141,7 +168,7 @@ def skill_vectors(spark, base):
 
 QUERIES = {f.__name__: f for f in (
     sanitize, slugify, char_windows, overlap_tail, paragraph_groups, md_sections, code_sections,
-    html_sections, recursive_chunks, ingest_pages, ingest_counters, store_documents, store_messages,
+    html_sections, recursive_chunks, ingest_pages, ingest_counters, ingest_failures, store_twice, store_documents, store_messages,
     checkpoint_store, skill_vectors)}
 
 _LINES = """lines AS (SELECT doc_id, t.n, lines[t.n] AS line FROM (
@@ -183,6 +210,11 @@ ORACLE = {
       SELECT doc_id, count(*) FILTER ({b.redacted('content')} <> '') AS chunks_stored,
         count(*) FILTER ({b.redacted('content')} = '') AS chunks_failed, count(*) AS total_chunks
       FROM s GROUP BY doc_id""",
+    "ingest_failures": f"""{_MD}, s AS (SELECT * FROM sections WHERE content <> '' AND doc_id % 5 <> 0)
+      SELECT doc_id, count(*) FILTER ({b.redacted('content')} <> '') AS chunks_stored,
+        count(*) FILTER ({b.redacted('content')} = '') AS chunks_failed, count(*) AS total_chunks
+      FROM s GROUP BY doc_id UNION ALL SELECT doc_id, 0, 1, 1 FROM documents WHERE doc_id % 5 = 0""",
+    "store_twice": "SELECT conv_id || '-' || turn AS at, 2 AS items, 2 AS ids FROM conversations",
     "store_messages": f"""SELECT {b.tenant('conv_id')} AS user_id, {b.session_name('conv_id')} AS session_id,
       {b.redacted("role || ': ' || text")} AS content, conv_id || '-' || turn AS at, '0.9' AS confidence,
       true AS plain FROM conversations""",

@@ -52,6 +52,8 @@ TABLES = {
     "gc_log": schema.GC_LOG,
     "published": _fields(("channel", S), ("payload", schema.STR_MAP), ("ts", TS)),
 }
+# More collections than this are found by a join instead of a filter on the files.
+MAX_NAMED_COLLECTIONS = 1000
 PARTITIONED = {"items": "collection"}
 
 
@@ -62,19 +64,30 @@ class MemoryEngine:
         self.spark, self.root = spark, root.rstrip("/")
         self.embed = embedder or store_plan.hashed_embedder()
         for name in TABLES:
-            self._append(name, spark.createDataFrame([], TABLES[name]))
+            if not session.exists(spark, self._path(name)):
+                self._append(name, spark.createDataFrame([], TABLES[name]))
 
     # Tables ------------------------------------------------------------------
 
+    def _base(self) -> int | None:
+        """The sequence number of the newest base, if any."""
+        if not session.exists(self.spark, f"{self.root}/bases"):
+            return None
+        return self.spark.read.schema(TABLES["bases"]).parquet(f"{self.root}/bases").agg(F.max("seq").alias("s")).first().s
+
+    def _path(self, name: str) -> str:
+        """A table's folder; the item log starts anew behind every base."""
+        return f"{self.root}/items-after-{self._base() or 0}" if name == "items" else f"{self.root}/{name}"
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(TABLES[name]).parquet(self._path(name))
 
     def _append(self, name: str, rows: DataFrame) -> None:
         fitted = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name]])
         writer = fitted.write.mode("append")
         if name in PARTITIONED:
             writer = writer.partitionBy(PARTITIONED[name])
-        writer.parquet(f"{self.root}/{name}")
+        writer.parquet(self._path(name))
 
     def _audit(self, rows: DataFrame, action: str, now: datetime, payload: list[str]) -> None:
         self._append("audit", store_plan.audit(rows, action, _ts(now), payload))
@@ -84,19 +97,21 @@ class MemoryEngine:
         self._append("published", rows.select(F.lit(channel).alias("channel"),
                                               F.create_map(*pairs).alias("payload"), _ts(now).alias("ts")))
 
-    def items(self) -> DataFrame:
-        """Current items of all collections.
+    def items(self, collections: Iterable[str] | None = None) -> DataFrame:
+        """Current items of all collections, or of the named ones, whose files alone are read.
 
-        With a compacted base, only items named by later events are folded; the
-        others are read as they lie. The later events stay few between compactions,
-        and their filter on ``seq`` reaches the files.
+        All events of an item lie in its collection. With a compacted base, only items
+        named by later events are folded; the others are read as they lie. The later
+        events stay few between compactions.
         """
-        log = self.table("items")
-        base = self.table("bases").agg(F.max("seq").alias("seq")).first().seq
+        def within(df: DataFrame) -> DataFrame:
+            return df if collections is None else df.filter(F.col("collection").isin(list(collections)))
+
+        recent = within(self.table("items"))
+        base = self._base()
         if base is None:
-            return records.fold_events(log)
-        stored = self.spark.read.schema(TABLES["items"]).parquet(f"{self.root}/bases-{base}")
-        recent = log.filter(F.col("seq") > base)
+            return records.fold_events(recent)
+        stored = within(self.spark.read.schema(TABLES["items"]).parquet(f"{self.root}/bases-{base}"))
         named = recent.select("id").distinct()
         unchanged = stored.join(named, "id", "left_anti")
         fields = [f"item.{f.name}" for f in schema.MEMORY_ITEMS if f.name != "id"]
@@ -104,14 +119,25 @@ class MemoryEngine:
         return changed.unionByName(unchanged.select("id", "collection", *fields))
 
     def compact(self, now: datetime) -> None:
-        """Write the current items as a base that later reads start from."""
+        """Write the current items as a base that later reads start from.
+
+        The log and the base before it go, and with them the content of deleted items.
+        No other call may write meanwhile.
+        """
+        before, log = self._base(), self._path("items")
         fields = F.struct(*[f.name for f in schema.MEMORY_ITEMS])
         folded = self.items().select(
             F.lit(0).cast("long").alias("seq"), F.lit("upsert").alias("op"), "id", F.col("created_at").alias("ts"),
             F.lit(None).cast("string").alias("reason"), fields.alias("item"), "collection")
         stamp = int(self.spark.range(1).select(_seq(now)).first()[0])
         folded.write.partitionBy("collection").parquet(f"{self.root}/bases-{stamp}")
+        session.remove(self.spark, f"{self.root}/items-after-{stamp}")
+        self.spark.createDataFrame([], TABLES["items"]).write.partitionBy("collection").parquet(
+            f"{self.root}/items-after-{stamp}")
         self._append("bases", self.spark.range(1).select(F.lit(stamp).alias("seq")))
+        session.remove(self.spark, log)
+        if before is not None:
+            session.remove(self.spark, f"{self.root}/bases-{before}")
 
     def working_memory(self, n: int = K.WINDOW_SIZE) -> DataFrame:
         return records.window_after_clear(self.table("messages"), self.table("clears"), n=n)
@@ -212,7 +238,10 @@ class MemoryEngine:
         """Items in the asking users' active collections and the shared one."""
         active = self.get_project(asked).select(
             "user_id", F.coalesce("collection", F.lit(K.COLLECTION_PREFIX + K.DEFAULT_SLUG)).alias("_active"))
-        items = self.items()
+        # Few collections are named to the reader, so that it opens their files only.
+        named = active.select("_active").distinct().limit(MAX_NAMED_COLLECTIONS + 1).collect()
+        few = len(named) <= MAX_NAMED_COLLECTIONS
+        items = self.items([r["_active"] for r in named] + [K.COLLECTION_PREFIX + K.SHARED_SLUG] if few else None)
         shared = F.lit(K.COLLECTION_PREFIX + K.SHARED_SLUG)
         return items.join(broadcast_if_small(active, asked.count()), "user_id").filter(
             (F.col("collection") == F.col("_active")) | (F.col("collection") == shared)).drop("_active")

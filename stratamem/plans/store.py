@@ -126,6 +126,6 @@ def audit(rows: DataFrame, action: str, as_of: Column, payload: Sequence[str]) -
 
 
 def append(items: DataFrame, path: str) -> None:
-    """Append items under their collection, the unit that retrieval prunes by."""
+    """Append items under their collection, the unit that the tool engine prunes by."""
     from stratamem.operators.lifecycle import with_collection
     with_collection(items).write.mode("append").partitionBy("collection").parquet(path)

@@ -180,3 +180,29 @@ def test_equal_content_and_invalid_items(spark, tmp_path):
     bad = {(r["problem"], r["content"]) for r in engine.table("quarantine").collect()}
     assert bad == {("memory_layer", "x"), ("importance", "x"), ("content", " ")}
     assert engine.table("quarantine").count() == 6
+
+
+def test_reads_open_the_active_collections_only(spark, tmp_path):
+    import subprocess
+    from datetime import datetime
+    root = str(tmp_path / "pruned")
+    engine = MemoryEngine(spark, root)
+    owners = spark.createDataFrame([("ann", "one"), ("bob", "two")], "user_id string, project string")
+    engine.set_project(owners, datetime(2024, 2, 1))
+    rows = spark.createDataFrame([("ann", "L3", "first note"), ("bob", "L3", "UNIQUEWORD note")],
+                                 "user_id string, memory_layer string, content string")
+    engine.store(rows, datetime(2024, 2, 2))
+    listed = engine.list_items("ann")
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [collection" in plan and "ctx_one" in plan and "ctx_two" not in plan
+    assert [r["content"] for r in listed.collect()] == ["first note"]
+    engine.compact(datetime(2024, 2, 3))
+    assert [r["content"] for r in engine.list_items("ann").collect()] == ["first note"]
+    gone = engine.items().filter("user_id = 'bob'").select("id", "user_id", F.lit("old").alias("reason"))
+    engine.deprecate(gone, datetime(2024, 2, 4))
+    engine.gc_run("run", datetime(2024, 4, 30))
+    engine.compact(datetime(2024, 5, 1))
+    assert engine.items().count() == 1
+    assert not subprocess.run(["grep", "-rl", "UNIQUEWORD", f"{root}/"], capture_output=True, text=True).stdout.count("items")
+    MemoryEngine(spark, root)
+    assert engine.items().count() == 1
