@@ -59,7 +59,7 @@ def code_sections(spark, base):
     coded = _docs(spark, base).select(
         "doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".js")).alias("path"),
         F.regexp_replace("text", "\n([A-Za-z])", "\nfunction $1").alias("body"))
-    return src.read_code(coded, "path", "body", ["doc_id"]).select("doc_id", "title", "content")
+    return src.sliced_code(coded, "path", "body", ["doc_id"]).select("doc_id", "title", "content")
 
 
 def html_sections(spark, base):

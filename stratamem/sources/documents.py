@@ -71,19 +71,33 @@ def _section(content: str, title: str, **metadata: object) -> dict:
     return {"content": content, "title": title, "metadata": {k: str(v) for k, v in metadata.items()}}
 
 
-def code_sections(source: str, content: str) -> list[dict]:
-    """Definitions of a source file, or the whole file where none is found."""
+def python_sections(source: str, content: str) -> list[dict]:
+    """Definitions of a Python file, or the whole file where none is found."""
     name = source.rsplit("/", 1)[-1]
-    language = name.rsplit(".", 1)[-1].lower()
-    if source.endswith(".py"):
-        found = _python_definitions(source, content)
-        language = "python"
-    else:
-        bounds = list(re.finditer(K.CODE_BOUNDARY, content, re.MULTILINE))
-        stops = [m.start() for m in bounds[1:]] + [len(content)]
-        found = [_section(content[m.start():stop].strip(), m[1], language=language, file=source, name=m[1])
-                 for m, stop in zip(bounds, stops)]
-    return found or [_section(content, name, language=language, file=source)]
+    return _python_definitions(source, content) or [_section(content, name, language="python", file=source)]
+
+
+def sliced_code(docs: DataFrame, source: str, content: str, keep: Sequence[str]) -> DataFrame:
+    """Slices of other source files from one definition to the next, cut inside the row.
+
+    What stands before the first definition is left out; a file without any is one section.
+    """
+    boundary = K.CODE_BOUNDARY.replace(r"\s", r"[\s\x1c-\x1f]")
+    parts = F.split(F.col(content), f"(?mdU)(?={boundary})")
+    path = F.col(source)
+    file = F.regexp_extract(path, "[^/]*$", 0)
+    name = F.regexp_extract("part", f"(?U)\\A{boundary[1:]}", 1)
+    rows = docs.select(*keep, path.alias("_path"), file.alias("_file"), F.size(parts).alias("_n"),
+                       (F.regexp_extract(parts[0], f"(?U)\\A{boundary[1:]}", 1) == "").alias("_preface"),
+                       F.posexplode(parts).alias("_at", "part")).withColumn("_name", name)
+    found = F.col("_name") != ""
+    facts = F.create_map(F.lit("language"), F.lower(F.regexp_extract("_file", r"[^.]*$", 0)), F.lit("file"), F.col("_path"))
+    named = F.map_concat(facts, F.create_map(F.lit("name"), F.col("_name")))
+    return rows.filter(found | (F.col("_n") == 1)).select(
+        *keep, (F.col("_at") - (F.col("_preface") & (F.col("_n") > 1)).cast("int")).alias("section_index"),
+        F.when(found, text.strip(F.col("part"))).otherwise(F.col("part")).alias("content"),
+        F.when(found, F.col("_name")).otherwise(F.col("_file")).alias("title"),
+        F.when(found, named).otherwise(facts).alias("metadata")).filter(~text.is_blank(F.col("content")))
 
 
 def _python_definitions(source: str, content: str) -> list[dict]:
@@ -186,7 +200,10 @@ def failed(metadata: Column) -> Column:
 
 
 def read_code(docs: DataFrame, source: str, content: str, keep: Sequence[str]) -> DataFrame:
-    return _explode(docs, _batched(code_sections)(F.col(source), F.col(content)), keep)
+    """Sections of source files; only Python files leave the JVM, to be parsed."""
+    python = F.endswith(F.col(source), F.lit(".py"))
+    parsed = _explode(docs.filter(python), _batched(python_sections)(F.col(source), F.col(content)), keep)
+    return sliced_code(docs.filter(~python), source, content, keep).unionByName(parsed)
 
 
 def read_html(docs: DataFrame, source: str, html: str, keep: Sequence[str]) -> DataFrame:

@@ -25,11 +25,11 @@ def test_markdown_sections(spark):
 def test_python_code(spark):
     body = ('import os\n\nclass A:\n    """Doc of A."""\n    def m(self):\n        return 1\n\n'
             "async def f():\n    pass\n")
-    got = src.code_sections("/x/mod.py", body)
+    got = src.python_sections("/x/mod.py", body)
     assert [(s["title"], s["metadata"]["line_start"]) for s in got] == [("A", "3"), ("f", "8"), ("m", "5")]
     assert got[0]["metadata"]["docstring"] == "Doc of A." and got[1]["content"] == "async def f():\n    pass"
-    assert [s["title"] for s in src.code_sections("/x/bad.py", "def (")] == ["bad.py"]
-    assert src.code_sections("s.py", "x = 1")[0]["content"] == "x = 1"
+    assert [s["title"] for s in src.python_sections("/x/bad.py", "def (")] == ["bad.py"]
+    assert src.python_sections("s.py", "x = 1")[0]["content"] == "x = 1"
 
 
 def test_other_code(spark):
@@ -121,7 +121,7 @@ def test_a_bad_source_fails_alone(spark):
     assert len(html.page_sections("u", "word " * 5000)[0]["content"]) > 20_000
     assert len(html.page_sections("u", "word " * 5000, 8000)[0]["content"]) == 8000
     code = "x = " + "(" * 5000 + "1" + ")" * 5000
-    assert documents.code_sections("deep.py", code)[0]["content"] == code
+    assert documents.python_sections("deep.py", code)[0]["content"] == code
     files = spark.createDataFrame([("bad.docx", bytearray(b"no zip"))], "source string, data binary")
     broken = documents.read_docx(files, "source", "data", ["source"])
     row, = broken.collect()
@@ -142,3 +142,14 @@ def test_parsers_can_be_added(spark, tmp_path):
                                       F.lit("log").alias("title"), F.create_map(F.lit("k"), F.lit("v")).alias("metadata"))}
     got = {r["title"]: r["content"] for r in documents.read_files(spark, str(tmp_path), own).collect()}
     assert got == {"log": "line", "T": "body"}
+
+
+def test_code_slices_stay_in_the_jvm(spark):
+    body = "import x\nexport async function one() {\n}\nclass Two {}\n  def no\npub fn drei(a)\n"
+    rows = spark.createDataFrame([(1, "a/b.TS", body), (2, "c.go", "nothing here"), (3, "d.js", "func x\n\n")],
+                                 "id long, path string, body string")
+    out = src.sliced_code(rows, "path", "body", ["id"])
+    got = [(r["id"], r["section_index"], r["title"], r["content"], r["metadata"]["language"]) for r in out.collect()]
+    assert got == [(1, 0, "one", "export async function one() {\n}", "ts"), (1, 1, "Two", "class Two {}\n  def no", "ts"),
+                   (1, 2, "drei", "pub fn drei(a)", "ts"), (2, 0, "c.go", "nothing here", "go"), (3, 0, "x", "func x", "js")]
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
