@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stratamem import constants as K
 from stratamem.catalog import base as b
 from stratamem.functions import routing, scoring, text
+from stratamem.operators import budget as bud
 from stratamem.operators import records as rec
 from stratamem.operators import summaries
 from stratamem.operators.knn import knn
@@ -94,10 +95,19 @@ def session_counters(spark, base):
 
 def budget_usage(spark, base):
     """Last recorded token count per user and event type, and their total."""
-    e = tables.access_events(spark, base)
-    last = rec.latest_by_key(e, ["actor", "event_type"])
-    tokens = F.get_json_object("props", "$.k").cast("long")
-    return last.groupBy("actor").agg(F.sum(tokens).alias("total"), F.count(F.lit(1)).alias("fields"))
+    return bud.total_usage(bud.recorded_usage(_recorded(spark, base), "actor", "event_type"), "actor")
+
+
+def _recorded(spark, base):
+    return tables.access_events(spark, base).withColumn("tokens", F.get_json_object("props", "$.k").cast("long"))
+
+
+def budget_reset(spark, base):
+    """The same where every sign-up wipes what its user recorded before."""
+    log = _recorded(spark, base)
+    resets = log.filter(F.col("event_type") == "signup")
+    sets = log.filter(F.col("event_type") != "signup")
+    return bud.recorded_usage(sets, "actor", "event_type", resets).select("actor", "event_type", "seq", "tokens")
 
 
 def active_project(spark, base):
@@ -280,7 +290,7 @@ def parse_entities(spark, base):
 
 QUERIES = {f.__name__: f for f in (
     list_items, checkpoints_list, checkpoints_after_limit, scan_items, validate_items, metadata_merge,
-    l1_last20, l1_after_clear, l1_length, session_counters, budget_usage, active_project, latest_state_upsert,
+    l1_last20, l1_after_clear, l1_length, session_counters, budget_usage, budget_reset, active_project, latest_state_upsert,
     touch_merge, deprecate_merge, task_list, task_update, skill_list, skill_by_slug, skill_find_join,
     skill_delete, skill_store_unique, project_route, parser_route, audit_counts, summarize_prompt,
     tokens_saved, parse_entities)}
@@ -335,6 +345,11 @@ ORACLE = {
       FROM messages GROUP BY ALL""",
     "budget_usage": f"""WITH last AS (SELECT * FROM events QUALIFY {_EVENTS_NEWEST.format('user_id, event_type')})
       SELECT user_id AS actor, CAST(sum({_K}) AS BIGINT) AS total, count(*) AS fields FROM last GROUP BY user_id""",
+    "budget_reset": f"""WITH last AS (SELECT * FROM events WHERE event_type <> 'signup'
+        QUALIFY {_EVENTS_NEWEST.format('user_id, event_type')}),
+      wiped AS (SELECT user_id, max(event_id) AS wiped_at FROM events WHERE event_type = 'signup' GROUP BY user_id)
+      SELECT user_id AS actor, event_type, event_id AS seq, CAST({_K} AS BIGINT) AS tokens
+      FROM last LEFT JOIN wiped USING (user_id) WHERE wiped_at IS NULL OR event_id > wiped_at""",
     "active_project": f"""WITH last AS (SELECT *, event_type || ' ' || json_extract_string(props, '$.k') AS name
       FROM events QUALIFY {_EVENTS_NEWEST.format('user_id')})
       SELECT user_id AS actor, {b.project_slug('name')} AS project,

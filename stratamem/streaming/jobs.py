@@ -23,6 +23,9 @@ from stratamem.operators.records import latest_by_key
 from stratamem.operators.topn import top_n_per_group
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PUBLISHED = T.StructType([T.StructField("channel", T.StringType()),
+                          T.StructField("payload", T.MapType(T.StringType(), T.StringType())),
+                          T.StructField("ts", T.TimestampType())])
 MESSAGE = "user_id string, session_id string, seq long, op string, content string"
 WINDOW = "user_id string, session_id string, slice int, seq long, pos int, content string"
 
@@ -60,6 +63,12 @@ def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return spark.read.schema(full).parquet(path)
 
 
+def published_stream(spark: SparkSession, path: str, channel: str | None = None) -> DataFrame:
+    """Events that the tool engine published under ``path`` (its ``published`` table), as a stream."""
+    events = file_stream(spark, path, PUBLISHED)
+    return events if channel is None else events.filter(F.col("channel") == channel)
+
+
 # Working-memory window -------------------------------------------------------
 
 class LastMessages(StatefulProcessor):

@@ -84,3 +84,15 @@ def test_retention_daemon_acts(spark, sf, tmp_path):
     log = spark.read.parquet(path)
     assert log.count() == log.select("item_id").distinct().count() > 0
     assert log.select("run_id").distinct().count() == 1
+
+
+def test_published_events_feed_the_access_stream(spark, tmp_path):
+    from stratamem.plans.engine import MemoryEngine
+    engine = MemoryEngine(spark, str(tmp_path / "engine"))
+    rows = spark.createDataFrame([("ann", "L3", "a note"), ("bob", "L3", "b note")],
+                                 "user_id string, memory_layer string, content string")
+    stored = {r["id"] for r in engine.store(rows, datetime(2024, 2, 1)).collect()}
+    stream = jobs.published_stream(spark, f"{engine.root}/published", "context_stored")
+    hits = stream.select(F.col("payload")["id"].alias("id"), "ts")
+    got = drain(spark, jobs.access_stream(hits), "update").collect()
+    assert {r["id"] for r in got} == stored and {r["ts"] for r in got} == {datetime(2024, 2, 1)}
