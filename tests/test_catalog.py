@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as contract
+from stratamem import catalog
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
@@ -27,11 +28,11 @@ def canonical(df: pd.DataFrame) -> pd.DataFrame:
     return out.sort_values(list(out.columns)).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, sf, con, name):
-    got = contract.queries()[name](spark, sf).toPandas()
+    got = catalog.queries()[name](spark, sf).toPandas()
     assert len(got) > 0
-    sql = contract.oracle_sql().get(name)
+    sql = catalog.oracle_sql().get(name)
     if sql:
         pd.testing.assert_frame_equal(canonical(got), canonical(con.execute(sql).df()))
 
@@ -41,4 +42,5 @@ def test_entry(spark):
 
 
 def test_counterparts_belong_to_queries():
+    assert set(catalog.queries()) <= set(contract.queries())
     assert set(contract.oracle_sql()) <= set(contract.queries())
