@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratamem.llm.batches import LOWER
+from stratamem.llm.joins import left_join_unique
 from stratamem.operators.bounded import MAX_BROADCAST_ROWS
 from stratamem.session import materialize
 
@@ -173,16 +174,8 @@ def exact_duplicates(docs: DataFrame, table_bytes: int = TABLE_BYTES,
     rows = materialize(
         docs.select("doc_id", "text").mapInArrow(_digests, "doc_id long, digest binary"), "digests")
     many = materialize(groups(docs, table_bytes).filter("copies > 1"), "copy-groups")
-    # At most broadcast_rows groups can have more copies than this, so that the hot ones
-    # are broadcast and never shuffled row by row.
-    often = max(rows.count() // broadcast_rows, 1000)
-    hot = F.broadcast(many.filter(F.col("copies") > often))
-    marked = rows.join(hot, "digest", "left")
-    held = marked.filter(F.col("copies").isNotNull())
-    rare = marked.filter(F.col("copies").isNull()).drop("keep_id", "copies").join(
-        many.filter(F.col("copies") <= often), "digest", "left")
     keep = F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    out = held.unionByName(rare).select(
+    out = left_join_unique(rows, many, "digest", "copies", rows.count(), broadcast_rows).select(
         "doc_id", keep.alias("keep_id"), F.coalesce("copies", F.lit(1)).alias("group_size"), "digest")
     stays = out.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     # Rows that share id and text: the first of them stays.

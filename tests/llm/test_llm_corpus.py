@@ -202,3 +202,31 @@ def test_queries_match_their_sql(spark, name):
     key = list(want.columns)
     left, right = (d.sort_values(key).reset_index(drop=True).astype(str).values.tolist() for d in (got, want))
     assert left == right
+
+
+COLUMNS = {
+    "op1_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op2_ngram_jaccard": ["doc_id", "n_shingles", "component_id"],
+    "op3_document_fingerprints": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+                                  "near_edited", "near_next"],
+    "op4_language": ["doc_id", "held_out", "lang_pred", "score"],
+    "op5_license_scan": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
+    "op6_best_fit_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+    "op7_substring_dedup": ["doc_id", "start", "length", "n_chunks", "n_docs", "first_doc_id", "copy"],
+    "op8_source_mixing": ["doc_id", "size", "source_size", "target", "taken"],
+    "op9_secret_scan": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+    "op10_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
+}
+
+
+def test_every_query_covers_all_documents(spark):
+    assert set(catalog.QUERIES) == set(COLUMNS)
+    ids = {r["doc_id"] for r in read(spark, SF, "documents").select("doc_id").collect()}
+    for name, query in catalog.QUERIES.items():
+        out = query(spark, SF)
+        assert out.columns[:len(COLUMNS[name])] == COLUMNS[name]
+        found = [r["doc_id"] for r in out.select("doc_id").collect()]
+        if name == "op7_substring_dedup":
+            assert set(found) <= ids and found
+        else:
+            assert set(found) == ids and (len(found) == len(ids) or name == "op6_best_fit_packing")
