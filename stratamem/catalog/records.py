@@ -93,6 +93,17 @@ def session_counters(spark, base):
     return rec.session_counters(tables.l1_messages(spark, base))
 
 
+def session_records(spark, base):
+    """Session records of a log: created with a user's first event of a kind, updated, some deleted and made anew."""
+    e = tables.access_events(spark, base)
+    op = (F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "error", "delete")
+          .otherwise("update"))
+    log = e.select(F.col("actor").alias("user_id"), F.pmod("seq", F.lit(7)).alias("session_id"), op.alias("op"), "seq",
+                   F.when(op == "create", F.col("ts")).alias("created_at"), F.col("event_type").alias("status"))
+    return rec.fold_sessions(log).select("user_id", "session_id", "status",
+                                         F.date_format("created_at", TIME).alias("created_at"))
+
+
 def budget_usage(spark, base):
     """Last recorded token count per user and event type, and their total."""
     return bud.total_usage(bud.recorded_usage(_recorded(spark, base), "actor", "event_type"), "actor")
@@ -290,7 +301,7 @@ def parse_entities(spark, base):
 
 QUERIES = {f.__name__: f for f in (
     list_items, checkpoints_list, checkpoints_after_limit, scan_items, validate_items, metadata_merge,
-    l1_last20, l1_after_clear, l1_length, session_counters, budget_usage, budget_reset, active_project, latest_state_upsert,
+    l1_last20, l1_after_clear, l1_length, session_counters, session_records, budget_usage, budget_reset, active_project, latest_state_upsert,
     touch_merge, deprecate_merge, task_list, task_update, skill_list, skill_by_slug, skill_find_join,
     skill_delete, skill_store_unique, project_route, parser_route, audit_counts, summarize_prompt,
     tokens_saved, parse_entities)}
@@ -345,6 +356,12 @@ ORACLE = {
       FROM messages GROUP BY ALL""",
     "budget_usage": f"""WITH last AS (SELECT * FROM events QUALIFY {_EVENTS_NEWEST.format('user_id, event_type')})
       SELECT user_id AS actor, CAST(sum({_K}) AS BIGINT) AS total, count(*) AS fields FROM last GROUP BY user_id""",
+    "session_records": f"""WITH log AS (SELECT user_id, event_id % 7 AS session_id, event_id AS seq, event_type, ts FROM events),
+      folded AS (SELECT user_id, session_id, max(seq) FILTER (event_type = 'signup') AS born,
+        max(seq) FILTER (event_type = 'error') AS gone, arg_max(ts, seq) FILTER (event_type = 'signup') AS created,
+        arg_max(event_type, seq) FILTER (event_type <> 'error') AS status FROM log GROUP BY ALL)
+      SELECT user_id, session_id, status, strftime(created, {_SQL_TIME}) AS created_at FROM folded
+      WHERE born IS NOT NULL AND (gone IS NULL OR born > gone)""",
     "budget_reset": f"""WITH last AS (SELECT * FROM events WHERE event_type <> 'signup'
         QUALIFY {_EVENTS_NEWEST.format('user_id, event_type')}),
       wiped AS (SELECT user_id, max(event_id) AS wiped_at FROM events WHERE event_type = 'signup' GROUP BY user_id)

@@ -89,6 +89,27 @@ def session_counters(messages: DataFrame, keys: Sequence[str] = ("user_id", "ses
         F.count(F.lit(1)).alias("message_count"))
 
 
+def fold_sessions(log: DataFrame, keys: Sequence[str] = ("user_id", "session_id")) -> DataFrame:
+    """Current session records of a log (keys, op, seq, created_at, and what a session holds).
+
+    ``op`` is create, update or delete. The newest row says what a session holds, its
+    last creation when it was created; updates of sessions that do not exist at the time
+    vanish. One aggregation with map-side combine.
+    """
+    c = F.col
+
+    def last(op: str) -> Column:
+        return F.max(F.when(c("op") == op, F.struct("seq", "created_at")))
+
+    held = [n for n in log.columns if n not in (*keys, "op", "seq", "created_at")]
+    folded = log.groupBy(*keys).agg(
+        last("create").alias("_born"), last("delete").alias("_gone"),
+        F.max_by(F.struct(*held), F.when(c("op") != "delete", c("seq"))).alias("_now"))
+    alive = c("_born").isNotNull() & (c("_gone").isNull() | (c("_born.seq") > c("_gone.seq")))
+    return folded.filter(alive).select(*keys, *[c(f"_now.{n}").alias(n) for n in held],
+                                       c("_born.created_at").alias("created_at"))
+
+
 def window_after_clear(messages: DataFrame, clears: DataFrame, keys: Sequence[str] = ("user_id", "session_id"),
                        n: int = 20) -> DataFrame:
     """The newest ``n`` messages of each key sent after its last clear event.

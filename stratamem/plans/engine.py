@@ -47,6 +47,8 @@ TABLES = {
     "tasks": _fields(*[(f.name, f.dataType) for f in schema.TASKS], ("seq", L)),
     "skills": _fields(*[(f.name, f.dataType) for f in schema.SKILLS], ("seq", L), ("deleted", B)),
     "sessions": _fields(*[(f.name, f.dataType) for f in schema.SESSIONS], ("seq", L)),
+    "session_log": _fields(("user_id", S), ("session_id", S), ("op", S), ("seq", L), ("created_at", TS), ("status", S),
+                           ("metadata", schema.STR_MAP), ("updated_at", TS)),
     "profiles": _fields(*[(f.name, f.dataType) for f in schema.USER_PROFILES], ("seq", L)),
     "audit": schema.AUDIT_LOG,
     "gc_log": schema.GC_LOG,
@@ -276,6 +278,18 @@ class MemoryEngine:
 
     # Sessions ----------------------------------------------------------------
 
+    def sessions(self) -> DataFrame:
+        """Session records with their state."""
+        return records.fold_sessions(self.table("session_log"))
+
+    def session_write(self, requests: DataFrame, op: str, now: datetime) -> None:
+        """create, update or delete: user_id, session_id and optionally status, metadata."""
+        rows = _defaults(requests, {"status": F.lit("active"), "metadata": F.lit(None).cast(schema.STR_MAP)})
+        born = _ts(now) if op == "create" else F.lit(None).cast("timestamp")
+        self._append("session_log", rows.select(
+            "user_id", "session_id", F.lit(op).alias("op"), _seq(now).alias("seq"), born.alias("created_at"),
+            "status", "metadata", _ts(now).alias("updated_at")))
+
     def session_totals(self) -> DataFrame:
         """Tokens and messages ever sent per session, with its summary state."""
         counters = records.session_counters(self.table("messages").filter(F.col("session_id").isNotNull()))

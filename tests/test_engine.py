@@ -206,3 +206,14 @@ def test_reads_open_the_active_collections_only(spark, tmp_path):
     assert not subprocess.run(["grep", "-rl", "UNIQUEWORD", f"{root}/"], capture_output=True, text=True).stdout.count("items")
     MemoryEngine(spark, root)
     assert engine.items().count() == 1
+
+
+def test_session_records(spark, tmp_path):
+    from datetime import datetime
+    engine = MemoryEngine(spark, str(tmp_path / "sessions"))
+    ask = lambda *rows: spark.createDataFrame(rows, "user_id string, session_id string, status string")
+    engine.session_write(ask(("ann", "s1", "active"), ("ann", "s2", "active")), "create", datetime(2024, 2, 1))
+    engine.session_write(ask(("ann", "s1", "closed"), ("ann", "s9", "closed")), "update", datetime(2024, 2, 2))
+    engine.session_write(ask(("ann", "s2", None)), "delete", datetime(2024, 2, 3))
+    got = {(r["session_id"], r["status"], r["created_at"]) for r in engine.sessions().collect()}
+    assert got == {("s1", "closed", datetime(2024, 2, 1))}
