@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # A slice of a batch holds about this many bytes of text, or one longer text.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 # Words of letters and digits: 0-9, A-Z, a-z and every byte beyond ASCII.

@@ -22,7 +22,7 @@ from stratamem.llm.joins import left_join_unique
 from stratamem.operators.bounded import MAX_BROADCAST_ROWS
 from stratamem.session import materialize
 
-TABLE_BYTES = 64 << 20
+TABLE_BYTES = 32 << 20
 OUT_BYTES = 4 << 20
 MAX_LEVELS = 16
 

@@ -35,7 +35,7 @@ MIN_FEATURES = 4.0
 # Share of sets that may have to emit signatures of empty partitions.
 EMPTY_SHARE = 1e-5
 # Signatures a task holds before it combines those of one group.
-HELD_SIGNATURES = 1 << 20
+HELD_SIGNATURES = 1 << 18
 U64 = np.uint64
 _FACTORS = mix(np.arange(1, 65, dtype=U64), 77) | U64(1)
 

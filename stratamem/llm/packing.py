@@ -30,7 +30,7 @@ _PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                      ("ids_crc32", pa.int64())])
 
-_loaded: dict[str, tuple] = {}
+_loaded: dict = {}
 
 
 def vocabulary_path(name: str = VOCABULARY, suffix: str = ".json") -> str:
@@ -44,10 +44,15 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     Where the same vocabulary lies beside it as ranks, the faster reader of ranks is
     used; it gives the same ids. Special tokens in a text are ordinary text.
     """
+    def plain():
+        if ("plain", path) not in _loaded:
+            from tokenizers import Tokenizer
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.encode_special_tokens = True
+            _loaded["plain", path] = tokenizer
+        return _loaded["plain", path]
+
     if path not in _loaded:
-        from tokenizers import Tokenizer
-        plain = Tokenizer.from_file(path)
-        plain.encode_special_tokens = True
         fast = None
         ranks = os.path.splitext(path)[0] + ".tiktoken"
         if os.path.exists(ranks):
@@ -57,8 +62,8 @@ def encoder(path: str) -> Callable[[str], list[int]]:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table,
                                      special_tokens={})
-        _loaded[path] = plain, fast
-    plain, fast = _loaded[path]
+        _loaded[path] = fast
+    fast = _loaded[path]
 
     def encode(text: str) -> list[int]:
         if fast is not None:
@@ -67,7 +72,7 @@ def encoder(path: str) -> Callable[[str], list[int]]:
             except BaseException as e:  # the rank reader's regular expressions give up on some very long runs
                 if isinstance(e, (KeyboardInterrupt, SystemExit)):
                     raise
-        return plain.encode(text, add_special_tokens=False).ids
+        return plain().encode(text, add_special_tokens=False).ids
     return encode
 
 
