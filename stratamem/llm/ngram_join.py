@@ -374,10 +374,8 @@ def _remaining(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     families = components(ties, "families")
     if families is None:
         return able.select(F.col("name").alias("a"), F.col("name").alias("b")).limit(0)
-    listed = able.groupBy("name").agg(F.sort_array(F.collect_set("sig")).alias("sigs"))
-    able = able.join(families.select(F.col("node").alias("name"), F.col("component").alias("family")), "name").join(
-        listed, "name").withColumn("c", F.col("n") - F.col("lone"))
-    able = materialize(able, "able-members")
+    able = able.join(families.select(F.col("node").alias("name"), F.col("component").alias("family")), "name")
+    able = materialize(able.withColumn("c", F.col("n") - F.col("lone")), "able-members")
     pairs_in = lambda n: F.col(n) * (F.col(n) - 1) / 2
     by_group = able.groupBy("family", "sig").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(
         F.sum(pairs_in("n")).alias("apart"))
@@ -386,8 +384,8 @@ def _remaining(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     whole = materialize(whole, "whole-families")
 
     def pairs(rows: DataFrame, key: str, more: Column | None = None) -> DataFrame:
-        left, right = (rows.select(*[F.col(c).alias(f"{s}_{c}") for c in (key, "name", "n", "c", "component", "sigs")])
-                       for s in "ab")
+        held = (key, "name", "n", "c", "component", *(["sigs"] if more is not None else []))
+        left, right = (rows.select(*[F.col(c).alias(f"{s}_{c}") for c in held]) for s in "ab")
         fits = _fits(F.least("a_c", "b_c"), F.col("a_n") + F.col("b_n"), percent)
         on = (F.col(f"a_{key}") == F.col(f"b_{key}")) & (F.col("a_component") < F.col("b_component")) & fits
         return left.join(right, on if more is None else on & more).select(
@@ -396,6 +394,8 @@ def _remaining(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     once = F.element_at(F.array_sort(F.array_intersect("a_sigs", "b_sigs")), 1) == F.col("a_sig")
     together = able.join(whole, "family", "left_semi").dropDuplicates(["name"])
     single = able.join(whole, "family", "left_anti")
+    listed = single.groupBy("name").agg(F.collect_set("sig").alias("sigs"))
+    single = single.join(listed, "name")
     return pairs(together, "family").unionByName(pairs(single, "sig", once))
 
 
