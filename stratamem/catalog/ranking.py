@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from stratamem import constants as K
 from stratamem.catalog import base as b
 from stratamem.functions import scoring, text
-from stratamem.operators import diversify as div
 from stratamem.operators.budget import allocation
 from stratamem.operators.topn import dedup_keep_first
 from stratamem.plans import retrieve as plan

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratamem import constants as K
 from stratamem import schema
 from stratamem.functions import text
 from stratamem.operators.chunking import chunk_long_texts
