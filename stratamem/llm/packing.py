@@ -8,6 +8,7 @@ made and narrow rows are packed, in groups of bounded size.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -38,19 +39,22 @@ def vocabulary_path(name: str = VOCABULARY, suffix: str = ".json") -> str:
     return public_tokenizers.path(name + suffix)
 
 
-def encoder(path: str) -> Callable[[str], list[int]]:
+def encoder(path: str, added_tokens: bool = False) -> Callable[[str], list[int]]:
     """Ids of a text under the byte-level vocabulary of a tokenizer file, loaded once per process.
 
     Where the same vocabulary lies beside it as ranks, the faster reader of ranks is
-    used; it gives the same ids. Special tokens in a text are ordinary text.
+    used; it gives the same ids. The literal of an added token in a text is ordinary text,
+    or with ``added_tokens`` the token's own id, as the file has it unless told otherwise.
     """
     def plain():
-        if ("plain", path) not in _loaded:
+        key = "plain", path, added_tokens
+        if key not in _loaded:
             from tokenizers import Tokenizer
             tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
-            _loaded["plain", path] = tokenizer
-        return _loaded["plain", path]
+            if not added_tokens:
+                tokenizer.encode_special_tokens = True
+            _loaded[key] = tokenizer
+        return _loaded[key]
 
     if path not in _loaded:
         fast = None
@@ -64,9 +68,15 @@ def encoder(path: str) -> Callable[[str], list[int]]:
                                      special_tokens={})
         _loaded[path] = fast
     fast = _loaded[path]
+    literals: list[str] = []
+    if added_tokens and fast is not None:
+        if ("literals", path) not in _loaded:
+            with open(path, encoding="utf-8") as file:
+                _loaded["literals", path] = [t["content"] for t in json.load(file).get("added_tokens") or []]
+        literals = _loaded["literals", path]
 
     def encode(text: str) -> list[int]:
-        if fast is not None:
+        if fast is not None and not any(t in text for t in literals):
             try:
                 return fast.encode_ordinary(text)
             except BaseException as e:  # the rank reader's regular expressions give up on some very long runs
@@ -82,9 +92,9 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, n, capacity))]
 
 
-def _pieces(path: str, capacity: int, end_id: int) -> Callable:
+def _pieces(path: str, capacity: int, end_id: int, added_tokens: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, added_tokens)
         for whole in batches:
             for batch in slices(whole):
                 rows = []
@@ -167,13 +177,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID,
-                   group_pieces: int = GROUP_PIECES) -> DataFrame:
+                   group_pieces: int = GROUP_PIECES, added_tokens: bool = True) -> DataFrame:
     """Tokenize ``docs`` (doc_id, text) and pack them into sequences of at most ``capacity`` ids.
 
-    A document is its ids and ``end_id``; null is empty. Only documents beyond the
+    A document is its ids and ``end_id``; null is empty. Ids are those of the tokenizer file
+    with add_special_tokens=False and nothing else set, so an added token's literal in a text
+    is its id; ``added_tokens=False`` reads it as ordinary text. Only documents beyond the
     capacity are cut. Every row is packed, repeated ids and texts too; other columns are
     ignored. Returns per piece doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
     pieces = docs.select("doc_id", "text").mapInArrow(
-        _pieces(tokenizer or vocabulary_path(), capacity, end_id), _PIECES_DDL)
+        _pieces(tokenizer or vocabulary_path(), capacity, end_id, added_tokens), _PIECES_DDL)
     return pack(materialize(pieces, "pieces"), capacity, group_pieces)

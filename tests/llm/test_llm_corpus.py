@@ -84,6 +84,20 @@ def test_long_runs_are_tokenized_whole():
         assert encode(text) + [packing.END_ID] == plain_ids(text)
 
 
+def test_added_tokens_have_the_ids_of_the_file(spark):
+    tokenizer = Tokenizer.from_file(packing.vocabulary_path())
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>  \n b" * 300,
+             "<|endoftext|>" + " " * 50_000 + "x", "<|endoftext", "é 's  x"]
+    want = Counter()
+    for doc_id, text in enumerate(texts):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [packing.END_ID]
+        for k, (at, n) in enumerate(packing.cut_points(len(ids), 64)):
+            want[doc_id, k, at, n, zlib.crc32(np.array(ids[at:at + n], "<u4").tobytes())] += 1
+    assert want[0, 0, 0, 5, zlib.crc32(np.array([31373, 220, 50256, 995, packing.END_ID], "<u4").tobytes())] == 1
+    got = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), capacity=64)
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got.collect()) == want
+
+
 # -- mixing -------------------------------------------------------------------------
 
 
