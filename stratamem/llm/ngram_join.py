@@ -36,6 +36,9 @@ MIN_FEATURES = 4.0
 EMPTY_SHARE = 1e-5
 # Signatures a task holds before it combines those of one group.
 HELD_SIGNATURES = 1 << 18
+# Sets, and shingles of all of them, that meet as many others at a time.
+BLOCK_SETS = 2048
+BLOCK_SHINGLES = 1 << 21
 U64 = np.uint64
 _FACTORS = mix(np.arange(1, 65, dtype=U64), 77) | U64(1)
 
@@ -184,82 +187,69 @@ def _sampled(width: int, share: float) -> Callable:
 
 
 def _sign(percent: int) -> Callable:
-    """Rows (sig, rank, a, b) of sets (key, rank, grams); b is null.
+    """Rows (sig, key, member) of sets (key, grams).
 
-    Of the sets that share a signature in what a task holds, only the first by rank and
-    key goes on under it; the others are paired with it, as rows with both sets and the
-    first one's rank, and listed as members, as rows with one set twice.
+    Of the sets that share a signature in what a task holds, only the first by key goes on
+    under it; all of them are listed as members.
     """
-    def combine(sigs: list[np.ndarray], ranks: list[int], keys: list[int]) -> Iterator[pa.RecordBatch]:
-        sizes = [len(s) for s in sigs]
+    def combine(sigs: list[np.ndarray], keys: list[int]) -> Iterator[pa.RecordBatch]:
         sig = np.concatenate(sigs).astype(np.int64)
-        rank, key = (np.repeat(np.array(c, np.int64), sizes) for c in (ranks, keys))
-        order = np.lexsort((key, rank, sig))
-        yield from _emit(sig[order], rank[order], key[order], forward=True)
+        key = np.repeat(np.array(keys, np.int64), [len(s) for s in sigs])
+        order = np.lexsort((key, sig))
+        yield from _emit(sig[order], key[order], forward=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, ranks, keys, held = [], [], [], 0
+        sigs, keys, held = [], [], 0
         for batch in batches:
             for at in range(batch.num_rows):
                 grams = batch.column("grams")[at].values.to_numpy().view(U64)
                 sigs.append(signatures(np.sort(grams), percent))
-                ranks.append(batch.column("rank")[at].as_py())
                 keys.append(batch.column("key")[at].as_py())
                 held += len(sigs[-1])
                 if held > HELD_SIGNATURES:
-                    yield from combine(sigs, ranks, keys)
-                    sigs, ranks, keys, held = [], [], [], 0
+                    yield from combine(sigs, keys)
+                    sigs, keys, held = [], [], 0
         if sigs:
-            yield from combine(sigs, ranks, keys)
+            yield from combine(sigs, keys)
     return run
 
 
-_SIGNED = pa.schema([("sig", pa.int64()), ("rank", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-_SIGNED_DDL = "sig long, rank long, a long, b long"
+_SIGNED = pa.schema([("sig", pa.int64()), ("key", pa.int64()), ("member", pa.bool_())])
+_SIGNED_DDL = "sig long, key long, member boolean"
 
 
-def _rows(sig: np.ndarray, rank: np.ndarray, a: np.ndarray, b: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(a), 1 << 17):
+def _rows(sig: np.ndarray, key: np.ndarray, member: bool) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(key), 1 << 17):
         part = slice(at, at + (1 << 17))
-        other = pa.nulls(len(a[part]), pa.int64()) if b is None else pa.array(b[part])
-        yield pa.RecordBatch.from_arrays([pa.array(c[part]) for c in (sig, rank, a)] + [other], schema=_SIGNED)
+        yield pa.RecordBatch.from_arrays([pa.array(sig[part]), pa.array(key[part]),
+                                          pa.array(np.full(len(key[part]), member))], schema=_SIGNED)
 
 
-def _emit(sig: np.ndarray, rank: np.ndarray, key: np.ndarray, forward: bool) -> Iterator[pa.RecordBatch]:
-    """Each set with the first of its group, from rows sorted by sig, rank and key.
+def _emit(sig: np.ndarray, key: np.ndarray, forward: bool) -> Iterator[pa.RecordBatch]:
+    """The members of each group of two sets or more, from rows sorted by sig and key.
 
-    All sets of a group are listed as members too, to come back to if the first does not
-    hold them together; ``forward`` also passes it on to a later step.
+    ``forward`` also passes the first of each group on to a later step.
     """
     fresh = np.ones(len(sig), bool)
     fresh[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-    sig, rank, key = sig[fresh], rank[fresh], key[fresh]
+    sig, key = sig[fresh], key[fresh]
     head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
     size = np.diff(np.append(head, len(sig)))
     if forward:
-        yield from _rows(sig[head], rank[head], key[head], None)
-    member = np.repeat(size > 1, size)
-    yield from _rows(sig[member], rank[member], key[member], key[member])
-    first = np.repeat(head, size)
-    pair = np.flatnonzero(member & (first != np.arange(len(sig))))
-    # A set needs its best partner only; the other pairs come back through the members.
-    a, b, best = key[first[pair]], key[pair], rank[first[pair]]
-    order = np.lexsort((a, best, b))
-    once = np.ones(len(order), bool)
-    once[1:] = b[order][1:] != b[order][:-1]
-    kept = order[once]
-    yield from _rows(mix(b[kept].astype(U64), 41).astype(np.int64), best[kept], a[kept], b[kept])
+        yield from _rows(sig[head], key[head], False)
+    several = np.repeat(size > 1, size)
+    yield from _rows(sig[several], key[several], True)
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs and members of groups, from rows sorted by signature, rank and set."""
-    held = [np.zeros(0, np.int64)] * 3
+    """Members of groups, from rows sorted by signature and set."""
+    held = [np.zeros(0, np.int64)] * 2
     for batch in batches:
-        made = np.asarray(batch.column("b").is_valid())
-        if made.any():
-            yield batch.filter(pa.array(made))
-        new = batch.filter(pa.array(~made))
-        held = [np.concatenate([h, new.column(c).to_numpy()]) for h, c in zip(held, ("sig", "rank", "a"))]
+        made = batch.column("member")
+        if made.true_count:
+            yield batch.filter(made)
+        new = batch.filter(pa.array(~made.to_numpy(zero_copy_only=False)))
+        held = [np.concatenate([h, new.column(c).to_numpy()]) for h, c in zip(held, ("sig", "key"))]
         sig = held[0]
         if len(sig) > 1 << 16 and sig[0] != sig[-1]:
             last = int(np.searchsorted(sig, sig[-1]))
@@ -291,12 +281,12 @@ def _name() -> Column:
 
 
 def _fetch(docs: DataFrame, classes: DataFrame, width: int, label: str) -> DataFrame:
-    """The sets of classes (name, key, rank, first_id), made from one text of each class."""
+    """The sets of classes (name, key, first_id), made from one text of each class."""
     n = classes.count()
     ids = broadcast_if_small(classes.select(F.col("first_id").alias("_id")).distinct(), n)
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select("text")
     sets = texts.mapInArrow(_sets(width), "key long, check long, grams array<long>").select(
-        _name().alias("name"), "grams").join(broadcast_if_small(classes.select("name", "key", "rank"), n), "name")
+        _name().alias("name"), "grams").join(broadcast_if_small(classes.select("name", "key"), n), "name")
     return materialize(sets.dropDuplicates(["name"]), label)
 
 
@@ -313,26 +303,110 @@ def _lone(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return holders.filter("key = last").groupBy("key").agg(F.count(F.lit(1)).alias("lone"))
 
 
-def _verify(sets: DataFrame, pairs: DataFrame, percent: int, label: str) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough, by exact overlap."""
-    sides = [sets.select(F.col("name").alias(c), F.col("grams").alias(f"{c}_grams")) for c in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b").select(
-        "a", "b", (F.size("a_grams") + F.size("b_grams")).alias("total"),
-        F.size(F.array_intersect("a_grams", "b_grams")).alias("common"))
-    return materialize(both.filter(F.col("common") * 100 >= percent * (F.col("total") - F.col("common"))).select(
-        "a", "b"), label)
+def overlaps(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Common shingles of every two of several sets, whose shingles lie one after another.
 
+    Shingles of few holders are counted pair by pair, the others by a matrix product.
+    """
+    m = len(sizes)
+    out = np.zeros((m, m), np.float32)
+    owner = np.repeat(np.arange(m), sizes)
+    order = np.argsort(grams, kind="stable")
+    value, owner = grams[order], owner[order]
+    head = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
+    holders = np.diff(np.append(head, len(value)))
+    many = (holders > 1) & (holders * 32 > m)
+    few = np.repeat((holders > 1) & ~many, holders)
+    if few.any():
+        who, column = owner[few], np.repeat(np.arange(len(holders)), holders)[few]
+        for shift in range(1, int(holders[(holders > 1) & ~many].max())):
+            same = column[shift:] == column[:-shift]
+            pair, n = np.unique(who[:-shift][same] * m + who[shift:][same], return_counts=True)
+            out.ravel()[pair] += n
+        out += out.T
+    dense = np.repeat(many, holders)
+    who, column = owner[dense], np.repeat(np.arange(int(many.sum())), holders[many])
+    step = max(64, (1 << 22) // max(m, 1))
+    for at in range(0, int(many.sum()), step):
+        a, b = np.searchsorted(column, (at, at + step))
+        part = np.zeros((m, int(column[b - 1]) - at + 1), np.float32)
+        part[who[a:b], column[a:b] - at] = 1
+        out += part @ part.T
+    return out
+
+
+_MET = pa.schema([("a", pa.string()), ("b", pa.string()), ("common", pa.int64()), ("links", pa.int64())])
+_MET_DDL = "a string, b string, common long, links long"
+
+
+def _meet(percent: int, listed: bool) -> Callable:
+    """Compares all sets of a family's two blocks, from rows sorted by family and blocks.
+
+    With ``listed`` every link becomes a row (a, b, common). Otherwise each set's linked
+    documents are counted (a, links), and rows (a, b) join what links connect.
+    """
+    def group(family: list[tuple]) -> Iterator[pa.RecordBatch]:
+        family.sort(key=lambda r: r[1])
+        names = np.array([r[1] for r in family], object)
+        block, weight, sizes = (np.array(c, np.int64) for c in zip(*[(r[0], r[2], len(r[3])) for r in family]))
+        m = len(names)
+        common = overlaps(np.concatenate([r[3] for r in family]), sizes)
+        link = np.zeros((m, m), bool)
+        two = bool((block != block[0]).any())
+        for at in range(0, m, 256):
+            part = slice(at, at + 256)
+            both = common[part].astype(np.int64)
+            link[part] = both * 100 >= percent * (sizes[part, None] + sizes - both)
+            if two:  # sets of one block meet where the block meets itself
+                link[part] &= block[part, None] != block
+        np.fill_diagonal(link, False)
+        if listed:
+            for at in range(0, m, 256):
+                i, j = np.nonzero(np.triu(link[at:at + 256], at + 1))
+                if len(i):
+                    yield rows(names[i + at], names[j], common[i + at, j].astype(np.int64), None)
+            return
+        linked = np.flatnonzero(link.any(axis=1))
+        if not len(linked):
+            return
+        label = np.arange(m)
+        while True:
+            least = np.concatenate([np.where(link[at:at + 256], label, m).min(axis=1) for at in range(0, m, 256)])
+            new = np.minimum(label, least)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        count = np.concatenate([np.where(link[at:at + 256], weight, 0).sum(axis=1) for at in range(0, m, 256)])
+        yield rows(names[linked], None, None, count[linked])
+        away = np.flatnonzero(label != np.arange(m))
+        yield rows(names[label[away]], names[away], None, None)
 
-def _apart(grouped: DataFrame, joined: DataFrame | None, n_able: int, broadcast_rows: int, label: str) -> DataFrame:
-    """The groups (sig, name, n, lone, rank, component) whose sets the links do not join yet."""
-    if joined is None:
-        members = grouped.withColumn("component", F.col("name"))
-    else:
-        at = broadcast_if_small(joined.withColumnRenamed("node", "name"), n_able, broadcast_rows)
-        members = grouped.join(at, "name", "left").withColumn("component", F.coalesce("component", "name"))
-    apart = members.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter(
-        "least <> most").select("sig")
-    return materialize(members.join(apart, "sig", "left_semi"), label)
+    def rows(*columns) -> pa.RecordBatch:
+        n = len(columns[0])
+        return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if c is None else pa.array(c, f.type)
+                                           for c, f in zip(columns, _MET)], schema=_MET)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family, at, made, n = [], None, [], 0
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("family", "low", "high", "block", "name", "weight")))
+            for k, (name, low, high, *row) in enumerate(keys):
+                if (name, low, high) != at:
+                    if len(family) > 1:
+                        for found in group(family):
+                            made.append(found)
+                            n += found.num_rows
+                    family, at = [], (name, low, high)
+                    if n > 50_000:
+                        yield from pa.Table.from_batches(made).combine_chunks().to_batches()
+                        made, n = [], 0
+                family.append((*row, batch.column("grams")[k].values.to_numpy().copy()))
+        if len(family) > 1:
+            made += group(family)
+        if made:
+            yield from pa.Table.from_batches(made).combine_chunks().to_batches()
+    return run
 
 
 def _fits(common: Column, total: Column, percent: int) -> Column:
@@ -340,68 +414,84 @@ def _fits(common: Column, total: Column, percent: int) -> Column:
     return common * 100 >= (total - common) * percent
 
 
-def _with_first(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of the sets of each group with its first set, where their components differ."""
-    rows = rest.withColumn("c", F.col("n") - F.col("lone"))
-    first = rows.groupBy("sig").agg(F.min(F.struct("rank", "name", "n", "c", "component")).alias("first"))
-    other = F.col("first.component") != F.col("component")
-    fits = _fits(F.least("first.c", "c"), F.col("first.n") + F.col("n"), percent)
-    met = rows.join(first.withColumnRenamed("sig", "_sig"), (F.col("sig") == F.col("_sig")) & other & fits)
-    return met.select(F.least("first.name", "name").alias("a"), F.greatest("first.name", "name").alias("b")).distinct()
+def _in_blocks(rows: DataFrame, sets: Column, shingles: Column) -> DataFrame:
+    """Each row once per other block of its key, so that a key's blocks meet two by two."""
+    blocks = F.greatest(F.ceil(sets / BLOCK_SETS), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    placed = rows.withColumn("_blocks", blocks).withColumn(
+        "block", F.pmod(F.xxhash64("name"), F.col("_blocks")).cast("int")).withColumn("_other", other)
+    return placed.withColumn("low", F.least("block", "_other")).withColumn("high", F.greatest("block", "_other")).drop(
+        "_blocks", "_other")
+
+
+def _verify(sets: DataFrame, pairs: DataFrame, percent: int, label: str) -> DataFrame:
+    """The pairs (a, b, common) of classes whose sets are similar enough, by exact overlap."""
+    sides = [sets.select(F.col("name").alias(c), F.col("grams").alias(f"{c}_grams")) for c in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select(
+        "a", "b", (F.size("a_grams") + F.size("b_grams")).alias("total"),
+        F.size(F.array_intersect("a_grams", "b_grams")).cast("long").alias("common"))
+    return materialize(both.filter(F.col("common") * 100 >= percent * (F.col("total") - F.col("common"))).select(
+        "a", "b", "common"), label)
 
 
-def _remaining(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components in the groups that may still link.
+def _compared(sets: DataFrame, grouped: DataFrame, classes: DataFrame, percent: int, listed: bool) -> DataFrame | None:
+    """What _meet returns, for every two classes that share a signature (sig, name, n, c).
 
-    A shingle that one of the sets alone has is in no overlap. A set with too many such
-    shingles links with none, and with c others each, two sets overlap in at most the
-    smaller c. Groups that share sets form a family; a family is paired as a whole where
-    that compares fewer pairs than its groups one by one, in which a pair is made under
-    the smallest signature both have.
+    Groups with the same sets count once. Groups that share sets form a family; a family
+    is compared as a whole where that compares fewer pairs than its groups one by one.
     """
-    able = rest
-    for step in range(2):
-        # Without the sets just found unable, others have more shingles of their own.
-        wanted = sets.join(able.select("name").distinct(), "name", "left_semi")
-        lone = wanted.select("name", F.explode("grams").alias("gram")).groupBy("gram").agg(
-            F.count(F.lit(1)).alias("sets"), F.min("name").alias("name")).filter("sets = 1")
-        lone = lone.groupBy("name").agg(F.count(F.lit(1)).alias("lone"))
-        able = able.drop("lone").join(lone, "name", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
-        able = materialize(able.filter((F.col("n") - F.col("lone")) * 100 >= F.col("n") * percent), f"able-{step}")
-    first = able.groupBy("sig").agg(F.min("name").alias("first"))
-    ties = materialize(able.join(first, "sig").filter("name <> first").select(
+    spark = sets.sparkSession
+    print_of = [F.bit_xor(F.xxhash64("name", F.lit(k))).alias(f"_{k}") for k in (1, 2)]
+    once = grouped.groupBy("sig").agg(F.count(F.lit(1)).alias("_0"), F.min("name").alias("first"), *print_of)
+    once = once.groupBy("_0", "_1", "_2").agg(F.min(F.struct("sig", "first")).alias("s")).select(
+        "s.sig", "s.first", F.col("_0").alias("members"))
+    groups = materialize(grouped.join(once, "sig"), "groups")
+    ties = materialize(groups.filter("name <> first").select(
         F.col("first").alias("a"), F.col("name").alias("b")).distinct(), "ties")
     families = components(ties, "families")
     if families is None:
-        return able.select(F.col("name").alias("a"), F.col("name").alias("b")).limit(0)
-    able = able.join(families.select(F.col("node").alias("name"), F.col("component").alias("family")), "name")
-    able = materialize(able.withColumn("c", F.col("n") - F.col("lone")), "able-members")
-    pairs_in = lambda n: F.col(n) * (F.col(n) - 1) / 2
-    by_group = able.groupBy("family", "sig").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(
-        F.sum(pairs_in("n")).alias("apart"))
-    by_family = able.groupBy("family").agg(F.countDistinct("name").alias("n")).withColumn("together", pairs_in("n"))
-    whole = by_family.join(by_group, "family").filter("together <= apart").select("family")
-    whole = materialize(whole, "whole-families")
-
-    def pairs(rows: DataFrame, key: str, more: Column | None = None) -> DataFrame:
-        held = (key, "name", "n", "c", "component", *(["sigs"] if more is not None else []))
-        left, right = (rows.select(*[F.col(c).alias(f"{s}_{c}") for c in held]) for s in "ab")
-        fits = _fits(F.least("a_c", "b_c"), F.col("a_n") + F.col("b_n"), percent)
-        on = (F.col(f"a_{key}") == F.col(f"b_{key}")) & (F.col("a_component") < F.col("b_component")) & fits
-        return left.join(right, on if more is None else on & more).select(
-            F.least("a_name", "b_name").alias("a"), F.greatest("a_name", "b_name").alias("b"))
-
-    once = F.element_at(F.array_sort(F.array_intersect("a_sigs", "b_sigs")), 1) == F.col("a_sig")
-    together = able.join(whole, "family", "left_semi").dropDuplicates(["name"])
-    single = able.join(whole, "family", "left_anti")
-    listed = single.groupBy("name").agg(F.collect_set("sig").alias("sigs"))
-    single = single.join(listed, "name")
-    return pairs(together, "family").unionByName(pairs(single, "sig", once))
-
-
-def _linked(docs: DataFrame, width: int, percent: int, broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """What similar_documents returns, with the names of each row's set and component."""
-    docs = docs.select("doc_id", "text")
+        return None
+    families = families.select(F.col("node").alias("name"), F.col("component").alias("family"))
+    apart = groups.filter("name = first").join(families, "name").groupBy("family").agg(
+        F.sum(F.col("members") * (F.col("members") - 1) / 2).alias("apart"))
+    nodes = families.join(classes.select("name", "n", "weight"), "name")
+    size = nodes.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    size = materialize(size.join(apart, "family").withColumn(
+        "whole", F.col("members") * (F.col("members") - 1) / 2 <= F.col("apart")), "family-sizes")
+    n_families = size.count()
+    node = materialize(nodes.join(broadcast_if_small(size, n_families), "family"), "family-members")
+    n_nodes = node.count()
+    whole = _in_blocks(sets.select("name", "grams").join(broadcast_if_small(node.filter("whole"), n_nodes), "name"),
+                       F.col("members"), F.col("shingles"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = whole.select("family", "low", "high", "block", "name", "weight", "grams").repartition(
+        partitions, "family", "low", "high").sortWithinPartitions("family", "low", "high").mapInArrow(
+        _meet(percent, listed), _MET_DDL)
+    met = materialize(met, "met")
+    if size.filter("NOT whole").isEmpty():
+        return met
+    loose = groups.join(broadcast_if_small(node.filter("NOT whole").select("name"), n_nodes), "name", "left_semi")
+    placed = materialize(_in_blocks(loose, F.col("members"), F.lit(0)), "loose")
+    left, right = (placed.select("sig", "low", "high", *[F.col(c).alias(f"{s}_{c}") for c in ("name", "n", "c", "block")])
+                   for s in "ab")
+    apart = (F.col("low") == F.col("high")) | (F.col("a_block") != F.col("b_block"))
+    pairs = left.join(right, ["sig", "low", "high"]).filter(
+        (F.col("a_name") < F.col("b_name")) & apart & _fits(F.least("a_c", "b_c"), F.col("a_n") + F.col("b_n"), percent))
+    pairs = materialize(pairs.select(F.col("a_name").alias("a"), F.col("b_name").alias("b")).distinct(), "pairs")
+    links = _verify(sets, pairs, percent, "links")
+    none = F.lit(None).cast("long")
+    if listed:
+        return met.unionByName(links.withColumn("links", none))
+    weight = classes.select("name", "weight")
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    counted = both.join(weight.withColumnRenamed("name", "b"), "b").groupBy("a").agg(F.sum("weight").alias("links"))
+    return met.unionByName(links.withColumn("common", none).withColumn("links", none)).unionByName(counted.select(
+        "a", F.lit(None).cast("string").alias("b"), none.alias("common"), "links"))
+
+
+def _candidates(docs: DataFrame, width: int, percent: int, broadcast_rows: int, listed: bool
+                ) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The rows with their sets, the classes of equal sets, and what _compared returns for these."""
     rows = materialize(docs.mapInArrow(
         _describe(width), "doc_id long, n_shingles long, key long, check long").select(
             "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("key")).alias("key"), _name().alias("name")),
@@ -413,68 +503,70 @@ def _linked(docs: DataFrame, width: int, percent: int, broadcast_rows: int = MAX
     able = classes.join(_lone(docs, width, percent), "key", "left").withColumn(
         "lone", F.coalesce("lone", F.lit(0))).filter(
         F.col("lone") * 100 <= (100 - percent) * F.col("n_shingles"))
-    rank = (F.col("lone") * 1000 / F.col("n_shingles")).cast("long")
-    able = materialize(able.select("name", "key", rank.alias("rank"), F.col("n_shingles").alias("n"), "lone", "first_id"),
-                       "able")
+    able = materialize(able.select("name", "key", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.col(
+        "lone")).alias("c"), F.col("class_size").alias("weight"), "first_id"), "able")
     n_able = able.count()
     sets = _fetch(docs, able, width, "sets")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    signed = sets.select("key", "rank", "grams").mapInArrow(_sign(percent), _SIGNED_DDL)
-    matched = materialize(signed.repartition(partitions, "sig").sortWithinPartitions("sig", "rank", "a").mapInArrow(
-        _match, _SIGNED_DDL), "candidates")
-
-    def fitting(pairs: DataFrame) -> DataFrame:
-        """Pairs of keys as pairs of classes whose sizes and own shingles allow a link."""
-        ends = [broadcast_if_small(able.select(
-            F.col("key").alias(c), F.col("name").alias(f"{c}_name"), F.col("n").alias(f"{c}_n"),
-            (F.col("n") - F.col("lone")).alias(f"{c}_c")), n_able, broadcast_rows) for c in "ab"]
-        fits = _fits(F.least("a_c", "b_c"), F.col("a_n") + F.col("b_n"), percent)
-        return pairs.join(ends[0], "a").join(ends[1], "b").filter(fits).select(
-            F.least("a_name", "b_name").alias("a"), F.greatest("a_name", "b_name").alias("b"))
-
-    # First every set meets its best partner, then in groups still apart the others meet
-    # the first set, then what is left meets pair by pair where a link is still possible.
-    best = matched.filter("a <> b").groupBy("b").agg(F.min(F.struct("rank", "a"))["a"].alias("a"))
-    pairs = materialize(fitting(best), "pairs")
-    links = _verify(sets, pairs, percent, "links")
-    grouped = materialize(matched.filter("a = b").select("sig", F.col("a").alias("key")).distinct().join(
-        broadcast_if_small(able.select("key", "name", "n", "lone", "rank"), n_able, broadcast_rows), "key").drop("key"),
-        "members")
-    joined = components(links, "components-1")
-    for step, remaining in enumerate((_with_first, _remaining), 2):
-        rest = _apart(grouped, joined, n_able, broadcast_rows, f"apart-{step}")
-        if rest.isEmpty():
-            break
-        more = remaining(rest, sets, percent).join(pairs, ["a", "b"], "left_anti")
-        more = materialize(more, f"pairs-{step}")
-        pairs = pairs.unionByName(more)
-        links = links.unionByName(_verify(sets, more, percent, f"links-{step}"))
-        joined = components(links, f"components-{step}")
+    signed = sets.select("key", "grams").mapInArrow(_sign(percent), _SIGNED_DDL)
+    matched = signed.repartition(partitions, "sig").sortWithinPartitions("sig", "key").mapInArrow(_match, _SIGNED_DDL)
+    grouped = materialize(matched.select("sig", "key").distinct().join(
+        broadcast_if_small(able.select("key", "name", "n", "c"), n_able, broadcast_rows), "key").drop("key"), "members")
+    return rows, classes, _compared(sets, grouped, able, percent, listed)
+
+
+def _linked(docs: DataFrame, width: int, percent: int, broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """What similar_documents returns, with the names of each row's set and component."""
+    docs = docs.select("doc_id", "text")
+    rows, classes, met = _candidates(docs, width, percent, broadcast_rows, listed=False)
     named_classes = classes.select("name", "first_id", "class_size")
+    joined = None
+    if met is not None:
+        joined = components(materialize(met.filter("b IS NOT NULL").select("a", "b"), "connections"))
     if joined is not None:
-        linked = named_classes.join(joined.withColumnRenamed("node", "name"), "name", "left").withColumn(
-            "component", F.coalesce("component", "name"))
+        n_edges = joined.count()
+        counts = met.filter("links IS NOT NULL").groupBy(F.col("a").alias("name")).agg(F.sum("links").alias("links"))
+        linked = named_classes.join(broadcast_if_small(
+            joined.withColumnRenamed("node", "name").join(counts, "name", "left"), n_edges, broadcast_rows),
+            "name", "left").withColumn("component", F.coalesce("component", "name"))
         smallest = linked.groupBy("component").agg(F.min("first_id").alias("component_id"),
                                                    F.count(F.lit(1)).alias("classes"))
-        n_edges = joined.count()
         small = broadcast_if_small(smallest.filter("classes > 1"), n_edges, broadcast_rows)
         named_classes = linked.join(small, "component", "left").select(
             "name", "component", F.coalesce("component_id", "first_id").alias("component_id"), "class_size",
-            F.coalesce("classes", F.lit(1)).alias("classes"))
+            F.coalesce("classes", F.lit(1)).alias("classes"), F.coalesce("links", F.lit(0)).alias("links"))
     else:
         named_classes = named_classes.select("name", F.col("name").alias("component"),
                                              F.col("first_id").alias("component_id"), "class_size",
-                                             F.lit(1).cast("long").alias("classes"))
+                                             F.lit(1).cast("long").alias("classes"), F.lit(0).cast("long").alias("links"))
     # Documents alone in class and component need no join.
     many = materialize(named_classes.filter("class_size > 1 OR classes > 1").drop("classes"), "components-of-classes")
     out = left_join_unique(rows, many, "name", "class_size", rows.count(), broadcast_rows)
     return out.select(
         "doc_id", "n_shingles", F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(
             F.col("component_id")).alias("component_id"),
-        F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), "name",
+        F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
+        F.coalesce(F.col("links") + F.col("class_size") - 1, F.lit(0).cast("long")).alias("n_links"), "name",
         F.when(F.col("n_shingles") > 0, F.coalesce("component", "name")).alias("component"))
 
 
+def similar_pairs(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
+                  broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Every link between classes of equal sets, as ``similar_documents`` defines both.
+
+    Each pair of classes comes once. Returns a_id and b_id (smallest id of each class),
+    a_size and b_size (rows of each class), and common (shingles in both).
+    """
+    docs = docs.select("doc_id", "text")
+    _, classes, met = _candidates(docs, width, percent, broadcast_rows, listed=True)
+    sides = [classes.select(F.col("name").alias(c), F.col("first_id").alias(f"{c}_id"),
+                            F.col("class_size").alias(f"{c}_size")) for c in "ab"]
+    if met is None:
+        return sides[0].join(sides[1], F.lit(False)).select(
+            "a_id", "b_id", "a_size", "b_size", F.lit(None).cast("long").alias("common"))
+    return met.join(sides[0], "a").join(sides[1], "b").select("a_id", "b_id", "a_size", "b_size", "common")
+
+
 def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
                       broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Components of documents linked by the Jaccard similarity of their shingles.
@@ -483,10 +575,10 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     shingles of ``width`` words, A-Z lower-cased; shorter texts are one shingle, and texts
     without words (null too) are linked with nothing. Sets link at ``percent`` or more.
     Shingles and sets are told apart by 64 and 128 bits of hash. Equal sets form a class;
-    candidates are pairs of classes with a common signature, compared until each group of
-    classes that share one is joined by links or no pair of it can still link. Every row gives
-    one row, repeated ones too, and an empty table an empty result. Returns doc_id,
-    n_shingles, component_id (smallest id reachable by links) and class_size.
+    every pair of classes with a common signature is compared. Every row gives one row,
+    repeated ones too, and an empty table an empty result. Returns doc_id, n_shingles,
+    component_id (smallest id reachable by links), class_size and n_links (other rows
+    linked with this one, those of its class too).
     """
     return _linked(docs, width, percent, broadcast_rows).drop("name", "component")
 

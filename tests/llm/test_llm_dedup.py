@@ -170,6 +170,63 @@ def test_drop_similar_keeps_one_of_each_group(edge_docs):
     assert len(texts) - len(filled) == 4 and len(filled) == 8
 
 
+def brute_links(rows, width, percent):
+    """Links per row, and the linked pairs of smallest ids of different sets."""
+    sets = [shingles(t, width) for _, t in rows]
+    least = defaultdict(list)
+    for (i, _), s in zip(rows, sets):
+        least[s].append(i)
+    n, pairs = Counter(), set()
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                n[a] += 1
+                n[b] += 1
+                if sets[a] != sets[b]:
+                    pairs.add((*sorted((min(least[sets[a]]), min(least[sets[b]]))), both))
+    return Counter((i, n[k]) for k, (i, _) in enumerate(rows)), pairs
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_every_link_is_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+    rng, rows = random.Random(11), []
+    for family in range(12):
+        words = [f"f{family}w{rng.randrange(10 ** 6)}" for _ in range(rng.randint(150, 300))]
+        for _ in range(rng.randint(1, 14)):
+            own = list(words)
+            for _ in range(rng.randint(0, 3)):
+                own[rng.randrange(len(own))] = f"x{rng.random()}"
+            rows += [(len(rows), " ".join(own))] * rng.choice((1, 1, 1, 2))
+    rows = [(k, t) for k, (_, t) in enumerate(rows)] + [(9000, ""), (9001, ""), (9002, "all alone here it stands")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    counts, pairs = brute_links(rows, 4, 85)
+    got = ngram_join.similar_documents(docs)
+    assert Counter((r["doc_id"], r["n_links"]) for r in got.collect()) == counts
+    listed = [(*sorted((r["a_id"], r["b_id"])), r["common"]) for r in ngram_join.similar_pairs(docs).collect()]
+    assert len(listed) == len(set(listed)) and set(listed) == pairs and len(pairs) > 100
+
+
+def test_links_of_loose_families(spark):
+    # A chain: neighbours are similar, and a group holds few of the family's sets.
+    words = [f"w{k}" for k in range(900)]
+    rows = [(k, " ".join(words[3 * k:3 * k + 60])) for k in range(250)] + [(999, " ".join(words[30:90]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    counts, pairs = brute_links(rows, 4, 85)
+    check_join(docs)
+    assert Counter((r["doc_id"], r["n_links"]) for r in ngram_join.similar_documents(docs).collect()) == counts
+    listed = {(*sorted((r["a_id"], r["b_id"])), r["common"]) for r in ngram_join.similar_pairs(docs).collect()}
+    assert listed == pairs
+
+
+def test_overlaps_of_many_sets():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60 if k % 2 else 4000, 40)) for k in range(150)]
+    got = ngram_join.overlaps(np.concatenate(sets), np.array([len(s) for s in sets]))
+    assert all(got[a, b] == len(np.intersect1d(sets[a], sets[b])) for a in range(150) for b in range(a))
+
+
 # -- substring dedup ----------------------------------------------------------------
 
 
