@@ -9,6 +9,8 @@ by going down where their branches differ.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -110,29 +112,96 @@ def likeness(a: Trees, pick_a: np.ndarray, b: Trees, pick_b: np.ndarray) -> np.n
     return out
 
 
-def edits(old: str, new: str) -> list[tuple[int, int]]:
-    """Byte ranges of ``new`` whose leaves ``old`` has not, found by descending differing branches."""
-    a, b = (build(Texts(pa.array([t], pa.large_string()))) for t in (old, new))
-    if (a.roots == b.roots).all():
-        return []
-    found = []
-    known_sections, known_paragraphs, known = set(a.sections.tolist()), set(a.paragraphs.tolist()), set(a.leaves.tolist())
-    for s, section in enumerate(b.sections.tolist()):
-        if section in known_sections:
+def _same(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int]]:
+    """The differing stretches (a from, a to, b from, b to) of two lists of children, in order.
+
+    Equal ends are dealt with first. Between them, children that both lists hold once
+    are aligned along their longest increasing chain, and each gap is treated likewise.
+    """
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, m, j, n = todo.pop()
+        while i < m and j < n and a[i] == b[j]:
+            i, j = i + 1, j + 1
+        while i < m and j < n and a[m - 1] == b[n - 1]:
+            m, n = m - 1, n - 1
+        if i == m and j == n:
             continue
-        for p in range(b.section_paragraph[s], b.section_paragraph[s + 1]):
-            if int(b.paragraphs[p]) in known_paragraphs:
-                continue
-            for leaf in range(b.paragraph_leaf[p], b.paragraph_leaf[p + 1]):
-                if int(b.leaves[leaf]) not in known:
-                    start, end = int(b.leaf_start[leaf]), int(b.leaf_end[leaf])
-                    if found and found[-1][1] == start:
-                        found[-1] = (found[-1][0], end)
-                    else:
-                        found.append((start, end))
+        chain = []
+        if i < m and j < n:
+            times, others = Counter(a[i:m]), Counter(b[j:n])
+            place = {h: k for k, h in enumerate(b[j:n], j) if others[h] == 1}
+            pairs = [(k, place[h]) for k, h in enumerate(a[i:m], i) if times[h] == 1 and h in place]
+            ends, last, before = [], [], []
+            for at, (_, k) in enumerate(pairs):
+                to = bisect_left(ends, k)
+                before.append(last[to - 1] if to else -1)
+                ends[to:to + 1] = [k]
+                last[to:to + 1] = [at]
+            at = last[-1] if last else -1
+            while at >= 0:
+                chain.append(pairs[at])
+                at = before[at]
+        if not chain:
+            yield i, m, j, n
+            continue
+        for k, q in chain:  # from the last to the first, so that the first gap is taken next
+            todo.append((k + 1, m, q + 1, n))
+            m, n = k, q
+        todo.append((i, m, j, n))
+
+
+def changes(a: Trees, one: int, b: Trees, other: int) -> list[tuple[int, int, int, int]]:
+    """Byte ranges (old start, old end, new start, new end) that differ between two texts.
+
+    Children are aligned in order from the root down, and only differing branches are
+    entered. What lies between the ranges is equal in both texts: an empty new range is a
+    deletion, an empty old one an insertion, and a moved part is one of each.
+    """
+    if (a.roots[one] == b.roots[other]).all():
+        return []
+    sides, zero = [], []
+    for tree, k in ((a, one), (b, other)):
+        low, high = int(tree.leaf_of[k]), int(tree.leaf_of[k + 1])
+        para = np.searchsorted(tree.paragraph_leaf, (low, high))
+        section = np.searchsorted(tree.section_paragraph, para)
+        sides.append((low, high, *para.tolist(), *section.tolist()))
+        zero.append(int(tree.leaf_start[low]) if low < high else 0)
+    found: list[tuple[int, int, int, int]] = []
+
+    def byte(tree: Trees, leaf: int, side: int) -> int:
+        if leaf < sides[side][1]:
+            return int(tree.leaf_start[leaf]) - zero[side]
+        return int(tree.leaf_end[leaf - 1]) - zero[side] if sides[side][1] > sides[side][0] else 0
+
+    def descend(level: int, i: int, m: int, j: int, n: int) -> None:
+        hashes = (a.sections, a.paragraphs, a.leaves)[level][i:m].tolist(), (
+            b.sections, b.paragraphs, b.leaves)[level][j:n].tolist()
+        for p, q, r, s in _same(*hashes):
+            p, q, r, s = p + i, q + i, r + j, s + j
+            if level == 2:
+                at = byte(a, p, 0), byte(a, q, 0), byte(b, r, 1), byte(b, s, 1)
+                if found and found[-1][1] == at[0] and found[-1][3] == at[2]:
+                    at = found[-1][0], at[1], found.pop()[2], at[3]
+                found.append(at)
+            else:
+                x, y = ((t.section_paragraph, t.paragraph_leaf)[level] for t in (a, b))
+                descend(level + 1, int(x[p]), int(x[q]), int(y[r]), int(y[s]))
+    descend(0, sides[0][4], sides[0][5], sides[1][4], sides[1][5])
     return found
 
 
+def changed_ranges(old: str, new: str) -> list[tuple[int, int, int, int]]:
+    """``changes`` between two texts."""
+    both = build(Texts(pa.array([old, new], pa.large_string())))
+    return changes(both, 0, both, 1)
+
+
+def edits(old: str, new: str) -> list[tuple[int, int]]:
+    """Byte ranges of ``new`` that differ from ``old``; a deletion is an empty range."""
+    return [(start, end) for _, _, start, end in changed_ranges(old, new)]
+
+
 # -- Documents and their successors -------------------------------------------------
 
 
@@ -142,11 +211,13 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - k] + following[:k]
 
 
+_EDITS = pa.list_(pa.struct([(f, pa.int64()) for f in ("old_start", "old_end", "new_start", "new_end")]))
 _ROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()),
                   ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()),
-                  ("near_next", pa.float64()), ("role", pa.int32()), ("part", pa.int32()), ("text", pa.string())])
+                  ("near_next", pa.float64()), ("edits", _EDITS), ("role", pa.int32()), ("part", pa.int32()), ("text", pa.string())])
 _ROW_DDL = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-            "near_edited double, near_next double, role int, part int, text string")
+            "near_edited double, near_next double, "
+            "edits array<struct<old_start: long, old_end: long, new_start: long, new_end: long>>, role int, part int, text string")
 DONE, HEAD, TAIL = 0, 1, 2
 
 
@@ -160,7 +231,8 @@ def _compare(ids: list, texts: list[str], following: list[str]) -> pa.RecordBatc
     own, new, after = (build(Texts(pa.array(c, pa.large_string()))) for c in (texts, changed, following))
     every = np.arange(len(texts))
     columns = [ids, [len(t) for t in texts], [hashlib.sha256(t.encode()).hexdigest() for t in changed],
-               _hex(own.roots), _hex(new.roots), likeness(own, every, new, every), likeness(own, every, after, every)]
+               _hex(own.roots), _hex(new.roots), likeness(own, every, new, every), likeness(own, every, after, every),
+               [[dict(zip(_EDITS.value_type.names, r)) for r in changes(own, k, new, k)] for k in range(len(texts))]]
     made = [pa.array(c, f.type) for c, f in zip(columns, _ROW)]
     rest = [pa.array(np.zeros(len(ids), np.int32)), pa.array(np.zeros(len(ids), np.int32)),
             pa.nulls(len(ids), pa.string())]
@@ -168,7 +240,7 @@ def _compare(ids: list, texts: list[str], following: list[str]) -> pa.RecordBatc
 
 
 def _edge(doc_id, role: int, part: int, text: str) -> pa.RecordBatch:
-    row = [doc_id, None, None, None, None, None, None, role, part, text]
+    row = [doc_id, None, None, None, None, None, None, None, role, part, text]
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _ROW)], schema=_ROW)
 
 
@@ -210,7 +282,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     texts are empty. The edited text takes its last quarter from the next document. Every
     row gives one row, repeated ones too, and an empty table an empty result; other columns
     are ignored. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next.
+    near_edited, near_next, and edits: the byte ranges in which the edited text differs.
     """
     rows = docs.select("doc_id", "text").withColumn("_tie", F.xxhash64("text"))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -225,5 +297,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     heads = done.filter(F.col("role") == HEAD).select(F.col("part").alias("next"), F.col("text").alias("following"))
     tails = done.filter(F.col("role") == TAIL).select("part", "doc_id", "text").join(after, "part").join(heads, "next")
     last = tails.select("doc_id", "text", "following").mapInArrow(_joined, _ROW_DDL)
-    names = list(_ROW.names[:7])
+    names = list(_ROW.names[:8])
     return done.filter(F.col("role") == DONE).select(names).unionByName(last.select(names))

@@ -45,6 +45,39 @@ def test_likeness_and_edits():
     assert merkle.edits(text, text) == []
 
 
+def patched(old, new, ranges):
+    """``old`` with the new text of every range, checking that ranges are in order."""
+    a, b, out, at, to = old.encode(), new.encode(), b"", 0, 0
+    for p, q, r, s in ranges:
+        assert at <= p <= q and to <= r <= s and p - at == r - to
+        out += a[at:p] + b[r:s]
+        at, to = q, s
+    return (out + a[at:]).decode()
+
+
+def test_changed_ranges_turn_the_old_text_into_the_new(spark):
+    assert merkle.changed_ranges("a\n\nb\n\nc", "a\n\nc") != [] and merkle.edits("a\n\nb\n\nc", "a\n\nc") != []
+    rng, cases = random.Random(4), [("", "x"), ("x", ""), ("é\n\né", "é"), ("a\nb\nc", "c\na\nb"), ("a b\n", "a b\na b\n")]
+    for _ in range(60):
+        lines = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randint(0, 12))) + "é" for _ in range(50)]
+        new = list(lines)
+        for _ in range(rng.randint(1, 4)):
+            i, j = sorted(rng.sample(range(len(new)), 2))
+            new = rng.choice([new[:i] + new[i + 1:], new[:i] + new[j:j + 3] + new[i:j] + new[j + 3:], new[:j] + new[i:]])
+        cases.append(("\n".join(lines), "\n".join(new)))
+    for old, new in cases:
+        ranges = merkle.changed_ranges(old, new)
+        assert patched(old, new, ranges) == new and (ranges == []) == (old == new)
+    lines = [f"line {k} of many words here" for k in range(200)]
+    (p, q, r, s), = merkle.changed_ranges("\n".join(lines), "\n".join(lines[:90] + lines[91:]))
+    assert r == s and q - p < 60
+    docs = spark.createDataFrame([(k, old) for k, (old, _) in enumerate(cases)], "doc_id long, text string").repartition(3)
+    for row in merkle.fingerprints(docs).collect():
+        old, following = cases[row["doc_id"]][0], cases[(row["doc_id"] + 1) % len(cases)][0]
+        new = merkle.edited(old, following)
+        assert patched(old, new, map(tuple, row["edits"])) == new
+
+
 def check_fingerprints(docs, spark_tie=False):
     rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
     got = merkle.fingerprints(docs).collect()
