@@ -3,7 +3,7 @@
 Patterns and the shape of tokens give candidates. For the hash of each candidate's value
 the corpus tells how many repositories and owners hold it: a value of many owners is a
 copied example, a value of one owner looks live. Opaque tokens without a pattern count
-as secrets only if they look live.
+as secrets unless they are copied examples.
 """
 
 from __future__ import annotations
@@ -129,9 +129,10 @@ def find_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
 
     Null texts are empty; a null repository or owner counts as one of its own. A value with
     ``wide_owners`` or more owners is a copied example, one of a single owner looks live. Base
-    spans are all kept whatever the corpus says; opaque tokens are added if they look live.
+    spans are all kept whatever the corpus says; opaque tokens are in spans if they look live,
+    and in secrets also if they are shared by fewer owners than a copied example has.
     Every row gives one row, repeated ones too, and an empty table an empty result. Returns
-    doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, and secrets
+    doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, n_shared, and secrets
     (start, end, kind, owners, repositories, verdict).
     """
     scanned = docs.select("doc_id", "text", F.col(repository).cast("string").alias("repository"),
@@ -145,16 +146,18 @@ def find_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
     judged = left_join_unique(rows, owned, "value", "places", candidates.count(), broadcast_rows)
     verdict = F.when(F.col("owners") >= wide_owners, "copied").when(F.col("owners") == 1, "live").otherwise("shared")
     name = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
-    judged = judged.withColumn("verdict", verdict).filter((F.col("kind") < 3) | (F.col("verdict") == "live"))
+    judged = judged.withColumn("verdict", verdict).filter(
+        (F.col("kind") < 3) | (F.col("verdict") != "copied"))
     per_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(
         "start", F.col("kind").alias("rank"), "end", name.alias("kind"), "owners", "repositories", "verdict"))
     ).alias("secrets"))
     out = scanned.join(per_row, "row", "left")
-    text = F.array_join(F.transform("secrets", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    text = F.array_join(F.transform(F.filter("secrets", lambda s: (s["rank"] < 3) | (s["verdict"] == "live")), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda v: F.coalesce(F.size(F.filter("secrets", lambda s: s["verdict"] == v)), F.lit(0)).cast("long")
     none = F.col("secrets").isNull()
     return out.select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256",
         F.when(none, "").otherwise(text).alias("spans"),
         F.when(none, 0).otherwise(count("live")).cast("long").alias("n_live"),
-        F.when(none, 0).otherwise(count("copied")).cast("long").alias("n_copied"), "secrets")
+        F.when(none, 0).otherwise(count("copied")).cast("long").alias("n_copied"),
+        F.when(none, 0).otherwise(count("shared")).cast("long").alias("n_shared"), "secrets")

@@ -192,6 +192,18 @@ def test_secrets_and_their_owners(spark, edge_docs, no_docs):
     assert secret_scan.find_secrets(no_docs).collect() == []
 
 
+def test_shared_opaque_tokens_are_secrets(spark):
+    text = "x " + "Aa1" * 9
+    docs = spark.createDataFrame([(1, text, "s1"), (2, text, "s2"), *[(k, "y " + "Bb2" * 9, f"s{k}") for k in (3, 4, 5)]],
+                                 "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in secret_scan.find_secrets(docs).collect()}
+    for k in (1, 2):
+        (found,) = got[k]["secrets"]
+        assert (found["kind"], found["start"], found["owners"], found["verdict"]) == ("opaque", 2, 2, "shared")
+        assert got[k]["n_shared"] == 1 and got[k]["n_live"] == 0
+    assert not got[3]["secrets"] and got[3]["n_shared"] == 0
+
+
 def test_ownership_counts(spark):
     rows = [("v", "r1", "a"), ("v", "r1", "a"), ("v", "r2", "a"), ("v", "r3", "b"), ("w", "r1", "a")]
     got = {r["value"]: (r["places"], r["repositories"], r["owners"]) for r in secret_scan.ownership(
