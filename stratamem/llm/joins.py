@@ -9,7 +9,7 @@ from stratamem.operators.bounded import MAX_BROADCAST_ROWS, broadcast_if_small
 from stratamem.session import materialize
 
 
-def left_join_unique(rows: DataFrame, table: DataFrame, key: str, count: str, total: int,
+def left_join_unique(rows: DataFrame, table: DataFrame, key: str | list[str], count: str, total: int,
                      limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Left join with a table that holds each key once and, in ``count``, its number of rows.
 
