@@ -22,6 +22,8 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -289,13 +291,19 @@ def _texts(path: str, leaf: int):
 def _cut(path: str, leaf: int, spread: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        e, task, n = encoder(path, leaf), TaskContext.get().partitionId(), 0
+        e, task, n, rows, held = encoder(path, leaf), TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 text, n = text.as_py(), n + 1
                 for seg, (stretch, special) in enumerate(e.segments(text)):
                     for part, at in enumerate(range(0, len(stretch), spread)):
-                        yield _batch([(f"{task}-{n}", doc_id.as_py(), seg, part, special, stretch[at:at + spread])], _CUT)
+                        rows.append((f"{task}-{n}", doc_id.as_py(), seg, part, special, stretch[at:at + spread]))
+                        held += len(rows[-1][-1])
+                        if held > spread or len(rows) == 1000:
+                            yield _batch(rows, _CUT)
+                            rows, held = [], 0
+        if rows:
+            yield _batch(rows, _CUT)
     return run
 
 
@@ -322,16 +330,14 @@ def _join_parts(path: str, leaf: int):
     def run(table: pa.Table) -> pa.Table:
         e = encoder(path, leaf)
         rows = table.sort_by([("seg", "ascending"), ("part", "ascending")]).to_pylist()
-        e.windows, found, at = 0, [], 0
-        while at < len(rows):
-            seg = [r for r in rows[at:] if r["seg"] == rows[at]["seg"]] if rows[at]["special"] < 0 else rows[at:at + 1]
-            text, parts, lo = "".join(r["text"] for r in seg), [], 0
+        e.windows, found = 0, []
+        for _, group in groupby(rows, key=itemgetter("seg")):
+            parts, lo, seg = [], 0, list(group)
             for r in seg:
                 hi = lo + len(r["text"])
                 parts.append(Part(lo, hi, np.frombuffer(r["ids"], "<u4"), lo + r["tail"]))
                 lo = hi
-            found.append(e.joined(text, parts).ids)
-            at += len(seg)
+            found.append(e.joined("".join(r["text"] for r in seg), parts).ids)
         ids = np.concatenate(found)
         windows = e.windows + sum(r["windows"] for r in rows)
         return pa.Table.from_batches([_batch(

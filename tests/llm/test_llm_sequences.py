@@ -204,7 +204,7 @@ def test_negatives_equal_brute_force(spark, kind):
              "ties": centres[i % 4]}[kind]
         rows.append((i, [float(x) for x in v], int(rng.integers(0, 4))))
     # A hot vector, other lengths, what takes no part, and products beyond 2^53.
-    rows += [(1000 + i, [1.0, 0, 0, 0, 0, 0], 1) for i in range(200)]
+    rows += [(1000 + i, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0], 1) for i in range(200)]
     rows += [(1700, [1.0, 2.0], 2), (1701, [2.0, 2.0], 3), (1702, [1.5, 2.0], 3), (1703, None, 1), (1704, [1.0] * 6, None),
              (1705, [float("nan")] * 6, 1), (1706, [None] * 6, 1), (1800, [], 1), (1801, [float("inf")] + [0.0] * 5, 1),
              (1900, [1e5, 2e5, 1e5 + 0.3], 1), (1901, [1e5, 2e5, 1e5 + 0.7], 1), (1902, [1e5, 1e5, 1e5], 2),
