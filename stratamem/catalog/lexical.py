@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from stratamem.catalog import base as b
 from stratamem.functions import scoring, text
 from stratamem.operators import lexical as lx
+from stratamem.operators import lexical_index
+from stratamem.session import scratch_path
 from stratamem.sources import tables
 
 QUERY = "For the thing and the tion, which ment is the ing of tion"
@@ -68,9 +70,21 @@ def sparse_cosine(spark, base):
         "doc_id", scoring.round4(F.col("similarity")).alias("similarity"))
 
 
+def bm25_topk(spark, base):
+    """The ten best items of all for every benchmark passage, from a written index."""
+    items = tables.memory_items(spark, base).select("id", text.tokenize(F.col("content")).alias("tokens"))
+    # Neighbouring windows of a document share words and therefore a block.
+    index = lexical_index.write_index(items, "id", scratch_path(spark, "lexical-index"),
+                                      near=F.shiftright("id", 5))
+    queries = tables.read(spark, base, "benchmark").select(
+        F.col("item_id").alias("query_id"), text.tokenize(F.col("text")).alias("tokens"))
+    return lexical_index.bm25_topk(index, queries, 10).select(
+        "query_id", "id", "rank", scoring.round4(F.col("bm25")).alias("bm25"))
+
+
 QUERIES = {f.__name__: f for f in (
     tokenize_counts, term_freq, doc_freq, corpus_stats, bm25_scores, bm25_normalized,
-    sparse_vector_norm, sparse_cosine)}
+    sparse_vector_norm, sparse_cosine, bm25_topk)}
 
 _TOK = f"tok AS (SELECT doc_id, source, {b.tokens('text')} AS tokens FROM documents)"
 _TF = """tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM tok)
@@ -89,7 +103,18 @@ _SCORED = f"""WITH {_TOK}, {_TF}, {_QT},
     JOIN (SELECT doc_id, len(tokens) AS doc_len FROM tok) d ON d.doc_id = tf.doc_id, st GROUP BY d.doc_id),
   scored AS (SELECT tok.doc_id, coalesce(s, 0e0) AS s FROM tok LEFT JOIN part USING (doc_id))"""
 
+_TOPK = f"""WITH {b.ITEMS}, tok AS (SELECT id AS doc_id, {b.tokens('content')} AS tokens FROM items), {_TF},
+  qt AS (SELECT item_id AS query_id, term, count(*) AS n FROM (
+    SELECT item_id, unnest({b.tokens('text')}) AS term FROM benchmark) GROUP BY ALL),
+  dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+  st AS (SELECT count(*) AS total, avg(len(tokens)) AS avg_len FROM tok),
+  part AS (SELECT query_id, d.doc_id AS id, sum(qt.n * {_TERM}) AS s FROM qt JOIN tf USING (term) JOIN dfs USING (term)
+    JOIN (SELECT doc_id, len(tokens) AS doc_len FROM tok) d ON d.doc_id = tf.doc_id, st GROUP BY ALL),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {b.rank_key('s')} DESC, id) AS rank FROM part)
+  SELECT query_id, id, rank, {b.round4('s')} AS bm25 FROM ranked WHERE rank <= 10"""
+
 ORACLE = {
+    "bm25_topk": _TOPK,
     "tokenize_counts": f"""WITH {_TOK} SELECT doc_id, len(tokens) AS tokens,
       len(list_distinct(tokens)) AS distinct_tokens FROM tok""",
     "term_freq": f"WITH {_TOK}, {_TF} SELECT * FROM tf",
