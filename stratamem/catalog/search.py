@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratamem.catalog import base as b
 from stratamem.functions import scoring, vector
+from stratamem.operators import knn_pruned as pivots
 from stratamem.operators.knn import knn
 from stratamem.sources import tables
 
@@ -37,6 +38,18 @@ def knn_threshold(spark: SparkSession, base: str) -> DataFrame:
     return _shown(hits)
 
 
+def knn_pruned(spark: SparkSession, base: str) -> DataFrame:
+    """Ten nearest live items of the user per query, from blocks around pivots."""
+    index = pivots.build(tables.memory_items(spark, base, True), filters=())
+    return _shown(pivots.knn_pruned(index, tables.retrieval_queries(spark, base), 10))
+
+
+def knn_pruned_filtered(spark: SparkSession, base: str) -> DataFrame:
+    """Up to fifty items per query with a similarity of at least 0.25 under the session filter."""
+    index = pivots.build(tables.memory_items(spark, base, True), filters=("session_id",))
+    return _shown(pivots.knn_pruned(index, tables.retrieval_queries(spark, base), 50, threshold=0.25))
+
+
 def vector_cosine(spark: SparkSession, base: str) -> DataFrame:
     """Cosine of each stored vector with the next one."""
     e = tables.read(spark, base, "embeddings")
@@ -45,7 +58,8 @@ def vector_cosine(spark: SparkSession, base: str) -> DataFrame:
         "vec_id", scoring.round4(vector.cosine(F.col("embedding"), F.col("other"))).alias("cosine"))
 
 
-QUERIES = {f.__name__: f for f in (knn_topk, knn_layer_candidates, knn_threshold, vector_cosine)}
+QUERIES = {f.__name__: f for f in (
+    knn_topk, knn_layer_candidates, knn_threshold, knn_pruned, knn_pruned_filtered, vector_cosine)}
 
 
 def _knn_sql(k: int, group: str, condition: str, threshold: float) -> str:
@@ -65,6 +79,10 @@ ORACLE = {
     "knn_threshold": _knn_sql(
         50, "", "s.user_id = q.user_id AND NOT s.is_deprecated "
         "AND (q.session_id IS NULL OR s.session_id = q.session_id)", 0.25),
+    "knn_pruned": _knn_sql(10, "", "s.user_id = q.user_id AND NOT s.is_deprecated", 0),
+    "knn_pruned_filtered": _knn_sql(
+        50, "", "s.user_id = q.user_id AND NOT s.is_deprecated "
+        "AND (q.session_id IS NULL OR s.session_id = q.session_id)", 0.25),
     "vector_cosine": f"""SELECT a.vec_id, {b.round4(b.cosine('a.embedding', 'c.embedding'))} AS cosine
       FROM embeddings a JOIN embeddings c ON c.vec_id = a.vec_id + 1""",
 }

@@ -75,3 +75,57 @@ def test_index_of_nothing(spark):
     index = lexical_index.write_index(empty, "id", scratch_path(spark, "index"))
     asked = spark.createDataFrame([(1, ["a"])], "query_id long, tokens array<string>")
     assert lexical_index.bm25_topk(index, asked, 3).collect() == []
+
+
+# -- neighbours -------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def clustered(spark):
+    """Items around twelve centres for two tenants, one holding most; some without direction or of other length."""
+    import numpy as np
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16))
+    rows = []
+    for i in range(3000):
+        v = centres[i % 12] + 0.15 * rng.normal(size=16)
+        rows.append((i, "a" if i % 8 else "b", f"s{i % 3}", None, i % 50 == 49, [float(x) for x in v]))
+    rows += [(3000 + i, "a", "s0", None, False, [0.0] * 16) for i in range(5)]
+    rows += [(3100 + i, "a", "s0", None, False, [1.0, float(i)]) for i in range(5)]
+    rows += [(3200 + i, "a", "s1", None, False, rows[0][5]) for i in range(300)] + [(3600, "a", "s1", None, False, None)]
+    items = spark.createDataFrame(
+        rows, "id long, user_id string, session_id string, project string, is_deprecated boolean, embedding array<double>")
+    asked = [(q, "a" if q % 3 else "b", "s1" if q % 4 == 0 else None, None,
+              [float(x) for x in centres[q % 12] + 0.15 * rng.normal(size=16)]) for q in range(60)]
+    asked += [(100, "a", None, None, [0.0] * 16), (101, "a", None, None, [1.0, 1.0]), (102, "nobody", None, None, [1.0] * 16),
+              (103, "a", "", None, [-float(x) for x in centres[0]]), (104, "a", None, None, None)]
+    return items, spark.createDataFrame(
+        asked, "query_id long, user_id string, session_id string, project string, embedding array<double>")
+
+
+@pytest.mark.parametrize("k,threshold,probe", [(7, 0.0, 2), (400, -1.0, 1), (5, 0.9, 1)])
+def test_pruned_search_equals_plain_search(spark, clustered, k, threshold, probe):
+    from stratamem.operators import knn_pruned
+    from stratamem.operators.knn import knn
+    items, asked = clustered
+    index = knn_pruned.build(items, pivots=24, block_items=64)
+    got = knn_pruned.knn_pruned(index, asked, k, threshold, probe=probe, max_block=16)
+    want = knn(items, asked, k, group=None, threshold=threshold)
+
+    def rows(frame):
+        return sorted((r["query_id"], r["rank"], r["id"], round(r["semantic"], 8)) for r in frame.collect())
+    assert rows(got) == rows(want)
+
+
+def test_pruned_search_skips_blocks(spark, clustered):
+    from stratamem.operators import knn_pruned
+    items, asked = clustered
+    index = knn_pruned.build(items, pivots=24, block_items=64)
+    assert index.items.groupBy(*knn_pruned.BLOCK).count().agg(F.max("count")).first()[0] < 110
+    visited = []
+    knn_pruned.knn_pruned(index, asked.filter("query_id < 60 AND session_id IS NULL"), 5, probe=2, visited=visited).collect()
+    pairs, first, second = [v.count() for v in visited]
+    assert first + second < pairs / 4
+    # A block is shuffled once, whether one query or all of them visit it.
+    blocks = second and visited[2].select(*knn_pruned.BLOCK).distinct().count()
+    assert blocks <= index.blocks.count()
