@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from stratamem.catalog import base as b
 from stratamem.functions import text
+from stratamem.operators.lifecycle import with_collection
+from stratamem.session import materialize
 from stratamem.sources import tables
-from stratamem.streaming import jobs
+from stratamem.streaming import expiry, jobs, subscribe
 
 
 def _stream(spark, base, name):
@@ -34,7 +36,8 @@ def _drain(spark, stream, label, mode="append"):
 def stream_l1_window(spark, base):
     """Working memory kept by a stateful stream, with clears among the messages in any order."""
     messages = _messages(spark, base, clears=True)
-    return jobs.current_windows(_drain(spark, jobs.window_stream(messages), "window", "update"))
+    state = jobs.run_for_state(jobs.window_stream(messages), jobs.new_path(spark, "window"))
+    return jobs.windows_in_state(spark, state)
 
 
 def stream_session_counters(spark, base):
@@ -66,8 +69,50 @@ def stream_retention(spark, base):
     return log.groupBy("collection", "action").agg(F.count(F.lit(1)).alias("items"))
 
 
+def stream_expiry(spark, base):
+    """What timers expire by the last event, with views as touches and some signups as pins."""
+    items = with_collection(tables.memory_items(spark, base))
+    documents = tables.read(spark, base, "documents").count()
+    events = tables.read(spark, base, "events").select(
+        "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"),
+        (F.pmod("event_id", F.lit(documents)) * tables.IDS_PER_DOC).alias("id"))
+    pins = events.filter((F.col("event_type") == "signup") & (F.col("event_id") % 7 == 0))
+    changes = (expiry.item_changes(items, F.lit("2023-12-31 00:00:00").cast("timestamp"))
+               .unionByName(expiry.touches(events.filter(F.col("event_type") == "view")))
+               .unionByName(expiry.touches(pins, expiry.PIN))
+               .unionByName(expiry.touches(events.withColumn("id", F.lit(None)), "tick")))
+    written = materialize(changes, "item-changes")
+    stream = jobs.file_stream(spark, written.inputFiles()[0].rsplit("/", 1)[0], written.schema, 1_000_000)
+    return _drain(spark, expiry.expiry_stream(stream), "expiry").select("id", "collection", "memory_layer", "action")
+
+
+DELIVERY_DAYS = 6
+
+
+def stream_subscribe(spark, base):
+    """Counters per channel and newest access per item, from events delivered late and twice."""
+    documents = tables.read(spark, base, "documents").count()
+    e = F.col("event_id")
+    events = tables.read(spark, base, "events").select(
+        e.cast("string").alias("event_id"), e.alias("position"), F.col("event_type").alias("channel"),
+        F.when(F.col("event_type") == "view", F.pmod(e, F.lit(documents)).cast("string")).alias("item"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        (F.floor(F.datediff(F.col("ts"), F.lit("2024-01-01")) / DELIVERY_DAYS) + F.when(e % 10 == 0, 1).otherwise(0)).alias("batch"))
+    again = events.filter(F.col("position") % 3 == 0).withColumn("batch", F.col("batch") + 1)
+    deliveries = materialize(events.unionByName(again), "deliveries")
+    path = jobs.new_path(spark, "delivered")
+    for batch in range(deliveries.agg(F.max("batch")).first()[0] + 1):
+        deliveries.filter(F.col("batch") == batch).drop("batch").coalesce(1).write.parquet(f"{path}/{batch:03}")
+    # Files come in the order of their writing, one a batch, so repeats meet what earlier batches left.
+    stream = jobs.file_stream(spark, f"{path}/*", deliveries.drop("batch").schema, files_per_batch=1)
+    taken = subscribe.run(subscribe.subscribe(stream, f"{3 * DELIVERY_DAYS} days"), jobs.new_path(spark, "subscription"))
+    return subscribe.snapshot(spark, taken).select(
+        "kind", "key", "events", F.date_format("newest", "yyyy-MM-dd HH:mm:ss").alias("newest"))
+
+
 QUERIES = {f.__name__: f for f in (
-    stream_l1_window, stream_session_counters, stream_audit, stream_access, stream_retention)}
+    stream_l1_window, stream_session_counters, stream_audit, stream_access, stream_retention,
+    stream_expiry, stream_subscribe)}
 
 _AGE = "((epoch_us((SELECT max(ts) FROM events)) - epoch_us({})) / 8.64e10)"
 ORACLE = {
@@ -84,6 +129,23 @@ ORACLE = {
       count(*) AS entries FROM events GROUP BY ALL""",
     "stream_access": """SELECT event_id % (SELECT count(*) FROM documents) AS id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_accessed_at
       FROM events WHERE event_type = 'view' GROUP BY 1""",
+    "stream_expiry": f"""WITH {b.ITEMS}, seen AS (SELECT event_id % (SELECT count(*) FROM documents) * {tables.IDS_PER_DOC} AS id,
+        max(ts) FILTER (WHERE event_type = 'view') AS touched,
+        bool_or(event_type = 'signup' AND event_id % 7 = 0) AS pinned FROM events GROUP BY 1), acted AS (
+      SELECT id, memory_layer, CASE WHEN memory_layer = 'L4' THEN 'ctx_users'
+          ELSE 'ctx_' || {b.project_slug("coalesce(project, '')")} END AS collection,
+        CASE WHEN is_deprecated THEN CASE WHEN floor({_AGE.format('deprecated_at')}) >= 30 THEN 'deleted' END
+          WHEN NOT (is_pinned OR coalesce(pinned, false) OR memory_layer = 'L4' OR importance >= 1e0
+              OR coalesce(item_type = 'skill', false))
+            AND {_AGE.format('greatest(coalesce(last_accessed_at, created_at), touched)')} >=
+              CASE memory_layer WHEN 'L2' THEN 30e0 WHEN 'L3' THEN 90e0 END * (1e0 + importance * 3e0)
+          THEN 'deprecated' END AS action
+      FROM items LEFT JOIN seen USING (id))
+      SELECT id, collection, memory_layer, action FROM acted WHERE action IS NOT NULL""",
+    "stream_subscribe": """SELECT 'channel' AS kind, event_type AS key, count(*) AS events,
+        strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS newest FROM events GROUP BY event_type
+      UNION ALL SELECT 'item', CAST(event_id % (SELECT count(*) FROM documents) AS VARCHAR), count(*),
+        strftime(max(ts), '%Y-%m-%d %H:%M:%S') FROM events WHERE event_type = 'view' GROUP BY 2""",
     "stream_retention": f"""WITH {b.ITEMS}, acted AS (SELECT
         CASE WHEN memory_layer = 'L4' THEN 'ctx_users'
           ELSE 'ctx_' || {b.project_slug("coalesce(project, '')")} END AS collection,

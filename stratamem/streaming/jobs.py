@@ -58,6 +58,15 @@ def run_to_files(stream: DataFrame, path: str, mode: str = "append",
     return f"{path}/data"
 
 
+def run_for_state(stream: DataFrame, path: str, mode: str = "update", trigger: dict | None = None) -> str:
+    """Drain the stream for what it leaves in its state; nothing else is written."""
+    keep_state_on_disk(stream.sparkSession)
+    query = (stream.writeStream.outputMode(mode).format("noop").option("checkpointLocation", f"{path}/state")
+             .trigger(**(trigger or {"availableNow": True})).start())
+    query.awaitTermination()
+    return f"{path}/state"
+
+
 def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     full = T.StructType([*schema.fields, T.StructField("epoch", T.LongType())])
     return spark.read.schema(full).parquet(path)
@@ -135,6 +144,16 @@ def current_windows(batches: DataFrame, size: int = K.WINDOW_SIZE) -> DataFrame:
                            [F.col("seq").desc()], size, rank_col="pos")
 
 
+def windows_in_state(spark: SparkSession, state: str, size: int = K.WINDOW_SIZE) -> DataFrame:
+    """The windows as the last batch left them, read from the state itself.
+
+    What is read is bounded by the windows' size, however many batches there were.
+    """
+    held = spark.read.format("statestore").option("stateVarName", "window").load(state)
+    return top_n_per_group(held.select("key.user_id", "key.session_id", "list_element.seq", "list_element.content"),
+                           ["user_id", "session_id"], [F.col("seq").desc()], size, rank_col="pos")
+
+
 # Counters, audit, access and retention ---------------------------------------
 
 def counter_stream(messages: DataFrame) -> DataFrame:
