@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stratamem.catalog import documents, lexical, lifecycle, ranking, records, search, streams
+from stratamem.catalog import documents, lexical, lifecycle, maintained, ranking, records, search, streams
 
-MODULES = (search, lexical, ranking, lifecycle, records, documents, streams)
+MODULES = (search, lexical, ranking, lifecycle, records, documents, streams, maintained)
 
 
 def queries() -> dict:

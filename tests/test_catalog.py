@@ -21,7 +21,7 @@ def con(sf):
 
 def canonical(df: pd.DataFrame) -> pd.DataFrame:
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "\0"
         return repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     out = df[sorted(df.columns)].astype(object).map(cell)
