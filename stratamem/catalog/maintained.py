@@ -1,4 +1,4 @@
-"""Statistics kept by deltas, paged scans and times as text."""
+"""Statistics kept by deltas, paged scans, lookups by key and times as text."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from stratamem.catalog import base as b
 from stratamem.catalog import lifecycle as lifecycle_catalog
 from stratamem.functions import isotime, text
 from stratamem.operators import lifecycle, maintained, paging
+from stratamem.plans import keyed
 from stratamem.session import materialize
 from stratamem.sources import tables
 
@@ -69,6 +70,37 @@ def scan_pages(spark, base):
         "id", "memory_layer", "page", F.col("next_offset").cast("string").alias("next_offset"))
 
 
+def _records(spark, base):
+    """Changes of sessions, profiles, tasks and skills: key, owner, seq, value."""
+    o, c, p = F.col("o_orderkey"), F.col("c_custkey"), F.col("p_partkey")
+    orders = tables.read(spark, base, "orders").select(o.alias("key"), F.col("o_custkey").cast("string").alias("owner"),
+                                                       F.col("o_orderstatus").alias("value"))
+    done = orders.filter(F.col("key") % 3 == 0).withColumn("value", F.lit("done"))
+    messages = tables.read(spark, base, "conversations").groupBy(F.col("conv_id").alias("key")).agg(
+        F.count(F.lit(1)).cast("string").alias("value"))
+    people = tables.read(spark, base, "customer").select(c.alias("key"), c.cast("string").alias("owner"), F.col("c_mktsegment").alias("value"))
+    skills = tables.read(spark, base, "part").select(p.alias("key"), tables.tenant(p).alias("owner"), F.col("p_brand").alias("value"))
+    return {
+        "task": orders.withColumn("seq", F.lit(0)).unionByName(done.withColumn("seq", F.lit(1))),
+        "session": messages.select("key", tables.tenant(F.col("key")).alias("owner"), "value", F.lit(0).alias("seq")),
+        "profile": people.withColumn("seq", F.lit(0)), "skill": skills.withColumn("seq", F.lit(0))}
+
+
+def point_lookup(spark, base):
+    """Sessions, profiles, tasks and skills by key: by their owner, by others, and where there is none."""
+    out = None
+    for kind, rows in _records(spark, base).items():
+        log = keyed.write_keyed(rows, "key")
+        k = F.col("key")
+        asked = rows.filter((F.col("seq") == 0) & (k % 4 == 0)).select(
+            k, F.when(k % 12 == 0, "intruder").otherwise(F.col("owner")).alias("user_id"))
+        absent = asked.filter(k % 20 == 0).select((-k - 1).alias("key"), "user_id")
+        got = keyed.lookup(log, asked.unionByName(absent)).select(
+            F.lit(kind).alias("kind"), "key", "user_id", "outcome", "value")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 _FORMS = (
     "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss", "yyyyMMdd'T'HHmmss", "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm'Z'",
     "yyyy-MM-dd'T'HH:mm:ss.SSS'+02:30'", "yyyy-MM-dd'T'HH:mm:ss'-0800'", "yyyy-MM-dd'T'HH", "dd.MM.yyyy", "yyyy-MM-dd'T'HH:mm:ss'+2'",
@@ -87,7 +119,8 @@ def iso_parse(spark, base):
         "event_id", F.unix_micros(read).cast("string").alias("micros"), F.when(read.isNull(), "not a time").alias("problem"))
 
 
-QUERIES = {f.__name__: f for f in (doc_freq_delta, gc_stats_delta, scan_pages, iso_parse)}
+QUERIES = {f.__name__: f for f in (
+    doc_freq_delta, gc_stats_delta, scan_pages, point_lookup, iso_parse)}
 
 _CHANGED = f"""changed AS (SELECT * REPLACE (
     CASE WHEN n % 5 = 0 THEN {b.days_before('1')} ELSE last_accessed_at END AS last_accessed_at,
@@ -108,6 +141,16 @@ ORACLE = {
         (row_number() OVER (ORDER BY id) - 1) // {SCAN_ROWS} AS page FROM items WHERE NOT is_deprecated), pages AS (
         SELECT page, min(id) AS start FROM placed GROUP BY page)
       SELECT p.id, p.memory_layer, p.page, CAST(f.start AS VARCHAR) AS next_offset FROM placed p LEFT JOIN pages f ON f.page = p.page + 1""",
+    "point_lookup": f"""WITH r AS (
+        SELECT 'task' AS kind, o_orderkey AS key, CAST(o_custkey AS VARCHAR) AS owner,
+          CASE WHEN o_orderkey % 3 = 0 THEN 'done' ELSE o_orderstatus END AS value FROM orders
+        UNION ALL SELECT 'session', conv_id, {b.tenant('conv_id')}, CAST(count(*) AS VARCHAR) FROM conversations GROUP BY conv_id
+        UNION ALL SELECT 'profile', c_custkey, CAST(c_custkey AS VARCHAR), c_mktsegment FROM customer
+        UNION ALL SELECT 'skill', p_partkey, {b.tenant('p_partkey')}, p_brand FROM part), asked AS (
+        SELECT *, CASE WHEN key % 12 = 0 THEN 'intruder' ELSE owner END AS user_id FROM r WHERE key % 4 = 0)
+      SELECT kind, key, user_id, CASE WHEN user_id = owner THEN 'found' ELSE 'denied' END AS outcome,
+        CASE WHEN user_id = owner THEN value END AS value FROM asked
+      UNION ALL SELECT kind, -key - 1, user_id, 'missing', NULL FROM asked WHERE key % 20 = 0""",
     "iso_parse": f"""WITH e AS (SELECT event_id, event_id % {len(_FORMS)} AS form, epoch_us(ts) AS t FROM events), m AS (
       SELECT event_id, CASE form WHEN 0 THEN t WHEN 1 THEN t // {_SECOND} * {_SECOND} WHEN 2 THEN t // {_SECOND} * {_SECOND}
         WHEN 3 THEN t // {_DAY} * {_DAY} WHEN 4 THEN t // {_MINUTE} * {_MINUTE}

@@ -119,3 +119,47 @@ def test_iso_texts(spark):
         want = want if want.tzinfo else want.replace(tzinfo=timezone.utc)
         assert got[i] == (want - epoch) // timedelta(microseconds=1), s
     assert [s for i, s in enumerate(BAD) if got[len(GOOD) + i] is not None] == []
+
+
+# -- lookups ---------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def records(spark):
+    from stratamem.plans import keyed
+    rows = [(i, f"u{i % 3}", s, f"v{s}") for i in range(50) for s in range(1 + i % 3)] + [(None, "u0", 0, "no key")]
+    log = keyed.write_keyed(spark.createDataFrame(rows, "key long, owner string, seq int, value string"), "key", buckets=4)
+    yield log
+    log.drop()
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fold_and_lookup_do_not_shuffle_the_log(spark, records):
+    assert "Exchange" not in plan_of(records.newest())
+    from stratamem.plans import keyed
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = spark.range(40).select("id", F.col("id").alias("key"), F.lit("u0").alias("user_id"))
+        plan = plan_of(keyed.lookup(records, asked))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # One exchange at most, and it is that of the requests.
+    parts = plan.split("Exchange ")
+    assert len(parts) == 2 and "FileScan" not in parts[1].split("SortAggregate")[0].split("+- Sort")[0].split("ObjectHash")[0]
+
+
+def test_lookup_outcomes(spark, records):
+    from stratamem.plans import keyed
+    asked = spark.createDataFrame([(0, "u0"), (1, "u1"), (1, "u1"), (2, "u0"), (5, None), (99, "u0"), (None, "u0")],
+                                  "key long, user_id string")
+    got = sorted((repr(r["key"]), repr(r["user_id"]), r["outcome"], r["value"], r["owner"])
+                 for r in keyed.lookup(records, asked).collect())
+    assert got == sorted([("0", "'u0'", "found", "v0", "u0"), ("1", "'u1'", "found", "v1", "u1"), ("1", "'u1'", "found", "v1", "u1"),
+                          ("2", "'u0'", "denied", None, None), ("5", "None", "denied", None, None),
+                          ("99", "'u0'", "missing", None, None), ("None", "'u0'", "missing", None, None)])
+    shared = keyed.lookup(records, asked.filter("key = 2"), public=F.col("value") == "v2").first()
+    assert shared["outcome"] == "found" and shared["value"] == "v2"
