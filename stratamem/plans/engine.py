@@ -52,11 +52,12 @@ TABLES = {
     "profiles": _fields(*[(f.name, f.dataType) for f in schema.USER_PROFILES], ("seq", L)),
     "audit": schema.AUDIT_LOG,
     "gc_log": schema.GC_LOG,
+    "accesses": _fields(("id", S), ("ts", TS), ("collection", S)),
     "published": _fields(("channel", S), ("payload", schema.STR_MAP), ("ts", TS)),
 }
 # More collections than this are found by a join instead of a filter on the files.
 MAX_NAMED_COLLECTIONS = 1000
-PARTITIONED = {"items": "collection"}
+PARTITIONED = {"items": "collection", "accesses": "collection"}
 
 
 class MemoryEngine:
@@ -78,8 +79,12 @@ class MemoryEngine:
         return self.spark.read.schema(TABLES["bases"]).parquet(f"{self.root}/bases").agg(F.max("seq").alias("s")).first().s
 
     def _path(self, name: str) -> str:
-        """A table's folder; the item log starts anew behind every base."""
-        return f"{self.root}/items-after-{self._base() or 0}" if name == "items" else f"{self.root}/{name}"
+        """A table's folder; the item log and the accesses start anew behind every base."""
+        return f"{self.root}/{name}-after-{self._base() or 0}" if name in ("items", "accesses") else f"{self.root}/{name}"
+
+    def _log(self, base: int | None) -> DataFrame:
+        """The item log behind a base that is known already."""
+        return self.spark.read.schema(TABLES["items"]).parquet(f"{self.root}/items-after-{base or 0}")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(self._path(name))
@@ -99,9 +104,11 @@ class MemoryEngine:
         self._append("published", rows.select(F.lit(channel).alias("channel"),
                                               F.create_map(*pairs).alias("payload"), _ts(now).alias("ts")))
 
-    def items(self, collections: Iterable[str] | None = None) -> DataFrame:
+    def items(self, collections: Iterable[str] | None = None, accessed: bool = True) -> DataFrame:
         """Current items of all collections, or of the named ones, whose files alone are read.
 
+        ``accessed=False`` spares the join with the accesses where nobody looks at their time.
+
         All events of an item lie in its collection. With a compacted base, only items
         named by later events are folded; the others are read as they lie. The later
         events stay few between compactions.
@@ -109,8 +116,10 @@ class MemoryEngine:
         def within(df: DataFrame) -> DataFrame:
             return df if collections is None else df.filter(F.col("collection").isin(list(collections)))
 
-        recent = within(self.table("items"))
+        if accessed:
+            return records.touch(self.items(collections, False), within(self.table("accesses")))
         base = self._base()
+        recent = within(self._log(base))
         if base is None:
             return records.fold_events(recent)
         stored = within(self.spark.read.schema(TABLES["items"]).parquet(f"{self.root}/bases-{base}"))
@@ -126,18 +135,20 @@ class MemoryEngine:
         The log and the base before it go, and with them the content of deleted items.
         No other call may write meanwhile.
         """
-        before, log = self._base(), self._path("items")
+        before, logs = self._base(), [self._path("items"), self._path("accesses")]
         fields = F.struct(*[f.name for f in schema.MEMORY_ITEMS])
         folded = self.items().select(
             F.lit(0).cast("long").alias("seq"), F.lit("upsert").alias("op"), "id", F.col("created_at").alias("ts"),
             F.lit(None).cast("string").alias("reason"), fields.alias("item"), "collection")
         stamp = int(self.spark.range(1).select(_seq(now)).first()[0])
         folded.write.partitionBy("collection").parquet(f"{self.root}/bases-{stamp}")
-        session.remove(self.spark, f"{self.root}/items-after-{stamp}")
-        self.spark.createDataFrame([], TABLES["items"]).write.partitionBy("collection").parquet(
-            f"{self.root}/items-after-{stamp}")
+        for name in PARTITIONED:
+            session.remove(self.spark, f"{self.root}/{name}-after-{stamp}")
+            self.spark.createDataFrame([], TABLES[name]).write.partitionBy("collection").parquet(
+                f"{self.root}/{name}-after-{stamp}")
         self._append("bases", self.spark.range(1).select(F.lit(stamp).alias("seq")))
-        session.remove(self.spark, log)
+        for log in logs:
+            session.remove(self.spark, log)
         if before is not None:
             session.remove(self.spark, f"{self.root}/bases-{before}")
 
@@ -148,7 +159,8 @@ class MemoryEngine:
 
     def set_project(self, requests: DataFrame, now: datetime) -> DataFrame:
         """user_id, project -> slug and collection."""
-        rows = requests.select("user_id", text.project_slug(F.col("project")).alias("project"), _seq(now).alias("seq"))
+        rows = _last_of_each(requests.select("user_id", text.project_slug(F.col("project")).alias("project")), ["user_id"]).withColumn(
+            "seq", _seq(now))
         self._append("projects", rows)
         return rows.select("user_id", "project", routing.collection_of_slug(F.col("project")).alias("collection"))
 
@@ -210,8 +222,8 @@ class MemoryEngine:
 
     def deprecate(self, requests: DataFrame, now: datetime) -> DataFrame:
         """id, user_id, reason -> the users' own items, now soft-deleted."""
-        own = self.items().select("id", "user_id", "collection").join(
-            requests.select("id", "user_id", "reason"), ["id", "user_id"])
+        own = self.items(self._collections_of(requests), False).select("id", "user_id", "collection").join(
+            _last_of_each(requests.select("id", "user_id", "reason"), ["id", "user_id"]), ["id", "user_id"])
         marks = session.materialize(own, "deprecated")
         self._append("items", _mark(marks, "deprecate", now))
         self._audit(marks, "context_deprecate", now, ["id", "reason"])
@@ -232,10 +244,22 @@ class MemoryEngine:
         rows = session.materialize(retrieve_plan.candidates(items, asked, self.working_memory(), opts), "candidates")
         touched = rows.filter(F.col("memory_layer") != "L1").select("id").distinct()
         places = broadcast_if_small(touched, asked.count() * len(opts.layers) * K.OVERFETCH * opts.top_k)
-        self._append("items", _mark(items.select("id", "collection").join(places, "id").withColumn(
-            "reason", F.lit(None).cast("string")), "touch", now))
+        self._append("accesses", items.select("id", "collection").join(places, "id").withColumn("ts", _ts(now)))
         return retrieve_plan.rank_and_select(rows, asked, _ts(now), opts)
 
+    def _collections_of(self, users: DataFrame) -> list[str] | None:
+        """Every collection in which the users can have items, or None where they are too many to name.
+
+        A user's items go to the project that was active then, to the default one before any
+        was set, or to the shared collection.
+        """
+        asked = users.select("user_id").distinct()
+        ever = self.table("projects").join(asked, "user_id", "left_semi").select(
+            routing.collection_of_slug(F.col("project")).alias("c")).distinct()
+        named = [r["c"] for r in ever.limit(MAX_NAMED_COLLECTIONS + 1).collect()]
+        known = [K.COLLECTION_PREFIX + K.DEFAULT_SLUG, K.COLLECTION_PREFIX + K.SHARED_SLUG]
+        return named + known if len(named) <= MAX_NAMED_COLLECTIONS else None
+
     def _visible_items(self, asked: DataFrame) -> DataFrame:
         """Items in the asking users' active collections and the shared one."""
         active = self.get_project(asked).select(
@@ -243,7 +267,7 @@ class MemoryEngine:
         # Few collections are named to the reader, so that it opens their files only.
         named = active.select("_active").distinct().limit(MAX_NAMED_COLLECTIONS + 1).collect()
         few = len(named) <= MAX_NAMED_COLLECTIONS
-        items = self.items([r["_active"] for r in named] + [K.COLLECTION_PREFIX + K.SHARED_SLUG] if few else None)
+        items = self.items([r["_active"] for r in named] + [K.COLLECTION_PREFIX + K.SHARED_SLUG] if few else None, False)
         shared = F.lit(K.COLLECTION_PREFIX + K.SHARED_SLUG)
         return items.join(broadcast_if_small(active, asked.count()), "user_id").filter(
             (F.col("collection") == F.col("_active")) | (F.col("collection") == shared)).drop("_active")
@@ -349,9 +373,14 @@ class MemoryEngine:
             "id", "title", "description", "status", "priority", "project", "created_at")
 
     def task_update(self, requests: DataFrame, now: datetime) -> DataFrame:
-        """id, user_id, status, priority, title, description -> the owners' changed tasks."""
+        """id, user_id, status, priority, title, description -> the owners' changed tasks.
+
+        Several updates of one task in a call apply in their order and give one change.
+        """
         checked = requests.withColumn("status", _one_of("status", K.TASK_STATUS)).withColumn(
             "priority", _one_of("priority", K.TASK_PRIORITY))
+        checked = _last_of_each(checked.select("id", "user_id", *[
+            F.nullif(n, F.lit("")).alias(n) for n in ("status", "priority", "title")], "description"), ["id", "user_id"])
         mine = self.tasks().join(checked.select("id", "user_id"), ["id", "user_id"], "left_semi")
         changed = session.materialize(
             records.apply_updates(mine, checked).withColumn("updated_at", _ts(now)), "tasks")
@@ -416,7 +445,7 @@ class MemoryEngine:
         """name, user_id -> deleted skills, their vectors soft-deleted."""
         gone = session.materialize(self.skill_get(requests), "skills")
         self._append("skills", gone.withColumn("seq", _seq(now)).withColumn("deleted", F.lit(True)))
-        places = self.items().select("id", "collection").join(gone.select("id"), "id")
+        places = self.items(self._collections_of(gone), False).select("id", "collection").join(gone.select("id"), "id")
         self._append("items", _mark(places.withColumn("reason", F.lit("skill deleted")), "deprecate", now))
         return gone.select("id", F.col("asked").alias("name"), F.lit(True).alias("deleted"))
 
@@ -424,7 +453,8 @@ class MemoryEngine:
 
     def profile_upsert(self, requests: DataFrame, now: datetime) -> None:
         """user_id, profile."""
-        self._append("profiles", requests.withColumn("updated_at", _ts(now)).withColumn("seq", _seq(now)))
+        self._append("profiles", _last_of_each(requests.select("user_id", "profile"), ["user_id"]).withColumn(
+            "updated_at", _ts(now)).withColumn("seq", _seq(now)))
 
     def profile_get(self, users: DataFrame) -> DataFrame:
         latest = records.latest_by_key(self.table("profiles"), ["user_id"]).drop("seq")
@@ -433,11 +463,11 @@ class MemoryEngine:
     def gc_stats(self, now: datetime, user_id: str | None = None,
                  policy: lifecycle.RetentionPolicy = lifecycle.DEFAULT_POLICY) -> DataFrame:
         """Retention counts over everything, or over the user's active collection."""
-        items = self.items()
+        named = None
         if user_id:
-            active = self.get_project(self.spark.range(1).select(F.lit(user_id).alias("user_id"))).select(
-                F.coalesce("collection", F.lit(K.COLLECTION_PREFIX + K.DEFAULT_SLUG)).alias("collection"))
-            items = items.join(F.broadcast(active), "collection")  # one row
+            active = self.get_project(self.spark.range(1).select(F.lit(user_id).alias("user_id"))).first()
+            named = [active["collection"] or K.COLLECTION_PREFIX + K.DEFAULT_SLUG]
+        items = self.items(named)
         return lifecycle.gc_stats(items, _ts(now), policy=policy)
 
     def gc_run(self, run_id: str, now: datetime,
@@ -465,6 +495,13 @@ def _mark(rows: DataFrame, op: str, now: datetime) -> DataFrame:
                        F.lit(None).cast(schema.MEMORY_ITEMS).alias("item"), "collection")
 
 
+def _last_of_each(requests: DataFrame, keys: list[str]) -> DataFrame:
+    """One request per key: of every other column the last value given, in the order of the call."""
+    rest = [c for c in requests.columns if c not in keys]
+    placed = session.materialize(requests.withColumn("_place", F.monotonically_increasing_id()), "requests")
+    return placed.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_place"))).alias(c) for c in rest])
+
+
 def _defaults(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     """Optional request columns with their defaults, also where they are null."""
     for name, value in defaults.items():

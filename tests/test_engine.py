@@ -217,3 +217,49 @@ def test_session_records(spark, tmp_path):
     engine.session_write(ask(("ann", "s2", None)), "delete", datetime(2024, 2, 3))
     got = {(r["session_id"], r["status"], r["created_at"]) for r in engine.sessions().collect()}
     assert got == {("s1", "closed", datetime(2024, 2, 1))}
+
+
+def test_repeated_requests_of_one_call_apply_in_order(spark, tmp_path):
+    engine = MemoryEngine(spark, str(tmp_path / "repeated"))
+    now = datetime(2024, 2, 1)
+    made = engine.task_add(spark.createDataFrame([("ann", "write")], "user_id string, title string"), now).first()["id"]
+    fields = "id string, user_id string, status string, priority string, title string, description string"
+    updates = spark.createDataFrame([(made, "ann", "in_progress", None, None, "d1"), (made, "ann", "", "high", "", None),
+                                     (made, "ann", None, None, "new", ""), (made, "bob", "done", None, None, None)], fields).coalesce(1)
+    changed = engine.task_update(updates, datetime(2024, 2, 2)).collect()
+    assert [(r["id"], r["title"], r["status"]) for r in changed] == [(made, "new", "in_progress")]
+    tasks = engine.tasks().collect()
+    assert [(r["priority"], r["description"], r["title"]) for r in tasks] == [("high", "", "new")]
+    engine.set_project(spark.createDataFrame([("ann", "One"), ("ann", "Two")], "user_id string, project string").coalesce(1), now)
+    assert [r["project"] for r in engine.get_project(spark.createDataFrame([("ann",)], "user_id string")).collect()] == ["two"]
+    profiles = spark.createDataFrame([("ann", {"a": "1"}), ("ann", {"a": "2"})], "user_id string, profile map<string,string>")
+    engine.profile_upsert(profiles.coalesce(1), now)
+    assert [r["profile"] for r in engine.profile_get(spark.createDataFrame([("ann",)], "user_id string")).collect()] == [{"a": "2"}]
+
+
+def test_reads_leave_the_item_log_alone_and_tools_name_their_collections(spark, tmp_path):
+    engine = MemoryEngine(spark, str(tmp_path / "apart"))
+    rows = "user_id string, memory_layer string, content string"
+    for user, project in (("ann", "p1"), ("bob", "p2"), ("ann", "p3")):
+        engine.set_project(spark.createDataFrame([(user, project)], "user_id string, project string"),
+                           datetime(2024, 1, {"p1": 1, "p2": 2, "p3": 3}[project]))
+        engine.store(spark.createDataFrame([(user, "L3", f"note of {project}")], rows), datetime(2024, 1, 5))
+    before = engine.table("items").count()
+    asked = spark.createDataFrame([(1, "ann", "note of p3")], "query_id long, user_id string, query_text string")
+    for d in (1, 2):
+        assert engine.retrieve(asked, datetime(2024, 2, d)).count() == 1
+    assert engine.table("items").count() == before and engine.table("accesses").count() == 2
+    seen = {r["content"]: r["last_accessed_at"] for r in engine.items().collect()}
+    assert seen == {"note of p3": datetime(2024, 2, 2), "note of p1": None, "note of p2": None}
+    # An item of a project that is no longer active can still be deprecated; others' collections are not read.
+    users = spark.createDataFrame([("ann",)], "user_id string")
+    assert sorted(engine._collections_of(users)) == ["ctx_default", "ctx_p1", "ctx_p3", "ctx_users"]
+    old = engine.items().filter("content = 'note of p1'").first()["id"]
+    marks = spark.createDataFrame([(old, "ann", "stale"), (old, "ann", "stale"), (old, "bob", "no")], "id string, user_id string, reason string")
+    assert engine.deprecate(marks, datetime(2024, 2, 3)).count() == 1
+    stats = engine.gc_stats(datetime(2024, 2, 4), "ann").first()
+    assert stats["total_items"] == 1
+    engine.compact(datetime(2024, 2, 5))
+    assert engine.table("accesses").count() == 0
+    after = {r["content"]: (r["last_accessed_at"], r["is_deprecated"]) for r in engine.items().collect()}
+    assert after["note of p3"] == (datetime(2024, 2, 2), False) and after["note of p1"] == (None, True)
