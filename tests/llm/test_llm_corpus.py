@@ -207,7 +207,7 @@ def test_pipeline_edges(spark, edge_docs, no_docs, tmp_path):
 # -- registered queries -------------------------------------------------------------
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
+@pytest.mark.parametrize("name", ["op10_exact_dedup", "op8_source_mixing"])  # the others: test_llm_sequences
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
@@ -230,6 +230,9 @@ COLUMNS = {
     "op8_source_mixing": ["doc_id", "size", "source_size", "target", "taken"],
     "op9_secret_scan": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
     "op10_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
+    "op11_bpe_tree": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op12_prefix_trie": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
+    "op13_hard_negatives": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
 }
 
 
@@ -238,6 +241,9 @@ def test_every_query_covers_all_documents(spark):
     ids = {r["doc_id"] for r in read(spark, SF, "documents").select("doc_id").collect()}
     for name, query in catalog.QUERIES.items():
         out = query(spark, SF)
+        if COLUMNS[name][0] != "doc_id":  # no query over documents
+            assert out.columns == COLUMNS[name]
+            continue
         assert out.columns[:len(COLUMNS[name])] == COLUMNS[name]
         found = [r["doc_id"] for r in out.select("doc_id").collect()]
         if name == "op7_substring_dedup":
