@@ -44,7 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     )
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     chosen = tempfile.mkdtemp(prefix="stratamem-")
     spark.conf.set("spark.checkpoint.dir", chosen)
