@@ -39,6 +39,8 @@ HELD_SIGNATURES = 1 << 18
 # Sets, and shingles of all of them, that meet as many others at a time.
 BLOCK_SETS = 2048
 BLOCK_SHINGLES = 1 << 21
+# Two sets that meet in a block cost about this part of two that meet as a row, which moves both sets' shingles.
+BLOCK_PAIRS_PER_ROW = 64
 U64 = np.uint64
 _FACTORS = mix(np.arange(1, 65, dtype=U64), 77) | U64(1)
 
@@ -438,7 +440,8 @@ def _compared(sets: DataFrame, grouped: DataFrame, classes: DataFrame, percent:
     """What _meet returns, for every two classes that share a signature (sig, name, n, c).
 
     Groups with the same sets count once. Groups that share sets form a family; a family
-    is compared as a whole where that compares fewer pairs than its groups one by one.
+    is compared as a whole, block by block, where that costs less than the pairs of its
+    groups as rows would.
     """
     spark = sets.sparkSession
     print_of = [F.bit_xor(F.xxhash64("name", F.lit(k))).alias(f"_{k}") for k in (1, 2)]
@@ -457,7 +460,7 @@ def _compared(sets: DataFrame, grouped: DataFrame, classes: DataFrame, percent:
     nodes = families.join(classes.select("name", "n", "weight"), "name")
     size = nodes.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
     size = materialize(size.join(apart, "family").withColumn(
-        "whole", F.col("members") * (F.col("members") - 1) / 2 <= F.col("apart")), "family-sizes")
+        "whole", F.col("members") * (F.col("members") - 1) / 2 <= F.col("apart") * BLOCK_PAIRS_PER_ROW), "family-sizes")
     n_families = size.count()
     node = materialize(nodes.join(broadcast_if_small(size, n_families), "family"), "family-members")
     n_nodes = node.count()
