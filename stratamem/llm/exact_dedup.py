@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratamem.llm.batches import LOWER
+from stratamem.llm.batches import LOWER, slices
 from stratamem.llm.joins import left_join_unique
-from stratamem.operators.bounded import MAX_BROADCAST_ROWS
+from stratamem.operators.bounded import MAX_BROADCAST_ROWS, broadcast_if_small
 from stratamem.session import materialize
 
 TABLE_BYTES = 32 << 20
@@ -113,7 +113,7 @@ def _gather(limit: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             table = ContentTable(limit)
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole)):
                 for doc_id, content in zip(batch.column("doc_id").to_pylist(), _texts(batch)):
                     digest = hashlib.sha256(content).digest()
                     if not table.add(digest, content, doc_id, 1):
@@ -130,7 +130,7 @@ def _bucket(limit: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             table = ContentTable(limit)
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole, "content")):
                 for row in zip(*(batch.column(c).to_pylist() for c in ("digest", "content", "keep_id", "copies"))):
                     if not table.add(*row):
                         yield (*row, True)
@@ -194,11 +194,26 @@ def _with_digest(names: list[str]) -> Callable:
 
 
 def drop_copies(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_duplicates(docs, table_bytes).filter("kept").select(
-        F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_sha256"))
-    marked = docs.mapInArrow(_with_digest(docs.columns), T.StructType([*docs.schema, T.StructField("_sha256", T.StringType())]))
-    rows = marked.join(kept, (F.col("doc_id").eqNullSafe(F.col("_kept_id")))
-                       & (marked["_sha256"] == kept["_sha256"])).drop(kept["_sha256"])
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Ids decide where they are not repeated, so texts are not moved again; rows of repeated
+    ids are told apart by their digests.
+    """
+    found = materialize(exact_duplicates(docs, table_bytes), "copies")
+    twice = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+        F.col("doc_id").alias("_id")), "repeated-ids")
+    gone = found.filter("NOT kept").select(F.col("doc_id").alias("_id"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    n_twice = twice.count()
+    away = materialize(gone.unionByName(twice).distinct(), "exact-copies")
+    left = docs.join(broadcast_if_small(away, away.count()), same, "left_anti")
+    if not n_twice:
+        return left
+    ids = broadcast_if_small(twice, n_twice)
+    again = docs.join(ids, same, "left_semi")
+    marked = again.mapInArrow(_with_digest(docs.columns), T.StructType([*docs.schema, T.StructField("_sha256", T.StringType())]))
+    kept = found.filter("kept").join(ids, same, "left_semi").select(
+        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept"))
+    rows = marked.join(kept, same & (F.col("_sha256") == F.col("_kept")))
     nth = F.row_number().over(Window.partitionBy("_sha256").orderBy(F.xxhash64(*docs.columns)))
-    return rows.withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns)
+    return left.unionByName(rows.withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns))

@@ -63,6 +63,14 @@ def test_drop_copies_keeps_columns(edge_docs):
     assert len(texts) == len(set(texts)) == len({t.translate(LOWER) for _, t in pairs_of(edge_docs)})
 
 
+def test_drop_copies_tells_repeated_ids_apart(spark):
+    rows = [(1, "a"), (1, "a"), (1, "B"), (2, "b"), (None, "c"), (None, "C"), (None, "d"), (3, "d"), (4, None), (5, "")]
+    docs = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, n int")
+    left = sorted(((r["doc_id"], (r["text"] or "").lower()) for r in exact_dedup.drop_copies(docs).collect()),
+                  key=lambda r: r[1])
+    assert left == [(5, ""), (1, "a"), (2, "b"), (None, "c"), (3, "d")]
+
+
 def test_table_compares_contents():
     table = exact_dedup.ContentTable(1 << 20)
     assert table.add(b"\0" * 32, b"a", 1, 1) and table.add(b"\0" * 32, b"a", 5, 2)
