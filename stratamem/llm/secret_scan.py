@@ -50,11 +50,14 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def opaque_spans(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Long tokens of letters and digits that touch no base span."""
-    found = []
+    """Long tokens of letters and digits that touch no base span; ``taken`` is sorted by start."""
+    found, n, reach = [], 0, 0
     for m in OPAQUE.finditer(text):
-        mixed = re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])
-        if mixed and not any(a < m.end() and m.start() < b for a, _, b, _ in taken):
+        # The largest end of the base spans that start before this token ends.
+        while n < len(taken) and taken[n][0] < m.end():
+            reach = max(reach, taken[n][2])
+            n += 1
+        if reach <= m.start() and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
             found.append((m.start(), 3, m.end(), m[0]))
     return found
 
@@ -129,8 +132,8 @@ def find_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
 
     Null texts are empty; a null repository or owner counts as one of its own. A value with
     ``wide_owners`` or more owners is a copied example, one of a single owner looks live. Base
-    spans are all kept whatever the corpus says; opaque tokens are in spans if they look live,
-    and in secrets also if they are shared by fewer owners than a copied example has.
+    spans are all kept whatever the corpus says; opaque tokens are kept, in spans and in
+    secrets, unless as many owners hold them as a copied example has.
     Every row gives one row, repeated ones too, and an empty table an empty result. Returns
     doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, n_shared, and secrets
     (start, end, kind, owners, repositories, verdict).
@@ -152,7 +155,7 @@ def find_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
         "start", F.col("kind").alias("rank"), "end", name.alias("kind"), "owners", "repositories", "verdict"))
     ).alias("secrets"))
     out = scanned.join(per_row, "row", "left")
-    text = F.array_join(F.transform(F.filter("secrets", lambda s: (s["rank"] < 3) | (s["verdict"] == "live")), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    text = F.array_join(F.transform("secrets", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda v: F.coalesce(F.size(F.filter("secrets", lambda s: s["verdict"] == v)), F.lit(0)).cast("long")
     none = F.col("secrets").isNull()
     return out.select(

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -187,7 +188,8 @@ def test_secrets_and_their_owners(spark, edge_docs, no_docs):
     assert {s["verdict"] for k in range(40) for s in got[k]["secrets"]} == {"copied"} and got[0]["n_copied"] == 1
     owned = {s["kind"]: s for s in got[50]["secrets"]}
     assert owned["access"]["verdict"] == "live" and owned["access"]["repositories"] == 2
-    assert got[56]["spans"] == "opaque:2:26" and got[58]["spans"] == "" == got[55]["spans"]
+    assert got[56]["spans"] == "opaque:2:26" and got[55]["spans"] == ""
+    assert got[58]["spans"] == got[59]["spans"] == "opaque:0:27"  # two owners: shared, neither copied nor live
     assert len(secret_scan.find_secrets(edge_docs).collect()) == edge_docs.count()
     assert secret_scan.find_secrets(no_docs).collect() == []
 
@@ -201,6 +203,7 @@ def test_shared_opaque_tokens_are_secrets(spark):
         (found,) = got[k]["secrets"]
         assert (found["kind"], found["start"], found["owners"], found["verdict"]) == ("opaque", 2, 2, "shared")
         assert got[k]["n_shared"] == 1 and got[k]["n_live"] == 0
+        assert got[k]["spans"] == f"opaque:{found['start']}:{found['end']}"
     assert not got[3]["secrets"] and got[3]["n_shared"] == 0
 
 
@@ -209,3 +212,19 @@ def test_ownership_counts(spark):
     got = {r["value"]: (r["places"], r["repositories"], r["owners"]) for r in secret_scan.ownership(
         spark.createDataFrame(rows, "value string, repository string, owner string")).collect()}
     assert got == {"v": (4, 3, 2), "w": (1, 1, 1)}
+
+
+def test_opaque_tokens_beside_many_base_spans():
+    hexes = [hashlib.md5(str(i).encode()).hexdigest() for i in range(20_000)]
+    text = " ".join(h + (" Zz9" + h[:20].upper() if i % 5 == 0 else "") + (" x" + h if i % 7 == 0 else "")
+                    for i, h in enumerate(hexes))
+    base = secret_scan.base_spans(text)
+    begun = time.perf_counter()
+    found = secret_scan.opaque_spans(text, base)
+    assert time.perf_counter() - begun < 5  # a scan of all base spans per token takes a minute
+    few = base[:400]
+    short = text[:few[-1][2]]
+    plain = [(m.start(), 3, m.end(), m[0]) for m in secret_scan.OPAQUE.finditer(short)
+             if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])
+             and not any(a < m.end() and m.start() < b for a, _, b, _ in few)]
+    assert plain and secret_scan.opaque_spans(short, few) == plain == [f for f in found if f[2] <= len(short)]
