@@ -305,13 +305,14 @@ def _lone(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return holders.filter("key = last").groupBy("key").agg(F.count(F.lit(1)).alias("lone"))
 
 
-def overlaps(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def overlaps(grams: np.ndarray, sizes: np.ndarray, cut: int = 0) -> np.ndarray:
     """Common shingles of every two of several sets, whose shingles lie one after another.
 
-    Shingles of few holders are counted pair by pair, the others by a matrix product.
+    With ``cut`` only the first so many sets (rows) meet the others (columns). Shingles of
+    few holders are counted pair by pair, the others by a matrix product.
     """
     m = len(sizes)
-    out = np.zeros((m, m), np.float32)
+    out = np.zeros((cut or m, m - cut), np.float32)
     owner = np.repeat(np.arange(m), sizes)
     order = np.argsort(grams, kind="stable")
     value, owner = grams[order], owner[order]
@@ -323,9 +324,14 @@ def overlaps(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         who, column = owner[few], np.repeat(np.arange(len(holders)), holders)[few]
         for shift in range(1, int(holders[(holders > 1) & ~many].max())):
             same = column[shift:] == column[:-shift]
-            pair, n = np.unique(who[:-shift][same] * m + who[shift:][same], return_counts=True)
+            left, right = who[:-shift][same], who[shift:][same]  # holders of a shingle ascend
+            if cut:
+                apart = (left < cut) & (right >= cut)
+                left, right = left[apart], right[apart] - cut
+            pair, n = np.unique(left * out.shape[1] + right, return_counts=True)
             out.ravel()[pair] += n
-        out += out.T
+        if not cut:
+            out += out.T
     dense = np.repeat(many, holders)
     who, column = owner[dense], np.repeat(np.arange(int(many.sum())), holders[many])
     step = max(64, (1 << 22) // max(m, 1))
@@ -333,7 +339,7 @@ def overlaps(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         a, b = np.searchsorted(column, (at, at + step))
         part = np.zeros((m, int(column[b - 1]) - at + 1), np.float32)
         part[who[a:b], column[a:b] - at] = 1
-        out += part @ part.T
+        out += part[:cut or m] @ part[cut:].T
     return out
 
 
@@ -347,39 +353,53 @@ def _meet(percent: int, listed: bool) -> Callable:
     With ``listed`` every link becomes a row (a, b, common). Otherwise each set's linked
     documents are counted (a, links), and rows (a, b) join what links connect.
     """
-    def group(family: list[tuple]) -> Iterator[pa.RecordBatch]:
-        family.sort(key=lambda r: r[1])
+    def group(family: list[tuple], two: bool) -> Iterator[pa.RecordBatch]:
+        family.sort(key=lambda r: r[:2])
         names = np.array([r[1] for r in family], object)
         block, weight, sizes = (np.array(c, np.int64) for c in zip(*[(r[0], r[2], len(r[3])) for r in family]))
         m = len(names)
-        common = overlaps(np.concatenate([r[3] for r in family]), sizes)
-        link = np.zeros((m, m), bool)
-        two = bool((block != block[0]).any())
-        for at in range(0, m, 256):
-            part = slice(at, at + 256)
+        # Sets of one block meet where the block meets itself.
+        cut = int(np.searchsorted(block, block[0], side="right")) if two else 0
+        if cut == m:
+            return
+        common = overlaps(np.concatenate([r[3] for r in family]), sizes, cut)
+        parts = [slice(at, at + 256) for at in range(0, len(common), 256)]
+        link = np.zeros(common.shape, bool)
+        for part in parts:
             both = common[part].astype(np.int64)
-            link[part] = both * 100 >= percent * (sizes[part, None] + sizes - both)
-            if two:  # sets of one block meet where the block meets itself
-                link[part] &= block[part, None] != block
-        np.fill_diagonal(link, False)
+            link[part] = both * 100 >= percent * (sizes[:len(common)][part, None] + sizes[cut:] - both)
+        if not two:
+            np.fill_diagonal(link, False)
         if listed:
-            for at in range(0, m, 256):
-                i, j = np.nonzero(np.triu(link[at:at + 256], at + 1))
+            for part in parts:
+                i, j = np.nonzero(link[part] if two else np.triu(link[part], part.start + 1))
                 if len(i):
-                    yield rows(names[i + at], names[j], common[i + at, j].astype(np.int64), None)
+                    one, other = names[i + part.start], names[j + cut]
+                    less = (one < other).astype(bool)
+                    yield rows(np.where(less, one, other), np.where(less, other, one),
+                               common[i + part.start, j].astype(np.int64), None)
             return
-        linked = np.flatnonzero(link.any(axis=1))
-        if not len(linked):
+        if not link.any():
             return
+        rows_of, columns_of = slice(0, len(common)), slice(cut, m)
         label = np.arange(m)
         while True:
-            least = np.concatenate([np.where(link[at:at + 256], label, m).min(axis=1) for at in range(0, m, 256)])
-            new = np.minimum(label, least)
+            new = label.copy()
+            for part in parts:
+                held = np.where(link[part], label[columns_of], m).min(axis=1)
+                new[rows_of][part] = np.minimum(new[rows_of][part], held)
+                held = np.where(link[part], label[rows_of][part, None], m).min(axis=0)
+                new[columns_of] = np.minimum(new[columns_of], held)
             new = new[new]
             if (new == label).all():
                 break
             label = new
-        count = np.concatenate([np.where(link[at:at + 256], weight, 0).sum(axis=1) for at in range(0, m, 256)])
+        count = np.zeros(m, np.int64)
+        for part in parts:
+            count[rows_of][part] += np.where(link[part], weight[columns_of], 0).sum(axis=1)
+            if two:
+                count[columns_of] += np.where(link[part], weight[rows_of][part, None], 0).sum(axis=0)
+        linked = np.flatnonzero(count)
         yield rows(names[linked], None, None, count[linked])
         away = np.flatnonzero(label != np.arange(m))
         yield rows(names[label[away]], names[away], None, None)
@@ -396,7 +416,7 @@ def _meet(percent: int, listed: bool) -> Callable:
             for k, (name, low, high, *row) in enumerate(keys):
                 if (name, low, high) != at:
                     if len(family) > 1:
-                        for found in group(family):
+                        for found in group(family, at[1] != at[2]):
                             made.append(found)
                             n += found.num_rows
                     family, at = [], (name, low, high)
@@ -405,7 +425,7 @@ def _meet(percent: int, listed: bool) -> Callable:
                         made, n = [], 0
                 family.append((*row, batch.column("grams")[k].values.to_numpy().copy()))
         if len(family) > 1:
-            made += group(family)
+            made += group(family, at[1] != at[2])
         if made:
             yield from pa.Table.from_batches(made).combine_chunks().to_batches()
     return run

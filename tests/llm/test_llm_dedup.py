@@ -92,6 +92,17 @@ def shingles(text, width):
     return frozenset([tuple(w)] if len(w) < width else [tuple(w[i:i + width]) for i in range(len(w) - width + 1)])
 
 
+def test_blocks_meet_as_one_matrix_does():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60 if k % 3 else 4000, rng.integers(1, 80))) for k in range(150)]
+    sizes = np.array([len(g) for g in sets])
+    plain = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    square = ngram_join.overlaps(np.concatenate(sets), sizes)
+    np.fill_diagonal(square, sizes)
+    assert (square == plain).all()
+    assert (ngram_join.overlaps(np.concatenate(sets), sizes, 40) == plain[:40, 40:]).all()
+
+
 def brute_components(rows, width, percent):
     sets = [shingles(t, width) for _, t in rows]
     up = list(range(len(rows)))
@@ -216,7 +227,8 @@ def test_every_link_is_counted(spark, monkeypatch, block):
     assert len(listed) == len(set(listed)) and set(listed) == pairs and len(pairs) > 100
 
 
-def test_links_of_loose_families(spark):
+def test_links_of_loose_families(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_PAIRS_PER_ROW", 1)
     # A chain: neighbours are similar, and a group holds few of the family's sets.
     words = [f"w{k}" for k in range(900)]
     rows = [(k, " ".join(words[3 * k:3 * k + 60])) for k in range(250)] + [(999, " ".join(words[30:90]))]
