@@ -83,7 +83,8 @@ def stream_expiry(spark, base):
                .unionByName(expiry.touches(events.withColumn("id", F.lit(None)), "tick")))
     written = materialize(changes, "item-changes")
     stream = jobs.file_stream(spark, written.inputFiles()[0].rsplit("/", 1)[0], written.schema, 1_000_000)
-    return _drain(spark, expiry.expiry_stream(stream), "expiry").select("id", "collection", "memory_layer", "action")
+    slices = expiry.slices_for(written.filter(F.col("op") == expiry.PUT).count())
+    return _drain(spark, expiry.expiry_stream(stream, slices=slices), "expiry").select("id", "collection", "memory_layer", "action")
 
 
 DELIVERY_DAYS = 6

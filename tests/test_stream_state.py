@@ -84,6 +84,52 @@ def test_timers_follow_touches_pins_and_grace(spark, tmp_path, one_partition):
         (9, "deprecated", 31), (9, "deleted", 61), (1, "deleted", 95), (10, "deprecated", 95)])
 
 
+def test_items_of_a_slice_share_a_state_and_a_timer(spark, tmp_path, one_partition):
+    """300 items of 40 days in few slices expire as each would alone."""
+    columns = ("id long, memory_layer string, importance double, is_pinned boolean, is_deprecated boolean, "
+               "created_at timestamp, last_accessed_at timestamp, deprecated_at timestamp, item_type string, collection string")
+    rows = [(i, "L2", 0.0, i % 11 == 0, i % 13 == 0, day(-(i % 40)), None, day(-(i % 29)) if i % 13 == 0 else None, None, f"c{i % 3}")
+            for i in range(300)]
+    puts = expiry.item_changes(spark.createDataFrame(rows, columns), F.lit(day(0)), RetentionPolicy())
+
+    def changes(op, *pairs):
+        return expiry.touches(spark.createDataFrame(list(pairs), "id long, ts timestamp"), op)
+    touched, gone, last = range(0, 300, 7), range(0, 300, 17), (10, 25, 31, 70)
+    batches = [puts, changes("touch", *[(i, day(1)) for i in touched]), changes("delete", *[(i, day(2)) for i in gone]),
+               *[changes("tick", (None, day(d))) for d in last]]
+    for n, batch in enumerate(batches):
+        batch.select(puts.schema.names).coalesce(1).write.parquet(str(tmp_path / "in" / f"{n:03}"))
+
+    def run(slices):
+        source = jobs.file_stream(spark, str(tmp_path / "in" / "*"), puts.schema, files_per_batch=1)
+        path = jobs.new_path(spark, "expiry")
+        out = jobs.run_to_files(expiry.expiry_stream(source, slices=slices), path)
+        got = sorted((r["id"], r["action"], (r["at"] - day(0)).days) for r in spark.read.parquet(out).collect())
+        timers = spark.read.format("statestore").option("stateVarName", "timer").load(f"{path}/state")
+        items = spark.read.format("statestore").option("stateVarName", "items").load(f"{path}/state")
+        return got, timers.count(), items.count()
+
+    want, kept = [], 0
+    for i, _, _, pinned, dead, created, _, marked, _, _ in rows:
+        seen, by, at = (day(1) if i in touched else created), None, marked
+        for now in (0, 1, 2, *last):  # the time is known once a batch is over
+            if i in gone and now == 1 and by != "deleted":
+                by = "gone"  # a batch takes its changes first, then what fell due by the batch before
+            if by in ("gone", "deleted"):
+                continue
+            if at is not None:
+                if at + timedelta(days=30) <= day(now):
+                    by = "deleted"
+                    want.append((i, by, now))
+            elif not pinned and seen + timedelta(days=30) <= day(now):
+                at = day(now)
+                want.append((i, "deprecated", now))
+        kept += by is None
+    got, timers, items = run(2)
+    assert got == sorted(want) and timers <= 2 and items == kept
+    assert expiry.slices_for(0) == 1 and expiry.slices_for(expiry.SLICE_ITEMS + 1) == 2
+
+
 def test_a_subscriber_takes_each_event_once(spark, tmp_path, one_partition):
     schema = _parse_datatype_string(subscribe.EVENT)
 
