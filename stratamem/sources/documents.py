@@ -36,21 +36,30 @@ def normalize_lines(content: Column) -> Column:
     return F.regexp_replace(content, K.LINE_BREAK, "\n")
 
 
+def markdown_parts(content: Column) -> Column:
+    """The pieces of a markdown text, each from one ``#`` heading to the next."""
+    return F.split(normalize_lines(content), rf"(?m)(?=^{HEADING_LINE}$)")
+
+
+def markdown_section(part: Column) -> tuple[Column, Column]:
+    """Title and content of a piece of ``markdown_parts``; blank content is no section."""
+    heading = F.regexp_extract(part, rf"\A({HEADING_LINE})", 1)
+    has_heading = heading != ""
+    title = text.strip(F.regexp_replace(heading, rf"\A#{{1,6}}{INLINE_WS}+", ""))
+    body = text.strip(F.regexp_replace(part, rf"\A{HEADING_LINE}", ""))
+    return (F.when(has_heading, title).otherwise(F.lit(K.DEFAULT_SECTION)),
+            F.when(has_heading, body).otherwise(text.strip(part)))
+
+
 def markdown_sections(docs: DataFrame, content: str, keep: Sequence[str]) -> DataFrame:
     """Sections under ``#`` headings, split inside the row.
 
     Text before the first heading is titled "Introduction"; fenced code is not
     treated specially. Sections without content vanish.
     """
-    parts = F.split(normalize_lines(F.col(content)), rf"(?m)(?=^{HEADING_LINE}$)")
-    heading = F.regexp_extract("part", rf"\A({HEADING_LINE})", 1)
-    has_heading = heading != ""
-    title = text.strip(F.regexp_replace(heading, rf"\A#{{1,6}}{INLINE_WS}+", ""))
-    body = text.strip(F.regexp_replace("part", rf"\A{HEADING_LINE}", ""))
-    return (docs.select(*keep, F.posexplode(parts).alias("section_index", "part"))
-            .select(*keep, "section_index",
-                    F.when(has_heading, title).otherwise(F.lit(K.DEFAULT_SECTION)).alias("title"),
-                    F.when(has_heading, body).otherwise(text.strip(F.col("part"))).alias("content"))
+    title, body = markdown_section(F.col("part"))
+    return (docs.select(*keep, F.posexplode(markdown_parts(F.col(content))).alias("section_index", "part"))
+            .select(*keep, "section_index", title.alias("title"), body.alias("content"))
             .filter(F.col("content") != "")
             .select(*keep, "section_index", "content", "title",
                     F.create_map(F.lit("section"), F.col("title")).alias("metadata")))
@@ -77,27 +86,41 @@ def python_sections(source: str, content: str) -> list[dict]:
     return _python_definitions(source, content) or [_section(content, name, language="python", file=source)]
 
 
+CODE_BOUNDARY = K.CODE_BOUNDARY.replace(r"\s", r"[\s\x1c-\x1f]")
+
+
+def code_parts(content: Column) -> Column:
+    """The pieces of a source file, each from one definition to the next."""
+    return F.split(content, f"(?mdU)(?={CODE_BOUNDARY})")
+
+
+def code_name(part: Column) -> Column:
+    """What a piece of ``code_parts`` defines; empty for the piece before the first definition."""
+    return F.regexp_extract(part, f"(?U)\\A{CODE_BOUNDARY[1:]}", 1)
+
+
+def code_section(path: Column, name: Column, part: Column, at: Column, pieces: Column,
+                 preface: Column) -> tuple[Column, Column, Column, Column, Column]:
+    """Index, content, title and metadata of piece ``at`` of a file's ``pieces``, and whether it is a section."""
+    file, found = F.regexp_extract(path, "[^/]*$", 0), name != ""
+    facts = F.create_map(F.lit("language"), F.lower(F.regexp_extract(file, r"[^.]*$", 0)), F.lit("file"), path)
+    named = F.map_concat(facts, F.create_map(F.lit("name"), name))
+    content = F.when(found, text.strip(part)).otherwise(part)
+    return (at - (preface & (pieces > 1)).cast("int"), content, F.when(found, name).otherwise(file),
+            F.when(found, named).otherwise(facts), (found | (pieces == 1)) & ~text.is_blank(content))
+
+
 def sliced_code(docs: DataFrame, source: str, content: str, keep: Sequence[str]) -> DataFrame:
     """Slices of other source files from one definition to the next, cut inside the row.
 
     What stands before the first definition is left out; a file without any is one section.
     """
-    boundary = K.CODE_BOUNDARY.replace(r"\s", r"[\s\x1c-\x1f]")
-    parts = F.split(F.col(content), f"(?mdU)(?={boundary})")
-    path = F.col(source)
-    file = F.regexp_extract(path, "[^/]*$", 0)
-    name = F.regexp_extract("part", f"(?U)\\A{boundary[1:]}", 1)
-    rows = docs.select(*keep, path.alias("_path"), file.alias("_file"), F.size(parts).alias("_n"),
-                       (F.regexp_extract(parts[0], f"(?U)\\A{boundary[1:]}", 1) == "").alias("_preface"),
-                       F.posexplode(parts).alias("_at", "part")).withColumn("_name", name)
-    found = F.col("_name") != ""
-    facts = F.create_map(F.lit("language"), F.lower(F.regexp_extract("_file", r"[^.]*$", 0)), F.lit("file"), F.col("_path"))
-    named = F.map_concat(facts, F.create_map(F.lit("name"), F.col("_name")))
-    return rows.filter(found | (F.col("_n") == 1)).select(
-        *keep, (F.col("_at") - (F.col("_preface") & (F.col("_n") > 1)).cast("int")).alias("section_index"),
-        F.when(found, text.strip(F.col("part"))).otherwise(F.col("part")).alias("content"),
-        F.when(found, F.col("_name")).otherwise(F.col("_file")).alias("title"),
-        F.when(found, named).otherwise(facts).alias("metadata")).filter(~text.is_blank(F.col("content")))
+    parts = code_parts(F.col(content))
+    rows = docs.select(*keep, F.col(source).alias("_path"), F.size(parts).alias("_n"), (code_name(parts[0]) == "").alias("_preface"),
+                       F.posexplode(parts).alias("_at", "part")).withColumn("_name", code_name(F.col("part")))
+    index, body, title, metadata, kept = code_section(*[F.col(c) for c in ("_path", "_name", "part", "_at", "_n", "_preface")])
+    return rows.filter(kept).select(*keep, index.alias("section_index"), body.alias("content"), title.alias("title"),
+                                    metadata.alias("metadata"))
 
 
 def _python_definitions(source: str, content: str) -> list[dict]:

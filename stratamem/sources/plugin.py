@@ -32,8 +32,10 @@ FORMAT = "memory_files"
 SCHEMA = ("source string, parser string, section_index int, content string, title string, "
           "metadata map<string,string>, error string")
 PARTITION_BYTES = 32 << 20
-# A file costs about this much to open, so many small ones still spread.
-OPEN_BYTES = 1 << 20
+# A file costs about this much to open. A task costs far more than that to start, so the files of a
+# large folder go to a task by hundreds; those of a small one spread over this many tasks.
+OPEN_BYTES = 64 << 10
+SPREAD = 64
 RAW = "raw"
 MARKDOWN = (".md", ".mdx", ".markdown")
 
@@ -151,7 +153,9 @@ class _Reading:
 
 class FilesReader(_Reading, DataSourceReader):
     def partitions(self) -> Sequence[InputPartition]:
-        return dealt(listed(self.root), self.limit) or [Files(())]
+        files = listed(self.root)
+        share = sum(size + OPEN_BYTES for _, _, size in files) // SPREAD
+        return dealt(files, min(self.limit, max(share, OPEN_BYTES))) or [Files(())]
 
 
 class FilesStreamReader(_Reading, DataSourceStreamReader):
@@ -193,14 +197,31 @@ def register(spark: SparkSession) -> None:
 
 
 def cut_raw(rows: DataFrame) -> DataFrame:
-    """Rows of the format with markdown and other source code cut into sections, batch or stream."""
+    """Rows of the format with markdown and other source code cut into sections, batch or stream.
+
+    All kinds are cut in one pass, so that the files are read once.
+    """
     raw = F.col("parser") == RAW
     markdown = F.lower(F.regexp_extract("source", r"(\.[^./]+)$", 1)).isin(*MARKDOWN)
-    whole = rows.filter(~raw)
-    texts = rows.filter(raw).select("source", F.col("content").alias("_body"))
-    cut = documents.markdown_sections(texts.filter(markdown), "_body", ["source"]).withColumn("parser", F.lit("markdown")).unionByName(
-        documents.sliced_code(texts.filter(~markdown), "source", "_body", ["source"]).withColumn("parser", F.lit("code")))
-    return whole.unionByName(cut.withColumn("error", F.lit(None).cast("string")))
+    kind = F.when(raw & markdown, "markdown").when(raw, "code")
+    body = F.col("content")
+    pieces = F.when(F.col("_kind") == "markdown", documents.markdown_parts(body)).when(
+        F.col("_kind") == "code", documents.code_parts(body))
+    own = ("section_index", "content", "title", "metadata")
+    # Rows that are sections already have no pieces and stay one row in the outer explode.
+    cut = (rows.withColumn("_kind", kind).withColumn("_pieces", pieces)
+           .select("source", "parser", "error", "_kind", "section_index", "title", "metadata",
+                   F.when(F.col("_kind").isNull(), body).alias("content"), F.size("_pieces").alias("_n"),
+                   F.when(F.col("_kind") == "code", documents.code_name(F.get("_pieces", F.lit(0))) == "").alias("_preface"),
+                   F.posexplode_outer("_pieces").alias("_at", "_part"))
+           .withColumn("_name", F.when(F.col("_kind") == "code", documents.code_name(F.col("_part")))))
+    title, text = documents.markdown_section(F.col("_part"))
+    code = documents.code_section(*[F.col(c) for c in ("source", "_name", "_part", "_at", "_n", "_preface")])
+    of_markdown = (F.col("_at"), text, title, F.create_map(F.lit("section"), title))
+    is_markdown, is_code = F.col("_kind") == "markdown", F.col("_kind") == "code"
+    return cut.filter(F.when(is_markdown, text != "").when(is_code, code[4]).otherwise(True)).select(
+        "source", F.coalesce("_kind", "parser").alias("parser"),
+        *[F.when(is_markdown, of_markdown[i]).when(is_code, code[i]).otherwise(F.col(n)).alias(n) for i, n in enumerate(own)], "error")
 
 
 def read_sections(spark: SparkSession, path: str, **options) -> DataFrame:

@@ -56,6 +56,33 @@ def test_files_are_dealt_by_size():
     assert plugin.dealt([], 1) == []
 
 
+def test_a_folder_is_read_once_in_few_tasks(spark, folder):
+    frame = plugin.read_sections(spark, str(folder), parsers=NOTE)
+    assert frame._jdf.queryExecution().executedPlan().toString().count("BatchScan") == 1
+    many = plugin.FilesReader({"path": str(folder)})
+    assert 1 < len(many.partitions()) <= 13
+    # Some hundred small files to a task.
+    assert len(plugin.dealt([(i, f"f{i}", 3000) for i in range(50_000)], plugin.PARTITION_BYTES)) < 110
+
+
+def test_pieces_of_raw_files_keep_their_place(spark, tmp_path):
+    from stratamem.sources import documents
+    bodies = {"a.md": "intro\n# One\n\n## Two\ntext", "b.js": "// preface\nfunction f() {}\nclass G {}\n", "c.ts": "let x = 1", "d.js": " \n",
+              "e.md": "", "f.markdown": "# only a heading"}
+    for name, body in bodies.items():
+        (tmp_path / name).write_text(body)
+    got = plugin.read_sections(spark, str(tmp_path))
+    texts = spark.createDataFrame([(f"{tmp_path}/{n}", b) for n, b in bodies.items()], "source string, body string")
+    markdown = texts.filter(texts.source.endswith("md") | texts.source.endswith("markdown"))
+    want = documents.markdown_sections(markdown, "body", ["source"]).unionByName(
+        documents.sliced_code(texts.subtract(markdown), "source", "body", ["source"]))
+    names = ("source", "section_index", "content", "title", "metadata")
+
+    def rows(frame):
+        return sorted(([r[n] for n in names] for r in frame.collect()), key=str)
+    assert rows(got) == rows(want) and len(rows(want)) == 5
+
+
 def test_an_empty_folder_and_an_unknown_parser(spark, tmp_path):
     assert plugin.read_sections(spark, str(tmp_path / "absent")).collect() == []
     with pytest.raises(Exception, match="nowhere"):
