@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from stratamem import constants as K
 from stratamem import schema
 from stratamem.functions import text as text_fn
 
 CHUNKS = T.ArrayType(schema.CHUNK)
+CHUNKS_ARROW = to_arrow_type(CHUNKS)
+SLICE_BYTES = 1 << 20
 
 
 def char_windows(docs: DataFrame, content: str, keep: Sequence[str],
@@ -101,12 +105,28 @@ def _pieces(text: str, separators: tuple[str, ...], origin: int, size: int,
     return chunks
 
 
+def text_slices(texts: pa.Array, limit: int | None = None) -> Iterator[pa.Array]:
+    """A batch in runs of at most ``limit`` bytes of text, or of one longer text; an empty batch is one run."""
+    limit = limit or SLICE_BYTES
+    start = held = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > start and held + n > limit:
+            yield texts.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    yield texts.slice(start)
+
+
 def recursive_chunks(size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP,
                      separators: Sequence[str] = K.SEPARATORS):
-    """An Arrow-batched function text -> array of chunks."""
+    """An Arrow-batched function text -> array of chunks.
+
+    A batch counts rows and may hold long texts, so it is cut in slices of about ``SLICE_BYTES``:
+    what a task holds as Python objects is bounded by those.
+    """
 
-    @F.pandas_udf(CHUNKS)
-    def chunk(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(CHUNKS)
+    def chunk(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         def one(value):
             if value is None:
                 return []
@@ -114,7 +134,9 @@ def recursive_chunks(size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP,
             return [{"text": t, "start_pos": a, "end_pos": b, "index": i}
                     for i, (t, a, b) in enumerate(parts)]
 
-        return texts.map(one)
+        for batch in batches:
+            for texts in text_slices(batch):
+                yield pa.array([one(t) for t in texts.to_pylist()], CHUNKS_ARROW)
 
     return chunk
 

@@ -409,3 +409,19 @@ def test_new_rows_are_unique_among_themselves(spark):
     new = spark.createDataFrame([("b", "y"), ("b", "z"), ("c", "y"), ("d", "x"), ("e", "w")], "name string, slug string")
     got = records.insert_unique(have, new, ["name", "slug"]).collect()
     assert sorted(map(tuple, got)) == [("b", "y"), ("e", "w")]
+
+
+def test_chunker_holds_slices_of_a_batch(spark):
+    import pyarrow as pa
+
+    from stratamem.operators import chunking
+    texts = pa.array(["a" * 30, None, "b" * 80, "", "c" * 40, "d" * 50])
+    runs = [r.to_pylist() for r in chunking.text_slices(texts, 100)]
+    assert [len(r) for r in runs] == [2, 2, 2] and sum(runs, []) == texts.to_pylist()
+    assert [r.to_pylist() for r in chunking.text_slices(pa.array([], pa.string()), 100)] == [[]]
+    # Long and short texts of one batch of 3 MB, which is cut in several slices, keep their chunks.
+    rows = [(i, f"word{i} " * (i % 7 * 3000)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "id long, body string").coalesce(1)
+    got = chunking.chunk_long_texts(docs, "body", ["id"]).orderBy("id", "chunk_index").collect()
+    want = [(i, n, t) for i, body in rows if len(body) > 0 for n, (t, _, _) in enumerate(chunking.split_recursively(body))]
+    assert [(r["id"], r["chunk_index"], r["chunk_text"]) for r in got if r["chunk_text"]] == want
