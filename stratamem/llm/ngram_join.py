@@ -39,6 +39,8 @@ HELD_SIGNATURES = 1 << 18
 # Sets, and shingles of all of them, that meet as many others at a time.
 BLOCK_SETS = 2048
 BLOCK_SHINGLES = 1 << 21
+# Shingles of two blocks whose holders are found at a time.
+PART_SHINGLES = 1 << 18
 # Two sets that meet in a block cost about this part of two that meet as a row, which moves both sets' shingles.
 BLOCK_PAIRS_PER_ROW = 64
 U64 = np.uint64
@@ -308,12 +310,28 @@ def _lone(docs: DataFrame, width: int, percent: int) -> DataFrame:
 def overlaps(grams: np.ndarray, sizes: np.ndarray, cut: int = 0) -> np.ndarray:
     """Common shingles of every two of several sets, whose shingles lie one after another.
 
-    With ``cut`` only the first so many sets (rows) meet the others (columns). Shingles of
-    few holders are counted pair by pair, the others by a matrix product.
+    With ``cut`` only the first so many sets (rows) meet the others (columns). Counts add up
+    over parts of the hash domain, so what is held beside the result stays small.
     """
     m = len(sizes)
     out = np.zeros((cut or m, m - cut), np.float32)
-    owner = np.repeat(np.arange(m), sizes)
+    ends, hashes = np.cumsum(sizes), grams.view(U64)
+    n_parts = max(1, -(-len(grams) // PART_SHINGLES))
+    for k in range(n_parts):
+        inside = hashes >= U64(k * (1 << 64) // n_parts)
+        if k + 1 < n_parts:
+            inside &= hashes < U64((k + 1) * (1 << 64) // n_parts)
+        at = np.flatnonzero(inside)
+        del inside
+        _add_overlaps(out, grams[at], np.searchsorted(ends, at, side="right"), m, cut)
+    return out
+
+
+def _add_overlaps(out: np.ndarray, grams: np.ndarray, owner: np.ndarray, m: int, cut: int) -> None:
+    """Adds what the sets share of these shingles, given with the number of the set that holds each.
+
+    Shingles of few holders are counted pair by pair, the others by a matrix product.
+    """
     order = np.argsort(grams, kind="stable")
     value, owner = grams[order], owner[order]
     head = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
@@ -330,8 +348,8 @@ def overlaps(grams: np.ndarray, sizes: np.ndarray, cut: int = 0) -> np.ndarray:
                 left, right = left[apart], right[apart] - cut
             pair, n = np.unique(left * out.shape[1] + right, return_counts=True)
             out.ravel()[pair] += n
-        if not cut:
-            out += out.T
+            if not cut:
+                out[pair % m, pair // m] += n
     dense = np.repeat(many, holders)
     who, column = owner[dense], np.repeat(np.arange(int(many.sum())), holders[many])
     step = max(64, (1 << 22) // max(m, 1))
@@ -340,7 +358,6 @@ def overlaps(grams: np.ndarray, sizes: np.ndarray, cut: int = 0) -> np.ndarray:
         part = np.zeros((m, int(column[b - 1]) - at + 1), np.float32)
         part[who[a:b], column[a:b] - at] = 1
         out += part[:cut or m] @ part[cut:].T
-    return out
 
 
 _MET = pa.schema([("a", pa.string()), ("b", pa.string()), ("common", pa.int64()), ("links", pa.int64())])
@@ -362,7 +379,10 @@ def _meet(percent: int, listed: bool) -> Callable:
         cut = int(np.searchsorted(block, block[0], side="right")) if two else 0
         if cut == m:
             return
-        common = overlaps(np.concatenate([r[3] for r in family]), sizes, cut)
+        grams = np.concatenate([r[3] for r in family])
+        family.clear()  # the caller goes on with another
+        common = overlaps(grams, sizes, cut)
+        del grams
         parts = [slice(at, at + 256) for at in range(0, len(common), 256)]
         link = np.zeros(common.shape, bool)
         for part in parts:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -247,6 +248,35 @@ def test_overlaps_of_many_sets():
     assert all(got[a, b] == len(np.intersect1d(sets[a], sets[b])) for a in range(150) for b in range(a))
 
 
+@pytest.mark.parametrize("cut", [0, 70])
+def test_overlaps_by_parts_of_the_hash_domain(monkeypatch, cut):
+    rng = np.random.default_rng(4)
+    pools = [rng.integers(-(1 << 63), (1 << 63) - 1, n) for n in (90, 3000)]
+    sets = [np.unique(rng.choice(pools[k % 2], 60)) for k in range(150)] + [np.zeros(0, np.int64)]
+    plain = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    monkeypatch.setattr(ngram_join, "PART_SHINGLES", 500)
+    got = ngram_join.overlaps(np.concatenate(sets), np.array([len(g) for g in sets]), cut)
+    if not cut:
+        np.fill_diagonal(got, plain.diagonal())
+    assert (got == (plain[:cut, cut:] if cut else plain)).all()
+
+
+def test_full_blocks_meet_in_little_memory():
+    # What one block of 2048 sets with 1024 shingles each holds while it meets another: 32 MB of shingles.
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(1 << 63), (1 << 63) - 1, 1024)
+    sets = np.tile(base, (4096, 1))
+    sets[np.arange(4096)[:, None], rng.integers(0, 1024, (4096, 100))] = rng.integers(-(1 << 63), (1 << 63) - 1, (4096, 100))
+    sizes = np.full(4096, 1024)
+    grams = sets.ravel()
+    tracemalloc.start()
+    common = ngram_join.overlaps(grams, sizes, 2048)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert common[3, 5] == len(np.intersect1d(sets[3], sets[2053]))
+    assert peak < 120e6
+
+
 # -- substring dedup ----------------------------------------------------------------
 
 
