@@ -19,11 +19,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratamem.llm.batches import SPACE, Texts, as_list, mix, slices, span_hashes
+from stratamem.llm.batches import SPACE, Texts, as_list, mix, ranges, slices, span_hashes
 from stratamem.llm.joins import components, left_join_unique
 from stratamem.operators.bounded import MAX_BROADCAST_ROWS, broadcast_if_small
 from stratamem.session import materialize
@@ -34,8 +35,15 @@ PERCENT = 85
 MIN_FEATURES = 4.0
 # Share of sets that may have to emit signatures of empty partitions.
 EMPTY_SHARE = 1e-5
-# Signatures a task holds before it combines those of one group.
-HELD_SIGNATURES = 1 << 18
+# Rows (hash, set) a task holds before it combines those of one hash, and shingles whose sets are signed at a time.
+HELD_ROWS = 1 << 18
+# Cells of the hash domain, of all sets together, that are looked at at a time.
+SIGNED_CELLS = 1 << 18
+# Rows (hash, set) of one bucket, about, and at least so many where there are few.
+BUCKET_ROWS = 1 << 19
+LEAST_BUCKET_ROWS = 1 << 12
+# Bytes of text whose words are hashed at a time.
+HASHED_BYTES = 1 << 17
 # Sets, and shingles of all of them, that meet as many others at a time.
 BLOCK_SETS = 2048
 BLOCK_SHINGLES = 1 << 21
@@ -100,41 +108,52 @@ def plan(percent: int, instance: int, low: int, high: int) -> Plan:
 
 def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
     """Signatures of one set of sorted, distinct hashes, for its band and the next."""
-    n = len(grams)
-    ends = band_ends(percent, 2 * n)
-    band = int(np.searchsorted(ends, n))
-    sums = np.zeros(n + 1, U64)
+    return set_signatures(grams, np.array([0, len(grams)]), percent)[0]
+
+
+def set_signatures(grams: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sets, and the number of the set of each; set i holds grams[at[i]:at[i+1]], sorted and distinct."""
+    size = np.diff(at)
+    ends = np.array(band_ends(percent, 4 << int(size.max(initial=1)).bit_length()))
+    band = np.searchsorted(ends, size)
+    sums = np.zeros(len(grams) + 1, U64)
     np.cumsum(mix(grams, 5), out=sums[1:])
-    found = []
-    for instance in (band, band + 1):
-        low = ends[instance - 2] + 1 if instance >= 2 else 1
-        if instance > band and n * 100 < percent * (ends[band] + 1):
-            continue  # too small for any set of the next band
-        p = plan(percent, instance, low, ends[instance])
+    found, owners = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for instance in np.unique(np.concatenate([band, band + 1])).tolist():
+        # Of the band below, those large enough for a set of this one.
+        near = (band == instance - 1) & (size * 100 >= percent * (ends[instance - 1] + 1))
+        who = np.flatnonzero((size > 0) & ((band == instance) | near))
+        p = plan(percent, instance, int(ends[instance - 2]) + 1 if instance >= 2 else 1, int(ends[instance]))
         cells = p.outer * p.inner
-        # Sorted hashes: every cell of the domain is a slice.
-        step = ((1 << 64) - 1) // cells
-        cut = np.searchsorted(grams, np.arange(1, cells, dtype=U64) * U64(step))
-        at = np.concatenate([[0], cut, [n]])
-        cell = (sums[at[1:]] - sums[at[:-1]]).reshape(p.outer, p.inner)
-        filled = np.diff(at).reshape(p.outer, p.inner)
-        value = sum(mix(cell[:, c], 31) * _FACTORS[c] for c in p.chosen.T) if p.inner > 1 else cell
-        value = value.reshape(p.outer, -1)
-        size = filled[:, p.chosen].sum(axis=2)
-        place = np.arange(value.size, dtype=U64).reshape(value.shape) + U64(instance << 24)
-        sig = mix(value ^ mix(place, 13), 17)
-        # Enough partitions without an empty subset: one of them is shared by any partner.
-        if (size == 0).any(axis=1).sum() <= p.spare:
-            sig = sig[size > 0]
-        found.append(sig.ravel())
-    return np.concatenate(found)
+        some = max(1, SIGNED_CELLS // (cells * len(p.chosen)))
+        for part in (who[k:k + some] for k in range(0, len(who), some)):
+            # Sorted hashes: every cell of the domain is a slice.
+            place = ranges(at[part], size[part])
+            cell = np.minimum(grams[place] // U64(((1 << 64) - 1) // cells), U64(cells - 1)).astype(np.int64)
+            cell += np.repeat(np.arange(len(part)) * cells, size[part])
+            filled = np.bincount(cell, minlength=len(part) * cells)
+            edge = np.cumsum(filled) - filled
+            edge += np.repeat(at[part] - np.cumsum(size[part]) + size[part], cells)
+            value = (sums[edge + filled] - sums[edge]).reshape(len(part), p.outer, p.inner)
+            filled = filled.reshape(value.shape)
+            if p.inner > 1:
+                value = (mix(value, 31) * _FACTORS[:p.inner])[:, :, p.chosen].sum(axis=3, dtype=U64)
+                filled = filled[:, :, p.chosen].sum(axis=3)
+            spot = np.arange(value[0].size, dtype=U64).reshape(value.shape[1:]) + U64(instance << 24)
+            sig = mix(value ^ mix(spot, 13), 17)
+            # Enough partitions without an empty subset: one of them is shared by any partner.
+            empty = (filled == 0).any(axis=2).sum(axis=1) > p.spare
+            kept = (filled > 0) | empty[:, None, None]
+            found.append(sig[kept])
+            owners.append(np.repeat(part, kept.sum(axis=(1, 2))))
+    return np.concatenate(found), np.concatenate(owners)
 
 
 # -- Sets ---------------------------------------------------------------------------
 
 
-def shingle_sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each row's text."""
+def shingle_sets(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle hashes of all rows' texts; row i has those of [at[i], at[i+1]), sorted and distinct."""
     texts = Texts(batch.column("text"), lower=True)
     start, end, first = texts.spans(~SPACE)
     word = span_hashes(texts.data, start, end)
@@ -143,136 +162,272 @@ def shingle_sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
     for k in range(width):
         grams[:full] += word[k:k + full] * _FACTORS[k]
     grams = mix(grams, width)
+    n_words = np.diff(first)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= width:
-            yield np.unique(grams[a:b - width + 1])
+            grams[a:b - width + 1].sort()
         elif b > a:
             whole = (word[a:b] * _FACTORS[8:8 + b - a]).sum(dtype=U64) + U64(b - a)
-            yield mix(np.array([whole]), 3)
-        else:
-            yield np.zeros(0, U64)
+            grams[a] = mix(np.array([whole]), 3)[0]
+    kept = np.ones(len(grams), bool)
+    kept[1:] = grams[1:] != grams[:-1]
+    kept[first[:-1][n_words > 0]] = True
+    # No shingle starts at a text's last words, save the one of a text with fewer.
+    for k in range(1, width):
+        kept[first[1:][n_words > k] - k] = False
+    return grams[kept], np.concatenate([np.zeros(1, np.int64), np.cumsum(kept)])[first]
+
+
+def set_keys(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit keys of every set."""
+    keys = []
+    for seed in (21, 22):
+        sums = np.zeros(len(grams) + 1, U64)
+        np.cumsum(mix(grams, seed), out=sums[1:])
+        keys.append((sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(U64)).view(np.int64))
+    return keys[0], keys[1]
+
+
+def as_binary(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Binary values: the i-th holds the bytes of values[at[i]:at[i+1]], 8 each."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [
+        None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def of_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What as_binary was given, as 64-bit values; nulls are empty."""
+    if not len(column):
+        return np.zeros(0, U64), np.zeros(1, np.int64)
+    column = pc.fill_null(column, b"").cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    if raw is None or at[0] == at[-1]:
+        return np.zeros(0, U64), np.zeros(len(at), np.int64)
+    return np.frombuffer(raw, U64, (at[-1] - at[0]) // 8, at[0]), (at - at[0]) // 8
+
+
+def _describe(width: int, share: float) -> Callable:
+    """Per row its set's size and keys, and the shingles of the lowest ``share`` of the hash domain.
+
+    A task gives a set's shingles once.
+    """
+    top = U64(int(share * (1 << 64)) if share < 1 else (1 << 64) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for whole in batches:
+            for batch in slices(whole, limit=HASHED_BYTES):
+                grams, at = shingle_sets(batch, width)
+                key, check = set_keys(grams, at)
+                fresh = np.zeros(len(key), bool)
+                for k, value in enumerate(key.tolist()):
+                    if value not in seen:
+                        seen.add(value)
+                        fresh[k] = True
+                low = (grams < top) & np.repeat(fresh, np.diff(at))
+                below = np.concatenate([np.zeros(1, np.int64), np.cumsum(low)])[at]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(np.diff(at)), pa.array(key), pa.array(check),
+                     as_binary(grams[low], below)], ["doc_id", "n_shingles", "key", "check", "low"])
+    return run
 
 
-def set_keys(grams: np.ndarray) -> tuple[int, int]:
-    """Two independent 64-bit keys of a set."""
-    return tuple(int((mix(grams, s).sum(dtype=U64) + U64(len(grams))).astype(np.int64)) for s in (21, 22))
+# Rows (hash, set) travel in buckets: a row holds those of a range of hashes that a task has, as two binary values.
+_PACKED_DDL = "bucket long, hashes binary, sets binary, made boolean"
 
 
-def _describe(width: int) -> Callable:
+def _packed(value: np.ndarray, holder: np.ndarray | None, n_buckets: int, top: int, made: bool) -> pa.RecordBatch:
+    """Rows of buckets, from hashes below ``top`` that ascend, and the set of each."""
+    width = -(-top // n_buckets)
+    edge = np.array([k * width for k in range(1, n_buckets) if k * width < top], U64)
+    at = np.concatenate([[0], np.searchsorted(value, edge), [len(value)]])
+    some = np.flatnonzero(np.diff(at))
+    at = np.append(at[some], len(value))
+    sets = as_binary(value[:0], at * 0) if holder is None else as_binary(holder, at)
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), as_binary(value, at), sets, pa.array(np.full(len(some), made))],
+                                      ["bucket", "hashes", "sets", "made"])
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes that ascend and their sets, bucket by bucket, from packed rows sorted by bucket."""
+    def whole() -> tuple[np.ndarray, np.ndarray]:
+        value, holder = (np.concatenate(c) for c in zip(*held))
+        order = np.argsort(value, kind="stable")
+        return value[order], holder[order] if len(holder) else holder
+
+    held, last = [], None
+    for batch in batches:
+        bucket = batch.column("bucket").to_numpy()
+        (value, at), (holder, _) = (of_binary(batch.column(c)) for c in ("hashes", "sets"))
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if b > a:
+                if held and bucket[a] != last:
+                    yield whole()
+                    held = []
+                last = bucket[a]
+                held.append((value[at[a]:at[b]], holder[at[a]:at[b]].view(np.int64)))
+    if held:
+        yield whole()
+
+
+def _heads(value: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
+
+
+def _sampled(n_buckets: int, share: float) -> Callable:
+    """Packed rows of the shingles that _describe gave, at most two sets of a shingle at a time."""
+    top = int(share * (1 << 64)) if share < 1 else 1 << 64
+
+    def combine(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        gram, key = (np.concatenate(c) for c in zip(*held))
+        order = np.argsort(gram, kind="stable")
+        gram, key = gram[order], key[order]
+        head = _heads(gram)
+        least, most = np.minimum.reduceat(key, head), np.maximum.reduceat(key, head)
+        n = np.where(least < most, 2, 1)
+        pair = np.repeat(least, n)
+        pair[np.cumsum(n) - 1] = most
+        return _packed(np.repeat(gram[head], n), pair, n_buckets, top, False)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole):
-                rows = [(len(g), *set_keys(g)) for g in shingle_sets(batch, width)]
-                n, key, check = (pa.array(c, pa.int64()) for c in zip(*rows))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, key, check],
-                                                 ["doc_id", "n_shingles", "key", "check"])
+        held, n = [], 0
+        for batch in batches:
+            grams, at = of_binary(batch.column("low"))
+            key = batch.column("key").to_numpy()
+            # Rows are taken until they hold enough.
+            cuts = np.searchsorted(at, np.arange(0, at[-1] + HELD_ROWS, HELD_ROWS))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                b = min(b, len(key))
+                if at[b] > at[a]:
+                    held.append((grams[at[a]:at[b]], np.repeat(key[a:b], np.diff(at[a:b + 1]))))
+                    n += len(held[-1][0])
+                if n >= HELD_ROWS:
+                    yield combine(held)
+                    held, n = [], 0
+        if n:
+            yield combine(held)
     return run
 
 
-def _sampled(width: int, share: float) -> Callable:
-    """The shingles (gram, key) of the lowest ``share`` of the hash domain; a task emits a set once."""
-    top = U64(int(share * (1 << 64)) if share < 1 else (1 << 64) - 1)
+def _alone(n_buckets: int) -> Callable:
+    """Packed rows of sets, without a second value: a set's key once for each shingle that no other set has.
 
+    They stay packed, so their number does not grow with the sets times the tasks.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for whole in batches:
-            for batch in slices(whole):
-                grams, keys = [np.zeros(0, U64)], []
-                for found in shingle_sets(batch, width):
-                    key = set_keys(found)[0]
-                    if key not in seen:
-                        seen.add(key)
-                        grams.append(found[:np.searchsorted(found, top)])
-                        keys.append(key)
-                key = np.repeat(np.array(keys, np.int64), [len(g) for g in grams[1:]])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).astype(np.int64)), pa.array(key)],
-                                                 ["gram", "key"])
+        alone, held = [], 0
+        for gram, key in _buckets(batches):
+            head = _heads(gram)
+            alone.append(key[head[np.minimum.reduceat(key, head) == np.maximum.reduceat(key, head)]].view(U64))
+            held += len(alone[-1])
+            if held > 4 * HELD_ROWS:
+                yield _packed(np.sort(np.concatenate(alone)), None, n_buckets, 1 << 64, False)
+                alone, held = [], 0
+        if held:
+            yield _packed(np.sort(np.concatenate(alone)), None, n_buckets, 1 << 64, False)
     return run
 
 
-def _sign(percent: int) -> Callable:
-    """Rows (sig, key, member) of sets (key, grams).
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set's key with how often it comes."""
+    for key, _ in _buckets(batches):
+        head = _heads(key)
+        yield pa.RecordBatch.from_arrays([pa.array(key[head].view(np.int64)), pa.array(np.diff(np.append(head, len(key))))],
+                                         ["key", "lone"])
+
+
+def _sign(percent: int, n_buckets: int) -> Callable:
+    """Packed rows (signature, set) of sets (id, grams).
 
-    Of the sets that share a signature in what a task holds, only the first by key goes on
-    under it; all of them are listed as members.
+    Of the sets that share a signature in what a task holds, only the first goes on under it;
+    all of them are members (``made``) and dealt by a hash of the set. The first says by
+    the lowest bit of its hash that it is one already.
     """
-    def combine(sigs: list[np.ndarray], keys: list[int]) -> Iterator[pa.RecordBatch]:
-        sig = np.concatenate(sigs).astype(np.int64)
-        key = np.repeat(np.array(keys, np.int64), [len(s) for s in sigs])
-        order = np.lexsort((key, sig))
-        yield from _emit(sig[order], key[order], forward=True)
+    top = 1 << 64
+
+    def combine(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        sig, who = (np.concatenate(c) for c in zip(*held))
+        sig &= ~U64(1)
+        order = np.lexsort((who, sig))
+        sig, who = sig[order], who[order]
+        fresh = np.ones(len(sig), bool)
+        fresh[1:] = (sig[1:] != sig[:-1]) | (who[1:] != who[:-1])
+        sig, who = sig[fresh], who[fresh]
+        head = _heads(sig)
+        size = np.diff(np.append(head, len(sig)))
+        yield _packed(sig[head] | (size > 1).astype(U64), who[head], n_buckets, top, False)
+        several = np.repeat(size > 1, size)
+        if several.any():
+            spread = mix(who[several].view(U64) ^ sig[several], 41)
+            order = np.argsort(spread)
+            rows = _packed(spread[order], who[several][order], n_buckets, top, True)
+            at = of_binary(rows.column("hashes"))[1]
+            yield rows.set_column(1, "hashes", as_binary(sig[several][order], at))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, keys, held = [], [], 0
+        held, n = [], 0
         for batch in batches:
-            for at in range(batch.num_rows):
-                grams = batch.column("grams")[at].values.to_numpy().view(U64)
-                sigs.append(signatures(np.sort(grams), percent))
-                keys.append(batch.column("key")[at].as_py())
-                held += len(sigs[-1])
-                if held > HELD_SIGNATURES:
-                    yield from combine(sigs, keys)
-                    sigs, keys, held = [], [], 0
-        if sigs:
-            yield from combine(sigs, keys)
+            lists = batch.column("grams")
+            at = lists.offsets.to_numpy().astype(np.int64)
+            grams = lists.values.to_numpy().view(U64)
+            ids = batch.column("id").to_numpy()
+            a = 0
+            while a < len(ids):
+                b = max(a + 1, int(np.searchsorted(at, at[a] + HELD_ROWS, side="right")) - 1)
+                sig, owner = set_signatures(grams[at[a]:at[b]], at[a:b + 1] - at[a], percent)
+                held.append((sig, ids[a:b][owner]))
+                n += len(sig)
+                a = b
+                if n >= HELD_ROWS:
+                    yield from combine(held)
+                    held, n = [], 0
+        if n:
+            yield from combine(held)
     return run
 
 
-_SIGNED = pa.schema([("sig", pa.int64()), ("key", pa.int64()), ("member", pa.bool_())])
-_SIGNED_DDL = "sig long, key long, member boolean"
+_MATCHED_DDL = "sig long, id long"
 
 
-def _rows(sig: np.ndarray, key: np.ndarray, member: bool) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(key), 1 << 17):
-        part = slice(at, at + (1 << 17))
-        yield pa.RecordBatch.from_arrays([pa.array(sig[part]), pa.array(key[part]),
-                                          pa.array(np.full(len(key[part]), member))], schema=_SIGNED)
-
-
-def _emit(sig: np.ndarray, key: np.ndarray, forward: bool) -> Iterator[pa.RecordBatch]:
-    """The members of each group of two sets or more, from rows sorted by sig and key.
-
-    ``forward`` also passes the first of each group on to a later step.
-    """
-    fresh = np.ones(len(sig), bool)
-    fresh[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-    sig, key = sig[fresh], key[fresh]
-    head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
-    size = np.diff(np.append(head, len(sig)))
-    if forward:
-        yield from _rows(sig[head], key[head], False)
-    several = np.repeat(size > 1, size)
-    yield from _rows(sig[several], key[several], True)
+def _matched(sig: np.ndarray, who: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(sig), 1 << 17):
+        yield pa.RecordBatch.from_arrays([pa.array(sig[at:at + (1 << 17)].view(np.int64)),
+                                          pa.array(who[at:at + (1 << 17)].view(np.int64))], ["sig", "id"])
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of groups, from rows sorted by signature and set."""
-    held = [np.zeros(0, np.int64)] * 2
-    for batch in batches:
-        made = batch.column("member")
-        if made.true_count:
-            yield batch.filter(made)
-        new = batch.filter(pa.array(~made.to_numpy(zero_copy_only=False)))
-        held = [np.concatenate([h, new.column(c).to_numpy()]) for h, c in zip(held, ("sig", "key"))]
-        sig = held[0]
-        if len(sig) > 1 << 16 and sig[0] != sig[-1]:
-            last = int(np.searchsorted(sig, sig[-1]))
-            yield from _emit(*(h[:last] for h in held), forward=False)
-            held = [h[last:] for h in held]
-    if len(held[0]):
-        yield from _emit(*held, forward=False)
+    """The members of each group of two sets or more, each once, from packed rows sorted by bucket."""
+    def firsts() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = batch.filter(batch.column("made"))
+            if done.num_rows:
+                members.append((of_binary(done.column("hashes"))[0], of_binary(done.column("sets"))[0]))
+            yield batch.filter(pc.invert(batch.column("made")))
+
+    members: list[tuple[np.ndarray, np.ndarray]] = []
+    for value, who in _buckets(firsts()):
+        while members:
+            yield from _matched(*members.pop())
+        sig = value & ~U64(1)
+        head = _heads(sig)
+        size = np.diff(np.append(head, len(sig)))
+        new = np.repeat(size > 1, size) & (value == sig)
+        yield from _matched(sig[new], who[new])
+    while members:
+        yield from _matched(*members.pop())
 
 
 def _sets(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
-                found = list(shingle_sets(batch, width))
-                keys = [set_keys(g) for g in found]
-                values = pa.array(np.concatenate(found).astype(np.int64))
+            for batch in slices(whole, limit=HASHED_BYTES):
+                grams, at = shingle_sets(batch, width)
+                key, check = set_keys(grams, at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]),
-                     as_list(values, np.array([len(g) for g in found]))], ["key", "check", "grams"])
+                    [pa.array(key), pa.array(check), as_list(pa.array(grams.view(np.int64)), np.diff(at))],
+                    ["key", "check", "grams"])
     return run
 
 
@@ -285,26 +440,45 @@ def _name() -> Column:
 
 
 def _fetch(docs: DataFrame, classes: DataFrame, width: int, label: str) -> DataFrame:
-    """The sets of classes (name, key, first_id), made from one text of each class."""
+    """The sets of classes (name, id, first_id), made from one text of each class."""
     n = classes.count()
     ids = broadcast_if_small(classes.select(F.col("first_id").alias("_id")).distinct(), n)
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select("text")
     sets = texts.mapInArrow(_sets(width), "key long, check long, grams array<long>").select(
-        _name().alias("name"), "grams").join(broadcast_if_small(classes.select("name", "key"), n), "name")
-    return materialize(sets.dropDuplicates(["name"]), label)
+        _name().alias("name"), "grams").join(broadcast_if_small(classes.select("name", "id"), n), "name")
+    return materialize(sets.select("id", "grams").dropDuplicates(["id"]), label)
+
+
+def _dealt(packed: DataFrame) -> DataFrame:
+    """Packed rows, each bucket in one task and sorted by bucket."""
+    partitions = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return packed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+
+
+def _n_buckets(spark: SparkSession, rows: float) -> int:
+    """Buckets for so many rows: several per partition, none too large or without need small."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return int(max(min(16 * partitions, rows / LEAST_BUCKET_ROWS), rows / BUCKET_ROWS, 1))
+
+
+def _sampled_share(percent: int) -> float:
+    """A part of the hash domain that is large enough for a set with three fifths of its shingles alone in it to
+    exceed what a link allows."""
+    return min(1.0, (100 - percent) / 60)
 
 
-def _lone(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _lone(rows: DataFrame, percent: int) -> DataFrame:
     """Per set (key) how many shingles of a part of the hash domain no other set of the corpus has.
 
-    The part is large enough for a set with three fifths of its shingles alone to exceed
-    what a link allows. Smallest and largest holder are kept per shingle, so one that a
-    third of the corpus holds is combined before it moves.
+    Smallest and largest holder are kept per shingle in a task, so one that a third of the
+    corpus holds is combined before it moves.
     """
-    share = min(1.0, (100 - percent) / 60)
-    holders = docs.mapInArrow(_sampled(width, share), "gram long, key long").groupBy("gram").agg(
-        F.min("key").alias("key"), F.max("key").alias("last"))
-    return holders.filter("key = last").groupBy("key").agg(F.count(F.lit(1)).alias("lone"))
+    share = _sampled_share(percent)
+    total = rows.agg(F.sum(F.length("low"))).first()[0] or 0
+    n_buckets = _n_buckets(rows.sparkSession, total / 8)
+    packed = rows.filter(F.length("low") > 0).select("key", "low").mapInArrow(_sampled(n_buckets, share), _PACKED_DDL)
+    alone = _dealt(packed).mapInArrow(_alone(n_buckets), _PACKED_DDL)
+    return _dealt(alone).mapInArrow(_counted, "key long, lone long")
 
 
 def overlaps(grams: np.ndarray, sizes: np.ndarray, cut: int = 0) -> np.ndarray:
@@ -360,8 +534,8 @@ def _add_overlaps(out: np.ndarray, grams: np.ndarray, owner: np.ndarray, m: int,
         out += part[:cut or m] @ part[cut:].T
 
 
-_MET = pa.schema([("a", pa.string()), ("b", pa.string()), ("common", pa.int64()), ("links", pa.int64())])
-_MET_DDL = "a string, b string, common long, links long"
+_MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("links", pa.int64())])
+_MET_DDL = "a long, b long, common long, links long"
 
 
 def _meet(percent: int, listed: bool) -> Callable:
@@ -372,9 +546,8 @@ def _meet(percent: int, listed: bool) -> Callable:
     """
     def group(family: list[tuple], two: bool) -> Iterator[pa.RecordBatch]:
         family.sort(key=lambda r: r[:2])
-        names = np.array([r[1] for r in family], object)
-        block, weight, sizes = (np.array(c, np.int64) for c in zip(*[(r[0], r[2], len(r[3])) for r in family]))
-        m = len(names)
+        block, ids, weight, sizes = (np.array(c, np.int64) for c in zip(*[(*r[:3], len(r[3])) for r in family]))
+        m = len(ids)
         # Sets of one block meet where the block meets itself.
         cut = int(np.searchsorted(block, block[0], side="right")) if two else 0
         if cut == m:
@@ -394,9 +567,8 @@ def _meet(percent: int, listed: bool) -> Callable:
             for part in parts:
                 i, j = np.nonzero(link[part] if two else np.triu(link[part], part.start + 1))
                 if len(i):
-                    one, other = names[i + part.start], names[j + cut]
-                    less = (one < other).astype(bool)
-                    yield rows(np.where(less, one, other), np.where(less, other, one),
+                    one, other = ids[i + part.start], ids[j + cut]
+                    yield rows(np.minimum(one, other), np.maximum(one, other),
                                common[i + part.start, j].astype(np.int64), None)
             return
         if not link.any():
@@ -420,9 +592,9 @@ def _meet(percent: int, listed: bool) -> Callable:
             if two:
                 count[columns_of] += np.where(link[part], weight[rows_of][part, None], 0).sum(axis=0)
         linked = np.flatnonzero(count)
-        yield rows(names[linked], None, None, count[linked])
+        yield rows(ids[linked], None, None, count[linked])
         away = np.flatnonzero(label != np.arange(m))
-        yield rows(names[label[away]], names[away], None, None)
+        yield rows(ids[label[away]], ids[away], None, None)
 
     def rows(*columns) -> pa.RecordBatch:
         n = len(columns[0])
@@ -432,7 +604,7 @@ def _meet(percent: int, listed: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, at, made, n = [], None, [], 0
         for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in ("family", "low", "high", "block", "name", "weight")))
+            keys = zip(*(batch.column(c).to_pylist() for c in ("family", "low", "high", "block", "id", "weight")))
             for k, (name, low, high, *row) in enumerate(keys):
                 if (name, low, high) != at:
                     if len(family) > 1:
@@ -461,14 +633,14 @@ def _in_blocks(rows: DataFrame, sets: Column, shingles: Column) -> DataFrame:
     blocks = F.greatest(F.ceil(sets / BLOCK_SETS), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     placed = rows.withColumn("_blocks", blocks).withColumn(
-        "block", F.pmod(F.xxhash64("name"), F.col("_blocks")).cast("int")).withColumn("_other", other)
+        "block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")).withColumn("_other", other)
     return placed.withColumn("low", F.least("block", "_other")).withColumn("high", F.greatest("block", "_other")).drop(
         "_blocks", "_other")
 
 
 def _verify(sets: DataFrame, pairs: DataFrame, percent: int, label: str) -> DataFrame:
     """The pairs (a, b, common) of classes whose sets are similar enough, by exact overlap."""
-    sides = [sets.select(F.col("name").alias(c), F.col("grams").alias(f"{c}_grams")) for c in "ab"]
+    sides = [sets.select(F.col("id").alias(c), F.col("grams").alias(f"{c}_grams")) for c in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b").select(
         "a", "b", (F.size("a_grams") + F.size("b_grams")).alias("total"),
         F.size(F.array_intersect("a_grams", "b_grams")).cast("long").alias("common"))
@@ -477,101 +649,104 @@ def _verify(sets: DataFrame, pairs: DataFrame, percent: int, label: str) -> Data
 
 
 def _compared(sets: DataFrame, grouped: DataFrame, classes: DataFrame, percent: int, listed: bool) -> DataFrame | None:
-    """What _meet returns, for every two classes that share a signature (sig, name, n, c).
+    """What _meet returns, for every two classes that share a signature (sig, id, n, c).
 
     Groups with the same sets count once. Groups that share sets form a family; a family
     is compared as a whole, block by block, where that costs less than the pairs of its
     groups as rows would.
     """
     spark = sets.sparkSession
-    print_of = [F.bit_xor(F.xxhash64("name", F.lit(k))).alias(f"_{k}") for k in (1, 2)]
-    once = grouped.groupBy("sig").agg(F.count(F.lit(1)).alias("_0"), F.min("name").alias("first"), *print_of)
-    once = once.groupBy("_0", "_1", "_2").agg(F.min(F.struct("sig", "first")).alias("s")).select(
-        "s.sig", "s.first", F.col("_0").alias("members"))
+    print_of = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"_{k}") for k in (1, 2)]
+    once = grouped.groupBy("sig").agg(F.count(F.lit(1)).alias("_0"), F.min("id").alias("first"), *print_of)
+    once = once.groupBy("_0", "_1", "_2").agg(F.min("sig").alias("sig"), F.min("first").alias("first")).select(
+        "sig", "first", F.col("_0").alias("members"))
     groups = materialize(grouped.join(once, "sig"), "groups")
-    ties = materialize(groups.filter("name <> first").select(
-        F.col("first").alias("a"), F.col("name").alias("b")).distinct(), "ties")
+    ties = materialize(groups.filter("id <> first").select(
+        F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "ties")
     families = components(ties, "families")
     if families is None:
         return None
-    families = families.select(F.col("node").alias("name"), F.col("component").alias("family"))
-    apart = groups.filter("name = first").join(families, "name").groupBy("family").agg(
+    families = families.select(F.col("node").alias("id"), F.col("component").alias("family"))
+    apart = groups.filter("id = first").join(families, "id").groupBy("family").agg(
         F.sum(F.col("members") * (F.col("members") - 1) / 2).alias("apart"))
-    nodes = families.join(classes.select("name", "n", "weight"), "name")
+    nodes = families.join(classes.select("id", "n", "weight"), "id")
     size = nodes.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
     size = materialize(size.join(apart, "family").withColumn(
         "whole", F.col("members") * (F.col("members") - 1) / 2 <= F.col("apart") * BLOCK_PAIRS_PER_ROW), "family-sizes")
     n_families = size.count()
     node = materialize(nodes.join(broadcast_if_small(size, n_families), "family"), "family-members")
     n_nodes = node.count()
-    whole = _in_blocks(sets.select("name", "grams").join(broadcast_if_small(node.filter("whole"), n_nodes), "name"),
+    whole = _in_blocks(sets.select("id", "grams").join(broadcast_if_small(node.filter("whole"), n_nodes), "id"),
                        F.col("members"), F.col("shingles"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = whole.select("family", "low", "high", "block", "name", "weight", "grams").repartition(
+    met = whole.select("family", "low", "high", "block", "id", "weight", "grams").repartition(
         partitions, "family", "low", "high").sortWithinPartitions("family", "low", "high").mapInArrow(
         _meet(percent, listed), _MET_DDL)
     met = materialize(met, "met")
     if size.filter("NOT whole").isEmpty():
         return met
-    loose = groups.join(broadcast_if_small(node.filter("NOT whole").select("name"), n_nodes), "name", "left_semi")
+    loose = groups.join(broadcast_if_small(node.filter("NOT whole").select("id"), n_nodes), "id", "left_semi")
     placed = materialize(_in_blocks(loose, F.col("members"), F.lit(0)), "loose")
-    left, right = (placed.select("sig", "low", "high", *[F.col(c).alias(f"{s}_{c}") for c in ("name", "n", "c", "block")])
+    left, right = (placed.select("sig", "low", "high", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "c", "block")])
                    for s in "ab")
     apart = (F.col("low") == F.col("high")) | (F.col("a_block") != F.col("b_block"))
     pairs = left.join(right, ["sig", "low", "high"]).filter(
-        (F.col("a_name") < F.col("b_name")) & apart & _fits(F.least("a_c", "b_c"), F.col("a_n") + F.col("b_n"), percent))
-    pairs = materialize(pairs.select(F.col("a_name").alias("a"), F.col("b_name").alias("b")).distinct(), "pairs")
+        (F.col("a_id") < F.col("b_id")) & apart & _fits(F.least("a_c", "b_c"), F.col("a_n") + F.col("b_n"), percent))
+    pairs = materialize(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct(), "pairs")
     links = _verify(sets, pairs, percent, "links")
     none = F.lit(None).cast("long")
     if listed:
         return met.unionByName(links.withColumn("links", none))
-    weight = classes.select("name", "weight")
+    weight = classes.select("id", "weight")
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counted = both.join(weight.withColumnRenamed("name", "b"), "b").groupBy("a").agg(F.sum("weight").alias("links"))
+    counted = both.join(weight.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("weight").alias("links"))
     return met.unionByName(links.withColumn("common", none).withColumn("links", none)).unionByName(counted.select(
-        "a", F.lit(None).cast("string").alias("b"), none.alias("common"), "links"))
+        "a", none.alias("b"), none.alias("common"), "links"))
 
 
 def _candidates(docs: DataFrame, width: int, percent: int, broadcast_rows: int, listed: bool
-                ) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """The rows with their sets, the classes of equal sets, and what _compared returns for these."""
+                ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """The rows with their sets, the classes of equal sets, those that can link, and what _compared returns for these."""
     rows = materialize(docs.mapInArrow(
-        _describe(width), "doc_id long, n_shingles long, key long, check long").select(
-            "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("key")).alias("key"), _name().alias("name")),
-        "shingled")
+        _describe(width, _sampled_share(percent)),
+        "doc_id long, n_shingles long, key long, check long, low binary").select(
+            "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("key")).alias("key"), _name().alias("name"),
+            "low"), "shingled")
     classes = materialize(rows.filter("n_shingles > 0").groupBy("name", "key").agg(
         F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("class_size"),
         F.first("n_shingles").alias("n_shingles")), "classes")
     # Classes with too many shingles of their own link with none.
-    able = classes.join(_lone(docs, width, percent), "key", "left").withColumn(
+    able = classes.join(_lone(rows, percent), "key", "left").withColumn(
         "lone", F.coalesce("lone", F.lit(0))).filter(
         F.col("lone") * 100 <= (100 - percent) * F.col("n_shingles"))
-    able = materialize(able.select("name", "key", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.col(
-        "lone")).alias("c"), F.col("class_size").alias("weight"), "first_id"), "able")
-    n_able = able.count()
+    # Short ids go from step to step instead of names. They follow the keys' hashes, so they are random to the sets' shape.
+    able = materialize(able.select("name", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.col(
+        "lone")).alias("c"), F.col("class_size").alias("weight"), "first_id",
+        F.monotonically_increasing_id().alias("id")), "able")
+    n_able, shingles = able.agg(F.count(F.lit(1)), F.sum("n")).first()
     sets = _fetch(docs, able, width, "sets")
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    signed = sets.select("key", "grams").mapInArrow(_sign(percent), _SIGNED_DDL)
-    matched = signed.repartition(partitions, "sig").sortWithinPartitions("sig", "key").mapInArrow(_match, _SIGNED_DDL)
-    grouped = materialize(matched.select("sig", "key").distinct().join(
-        broadcast_if_small(able.select("key", "name", "n", "c"), n_able, broadcast_rows), "key").drop("key"), "members")
-    return rows, classes, _compared(sets, grouped, able, percent, listed)
+    # A set has about as many signatures as shingles, or fewer.
+    signed = sets.select("id", "grams").mapInArrow(
+        _sign(percent, _n_buckets(docs.sparkSession, shingles or 0)), _PACKED_DDL)
+    grouped = materialize(_dealt(signed).mapInArrow(_match, _MATCHED_DDL).join(
+        broadcast_if_small(able.select("id", "n", "c"), n_able, broadcast_rows), "id"), "members")
+    return rows.drop("low"), classes, able, _compared(sets, grouped, able, percent, listed)
 
 
 def _linked(docs: DataFrame, width: int, percent: int, broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """What similar_documents returns, with the names of each row's set and component."""
     docs = docs.select("doc_id", "text")
-    rows, classes, met = _candidates(docs, width, percent, broadcast_rows, listed=False)
+    rows, classes, able, met = _candidates(docs, width, percent, broadcast_rows, listed=False)
     named_classes = classes.select("name", "first_id", "class_size")
     joined = None
     if met is not None:
         joined = components(materialize(met.filter("b IS NOT NULL").select("a", "b"), "connections"))
     if joined is not None:
         n_edges = joined.count()
-        counts = met.filter("links IS NOT NULL").groupBy(F.col("a").alias("name")).agg(F.sum("links").alias("links"))
-        linked = named_classes.join(broadcast_if_small(
-            joined.withColumnRenamed("node", "name").join(counts, "name", "left"), n_edges, broadcast_rows),
-            "name", "left").withColumn("component", F.coalesce("component", "name"))
+        counts = met.filter("links IS NOT NULL").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
+        found = joined.withColumnRenamed("node", "id").join(counts, "id", "left").join(able.select("id", "name"), "id")
+        linked = named_classes.join(broadcast_if_small(found.drop("id"), n_edges, broadcast_rows), "name", "left").withColumn(
+            "component", F.coalesce(F.col("component").cast("string"), "name"))
         smallest = linked.groupBy("component").agg(F.min("first_id").alias("component_id"),
                                                    F.count(F.lit(1)).alias("classes"))
         small = broadcast_if_small(smallest.filter("classes > 1"), n_edges, broadcast_rows)
@@ -601,9 +776,9 @@ def similar_pairs(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     a_size and b_size (rows of each class), and common (shingles in both).
     """
     docs = docs.select("doc_id", "text")
-    _, classes, met = _candidates(docs, width, percent, broadcast_rows, listed=True)
-    sides = [classes.select(F.col("name").alias(c), F.col("first_id").alias(f"{c}_id"),
-                            F.col("class_size").alias(f"{c}_size")) for c in "ab"]
+    _, _, able, met = _candidates(docs, width, percent, broadcast_rows, listed=True)
+    sides = [able.select(F.col("id").alias(c), F.col("first_id").alias(f"{c}_id"),
+                         F.col("weight").alias(f"{c}_size")) for c in "ab"]
     if met is None:
         return sides[0].join(sides[1], F.lit(False)).select(
             "a_id", "b_id", "a_size", "b_size", F.lit(None).cast("long").alias("common"))
@@ -630,8 +805,8 @@ def _named(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                keys = [set_keys(g) for g in shingle_sets(batch, width)]
-                names = ["".join(f"{k & (1 << 64) - 1:016X}" for k in pair) for pair in keys]
+                keys = set_keys(*shingle_sets(batch, width))
+                names = ["".join(f"{k & (1 << 64) - 1:016X}" for k in pair) for pair in zip(*(k.tolist() for k in keys))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names)], [*batch.schema.names, "_name"])
     return run
 

@@ -181,6 +181,113 @@ def test_signatures_of_similar_sets_meet():
                 assert np.intersect1d(ngram_join.signatures(a, 85), ngram_join.signatures(b, 85)).size
 
 
+def test_texts_are_read_twice(spark, tmp_path):
+    # Once for all that is asked of every text, and once for the sets of those that can link.
+    def counted(batches):
+        for batch in batches:
+            with open(tmp_path / "read", "a") as f:
+                f.write("".join(f"{i}\n" for i in batch.column("doc_id").to_pylist()))
+            yield batch
+    rng = random.Random(8)
+    rows = list(enumerate(t for _ in range(6) for t in edited_family(rng, 5, 120, 2)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    # Its results are kept nowhere, so each use of the texts runs it again.
+    check_join(docs.select("doc_id", "text").mapInArrow(counted, "doc_id long, text string"))
+    read = Counter(int(line) for line in (tmp_path / "read").read_text().split())
+    # One more of each is the test's own look at the rows.
+    assert len(read) == 30 and set(read.values()) == {3}
+
+
+@pytest.mark.parametrize("width", [1, 4, 5])
+def test_sets_of_a_slice(width):
+    texts = ["", None, "a", "a b c", "A b c d", "a a a a a a a", "  x  y\tz\n", "é É Ä b c d e f", "p q r s t p q r s t"] * 2
+    grams, at = ngram_join.shingle_sets(pa.record_batch([pa.array(texts)], ["text"]), width)
+    sets = [grams[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+    assert [len(s) for s in sets] == [len(shingles(t or "", width)) for t in texts]
+    assert all(s == sorted(set(s)) for s in sets) and sets[:9] == sets[9:]
+    of = {}
+    for s, t in zip(sets, texts):
+        assert of.setdefault(shingles(t or "", width), s) == s
+    assert len({tuple(s) for s in sets}) == len(of) == len(set(zip(*(k.tolist() for k in ngram_join.set_keys(grams, at)))))
+
+
+def random_sets(seed, n, pool):
+    rng = np.random.default_rng(seed)
+    pool = rng.integers(0, (1 << 63) - 1, pool).astype(np.uint64) * np.uint64(2)
+    return [np.unique(rng.choice(pool, rng.integers(1, 60))) for _ in range(n)]
+
+
+def as_rows(sets):
+    return np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+
+
+def in_buckets(batches, n):
+    """The packed rows of several tasks, as one task of those that read them gets them: ``n`` to a batch."""
+    table = pa.Table.from_batches(batches).sort_by("bucket").combine_chunks()
+    return iter(table.to_batches(max_chunksize=n))
+
+
+@pytest.mark.parametrize("cells", [1, 1 << 18])
+def test_many_sets_are_signed_as_each_alone(monkeypatch, cells):
+    monkeypatch.setattr(ngram_join, "SIGNED_CELLS", cells)
+    sets = [*random_sets(2, 60, 500), np.zeros(0, np.uint64), *random_sets(3, 3, 5)]
+    sig, owner = ngram_join.set_signatures(*as_rows(sets), 85)
+    for k, one in enumerate(sets):
+        assert sorted(sig[owner == k]) == sorted(ngram_join.signatures(one, 85))
+
+
+@pytest.mark.parametrize("held", [1, 40, 1 << 18])
+def test_shingles_of_one_set_alone(monkeypatch, held):
+    monkeypatch.setattr(ngram_join, "HELD_ROWS", held)
+    sets = random_sets(6, 90, 900)
+    sets += sets[:10]  # a set that several tasks give is one
+    key = np.arange(100) % 90 - 45
+    batches = []
+    for a in range(0, 100, 25):
+        low = ngram_join.as_binary(*as_rows(sets[a:a + 25]))
+        rows = pa.record_batch([pa.array(key[a:a + 25]), low], ["key", "low"])
+        batches += ngram_join._sampled(7, 1.0)(iter([rows, rows.slice(0, 0)]))
+    alone = list(ngram_join._alone(9)(in_buckets(batches, 3)))
+    got = [row for batch in ngram_join._counted(in_buckets(alone, 2)) for row in zip(*batch.to_pydict().values())]
+    holders = defaultdict(set)
+    for k, one in zip(key.tolist(), sets):
+        for gram in one.tolist():
+            holders[gram].add(k)
+    assert sorted(got) == sorted(Counter(min(v) for v in holders.values() if len(v) == 1).items())
+
+
+def test_rows_of_shingles_alone_do_not_grow_with_the_tasks():
+    # 400 sets whose 50 shingles lie in 40 tasks: as many rows of a set's count would be some 15 times the sets.
+    rng = np.random.default_rng(9)
+    grams = np.sort(rng.integers(0, (1 << 63) - 1, (400, 50)).astype(np.uint64), axis=1)
+    rows = pa.record_batch([pa.array(np.arange(400)), ngram_join.as_binary(grams.ravel(), np.arange(401) * 50)], ["key", "low"])
+    packed = list(ngram_join._sampled(40, 0.5)(iter([rows])))
+    assert packed[0].num_rows == 40
+    made = [b for k in range(40) for b in ngram_join._alone(4)(iter([packed[0].slice(k, 1)]))]
+    assert sum(b.num_rows for b in made) <= 160
+
+
+@pytest.mark.parametrize("held", [1, 400, 1 << 18])
+def test_members_of_groups_come_once(monkeypatch, held):
+    monkeypatch.setattr(ngram_join, "HELD_ROWS", held)
+    sets = random_sets(7, 80, 60) + random_sets(7, 20, 60)
+    batches = []
+    for a in range(0, 100, 20):
+        values, at = as_rows(sets[a:a + 20])
+        rows = pa.record_batch([pa.array(np.arange(a, a + 20)), ngram_join.as_list(
+            pa.array(values.view(np.int64)), np.diff(at))], ["id", "grams"])
+        # A part of a batch has offsets of its own.
+        batches += ngram_join._sign(85, 7)(iter([rows.slice(0, 6), rows.slice(6)]))
+    got = [(int(s), i) for batch in ngram_join._match(in_buckets(batches, 3))
+           for s, i in zip(batch.column("sig").to_numpy().view(np.uint64), batch.column("id").to_pylist())]
+    groups = defaultdict(set)
+    for i, one in enumerate(sets):
+        for sig in ngram_join.signatures(one, 85).tolist():
+            groups[sig >> 1 << 1].add(i)
+    want = {(sig, i) for sig, who in groups.items() if len(who) > 1 for i in who}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
 def test_drop_similar_keeps_one_of_each_group(edge_docs):
     left = ngram_join.drop_similar(edge_docs, 5, 80)
     assert left.columns == edge_docs.columns
