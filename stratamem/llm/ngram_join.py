@@ -20,14 +20,15 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratamem.llm.batches import SPACE, Texts, as_list, mix, ranges, slices, span_hashes
-from stratamem.llm.joins import components, left_join_unique
+from stratamem.llm.joins import components, left_join_unique, rows_of_keys, rows_without_keys
 from stratamem.operators.bounded import MAX_BROADCAST_ROWS, broadcast_if_small
-from stratamem.session import materialize
+from stratamem.session import discard, materialize, settle
 
 WIDTH = 4
 PERCENT = 85
@@ -42,6 +43,11 @@ SIGNED_CELLS = 1 << 18
 # Rows (hash, set) of one bucket, about, and at least so many where there are few.
 BUCKET_ROWS = 1 << 19
 LEAST_BUCKET_ROWS = 1 << 12
+# Sampled shingles are looked at in up to so many parts of the hash domain, one after another, of so many bytes at least.
+SAMPLE_PARTS = 4
+SAMPLE_PART_BYTES = 1 << 25
+# Bytes of shingles that are moved to their blocks at a time, at least; half of what all sets hold where that is more.
+MOVED_BYTES = 1 << 28
 # Bytes of text whose words are hashed at a time.
 HASHED_BYTES = 1 << 17
 # Sets, and shingles of all of them, that meet as many others at a time.
@@ -276,9 +282,14 @@ def _heads(value: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
 
 
-def _sampled(n_buckets: int, share: float) -> Callable:
-    """Packed rows of the shingles that _describe gave, at most two sets of a shingle at a time."""
-    top = int(share * (1 << 64)) if share < 1 else 1 << 64
+def _sampled(n_buckets: int, share: float, part: int = 0, parts: int = 1) -> Callable:
+    """Packed rows of the shingles that _describe gave, at most two sets of a shingle at a time.
+
+    With ``parts`` those of one part of the sampled hash domain, counted from its start.
+    """
+    whole = int(share * (1 << 64)) if share < 1 else 1 << 64
+    start = part * whole // parts
+    top = (part + 1) * whole // parts - start
 
     def combine(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         gram, key = (np.concatenate(c) for c in zip(*held))
@@ -296,6 +307,10 @@ def _sampled(n_buckets: int, share: float) -> Callable:
         for batch in batches:
             grams, at = of_binary(batch.column("low"))
             key = batch.column("key").to_numpy()
+            if parts > 1:
+                inside = (grams >= U64(start)) & (grams <= U64(start + top - 1))
+                at = np.concatenate([np.zeros(1, np.int64), np.cumsum(inside)])[at]
+                grams = grams[inside] - U64(start)
             # Rows are taken until they hold enough.
             cuts = np.searchsorted(at, np.arange(0, at[-1] + HELD_ROWS, HELD_ROWS))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -419,15 +434,22 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _matched(*members.pop())
 
 
+_SETS_DDL = "id long, doc_id long, key long, check long, grams array<long>"
+
+
 def _sets(width: int) -> Callable:
+    """Each row's set with an id of its own, random to the order of rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = TaskContext.get().partitionId() << 40
         for whole in batches:
             for batch in slices(whole, limit=HASHED_BYTES):
                 grams, at = shingle_sets(batch, width)
                 key, check = set_keys(grams, at)
+                ids = mix(np.arange(n, n + len(key), dtype=U64), 51).view(np.int64)
+                n += len(key)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(check), as_list(pa.array(grams.view(np.int64)), np.diff(at))],
-                    ["key", "check", "grams"])
+                    [pa.array(ids), batch.column("doc_id"), pa.array(key), pa.array(check),
+                     as_list(pa.array(grams.view(np.int64)), np.diff(at))], ["id", "doc_id", "key", "check", "grams"])
     return run
 
 
@@ -439,14 +461,18 @@ def _name() -> Column:
     return F.concat(F.lpad(F.hex("key"), 16, "0"), F.lpad(F.hex("check"), 16, "0"))
 
 
-def _fetch(docs: DataFrame, classes: DataFrame, width: int, label: str) -> DataFrame:
-    """The sets of classes (name, id, first_id), made from one text of each class."""
-    n = classes.count()
-    ids = broadcast_if_small(classes.select(F.col("first_id").alias("_id")).distinct(), n)
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(width), "key long, check long, grams array<long>").select(
-        _name().alias("name"), "grams").join(broadcast_if_small(classes.select("name", "id"), n), "name")
-    return materialize(sets.select("id", "grams").dropDuplicates(["id"]), label)
+def _fetch(docs: DataFrame, able: DataFrame, n: int, width: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The classes with the id of a set, and sets (id, doc_id, key, check, grams) written where their texts lie.
+
+    Each class has one of them; sets with other ids are of other rows and are left out by joins
+    with the classes. No text or set is moved for it.
+    """
+    firsts = able.select(F.col("first_id").alias("_id")).distinct()
+    texts = rows_of_keys(docs, "doc_id", firsts, n, limit).select("doc_id", "text")
+    sets = materialize(texts.mapInArrow(_sets(width), _SETS_DDL), "sets")
+    held = sets.select("id", "doc_id", _name().alias("name")).join(broadcast_if_small(able, n, limit), "name").filter(
+        F.col("doc_id").eqNullSafe(F.col("first_id")))
+    return held.groupBy("name", "n", "c", "weight", "first_id").agg(F.min("id").alias("id")), sets
 
 
 def _dealt(packed: DataFrame) -> DataFrame:
@@ -471,13 +497,19 @@ def _lone(rows: DataFrame, percent: int) -> DataFrame:
     """Per set (key) how many shingles of a part of the hash domain no other set of the corpus has.
 
     Smallest and largest holder are kept per shingle in a task, so one that a third of the
-    corpus holds is combined before it moves.
+    corpus holds is combined before it moves. Shingles move in parts of the hash domain, and
+    a part's shuffle is gone before the next.
     """
     share = _sampled_share(percent)
     total = rows.agg(F.sum(F.length("low"))).first()[0] or 0
-    n_buckets = _n_buckets(rows.sparkSession, total / 8)
-    packed = rows.filter(F.length("low") > 0).select("key", "low").mapInArrow(_sampled(n_buckets, share), _PACKED_DDL)
-    alone = _dealt(packed).mapInArrow(_alone(n_buckets), _PACKED_DDL)
+    parts = max(1, min(SAMPLE_PARTS, total // SAMPLE_PART_BYTES))
+    n_buckets = _n_buckets(rows.sparkSession, total / 8 / parts)
+    low = rows.filter(F.length("low") > 0).select("key", "low")
+    alone = None
+    for part in range(parts):
+        packed = low.mapInArrow(_sampled(n_buckets, share, part, parts), _PACKED_DDL)
+        found = materialize(_dealt(packed).mapInArrow(_alone(n_buckets), _PACKED_DDL), "alone")
+        alone = found if alone is None else alone.unionByName(found)
     return _dealt(alone).mapInArrow(_counted, "key long, lone long")
 
 
@@ -628,9 +660,13 @@ def _fits(common: Column, total: Column, percent: int) -> Column:
     return common * 100 >= (total - common) * percent
 
 
+def _blocks(sets: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(sets / BLOCK_SETS), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
 def _in_blocks(rows: DataFrame, sets: Column, shingles: Column) -> DataFrame:
     """Each row once per other block of its key, so that a key's blocks meet two by two."""
-    blocks = F.greatest(F.ceil(sets / BLOCK_SETS), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    blocks = _blocks(sets, shingles)
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     placed = rows.withColumn("_blocks", blocks).withColumn(
         "block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")).withColumn("_other", other)
@@ -648,14 +684,46 @@ def _verify(sets: DataFrame, pairs: DataFrame, percent: int, label: str) -> Data
         "a", "b", "common"), label)
 
 
-def _compared(sets: DataFrame, grouped: DataFrame, classes: DataFrame, percent: int, listed: bool) -> DataFrame | None:
-    """What _meet returns, for every two classes that share a signature (sig, id, n, c).
+def _met(sets: DataFrame, node: DataFrame, n_nodes: int, size: DataFrame, percent: int, listed: bool,
+         limit: int) -> DataFrame:
+    """What _meet returns for the families that are compared as a whole.
+
+    Blocks meet in rounds that move a bounded part of what the sets hold, and whose members
+    (``node``) are few enough to be broadcast unless there are over 16 times as many.
+    """
+    spark = sets.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    moved, held = size.filter("whole").agg(F.sum(F.col("shingles") * _blocks(F.col("members"), F.col("shingles"))),
+                                           F.sum("shingles")).first()
+    slices_of = min(16, -(-n_nodes // limit))
+    rounds = max(1, -(-8 * (moved or 0) // (slices_of * max(MOVED_BYTES, 4 * (held or 0)))))
+    found = None
+    for part in range(slices_of):
+        own, n_own = node.filter("whole"), n_nodes
+        if slices_of > 1:
+            own = materialize(own.filter(F.pmod(F.xxhash64("family"), F.lit(slices_of)) == part), "own-members")
+            n_own = own.count()
+        # Where members are too many to be broadcast, only their sets move to meet them.
+        near = rows_of_keys(sets.select("id", "grams"), "id", own.select(F.col("id").alias("_id")), n_own, limit) \
+            if n_own > limit else sets.select("id", "grams")
+        placed = _in_blocks(near.join(broadcast_if_small(own, n_own, limit), "id"), F.col("members"), F.col("shingles"))
+        for turn in range(rounds):
+            rows = placed.filter(F.pmod(F.xxhash64("family", "low", "high", F.lit(7)), F.lit(rounds)) == turn)
+            met = materialize(rows.select("family", "low", "high", "block", "id", "weight", "grams").repartition(
+                partitions, "family", "low", "high").sortWithinPartitions("family", "low", "high").mapInArrow(
+                _meet(percent, listed), _MET_DDL), "met")
+            found = met if found is None else found.unionByName(met)
+    return found
+
+
+def _compared(sets: DataFrame, grouped: DataFrame, classes: DataFrame, percent: int, listed: bool,
+              limit: int = MAX_BROADCAST_ROWS) -> DataFrame | None:
+    """What _meet returns, for every two classes that share a signature (sig, id).
 
     Groups with the same sets count once. Groups that share sets form a family; a family
     is compared as a whole, block by block, where that costs less than the pairs of its
     groups as rows would.
     """
-    spark = sets.sparkSession
     print_of = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"_{k}") for k in (1, 2)]
     once = grouped.groupBy("sig").agg(F.count(F.lit(1)).alias("_0"), F.min("id").alias("first"), *print_of)
     once = once.groupBy("_0", "_1", "_2").agg(F.min("sig").alias("sig"), F.min("first").alias("first")).select(
@@ -669,23 +737,17 @@ def _compared(sets: DataFrame, grouped: DataFrame, classes: DataFrame, percent:
     families = families.select(F.col("node").alias("id"), F.col("component").alias("family"))
     apart = groups.filter("id = first").join(families, "id").groupBy("family").agg(
         F.sum(F.col("members") * (F.col("members") - 1) / 2).alias("apart"))
-    nodes = families.join(classes.select("id", "n", "weight"), "id")
+    nodes = families.join(classes.select("id", "n", "c", "weight"), "id")
     size = nodes.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
     size = materialize(size.join(apart, "family").withColumn(
         "whole", F.col("members") * (F.col("members") - 1) / 2 <= F.col("apart") * BLOCK_PAIRS_PER_ROW), "family-sizes")
     n_families = size.count()
     node = materialize(nodes.join(broadcast_if_small(size, n_families), "family"), "family-members")
     n_nodes = node.count()
-    whole = _in_blocks(sets.select("id", "grams").join(broadcast_if_small(node.filter("whole"), n_nodes), "id"),
-                       F.col("members"), F.col("shingles"))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = whole.select("family", "low", "high", "block", "id", "weight", "grams").repartition(
-        partitions, "family", "low", "high").sortWithinPartitions("family", "low", "high").mapInArrow(
-        _meet(percent, listed), _MET_DDL)
-    met = materialize(met, "met")
+    met = _met(sets, node, n_nodes, size, percent, listed, limit)
     if size.filter("NOT whole").isEmpty():
         return met
-    loose = groups.join(broadcast_if_small(node.filter("NOT whole").select("id"), n_nodes), "id", "left_semi")
+    loose = groups.join(broadcast_if_small(node.filter("NOT whole").select("id", "n", "c"), n_nodes), "id")
     placed = materialize(_in_blocks(loose, F.col("members"), F.lit(0)), "loose")
     left, right = (placed.select("sig", "low", "high", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "c", "block")])
                    for s in "ab")
@@ -707,30 +769,34 @@ def _compared(sets: DataFrame, grouped: DataFrame, classes: DataFrame, percent:
 def _candidates(docs: DataFrame, width: int, percent: int, broadcast_rows: int, listed: bool
                 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
     """The rows with their sets, the classes of equal sets, those that can link, and what _compared returns for these."""
-    rows = materialize(docs.mapInArrow(
+    described = materialize(docs.mapInArrow(
         _describe(width, _sampled_share(percent)),
         "doc_id long, n_shingles long, key long, check long, low binary").select(
             "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("key")).alias("key"), _name().alias("name"),
-            "low"), "shingled")
+            "low"), "described")
+    rows = materialize(described.drop("low"), "shingled")
+    lone = settle(lambda: _lone(described, percent), "lone")
+    discard(described)
     classes = materialize(rows.filter("n_shingles > 0").groupBy("name", "key").agg(
         F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("class_size"),
         F.first("n_shingles").alias("n_shingles")), "classes")
     # Classes with too many shingles of their own link with none.
-    able = classes.join(_lone(rows, percent), "key", "left").withColumn(
-        "lone", F.coalesce("lone", F.lit(0))).filter(
+    able = classes.join(lone, "key", "left").withColumn("lone", F.coalesce("lone", F.lit(0))).filter(
         F.col("lone") * 100 <= (100 - percent) * F.col("n_shingles"))
-    # Short ids go from step to step instead of names. They follow the keys' hashes, so they are random to the sets' shape.
     able = materialize(able.select("name", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.col(
-        "lone")).alias("c"), F.col("class_size").alias("weight"), "first_id",
-        F.monotonically_increasing_id().alias("id")), "able")
+        "lone")).alias("c"), F.col("class_size").alias("weight"), "first_id"), "able")
     n_able, shingles = able.agg(F.count(F.lit(1)), F.sum("n")).first()
-    sets = _fetch(docs, able, width, "sets")
+    # Short ids go from step to step instead of names.
+    named, sets = _fetch(docs, able, n_able, width, broadcast_rows)
+    able = materialize(named, "able-sets")
     # A set has about as many signatures as shingles, or fewer.
     signed = sets.select("id", "grams").mapInArrow(
         _sign(percent, _n_buckets(docs.sparkSession, shingles or 0)), _PACKED_DDL)
     grouped = materialize(_dealt(signed).mapInArrow(_match, _MATCHED_DDL).join(
-        broadcast_if_small(able.select("id", "n", "c"), n_able, broadcast_rows), "id"), "members")
-    return rows.drop("low"), classes, able, _compared(sets, grouped, able, percent, listed)
+        broadcast_if_small(able.select("id"), n_able, broadcast_rows), "id", "left_semi"), "members")
+    met = _compared(sets, grouped, able, percent, listed, broadcast_rows)
+    discard(sets, grouped)
+    return rows, classes, able, met
 
 
 def _linked(docs: DataFrame, width: int, percent: int, broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -811,13 +877,14 @@ def _named(width: int) -> Callable:
     return run
 
 
-def drop_similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def drop_similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
+                 broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of every component one with the smallest id.
 
     Texts without words are linked with nothing and stay. Ids decide where they are not
     repeated; rows of repeated ids are told apart by their shingle sets.
     """
-    found = materialize(_linked(docs, width, percent), "linked")
+    found = settle(lambda: _linked(docs, width, percent, broadcast_rows), "linked")
     twice = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
         F.col("doc_id").alias("_id")), "repeated-ids")
     gone = materialize(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
@@ -825,8 +892,8 @@ def drop_similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     same = F.col("doc_id").eqNullSafe(F.col("_id"))
     ids = broadcast_if_small(twice, twice.count())
     # A repeated id goes its own way below, whatever its rows.
-    away = gone.unionByName(twice).distinct()
-    left = docs.join(broadcast_if_small(away, gone.count() + twice.count()), same, "left_anti")
+    away = materialize(gone.unionByName(twice).distinct(), "away")
+    left = rows_without_keys(docs, "doc_id", away, away.count(), broadcast_rows)
     if twice.isEmpty():
         return left
     again = docs.join(ids, same, "left_semi")

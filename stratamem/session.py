@@ -5,12 +5,19 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 # Query blocks up to this many rows are shipped to every task; larger sets are
 # processed block by block.
 MAX_BLOCK_ROWS = 4096
+# Spark then removes the shuffle files of a query at its end, not when the driver happens to collect its garbage.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# The tables written since settle began.
+_passing: ContextVar[list[DataFrame] | None] = ContextVar("passing", default=None)
 
 
 def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -57,14 +64,50 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, cutting its lineage.
 
-    The written table survives the loss of executors, unlike cached blocks.
+    The written table survives the loss of executors, unlike cached blocks; the shuffles
+    behind it go as soon as it is written.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with _freed_shuffles(df.sparkSession):
+        df.write.mode("errorifexists").parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    if (passing := _passing.get()) is not None:
+        passing.append(table)
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote and that nothing reads any more."""
+    for table in tables:
+        remove(table.sparkSession, table.scratch)
+
+
+def settle(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """``materialize`` what ``make`` returns, and remove the tables that were written for it."""
+    mark = _passing.set([])
+    try:
+        table = materialize(make(), label)
+        passing = _passing.get()
+    finally:
+        _passing.reset(mark)
+    discard(*passing[:-1])
+    if (outer := _passing.get()) is not None:
+        outer.append(table)
+    return table
 
 
 def _folder(spark: SparkSession, path: str):

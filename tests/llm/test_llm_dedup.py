@@ -1,6 +1,7 @@
 """Exact copies, similar shingle sets and repeated passages against brute force."""
 
 import hashlib
+import os
 import random
 import re
 import tracemalloc
@@ -9,9 +10,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from stratamem.llm import exact_dedup, ngram_join, substring_dedup
+from stratamem.llm import exact_dedup, joins, ngram_join, substring_dedup
 from stratamem.llm.batches import Texts
+from stratamem.session import materialize, shared_dir
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -348,6 +351,77 @@ def test_links_of_loose_families(spark, monkeypatch):
     assert listed == pairs
 
 
+@pytest.mark.parametrize("limit", [3, 40, 10 ** 6])
+def test_rows_are_found_and_left_out_by_many_keys(spark, limit):
+    rows = spark.range(4000).select(F.when(F.col("id") != 7, F.col("id")).alias("k"), F.col("id").alias("v"))
+    keys = rows.filter("v % 9 = 7").select(F.col("k").alias("_k"))  # null is one of them
+    n = keys.count()
+    want = {v for v in range(4000) if v % 9 == 7}
+    got = [r["v"] for r in joins.rows_of_keys(rows, "k", keys, n, limit).collect()]
+    assert len(got) == len(set(got)) and want <= set(got) and len(got) < n + 200 and (n > limit or set(got) == want)
+    left = [r["v"] for r in joins.rows_without_keys(rows, "k", keys, n, limit).collect()]
+    assert sorted(left) == sorted(set(range(4000)) - want)
+
+
+def test_texts_and_sets_stay_where_they_lie_beyond_the_broadcast_limit(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = list(enumerate(t for _ in range(9) for t in edited_family(rng, 6, 120, 2)))
+    rows += [(100 + k, rows[k][1]) for k in range(4)] + [(0, rows[0][1]), (0, rows[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    plans = defaultdict(list)
+
+    def seen(df, label):
+        plans[label].append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, label)
+
+    monkeypatch.setattr(ngram_join, "materialize", seen)
+    monkeypatch.setattr(ngram_join, "MOVED_BYTES", 1)
+    counts, _ = brute_links(rows, 4, 85)
+    got = ngram_join.similar_documents(docs, broadcast_rows=7)
+    assert Counter((r["doc_id"], r["n_links"]) for r in got.collect()) == counts
+    assert plans["sets"] and not any("SortMergeJoin" in p for p in plans["sets"])
+    # Blocks meet in rounds, of which each moves a part of the sets.
+    assert len(plans["met"]) > 1
+    few, many = ([r["doc_id"] for r in ngram_join.drop_similar(docs, broadcast_rows=n).collect()] for n in (2, 10 ** 6))
+    assert Counter(few) == Counter(many) and len(few) == 9
+
+
+def test_passing_tables_and_shuffles_are_removed(spark):
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return set(re.findall(r"shuffle_\d+_\d+_0.data", files.mkString("\n")))
+
+    rng = random.Random(22)
+    docs = spark.createDataFrame(list(enumerate(edited_family(rng, 30, 80, 2))), "doc_id long, text string").repartition(4)
+    docs = materialize(docs, "texts")
+    before, tables = shuffles(), set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    materialize(ngram_join.drop_similar(docs, 4, 85), "left")
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(shared_dir(spark).removeprefix("file:"))) - tables}
+    assert left <= {"linked", "repeated-ids", "near-copies", "away", "left"}
+    # A few counts that are no written table's leave theirs.
+    assert sum(1 for _ in shuffles() - before) < 25
+
+
+@pytest.mark.parametrize("held", [3, 1 << 18])
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_shingles_by_parts_of_the_sampled_domain(monkeypatch, held, parts):
+    monkeypatch.setattr(ngram_join, "HELD_ROWS", held)
+    sets = random_sets(16, 60, 700)
+    low = ngram_join.as_binary(*as_rows(sets))
+    rows = pa.record_batch([pa.array(np.arange(60)), low], ["key", "low"])
+    alone = []
+    for part in range(parts):
+        alone += ngram_join._alone(9)(in_buckets(list(ngram_join._sampled(7, 1.0, part, parts)(iter([rows]))), 3))
+    got = Counter()
+    for batch in ngram_join._counted(in_buckets(alone, 2)):
+        got.update(dict(zip(*batch.to_pydict().values())))
+    holders = defaultdict(set)
+    for k, one in enumerate(sets):
+        for gram in one.tolist():
+            holders[gram].add(k)
+    assert got == Counter(min(v) for v in holders.values() if len(v) == 1)
+
+
 def test_overlaps_of_many_sets():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60 if k % 2 else 4000, 40)) for k in range(150)]
