@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stratamem.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from stratamem.session import materialize
+from stratamem.session import discard, settle
 from stratamem.sources.tables import read
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -57,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, written = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = settle(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        # A stage's rows, and what it wrote on the way, go once the next has its own.
+        discard(*written)
+        written = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratamem.llm.batches import LOWER, slices
-from stratamem.llm.joins import left_join_unique
+from stratamem.llm.joins import left_join_unique, rows_without_keys
 from stratamem.operators.bounded import MAX_BROADCAST_ROWS, broadcast_if_small
-from stratamem.session import materialize
+from stratamem.session import materialize, settle
 
 TABLE_BYTES = 32 << 20
 OUT_BYTES = 4 << 20
@@ -193,20 +193,20 @@ def _with_digest(names: list[str]) -> Callable:
     return run
 
 
-def drop_copies(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
+def drop_copies(docs: DataFrame, table_bytes: int = TABLE_BYTES, broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
     Ids decide where they are not repeated, so texts are not moved again; rows of repeated
     ids are told apart by their digests.
     """
-    found = materialize(exact_duplicates(docs, table_bytes), "copies")
+    found = settle(lambda: exact_duplicates(docs, table_bytes, broadcast_rows), "copies")
     twice = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
         F.col("doc_id").alias("_id")), "repeated-ids")
     gone = found.filter("NOT kept").select(F.col("doc_id").alias("_id"))
     same = F.col("doc_id").eqNullSafe(F.col("_id"))
     n_twice = twice.count()
     away = materialize(gone.unionByName(twice).distinct(), "exact-copies")
-    left = docs.join(broadcast_if_small(away, away.count()), same, "left_anti")
+    left = rows_without_keys(docs, "doc_id", away, away.count(), broadcast_rows)
     if not n_twice:
         return left
     ids = broadcast_if_small(twice, n_twice)

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from stratamem.llm import exact_dedup, joins, ngram_join, substring_dedup
 from stratamem.llm.batches import Texts
 from stratamem.session import materialize, shared_dir
@@ -75,6 +76,27 @@ def test_drop_copies_tells_repeated_ids_apart(spark):
     assert left == [(5, ""), (1, "a"), (2, "b"), (None, "c"), (3, "d")]
 
 
+def test_drop_copies_moves_no_text_beyond_the_broadcast_limit(spark):
+    docs = spark.createDataFrame([(i, f"t{i % 40}") for i in range(400)] + [(7, "t7"), (None, "t8")], "doc_id long, text string")
+    docs = materialize(docs, "texts")
+    left = exact_dedup.drop_copies(docs, broadcast_rows=3)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan.split("Union")[0] and plan.count("BroadcastHashJoin") > 1
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter((i, f"t{i % 40}") for i in range(360, 400))
+
+
+def test_a_stage_leaves_only_its_rows(spark, monkeypatch):
+    def slow(spark, docs, base):
+        return materialize(materialize(docs, "one").filter("doc_id > 1"), "two")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", slow), ("second", slow), ("last", lambda s, d, b: d)])
+    monkeypatch.setattr(corpus_pipeline, "read", lambda *a: spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"))
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert [tuple(r) for r in corpus_pipeline.run(spark, "").collect()] == [(2, "b")]
+    assert [name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before] == ["second"]
+
+
 def test_table_compares_contents():
     table = exact_dedup.ContentTable(1 << 20)
     assert table.add(b"\0" * 32, b"a", 1, 1) and table.add(b"\0" * 32, b"a", 5, 2)
