@@ -74,6 +74,12 @@ def _freed_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_FREE_SHUFFLES, before)
 
 
+def write_table(df: DataFrame, path: str) -> None:
+    """Write ``df`` to ``path``, which must not exist; the shuffles behind it go as soon as it is written."""
+    with _freed_shuffles(df.sparkSession):
+        df.write.mode("errorifexists").parquet(path)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, cutting its lineage.
 
@@ -81,8 +87,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     behind it go as soon as it is written.
     """
     path = scratch_path(df.sparkSession, label)
-    with _freed_shuffles(df.sparkSession):
-        df.write.mode("errorifexists").parquet(path)
+    write_table(df, path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.scratch = path
     if (passing := _passing.get()) is not None:

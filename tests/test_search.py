@@ -4,11 +4,12 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from stratamem.operators import lexical_index
-from stratamem.session import scratch_path
+from stratamem.session import materialize, scratch_path
 
 
 def brute_bm25(docs, query, k):
@@ -75,6 +76,46 @@ def test_a_block_lies_in_one_file(spark, topics):
     assert lies.groupBy("block").count().agg(F.max("count")).first()[0] == 1
 
 
+def test_queries_move_a_few_rows_per_task(spark, topics, monkeypatch):
+    """Neither blocks nor texts become rows per query, whose number grew with the texts."""
+    docs, queries, index = topics
+    asked = spark.createDataFrame(list(queries.items()), "query_id long, tokens array<string>")
+    rows = {}
+
+    def seen(df, label):
+        table = materialize(df, label)
+        rows[label] = table.count()
+        return table
+
+    monkeypatch.setattr(lexical_index, "materialize", seen)
+    monkeypatch.setattr(lexical_index, "HELD_SCORES", 100)
+    monkeypatch.setattr(lexical_index, "MAX_BLOCK_ROWS", 20)  # in two turns
+    got = defaultdict(list)
+    for r in lexical_index.bm25_topk(index, asked, 10, probe=4).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["id"], r["rank"]))
+    assert got == {q: w for q, ts in queries.items() if (w := brute_bm25(docs, ts, 10))}
+    tasks = index.blocks.rdd.getNumPartitions()
+    assert rows["first-blocks"] <= 33 * 4 and rows["second-hits"] <= 33 * (10 + lexical_index.SPARE) * tasks
+
+
+@pytest.mark.parametrize("held", [1, 1 << 19])
+def test_blocks_hold_every_token_once(spark, monkeypatch, held):
+    monkeypatch.setattr(lexical_index, "HELD_BYTES", held)
+    texts = [(1, "a", ["x", "y", "x"]), (1, "b", []), (2, "c", []), (2, "d", [""]), (3, "e", ["y"]), (3, "f", ["z", "y"])]
+    batch = pa.record_batch([[t[k] for t in texts] for k in (0, 1)] + [[len(t[2]) for t in texts]] * 2 + [
+        [lexical_index._BETWEEN.join(t[2]) for t in texts]], ["block", "key", "length", "n", "joined"])
+    rows = [r for b in lexical_index._blocks("key")(iter([batch.slice(0, 4), batch.slice(4)])) for r in b.to_pylist()]
+    assert [(r["block"], r["keys"], r["lengths"]) for r in rows] == [(1, ["a", "b"], [3, 0]), (2, ["c", "d"], [0, 1]), (3, ["e", "f"], [1, 2])]
+    found = Counter()
+    for r in rows:
+        start = 0
+        for term, end in zip(r["terms"], r["ends"]):
+            found.update({(r["keys"][s], term): n for s, n in zip(r["slots"][start:end], r["tfs"][start:end])})
+            start = end
+        assert start == len(r["slots"]) == len(r["tfs"])
+    assert found == Counter((k, w) for _, k, words in texts for w in words)
+
+
 def test_index_of_nothing(spark):
     empty = spark.createDataFrame([], "id long, tokens array<string>")
     index = lexical_index.write_index(empty, "id", scratch_path(spark, "index"))
